@@ -56,3 +56,22 @@ def partitions(spark: SparkSession) -> int:
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus: the fold of a document."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def bounded_labels(labels: DataFrame, column: str, modulus: int, held_out: int, bound: int) -> DataFrame:
+    """doc_id, label of the labelled rows outside the held-out fold: all, or about bound of them by a hash of the id.
+
+    A doc_id that is labelled more than once counts once, with its largest label.
+    """
+    usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (id_remainder("doc_id", modulus) != held_out))
+    n = usable.count()
+    if n > bound:
+        usable = usable.where(F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000)) < int(1e6 * bound / n))
+    return usable.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label, text of the documents in a bounded set of labels (see bounded_labels), as a scratch table."""
+    few = written(labels, "labels-used")
+    joined = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(few), "doc_id")
+    return written(joined.select("doc_id", "label", "text"), "training-texts")

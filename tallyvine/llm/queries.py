@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, sharding
+from . import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_quality": quality.op2_quality,
     "op4_secrets": secrets.op4_secrets,
+    "op5_pii": pii.op5_pii,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
