@@ -20,6 +20,8 @@ from .common import scratch_path, utf8_sha256, whole_text
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The many small stores of a stream would each reserve megabytes of disk ahead.
+RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 #: Runs of blanks that differ from one space; what they match becomes one space.
 UNEVEN_BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -51,8 +53,9 @@ def ingest(spark: SparkSession, path: str, ledger: str, max_bytes_per_trigger: s
     itself = f"{path[:-1]}[{path[-1]}]"  # as a pattern the path may be a folder or a single file
     rows = reader.parquet(itself).select(F.unhex(utf8_sha256(normalised())).alias("digest"), _place().alias("place"))
     state = rows.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get(PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in (PROVIDER, RESERVE)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(RESERVE, "false")
     try:
         query = (
             state.writeStream.outputMode("update").format("noop")
@@ -60,7 +63,8 @@ def ingest(spark: SparkSession, path: str, ledger: str, max_bytes_per_trigger: s
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
