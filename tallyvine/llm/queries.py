@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secrets, sharding, toxicity
+from . import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, repeats, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_quality": quality.op2_quality,
+    "op3_repeats": repeats.op3_repeats,
     "op4_secrets": secrets.op4_secrets,
     "op5_pii": pii.op5_pii,
     "op6_near_dedup": near_dedup.op6_near_dedup,
