@@ -473,13 +473,14 @@ def pairing_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CARDS}, {_STYLED}, {_RULES}, {_DISHES} SELECT slug, s.style, r.place, CASE WHEN r.place <= 2 THEN '{fixed.FITS[0]}' WHEN r.place = 3 THEN '{fixed.FITS[1]}' ELSE '{fixed.FITS[2]}' END AS fit,
+    f"""WITH {CARDS}, {_STYLED}, {_RULES}, {_DISHES} SELECT slug, s.style, coalesce(r.place, 0) AS place, CASE WHEN r.place <= 2 THEN '{fixed.FITS[0]}' WHEN r.place = 3 THEN '{fixed.FITS[1]}' ELSE '{fixed.FITS[2]}' END AS fit,
   coalesce(r.reason, '{fixed.UNSURE_REASON}') || CASE WHEN contains(lower(description), '{fixed.ACIDITY_STEM}') THEN '{fixed.ACIDITY_REASON}' ELSE '' END ||
   CASE WHEN r.place IS NULL THEN '{fixed.BETTER_DISH}' || lower(d.label) || '.' ELSE '' END AS reason
 FROM styled s LEFT JOIN rules r ON s.style = r.style AND r.dish = 'fish' JOIN rules f ON f.style = s.style AND f.place = 1 JOIN dishes d ON d.dish = f.dish"""
 )
 def pairing_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.dish_fit(cards(spark, sf), "fish").select("slug", "style", "place", "fit", "reason")
+    found = pairing.dish_fit(cards(spark, sf), "fish")
+    return found.select("slug", "style", F.coalesce("place", F.lit(0)).alias("place"), "fit", "reason")
 
 
 _ANALOGUES = f"""pairs AS (
@@ -684,9 +685,9 @@ _REVIEW = """review AS (
     round(arg_min(score, rank) - arg_max(score, rank), 4) AS spread FROM review GROUP BY name, status, verified_slug)"""
 
 
-@query(f"WITH {RANKED}, {PHOTO_LABELS}, {_REVIEW} SELECT name, status, verified_slug, CAST(verified_rank AS INT) AS verified_rank, top1, gap_first_second, spread FROM summary")
+@query(f"WITH {RANKED}, {PHOTO_LABELS}, {_REVIEW} SELECT name, status, verified_slug, CAST(coalesce(verified_rank, 0) AS INT) AS verified_rank, top1, gap_first_second, spread FROM summary")
 def review_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.review_summary(_review(spark, sf)).drop("evidence")
+    return evaluation.review_summary(_review(spark, sf)).drop("evidence").withColumn("verified_rank", F.coalesce("verified_rank", F.lit(0)))
 
 
 @query(
