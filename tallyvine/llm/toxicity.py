@@ -32,11 +32,11 @@ from .common import DOCUMENT_COLUMNS, bounded_labels, id_remainder, read_table,
 LABEL_BOUND = 20_000
 LEAST_COUNT = 5
 #: Total weight of the Dirichlet prior as a share of all counts; standard errors that a score must clear.
-PRIOR = 0.05
-ERRORS = 2.0
+PRIOR = 0.005
+ERRORS = 3.0
 LEAST_DRIFT = 0.005
 #: Lengths of the beginnings of words that have scores of their own.
-PREFIXES = (5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 #: One labelled text in CALIBRATION fits the curve instead of the counts.
 CALIBRATION = 4
 FOLDS, HELD_OUT = 5, 0
@@ -82,7 +82,14 @@ class ToxicityModel:
         """Maximal scoring segments (first word, last word, score) of a text and its number of words."""
         words = WORD.findall(text.lower())
         gains = np.fromiter(map(self.words.__getitem__, words), float, len(words)) - self.drift
-        hits = np.flatnonzero(gains > 0).tolist()
+        seen: set[str] = set()
+        hits = []
+        for i in np.flatnonzero(gains > 0).tolist():
+            if words[i] in seen:
+                gains[i] = -self.drift
+            else:
+                seen.add(words[i])
+                hits.append(i)
         if not hits:
             return [], len(words)
         return maximal_segments(hits, np.concatenate(([0.0], np.cumsum(gains)))), len(words)
@@ -148,7 +155,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> ToxicityModel:
-    texts = training_texts(docs, bounded_labels(labels, "toxic", FOLDS, HELD_OUT, bound)).repartition(16)
+    texts = training_texts(docs, bounded_labels(labels, "toxic", FOLDS, HELD_OUT, bound))
+    texts = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).repartition(16)  # copies count once
     n, ones = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not ones or ones == n:
         return ToxicityModel(bias=30.0 if ones else -30.0)
