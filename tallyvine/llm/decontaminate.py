@@ -32,13 +32,13 @@ from .common import DOCUMENT_COLUMNS, read_table, whole_text
 EDITS = 0.08
 Q = 8
 RECALL = 0.98
-WALKS, SAMPLES = 4, 5
+WALKS, SAMPLES = 4, 4
 #: Lengths of items that share windows differ by this factor at most.
 CLASS_RATIO = 1.15
 BLOCK_ITEMS, BLOCK_CHARS, MAX_WINDOW = 20_000, 16_000_000, 4_000
 SEED = 5
 #: Characters and windows worked on at a time.
-CHUNK_CHARS, CHUNK_WINDOWS = 1 << 20, 4096
+CHUNK_CHARS, CHUNK_WINDOWS = 1 << 22, 4096
 GRAM_BITS = 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +62,7 @@ def gram_slots(code: np.ndarray) -> np.ndarray:
     if len(code) < Q:
         return np.empty(0, np.int64)
     grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(code, Q)).view(np.uint64).ravel()
-    return ((grams * ODD) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+    return ((grams * ODD) >> np.uint64(64 - GRAM_BITS)).astype(np.int32)
 
 
 def allowed(n: int) -> int:
@@ -113,16 +113,18 @@ class ItemIndex:
         longest = max((n for n, _ in self.classes), default=1)
         self.bits = rng.integers(0, 2, (WALKS, 2 * longest, 256), dtype=np.uint8)
         self.places: list[list[np.ndarray]] = []  # by class and walk: sampled places of each table
-        self.tables: list[dict[tuple[int, int], list[int]]] = []
+        self.tables: list[list[tuple[np.ndarray, dict[int, list[int]]]]] = []  # by class: keys, items of each key
+        self.item_grams = [np.unique(gram_slots(codes(t)[0])) for _, t in self.items]
         for c, (n, members) in enumerate(self.classes):
             tables = self._tables_for(n, members, rng)
             self.places.append([np.sort(rng.integers(0, 2 * n, (tables, SAMPLES)), axis=1) for _ in range(WALKS)])
             heads = np.stack([codes(self.items[k][1])[0][:n] for k in members])
-            found: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for t, keys in enumerate(self._keys(c, heads)):
+            self.tables.append([])
+            for keys in self._keys(c, heads):
+                found: dict[int, list[int]] = defaultdict(list)
                 for k, key in zip(members, keys.tolist(), strict=True):
-                    found[t, key].append(k)
-            self.tables.append(dict(found))
+                    found[key].append(k)
+                self.tables[c].append((np.unique(keys), dict(found)))
 
     def _tables_for(self, n: int, members: list[int], rng: np.random.Generator) -> int:
         """Tables per walk that reach RECALL for items with the largest allowed number of edits."""
@@ -172,79 +174,94 @@ class ItemIndex:
     def candidates(self, c: int, windows: np.ndarray) -> list[set[int]]:
         """Items proposed for each window."""
         proposed: list[set[int]] = [set() for _ in range(len(windows))]
-        for t, keys in enumerate(self._keys(c, windows)):
-            table = self.tables[c]
-            for i, key in enumerate(keys.tolist()):
-                if (t, key) in table:
-                    proposed[i].update(table[t, key])
+        for (known, items), keys in zip(self.tables[c], self._keys(c, windows), strict=True):
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            for i in np.flatnonzero(known[place] == keys).tolist():
+                proposed[i].update(items[int(keys[i])])
         return proposed
 
-    def windows(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(class, text, start) of the windows that the q-gram lemma leaves."""
-        if not self.classes:
-            return
-        joined = "\n".join(texts)
-        code, wordlike = codes(joined)
+    def shares_grams(self, k: int, slots: np.ndarray) -> bool:
+        """Whether a passage with these q-grams can be within the allowed edits of item k (repeats count as often as they occur)."""
+        grams = self.item_grams[k]
+        place = np.minimum(np.searchsorted(grams, slots), len(grams) - 1)
+        return int((grams[place] == slots).sum()) >= needed(len(self.items[k][1]))
+
+    def windows(self, code: np.ndarray, wordlike: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, starts) of the windows that the q-gram lemma leaves in a text."""
         starts = wordlike.copy()
         starts[1:] &= ~wordlike[:-1]
-        of_class = self.grams[gram_slots(code)]
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        least = self.classes[0][0]
-        hits = np.concatenate(([0], np.cumsum(of_class != 0)))
+        of_class = self.grams[slots]
+        least, longest = self.classes[0][0], self.classes[-1][0]
+        hits = np.concatenate(([0], np.cumsum(of_class != 0, dtype=np.int32)))
         span = max(1, least - Q + 1 + allowed(least))
-        tail = np.minimum(np.arange(len(of_class)) + span, len(of_class))
-        dense = np.flatnonzero(hits[tail] - hits[:-1] >= needed(least))
+        dense = np.flatnonzero(hits[np.minimum(np.arange(len(slots), dtype=np.int32) + span, len(slots))] - hits[:-1] >= needed(least))
         if not len(dense):
             return
-        longest = self.classes[-1][0]
+        bits = np.arange(len(self.classes), dtype=np.uint64)
         cuts = np.flatnonzero(np.diff(dense) > longest)
         for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(dense) - 1])), strict=True):
-            low, high = max(0, dense[a] - longest), min(len(of_class), dense[b] + span + longest)
+            low, high = max(0, dense[a] - longest), min(len(slots), dense[b] + span + longest)
+            present = ((of_class[low:high, None] >> bits) & np.uint64(1)).astype(np.int32)
+            enough = present.sum(axis=0)
             for c, (n, _) in enumerate(self.classes):
-                within = np.concatenate(([0], np.cumsum((of_class[low:high] >> np.uint64(c)) & np.uint64(1)).astype(np.int64)))
-                wide = max(1, n - Q + 1 + allowed(n))
-                tails = np.minimum(np.arange(high - low) + wide, high - low)
-                good = np.flatnonzero((within[tails] - within[:-1] >= needed(n)) & starts[low:high]) + low
-                for s, d in zip(good.tolist(), np.searchsorted(ends, good, side="right").tolist(), strict=True):
-                    yield c, d, s - (int(ends[d - 1]) if d else 0)
+                if enough[c] < needed(n):
+                    continue
+                within = np.concatenate(([0], np.cumsum(present[:, c])))
+                tails = np.minimum(np.arange(high - low) + max(1, n - Q + 1 + allowed(n)), high - low)
+                good = np.flatnonzero((within[tails] - within[:-1] >= needed(n)) & starts[low:high])
+                if len(good):
+                    yield c, good + low
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of a best passage of every item that occurs in each of the normalised texts."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        waiting: dict[int, list[tuple[int, int]]] = defaultdict(list)
-
-        def settle(c: int) -> None:
-            n = self.classes[c][0]
-            block = np.zeros((len(waiting[c]), n), np.uint8)
-            for i, (d, s) in enumerate(waiting[c]):
-                got = codes(texts[d][s : s + n])[0]
-                block[i, : len(got)] = got
-            for (d, s), items in zip(waiting.pop(c), self.candidates(c, block), strict=True):
-                for k in items:
-                    item = self.items[k][1]
-                    most = allowed(len(item))
-                    have = best.get((d, k))
-                    if have and (have[0] == 0 or have[1] <= s < have[2]):
-                        continue
-                    low = max(0, s - most)
-                    edits, end = edit_distance(item, texts[d][low : s + len(item) + most])
-                    if edits <= most and (not have or edits < have[0]):
-                        best[d, k] = (edits, max(0, low + end - len(item)), low + end)
-
-        for c, d, s in self.windows(texts):
-            waiting[c].append((d, s))
-            if len(waiting[c]) >= CHUNK_WINDOWS:
-                settle(c)
-        for c in [*waiting]:
-            settle(c)
+        if not self.classes:
+            return []
+        code, wordlike = codes("\n".join(texts))
+        slots = gram_slots(code)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        longest = self.classes[-1][0]
+        padded = np.concatenate((code, np.zeros(longest, np.uint8)))
+        waiting: dict[int, list[np.ndarray]] = defaultdict(list)
+        for c, good in self.windows(code, wordlike, slots):
+            waiting[c].append(good)
+        for c, parts in waiting.items():
+            n, where = self.classes[c][0], np.concatenate(parts)
+            for k in range(0, len(where), CHUNK_WINDOWS):
+                at = where[k : k + CHUNK_WINDOWS]
+                self._settle(best, texts, ends, slots, at, self.candidates(c, padded[at[:, None] + np.arange(n)]))
         found = []
-        for (d, k), (_, low, high) in sorted(best.items()):
+        for (d, k), (edits, low, high) in sorted(best.items()):
             item = self.items[k][1]
-            low = max(0, low - allowed(len(item)))
-            edits, end = edit_distance(item, texts[d][low : high + allowed(len(item))])
-            found.append((d, self.items[k][0], edits, max(0, low + end - len(item)), low + end))
+            if edits:
+                low = max(0, low - allowed(len(item)))
+                edits, end = edit_distance(item, texts[d][low : high + allowed(len(item))])
+                low, high = max(0, low + end - len(item)), low + end
+            found.append((d, self.items[k][0], edits, low, high))
         return found
 
+    def _settle(self, best: dict, texts: list[str], ends: np.ndarray, slots: np.ndarray, at: np.ndarray, proposed: list[set[int]]) -> None:
+        """Verify the proposed items of windows that begin at the given places of the joined texts."""
+        docs = np.searchsorted(ends, at, side="right")
+        for place, d, items in zip(at.tolist(), docs.tolist(), proposed, strict=True):
+            first = int(ends[d - 1]) if d else 0
+            s = place - first
+            for k in items:
+                item = self.items[k][1]
+                most = allowed(len(item))
+                have = best.get((d, k))
+                if have and (have[0] == 0 or have[1] <= s < have[2]):
+                    continue
+                if texts[d].startswith(item, s):
+                    best[d, k] = (0, s, s + len(item))
+                    continue
+                low, high = max(0, s - most), min(len(texts[d]), s + len(item) + most)
+                if not self.shares_grams(k, slots[first + low : first + high - Q + 1]):
+                    continue
+                edits, end = edit_distance(item, texts[d][low:high])
+                if edits <= most and (not have or edits < have[0]):
+                    best[d, k] = (edits, max(0, low + end - len(item)), low + end)
+
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Parts of about CHUNK_CHARS characters; a longer text is a part by itself."""
