@@ -76,22 +76,23 @@ def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _replica(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replica(texts: pd.DataFrame) -> pd.DataFrame:
     hashes, model = WordHashes(), Ftrl()
-    rows = [(features(t, hashes), y) for batch in batches for t, y in zip(batch.text, batch.label, strict=True)]
+    texts = texts.sort_values("doc_id")
+    rows = [(features(t, hashes), y) for t, y in zip(texts.text, texts.label, strict=True)]
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             (slots, values), label = rows[k]
             model.learn(slots, values, label)
-    yield pd.DataFrame({"rows": [len(rows)], "weights": [model.weights().astype(np.float32).tobytes()]})
+    return pd.DataFrame({"rows": [len(rows)], "weights": [model.weights().astype(np.float32).tobytes()]})
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> np.ndarray:
     """Weights of all slots and the bias."""
     texts = training_texts(docs, bounded_labels(labels, "quality", FOLDS, HELD_OUT, bound))
-    dealt = texts.repartition(REPLICAS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
-    parts = dealt.mapInPandas(_replica, "rows long, weights binary").collect()  # REPLICAS rows of fixed size
-    used = [(r.rows, np.frombuffer(r.weights, np.float32)) for r in parts if r.rows]
+    dealt = texts.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(REPLICAS)).alias("replica"))
+    parts = dealt.applyInPandas(_replica, "rows long, weights binary").collect()  # REPLICAS rows of fixed size
+    used = [(r.rows, np.frombuffer(r.weights, np.float32)) for r in parts]
     if not used:
         return np.zeros((1 << BITS) + 1, np.float32)
     return np.average([w for _, w in used], axis=0, weights=[n for n, _ in used]).astype(np.float32)
