@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}

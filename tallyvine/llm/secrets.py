@@ -127,3 +127,25 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = BlobLedger(spark, scratch_path(spark, "secret-ledger"))
     return scan_documents(read_table(spark, sf_dir, "documents"), ledger)
+
+
+def _oracle() -> str:
+    """The same rows in DuckDB's SQL: gaps and matches of each rule give positions by running sums."""
+    quoted = lambda x: x.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{r.name}' AS rule, {i} AS rank, {r.least} AS least, regexp_extract_all(text, '{quoted(r.pattern)}', 0) AS ms, "
+        f"regexp_extract_all(text, '{quoted(r.pattern)}', {r.group}) AS vs, regexp_split_to_array(text, '{quoted(r.pattern)}') AS gs FROM t"
+        for i, r in enumerate(RULES)
+    )
+    base = sum(r.base for r in RULES)
+    counts = ", ".join(f"count(*) FILTER (rule = '{r.name}') AS n_{r.name}" for r in RULES if r.base)
+    said = "string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({found}),
+x AS (SELECT doc_id, rule, rank, least, unnest(ms) AS w, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+p AS (SELECT *, CAST(sum(length(g) + length(w)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS BIGINT) AS stop FROM x),
+s AS (SELECT doc_id, rule, rank, stop - length(w) AS start, stop FROM p WHERE length(v) >= least)
+SELECT t.doc_id, {counts}, sha256(coalesce({said} FILTER (rank < {base}), '')) AS base_sha256, coalesce({said}, '') AS spans
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id GROUP BY t.doc_id"""
+
+
+ORACLE_SQL = _oracle()
