@@ -5,12 +5,12 @@ frequency. Frequencies cover all documents and are kept in a sketch of fixed siz
 slots, so a frequency can only be overstated). Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
 construction); texts that agree in all rows of a band meet in a bucket.
 
-Within a bucket the member with the smallest id leads; every other member is verified against it by weighted Jaccard
+Within a bucket the most central member leads; every other member is verified against it by weighted Jaccard
 similarity (a plain Jaccard similarity of the threshold also links, so that weights cannot part texts that differ in few, rare words).
 One minus either similarity is a metric, so a member that is not similar to the leader can only
-be similar to members at a comparable distance from it; those, and only those, go into a further round with a new leader. Hence every pair
-of a bucket that reaches the threshold is verified or has both ends verified against a common leader, without emitting all pairs of
-similar groups. Links become classes by propagating the smallest id.
+be similar to members at a comparable distance from it; and what of a text no other open text holds bounds its similarity to all of them.
+Pairs that neither rules out and whose ends are in different components go into a second round. Hence every pair of a bucket that reaches the threshold is verified or has both ends in one component, without emitting
+all pairs of similar groups. Links become classes by propagating the smallest id.
 
 Defined results: a null text is the empty string; equal texts are always in one class; texts of one
 to four words are one shingle; texts without words link only to equal ones; rows with a null
@@ -25,14 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, read_table, whole_text, written
+from .common import DOCUMENT_COLUMNS, partitions, read_table, whole_text, written
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 12, 4
 #: Slots of the document-frequency sketch, and how many travel in one row.
 SKETCH_BITS, SKETCH_CHUNK = 18, 1 << 12
 #: Entries of the table of random variates; a shingle and a sample choose one by hashing.
@@ -41,6 +41,9 @@ SEED = 11
 #: Matrix cells worked on at a time.
 CELLS = 1 << 18
 WORD = re.compile(r"\w+")
+#: Rows of the small tables of the rounds that one task takes.
+ROWS_A_TASK = 100_000
+PAIRS = "leader long, member long, sim double, plain double"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -189,53 +192,96 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> Data
 
     of = lambda who: texts.select(F.col("doc_id").alias(who), F.col("text").alias(f"{who}_text"))
     both = of("member").join(pairs.hint("shuffle_hash"), "member").join(of("leader").hint("shuffle_hash"), "leader")
-    return both.mapInPandas(compared, "leader long, member long, sim double, plain double")
+    return both.mapInPandas(compared, PAIRS)
 
 
-def bucket_links(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
-    """Links (leader, member) within buckets (key, doc_id): rounds of leaders until no open pair is left."""
+def own_mass(ids: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
+    """doc_id, mass, n (of its shingles), own, own_n (of those that no other one of ids holds) for each of ids."""
+    shared = ids.sparkSession.sparkContext.broadcast(sampler)
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shared.value.weighted(t, hashes) for t in batch.text]
+            if sets:
+                counts = [len(f) for f, _ in sets]
+                found, mass = np.concatenate([f for f, _ in sets]).view(np.int64), np.concatenate([w for _, w in sets])
+                yield pd.DataFrame({"doc_id": np.repeat(batch.doc_id.to_numpy(), counts), "shingle": found, "mass": mass})
+
+    rows = texts.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInPandas(weighed, "doc_id long, shingle long, mass double")
+    rows = written(rows, "near-shingles")
+    whole = rows.groupBy("doc_id").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n"))
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("doc_id"), F.min("mass").alias("mass"))
+    own = held.where("holders = 1").groupBy("doc_id").agg(F.sum("mass").alias("own"), F.count(F.lit(1)).alias("own_n"))
+    return whole.join(own, "doc_id", "left").fillna(0, ["own", "own_n"])
+
+
+def bucket_links(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bounds: Callable[[DataFrame], DataFrame] | None = None, threshold: float = THRESHOLD
+) -> DataFrame:
+    """Links (leader, member) within buckets (key, doc_id).
+
+    First every member against its bucket's leader, the most central one: its buckets hold the most rows, so a text with few changes
+    leads its copies. Then each member that missed its leader against those of other components that neither a leader nor their
+    bounds (doc_id, mass, n, own, own_n: what no other open text holds) rule out."""
     reach = 1 - threshold
-    links, known = None, None
-    open_rows = buckets.withColumn("next", F.lit(True))
-    while True:
-        led = open_rows.groupBy("key").agg(F.min(F.when(F.col("next"), F.col("doc_id"))).alias("leader"), F.count(F.lit(1)).alias("n"))
-        asked = written(
-            open_rows.join(led.where("n > 1 AND leader IS NOT NULL"), "key").where("doc_id <> leader")
-            .select("key", "leader", F.col("doc_id").alias("member")),
-            "near-asked",
-        )
-        if not asked.take(1):
-            break
-        new = asked.select("leader", "member").distinct()
-        if known is not None:
-            new = new.join(known.select("leader", "member"), ["leader", "member"], "left_anti")
-        found = written(verify(new), "near-sims")
-        known = found if known is None else known.unionByName(found)
-        hit = (F.col("sim") >= threshold) | (F.col("plain") >= threshold)
-        near = found.where(hit).select("leader", "member")
-        links = near if links is None else links.unionByName(near)
-        judged = asked.join(known, ["leader", "member"])
-        misses = judged.where(~hit).groupBy("key").agg(F.max("sim").alias("sim_miss"), F.max("plain").alias("plain_miss"))
-        # one that misses stays open; one that hits stays only as far out as a miss could be similar to it
-        stays = ~hit | (F.col("sim") <= F.col("sim_miss") + reach) | (F.col("plain") <= F.col("plain_miss") + reach)
-        open_rows = judged.join(misses, "key").where(stays).select("key", F.col("member").alias("doc_id"), (~hit).alias("next"))
-    empty = buckets.select(F.col("doc_id").alias("leader"), F.col("doc_id").alias("member")).where("false")
-    return links if links is not None else empty
-
-
-def components(links: DataFrame) -> DataFrame:
+    hit = (F.col("sim") >= threshold) | (F.col("plain") >= threshold)
+    few = max(12, min(partitions(buckets.sparkSession), buckets.count() // ROWS_A_TASK))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return written(df.coalesce(few), name)
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("leader"), F.greatest(x, y).alias("member")]
+
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = buckets.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    first = F.max(F.struct("weight", (-F.col("doc_id")).alias("o")))
+    led = buckets.join(central, "doc_id").groupBy("key").agg(first.alias("x")).select("key", (-F.col("x.o")).alias("lead"))
+    # from here on the members of all buckets of one leader stand together: more pairs, each of them once
+    asked = kept(buckets.join(led, "key").where("doc_id <> lead").select("lead", F.col("doc_id").alias("other"), *pair("doc_id", "lead")).distinct(), "near-asked")
+    known = written(verify(asked.select("leader", "member").distinct()), "near-sims")
+    near = known.where(hit).select("leader", "member")
+    missed = known.where(~hit)
+    if not missed.take(1):
+        return near
+    # one that misses its leader stays open; one that hits it only as far out as a miss could be similar to it
+    edge = asked.join(missed, ["leader", "member"]).groupBy("lead").agg(F.max("sim").alias("sim_miss"), F.max("plain").alias("plain_miss"))
+    stays = ~hit | (F.col("sim") <= F.col("sim_miss") + reach) | (F.col("plain") <= F.col("plain_miss") + reach)
+    left = asked.join(edge, "lead").join(known, ["leader", "member"]).where(stays).select("lead", "other", (~hit).alias("miss"))
+    parts = components(near, few).select(F.col("doc_id").alias("other"), F.col("class_id").alias("part"))
+    rows = kept(left.join(parts, "other", "left").select("lead", "other", F.coalesce("part", "other").alias("part"), "miss"), "near-open")
+    possible = F.lit(True)
+    if bounds is not None:
+        limits = kept(bounds(rows.select(F.col("other").alias("doc_id")).distinct()), "near-bounds")
+        rows = kept(rows.join(limits.withColumnRenamed("doc_id", "other"), "other"), "near-open")
+        least = lambda whole, own: F.least(F.col(whole) - F.col(own), F.col(f"c_{whole}") - F.col(f"c_{own}")) >= threshold / (1 + threshold) * (F.col(whole) + F.col(f"c_{whole}")) - 1e-6
+        possible = least("mass", "own") | least("n", "own_n")
+    misses = rows.where("miss")
+    misses = misses.select(*[F.col(c).alias(f"c_{c}") for c in misses.columns])
+    same = F.col("lead") == F.col("c_lead")
+    once = ~F.col("miss") | (F.col("other") < F.col("c_other"))
+    due = rows.join(misses, same & (F.col("part") != F.col("c_part")) & once & possible).select(*pair("other", "c_other")).distinct()
+    due = kept(due.join(known.select("leader", "member"), ["leader", "member"], "left_anti"), "near-due")
+    if not due.take(1):
+        return near
+    return near.unionByName(written(verify(due), "near-sims").where(hit).select("leader", "member"))
+
+
+def components(links: DataFrame, few: int | None = None) -> DataFrame:
     """doc_id, class_id (smallest id of the component) of every linked document."""
+    few = few or partitions(links.sparkSession)
     both = written(
         links.select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        .unionByName(links.select(F.col("member").alias("a"), F.col("leader").alias("b"))).distinct(),
+        .unionByName(links.select(F.col("member").alias("a"), F.col("leader").alias("b"))).distinct().coalesce(few),
         "near-links",
     )
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "near-labels")
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).coalesce(few), "near-labels")
     while True:
         around = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
         stepped = labels.join(around, "a").select("a", F.least("label", "seen").alias("up"), F.col("label").alias("was"))
         above = labels.select(F.col("a").alias("up"), F.col("label").alias("top"))
-        jumped = written(stepped.join(above, "up").select("a", F.least("up", "top").alias("label"), "was"), "near-labels")
+        jumped = written(stepped.join(above, "up").select("a", F.least("up", "top").alias("label"), "was").coalesce(few), "near-labels")
         labels = jumped.select("a", "label")
         if not jumped.where("label < was").take(1):
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("class_id"))
@@ -256,7 +302,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
         .join(involved.hint("shuffle_hash"), "doc_id"), "near-texts",
     )
-    links = bucket_links(met, lambda pairs: verified_pairs(pairs, texts, sampler))
+    links = bucket_links(met, lambda pairs: verified_pairs(pairs, texts, sampler), lambda ids: own_mass(ids, texts, sampler))
     classes = components(links).withColumnRenamed("doc_id", "rep")
     placed = firsts.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
     found = signed.select("doc_id", "digest").join(placed, "digest").select("doc_id", "class_id")
