@@ -360,7 +360,9 @@ def test_bucket_links_loses_none(spark):
     def verify(pairs):
         rows = [(r.leader, r.member, sim(r.leader, r.member), 0.0) for r in pairs.collect()]
         return spark.createDataFrame(rows, near_dedup.PAIRS)
-    links = near_dedup.bucket_links(buckets, verify)
+    def nothing_own(ids):
+        return ids.selectExpr("doc_id", "100.0 AS mass", "100L AS n", "0.0 AS own", "0L AS own_n")
+    links = near_dedup.bucket_links(buckets, verify, nothing_own)
     found = {r.doc_id: r.class_id for r in near_dedup.components(links).collect()}
     groups = [[i for i in range(60) if i % 3 == k] for k in range(3)] + [list(range(0, 60, 5))]
     for g in groups:
@@ -370,6 +372,21 @@ def test_bucket_links_loses_none(spark):
                     assert found[a] == found[b]
 
 
+def test_own_mass_bounds_similarity(spark):
+    texts = corpus(n=40)
+    sampler = near_dedup.Sampler(*near_dedup.document_frequencies(documents(spark, texts)))
+    ids = spark.range(40).withColumnRenamed("id", "doc_id")
+    bound = {r.doc_id: r for r in near_dedup.own_mass(ids, documents(spark, texts), sampler).collect()}
+    sets = [sampler.weighted(t, near_dedup.WordHashes()) for t in texts]
+    for i in range(40):
+        assert bound[i].mass == pytest.approx(float(sets[i][1].sum())) and bound[i].n == len(sets[i][0])
+        for j in range(i):
+            sim, plain = near_dedup.similarity(sets[i], sets[j])
+            for got, whole, own in ((sim, "mass", "own"), (plain, "n", "own_n")):
+                shared = min(bound[k][whole] - bound[k][own] for k in (i, j))
+                assert got <= shared / max(1e-9, bound[i][whole] + bound[j][whole] - shared) + 1e-6
+
+
 def test_near_awkward(spark):
     found = near_dedup.near_classes(awkward(spark)).collect()
     assert len(found) == 11 and sum(r.class_id is None for r in found) == 2
