@@ -12,7 +12,7 @@ minimizer, and a run of neighbouring strings with one minimizer travels as a sin
 3. Each batch sends its distinct segments with shared minimizers. The owning task forms shards of them, one Burrows-Wheeler transform
    each, and merges the transforms by iterative interleave refinement (Holt and McMillan), STEP symbols a round: the
    interleave is only ever stably re-dealt by the symbols before each row, suffixes of different shards are never
-   compared. The round in which two neighbours part bounds their common prefix; rows that stay together for WIDTH
+   compared. (Segments that cannot share a string with another one, by the bytes beside their minimizer, are left out.) The round in which two neighbours part bounds their common prefix; rows that stay together for WIDTH
    symbols are a repeated interval, and its smallest document id goes back to the batches that lack it.
 4. Each batch marks the covered bytes and reports on its documents.
 
@@ -79,6 +79,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def seed_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the SEED-byte string at each position."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
+    return _mixed(words[:-8] * ODD + words[8:] * MIX) & LOW
+
+
 class Segments:
     """Runs of WIDTH-byte strings with one minimizer in packed documents, in text order.
 
@@ -94,9 +100,7 @@ class Segments:
             self.start = self.count = self.doc = self.of = self.first = np.empty(0, np.int64)
             self.minimizer = np.empty(0, np.uint64)
             return
-        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
-        least = _mixed(words[:-8] * ODD + words[8:] * MIX) & LOW
-        del words
+        least = seed_hashes(data)
         if demoted is not None and len(demoted):
             least = np.where(np.isin(least, demoted), least | ~LOW, least)
         reach, need = 1, WIDTH - SEED + 1
@@ -337,6 +341,8 @@ def answer_segments(rows: pd.DataFrame) -> pd.DataFrame:
     least = doc[first]
     _, group, alone = np.unique(minimizer[first], return_inverse=True, return_counts=True)
     many = alone[group] > 1  # other segments with this minimizer exist, so parts of them may be equal
+    several = np.flatnonzero(many)
+    many[several] = _may_share(data, start[first[several]], length[first[several]], minimizer[first[several]])
     # (segment, from, to, smallest id) for each run of strings; a segment alone has one run
     strings = length[first] - WIDTH + 1
     runs = [np.stack([x[~many] for x in (np.arange(len(first)), np.zeros(len(first), np.int64), strings, least)])]
@@ -359,6 +365,35 @@ def answer_segments(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["batch", "payload"])
 
 
+def _may_share(data: np.ndarray, start: np.ndarray, length: np.ndarray, minimizer: np.ndarray) -> np.ndarray:
+    """Whether a segment can share a string of WIDTH bytes with another one of its minimizer.
+
+    Such a string reaches at least half of WIDTH - SEED bytes beyond the minimizer on one side, so another segment must agree
+    with this one in those bytes, at some place where the minimizer stands."""
+    out = np.zeros(len(start), bool)
+    if not len(start):
+        return out
+    text = data[ranges(start, length)]
+    end = np.cumsum(length)
+    owner = np.repeat(np.arange(len(start)), length)[: len(text) - SEED + 1]
+    at = np.flatnonzero(seed_hashes(text) == (minimizer & LOW)[owner])
+    owner = owner[at]
+    half = (WIDTH - SEED + 1) // 2
+    for low, high in ((half, SEED), (0, SEED + half)):
+        fits = (at - low >= (end - length)[owner]) & (at + high <= end[owner])
+        key, _ = content_keys(text, at[fits] - low, np.full(int(fits.sum()), low + high))
+        who = owner[fits]
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
+        same = np.flatnonzero((key[1:] == key[:-1]) & (who[1:] != who[:-1]))
+        meets = np.zeros(len(key), bool)
+        meets[same] = meets[same + 1] = True
+        # all holders of a key that several segments hold
+        groups = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
+        out[who[np.isin(groups, np.unique(groups[meets]))]] = True
+    return out
+
+
 def _interval_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray, least: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Merge the shards' transforms and read the smallest id of each repeated interval off the merged rows."""
     dealt = np.arange(len(start)) * SHARDS // max(len(start), 1)
