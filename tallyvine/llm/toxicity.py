@@ -4,7 +4,7 @@ Training (on a bounded set of labelled rows): in how many toxic and clean texts
 PREFIXES letters, occurs gives log-odds with an informative Dirichlet prior, of which the part that ERRORS standard
 errors support counts; a word's score is its own or that of its best beginning. A drift per token makes the
 expected exponential of a score one under the clean counts, so scores are in nats and segment maxima follow an
-extreme-value (Gumbel) law. Its location and the final logistic curve are fitted on labelled texts that gave no counts.
+extreme-value (Gumbel) law. Every occurrence counts; one that follows the same word closely counts in part. Its location and the final logistic curve are fitted on labelled texts that gave no counts.
 Scoring: one linear scan finds all maximal scoring segments (Ruzzo and Tompa); a passage is significant if its E-value is
 below one; the evidence of a document, the sum of -ln(E) over its significant passages, becomes a probability by the curve.
 
@@ -37,6 +37,8 @@ ERRORS = 3.0
 LEAST_DRIFT = 0.005
 #: Lengths of the beginnings of words that have scores of their own.
 PREFIXES = (4, 5, 6, 7)
+#: A word that was used d words before counts 1 - REPEAT x exp(-d / REACH) of its score.
+REPEAT, REACH = 0.9, 100.0
 #: One labelled text in CALIBRATION fits the curve instead of the counts.
 CALIBRATION = 4
 FOLDS, HELD_OUT = 5, 0
@@ -82,14 +84,12 @@ class ToxicityModel:
         """Maximal scoring segments (first word, last word, score) of a text and its number of words."""
         words = WORD.findall(text.lower())
         gains = np.fromiter(map(self.words.__getitem__, words), float, len(words)) - self.drift
-        seen: set[str] = set()
-        hits = []
-        for i in np.flatnonzero(gains > 0).tolist():
-            if words[i] in seen:
-                gains[i] = -self.drift
-            else:
-                seen.add(words[i])
-                hits.append(i)
+        hits = np.flatnonzero(gains > 0).tolist()
+        last: dict[str, int] = {}
+        for i in hits:
+            if (before := last.get(words[i])) is not None:
+                gains[i] *= 1 - REPEAT * math.exp((before - i) / REACH)
+            last[words[i]] = i
         if not hits:
             return [], len(words)
         return maximal_segments(hits, np.concatenate(([0.0], np.cumsum(gains)))), len(words)
@@ -123,12 +123,16 @@ def maximal_segments(hits: list[int], sums: np.ndarray) -> list[tuple[int, int,
 
 
 def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    toxic, clean = Counter(), Counter()
+    """In how many texts of each class a token occurs, and how often a word is used in clean ones."""
+    toxic, clean, uses = Counter(), Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.text, batch.label, strict=True):
-            (toxic if label else clean).update({t for w in set(WORD.findall(text.lower())) for t in tokens_of(w)})
+            words = Counter(WORD.findall(text.lower()))
+            (toxic if label else clean).update({t for w in words for t in tokens_of(w)})
+            if not label:
+                uses.update(words)
     if tokens := [*{**toxic, **clean}]:
-        yield pd.DataFrame({"token": tokens, "toxic": [toxic[t] for t in tokens], "clean": [clean[t] for t in tokens]})
+        yield pd.DataFrame({"token": tokens, "toxic": [toxic[t] for t in tokens], "clean": [clean[t] for t in tokens], "uses": [uses[t] for t in tokens]})
 
 
 def log_odds(counts: pd.DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -162,14 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> Toxic
         return ToxicityModel(bias=30.0 if ones else -30.0)
     fitting = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(CALIBRATION)) == 0
     counts = (
-        texts.where(~fitting).mapInPandas(_token_counts, "token string, toxic long, clean long")
-        .groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        texts.where(~fitting).mapInPandas(_token_counts, "token string, toxic long, clean long, uses long")
+        .groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("uses").alias("uses"))
     )
     n_toxic, n_clean = (int(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     frequent = counts.where(F.col("toxic") + F.col("clean") >= LEAST_COUNT).toPandas()  # bounded by LABEL_BOUND texts
     model = ToxicityModel(log_odds(frequent, n_toxic, n_clean))
     clean = frequent[~frequent.token.str.endswith("*")]
-    gain = sum(n * (math.exp(model.words[t]) - 1) for t, n in zip(clean.token, clean.clean, strict=True)) / max(int(clean.clean.sum()), 1)
+    gain = sum(n * (math.exp(model.words[t]) - 1) for t, n in zip(clean.token, clean.uses, strict=True)) / max(int(clean.uses.sum()), 1)
     model.drift = max(LEAST_DRIFT, math.log1p(max(0.0, gain)))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

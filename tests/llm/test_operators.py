@@ -218,6 +218,19 @@ def test_toxicity(spark):
     assert toxicity.train(docs, labels.limit(0)).probability(0) < 0.01
 
 
+def test_toxic_words_count_again():
+    """Scattered single words don't hide the dense passage after them, nor does a passage hide a second one."""
+    bad = ["vilex", "gromul", "hatzen", "drumok", "plazen", "skirvo"]
+    model = toxicity.ToxicityModel(dict.fromkeys(bad, 2.0), drift=0.02)
+    clean = words(6000, 8)
+    scattered = [x for i, w in enumerate(bad) for x in (*clean[300 * i : 300 * i + 300], w)]
+    _, found = toxicity.document_evidence(model, " ".join(scattered + bad))
+    assert any(b >= len(scattered) + 4 for _, b, _ in found)
+    _, twice = toxicity.document_evidence(model, " ".join(bad + clean[:1000] + bad))
+    assert [(a, b) for a, b, _ in twice] == [(0, 5), (1006, 1011)]
+    assert model.segments("vilex ba ce vilex")[0][0][2] > model.segments("vilex ba ce")[0][0][2]
+
+
 def test_maximal_segments_against_all_splits():
     """Maximal segments, by their definition on short sequences."""
     import numpy as np
