@@ -1,8 +1,8 @@
 """Near-duplicate classes by improved consistent weighted sampling (operator 6).
 
 A text is the weighted set of its five-word shingles, each weighing its count times its inverse document
-frequency. Frequencies cover all documents and are kept in a sketch of fixed size (shingles share
-slots, so a frequency can only be overstated). Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
+frequency. Frequencies cover all documents and are exact: groups of texts send their distinct shingles to the parts of
+the hash range, where they are added up, and get the sums back. Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
 construction); texts that agree in all rows of a band meet in a bucket.
 
 Within a bucket the most central member leads; every other member is verified against it by weighted Jaccard
@@ -33,8 +33,8 @@ from .common import DOCUMENT_COLUMNS, partitions, read_table, whole_text, writte
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-#: Slots of the document-frequency sketch, and how many travel in one row.
-SKETCH_BITS, SKETCH_CHUNK = 18, 1 << 12
+#: Characters of text that one task counts shingles of.
+CHARS_A_GROUP = 16_000_000
 #: Entries of the table of random variates; a shingle and a sample choose one by hashing.
 TABLE_BITS = 16
 SEED = 11
@@ -75,49 +75,71 @@ def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mixed(joined), return_counts=True)
 
 
-def _slot(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents and the sketch of shingle document frequencies over all of them."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sketch, n = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64), 0
-        for batch in batches:
-            found = [_slot(shingles(t, hashes)[0]) for t in batch.text]
-            n += len(found)
-            if found:
-                sketch += np.bincount(np.concatenate(found), minlength=1 << SKETCH_BITS)
-        if n:
-            parts = sketch.reshape(-1, SKETCH_CHUNK)
-            yield pd.DataFrame({"chunk": np.arange(len(parts)), "n": [n] * len(parts), "counts": [p.tobytes() for p in parts]})
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for chunk, n, counts in zip(batch.chunk, batch.n, batch.counts, strict=True):
-                have = sums.setdefault(chunk, [0, np.zeros(SKETCH_CHUNK, np.int64)])
-                have[0] += n
-                have[1] += np.frombuffer(counts, np.int64)
-        if sums:
-            yield pd.DataFrame({"chunk": [*sums], "n": [x[0] for x in sums.values()], "counts": [x[1].tobytes() for x in sums.values()]})
-
-    schema = "chunk long, n long, counts binary"
-    chunks = (1 << SKETCH_BITS) // SKETCH_CHUNK
-    parts = docs.select(whole_text().alias("text")).mapInPandas(counted, schema).repartition(chunks, "chunk").mapInPandas(summed, schema)
-    sketch, total = np.zeros(1 << SKETCH_BITS, np.int64), 0
-    for r in parts.collect():  # as many rows as chunks
-        sketch[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] += np.frombuffer(r.counts, np.int64)
-        total = max(total, r.n)
-    return total, sketch
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """digest, rep (smallest id, null without any), copies, text and group of each distinct text; number of rows and of groups."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    firsts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "near-distinct")
+    n, chars = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    groups = max(partitions(docs.sparkSession), -(-chars // CHARS_A_GROUP))
+    return firsts.withColumn("group", F.pmod(F.xxhash64("digest"), F.lit(groups))), n, groups
+
+
+def _group_shingles(texts: pd.Series) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Shingles and counts of each text, the distinct shingles of all, sorted, and the place in these of each one of each text."""
+    hashes = WordHashes()
+    sets = [shingles(t, hashes) for t in texts]
+    every, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(f for f, _ in sets)]), return_inverse=True)
+    return sets, every, at
+
+
+def exact_frequencies(firsts: DataFrame, groups: int) -> DataFrame:
+    """group, part, df: in how many documents each distinct shingle of a group occurs, in the order of the shingles."""
+
+    def asked(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("digest")
+        sets, every, at = _group_shingles(batch.text)
+        held = np.bincount(at, np.repeat(batch.copies.to_numpy(), [len(f) for f, _ in sets]), len(every)).astype(np.int64)
+        part = ((every >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)  # rises with the shingle
+        parts, starts = np.unique(part, return_index=True)
+        ends = [*starts[1:], len(every)]
+        return pd.DataFrame({
+            "group": batch.group.iloc[0], "part": parts,
+            "shingles": [every[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
+            "held": [held[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
+        })
+
+    def summed(batch: pd.DataFrame) -> pd.DataFrame:
+        found = [np.frombuffer(x, np.uint64) for x in batch.shingles]
+        every, at = np.unique(np.concatenate(found), return_inverse=True)
+        held = np.concatenate([np.frombuffer(x, np.int64) for x in batch.held])
+        df = np.bincount(at, held, len(every)).astype(np.int64)[at]
+        pieces = np.split(df, np.cumsum([len(x) for x in found])[:-1])
+        return pd.DataFrame({"group": batch.group, "part": batch.part, "df": [x.tobytes() for x in pieces]})
+
+    asked_for = firsts.select("group", "digest", "copies", "text").groupBy("group").applyInPandas(asked, "group long, part long, shingles binary, held binary")
+    return asked_for.groupBy("part").applyInPandas(summed, "group long, part long, df binary")
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, dict[int, int]]:
+    """Number of documents and the document frequency of every shingle, for tables that fit in memory."""
+    firsts, n, groups = distinct_texts(docs)
+    sums: dict[int, int] = {}
+    replies: dict[int, list] = {}
+    for r in exact_frequencies(firsts, groups).collect():
+        replies.setdefault(r.group, []).append((r.part, bytes(r.df)))
+    for group, batch in firsts.toPandas().groupby("group"):
+        _, every, _ = _group_shingles(batch.text)
+        df = np.frombuffer(b"".join(x for _, x in sorted(replies.get(group, []))), np.int64)
+        sums |= dict(zip(every.tolist(), df.tolist(), strict=True))
+    return n, sums
 
 
 class Sampler:
     """Consistent weighted samples of weighted sets; equal for equal input in any process."""
 
-    def __init__(self, n_docs: int, sketch: np.ndarray):
-        self.idf = np.log1p(n_docs / (1.0 + sketch)).astype(np.float32)
+    def __init__(self, n_docs: int, frequencies: dict[int, int] | None = None):
+        self.n_docs, self.frequencies = n_docs, frequencies or {}
         rng = np.random.default_rng(SEED)
         size = 1 << TABLE_BITS
         r, log_c, b = rng.gamma(2.0, 1.0, size), np.log(rng.gamma(2.0, 1.0, size)), rng.random(size)
@@ -125,9 +147,14 @@ class Sampler:
         self.inverse, self.q = (1 / r).astype(np.float32), (log_c - r + r * b).astype(np.float32)
         self.odd = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
-    def weighted(self, text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, counts: np.ndarray, df: np.ndarray) -> np.ndarray:
+        return counts * np.log1p(self.n_docs / (1.0 + df)).astype(np.float32)
+
+    def weighted(self, text: str, hashes: WordHashes, df: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """df: document frequencies of the shingles of the text, in their order; without it those the sampler was given."""
         found, counts = shingles(text, hashes)
-        return found, counts * self.idf[_slot(found)]
+        held = np.array([self.frequencies[x] for x in found.tolist()], np.int64) if df is None else np.frombuffer(df, np.int64)
+        return found, self.weights(counts, held)
 
     def bands(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One key for each band; none for an empty set."""
@@ -158,39 +185,41 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (float(a[1].sum()) + float(b[1].sum()) - shared), len(both) / (len(a[0]) + len(b[0]) - len(both))
 
 
-def signatures(docs: DataFrame, sampler: Sampler) -> DataFrame:
-    """doc_id, digest of the text, bands (empty array for texts without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(sampler)  # fixed size: sketch and tables
+def signatures(firsts: DataFrame, frequencies: DataFrame, sampler: Sampler) -> DataFrame:
+    """digest, rep, bands (empty array for texts without words), df (of its shingles) and text of each distinct text with an id."""
+    shared = firsts.sparkSession.sparkContext.broadcast(sampler)  # fixed size: tables of variates
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            bands = [shared.value.bands(*shared.value.weighted(t, hashes)) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "digest": batch.digest, "bands": bands})
+    def signed(batch: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("digest")
+        sets, _, at = _group_shingles(batch.text)
+        df = np.frombuffer(b"".join(replies.sort_values("part").df), np.int64)[at]
+        each = np.split(df, np.cumsum([len(f) for f, _ in sets])[:-1])
+        bands = [shared.value.bands(f, shared.value.weights(c, d)) for (f, c), d in zip(sets, each, strict=True)]
+        out = pd.DataFrame({"digest": batch.digest.to_numpy(), "rep": batch.rep.to_numpy(), "bands": bands, "df": [d.tobytes() for d in each], "text": batch.text.to_numpy()})
+        return out[batch.named.to_numpy()]
 
-    rows = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(whole_text(), 256)).alias("digest"), whole_text().alias("text")
-    )
-    return rows.mapInPandas(signed, "doc_id long, digest binary, bands array<long>")
+    firsts = firsts.withColumn("named", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", F.lit(0)))  # ids stay whole numbers in pandas
+    schema = "digest binary, rep long, bands array<long>, df binary, text string"
+    return firsts.groupBy("group").cogroup(frequencies.groupBy("group")).applyInPandas(signed, schema)
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
-    """leader, member, sim, plain for each pair. texts: doc_id, text. Every text of a pair travels once or twice."""
+    """leader, member, sim, plain for each pair. texts: doc_id, text, df. Every text of a pair travels once or twice."""
     shared = pairs.sparkSession.sparkContext.broadcast(sampler)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, known = WordHashes(), {}
         for batch in batches:
             sims = []
-            for leader, a, b in zip(batch.leader, batch.leader_text, batch.member_text, strict=True):
+            for leader, a, a_df, b, b_df in zip(batch.leader, batch.leader_text, batch.leader_df, batch.member_text, batch.member_df, strict=True):
                 if leader not in known:
                     if len(known) >= 256:
                         known.clear()
-                    known[leader] = shared.value.weighted(a, hashes)
-                sims.append(similarity(known[leader], shared.value.weighted(b, hashes)))
+                    known[leader] = shared.value.weighted(a, hashes, a_df)
+                sims.append(similarity(known[leader], shared.value.weighted(b, hashes, b_df)))
             yield pd.DataFrame({"leader": batch.leader, "member": batch.member, "sim": [s for s, _ in sims], "plain": [p for _, p in sims]})
 
-    of = lambda who: texts.select(F.col("doc_id").alias(who), F.col("text").alias(f"{who}_text"))
+    of = lambda who: texts.select(F.col("doc_id").alias(who), F.col("text").alias(f"{who}_text"), F.col("df").alias(f"{who}_df"))
     both = of("member").join(pairs.hint("shuffle_hash"), "member").join(of("leader").hint("shuffle_hash"), "leader")
     return both.mapInPandas(compared, PAIRS)
 
@@ -202,13 +231,14 @@ def own_mass(ids: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shared.value.weighted(t, hashes) for t in batch.text]
+            sets = [shared.value.weighted(t, hashes, df) for t, df in zip(batch.text, batch.df, strict=True)]
             if sets:
                 counts = [len(f) for f, _ in sets]
                 found, mass = np.concatenate([f for f, _ in sets]).view(np.int64), np.concatenate([w for _, w in sets])
                 yield pd.DataFrame({"doc_id": np.repeat(batch.doc_id.to_numpy(), counts), "shingle": found, "mass": mass})
 
-    rows = texts.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInPandas(weighed, "doc_id long, shingle long, mass double")
+    df = F.col("df") if "df" in texts.columns else F.lit(None).cast("binary").alias("df")
+    rows = texts.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text", df).mapInPandas(weighed, "doc_id long, shingle long, mass double")
     rows = written(rows, "near-shingles")
     whole = rows.groupBy("doc_id").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n"))
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("doc_id"), F.min("mass").alias("mass"))
@@ -289,23 +319,19 @@ def components(links: DataFrame, few: int | None = None) -> DataFrame:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id for every row; equal class_id means the same class of near-duplicates."""
-    sampler = Sampler(*document_frequencies(docs))
-    signed = written(signatures(docs, sampler), "near-signatures")
-    firsts = written(
-        signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-firsts"
-    )  # fmt: skip  equal texts have equal bands
+    distinct, n, groups = distinct_texts(docs)
+    sampler = Sampler(n)
+    firsts = written(signatures(distinct, exact_frequencies(distinct, groups), sampler), "near-firsts")
     buckets = firsts.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id")).distinct()
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = written(buckets.join(shared, "key"), "near-buckets")
     involved = met.select("doc_id").distinct()
-    texts = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        .join(involved.hint("shuffle_hash"), "doc_id"), "near-texts",
-    )
+    texts = written(firsts.select(F.col("rep").alias("doc_id"), "text", "df").join(involved.hint("shuffle_hash"), "doc_id"), "near-texts")
     links = bucket_links(met, lambda pairs: verified_pairs(pairs, texts, sampler), lambda ids: own_mass(ids, texts, sampler))
     classes = components(links).withColumnRenamed("doc_id", "rep")
     placed = firsts.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
-    found = signed.select("doc_id", "digest").join(placed, "digest").select("doc_id", "class_id")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(whole_text(), 256)).alias("digest"))
+    found = rows.join(placed, "digest").select("doc_id", "class_id")
     lost = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return found.unionByName(lost)
 

@@ -364,6 +364,16 @@ def test_near_classes(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in found.items() if i == c} and len(kept.columns) == 5
 
 
+def test_document_frequencies_are_exact(spark):
+    """More shingles than the slots of a small table: rare ones keep a frequency of their own."""
+    texts = [" ".join(words(3000, 500 + i)) for i in range(120)]
+    texts += [texts[0], None, "one two three four five six"] + ["one two three four five"] * 3
+    n, found = near_dedup.document_frequencies(documents(spark, texts))
+    hashes = near_dedup.WordHashes()
+    plain = Counter(x for t in texts for x in near_dedup.shingles(t or "", hashes)[0].tolist())
+    assert n == len(texts) and len(found) > 1 << 18 and found == plain
+
+
 def test_bucket_links_loses_none(spark):
     """Similarities on a line: buckets where the leader is like few, in all orders."""
     rng = random.Random(8)
