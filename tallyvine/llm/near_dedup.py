@@ -3,7 +3,7 @@
 A text is the weighted set of its five-word shingles, each weighing its count times its inverse document
 frequency. Frequencies cover all documents and are exact: groups of texts send their distinct shingles to the parts of
 the hash range, where they are added up, and get the sums back. Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
-construction); texts that agree in all rows of a band meet in a bucket.
+construction) over the weights, and as many over the plain set (each distinct shingle weighing one); texts that agree in all rows of a band meet in a bucket.
 
 Within a bucket the most central member leads; every other member is verified against it by weighted Jaccard
 similarity (a plain Jaccard similarity of the threshold also links, so that weights cannot part texts that differ in few, rare words).
@@ -32,7 +32,7 @@ from .common import DOCUMENT_COLUMNS, partitions, read_table, whole_text, writte
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 14, 4
 #: Characters of text that one task counts shingles of.
 CHARS_A_GROUP = 16_000_000
 #: Entries of the table of random variates; a shingle and a sample choose one by hashing.
@@ -157,20 +157,21 @@ class Sampler:
         return found, self.weights(counts, held)
 
     def bands(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One key for each band; none for an empty set."""
+        """One key for each band over the weights, then over the plain set; none for an empty set."""
         if not len(found):
             return np.empty(0, np.int64)
-        samples = []
+        samples, plain = [], []
         log_w = np.log(weights).astype(np.float32)
         step = max(1, CELLS // len(found))
         for k in range(0, len(self.odd), step):
             at = ((found * self.odd[k : k + step, None]) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
-            t = np.floor(log_w * self.inverse.take(at) + self.b.take(at))
-            best = (self.q.take(at) - self.r.take(at) * t).argmin(axis=1)
+            t, q = np.floor(log_w * self.inverse.take(at) + self.b.take(at)), self.q.take(at)
+            best = (q - self.r.take(at) * t).argmin(axis=1)
             levels = t[np.arange(len(best)), best].astype(np.int64).astype(np.uint64)
             samples.append(_mixed(found[best] + levels * ODD))
-        rows = np.concatenate(samples).reshape(BANDS, ROWS)
-        keys = np.arange(BANDS, dtype=np.uint64) * MIX
+            plain.append(_mixed(found[q.argmin(axis=1)]))  # at weight one every level is zero
+        rows = np.concatenate(samples + plain).reshape(2 * BANDS, ROWS)
+        keys = np.arange(2 * BANDS, dtype=np.uint64) * MIX
         for i in range(ROWS):
             keys = _mixed(keys + rows[:, i]) * ODD
         return keys.view(np.int64)

@@ -364,6 +364,16 @@ def test_near_classes(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in found.items() if i == c} and len(kept.columns) == 5
 
 
+def test_plain_similarity_has_candidates(spark):
+    """A line repeated 3 or 60 times parts the weights of two texts, but not their sets of shingles."""
+    texts = []
+    for i in range(20):
+        own, line = words(200, 900 + i), words(8, 950 + i)
+        texts += [" ".join(own + line * k) for k in (3, 60)]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, texts)).collect()}
+    assert all(found[i] == i - i % 2 for i in range(40))
+
+
 def test_document_frequencies_are_exact(spark):
     """More shingles than the slots of a small table: rare ones keep a frequency of their own."""
     texts = [" ".join(words(3000, 500 + i)) for i in range(120)]
