@@ -5,7 +5,8 @@ observed, tokens that repeat a mention or a telling part of it (the local part o
 digits of a number, with or without separators) are open. Neighbouring tokens share a chain potential;
 consecutive occurrences of the same form, however distant, share a skip potential (consecutive ones only, so a
 form that occurs n times has n - 1 edges). Loopy message passing then gives each open token the label that is consistent
-across the text. The potentials are trained piecewise: each factor by its own counts over a bounded sample of texts.
+across the text. The potentials are trained piecewise, over all documents: how often the forms of mentions (those of a bounded sample of
+texts) recur in texts with the mention, and, as what chance brings, in texts without it.
 
 Defined results: a null text is the empty string; rows with null or repeated ids each get the
 mentions of their text; an empty table gives an empty result; extra columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import read_table, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the potentials are trained on, by a hash of the id.
+#: Texts whose mentions give the forms that training counts, by a hash of the id.
 TRAIN_TEXTS = 10_000
 ROUNDS, SETTLED = 20, 1e-4
 #: A telling part has so many characters, or so many digits, at least.
@@ -90,12 +91,12 @@ def shape(token: str) -> str:
 
 
 class Potentials:
-    """Log potentials: node[kind, shape] of being a mention, chain and skip for two tokens that agree rather than not."""
+    """Log potentials: node[kind, shape of the form] of being a mention, chain and skip for two tokens that agree rather than not."""
 
     def __init__(self, counts: Counter | None = None):
         c = counts or Counter()
         odds = lambda yes, no: math.log((c[yes] + 1) / (c[no] + 1))
-        self.node = {k[1:]: odds(("in", *k[1:]), ("out", k[2])) for k in [k for k in c if k[0] == "in"]}
+        self.node = {k[1:]: odds(k, ("out", *k[1:])) for k in [k for k in c if k[0] == "in"]}
         self.prior = min(-1.0, odds("mention", "token"))
         self.chain = max(0.0, min(2.0, odds("chain agrees", "chain differs")))
         self.skip = max(0.5, min(4.0, odds("skip agrees", "skip differs")))
@@ -139,6 +140,7 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
     if all(k >= 0 for k, _, _ in nodes):
         return []
     kinds_of: dict[int, int] = {}
+    form_of = {i: form for form, members in by_form.items() for i in members}
     edges: dict[tuple[int, int], float] = {}
     for members in by_form.values():
         kind = next((nodes[i][0] for i in members if nodes[i][0] >= 0), -1)
@@ -150,7 +152,7 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
     for i, j in zip(range(len(nodes)), range(1, len(nodes)), strict=False):
         if nodes[j][1] - nodes[i][2] <= 1 and kinds_of.get(i) == kinds_of.get(j):
             edges[i, j] = edges.get((i, j), 0.0) + potentials.chain
-    field = [30.0 if k >= 0 else potentials.node.get((kinds_of.get(i, -1), shape(text[a:b])), potentials.prior) for i, (k, a, b) in enumerate(nodes)]
+    field = [30.0 if k >= 0 else potentials.node.get((kinds_of.get(i, -1), shape(form_of[i])), potentials.prior) for i, (k, _, _) in enumerate(nodes)]
     around: list[list[tuple[int, float]]] = [[] for _ in nodes]
     for (i, j), w in edges.items():
         around[i].append((j, w))
@@ -171,38 +173,94 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
     return [(kinds_of[i], a, b) for i, (k, a, b) in enumerate(nodes) if k < 0 and belief[i] > 0 and kinds_of.get(i, -1) >= 0]
 
 
-def _factor_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of each factor: shapes of tokens inside and outside mentions, and pairs that agree or not."""
-    c: Counter = Counter()
+def _sampled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for text in batch.text:
-            mentions = base_mentions(text)
-            if not mentions:
-                continue
-            for kind, a, b in mentions:
-                c["mention"] += 1
-                c["in", kind, shape(text[a:b])] += 1
-            c["token"] += sum(1 for _ in TOKEN.finditer(text))
-            nodes, by_form = _open_tokens(text, mentions)
-            for k, a, b in nodes:
-                c["out", shape(text[a:b])] += k < 0
-            for members in by_form.values():
-                for i, j in zip(members, members[1:], strict=False):
-                    if i != j:
-                        c["skip agrees" if nodes[i][0] == nodes[j][0] else "skip differs"] += 1
-            for x, y in zip(nodes, nodes[1:], strict=False):
-                if y[1] - x[2] <= 1:
-                    c["chain agrees" if x[0] == y[0] else "chain differs"] += 1
-    if c:
-        yield pd.DataFrame({"key": [repr(k) for k in c], "n": [int(n) for n in c.values()]})
+        found = {(f, k) for text in batch.text for k, a, b in base_mentions(text) for f in forms(k, text[a:b])}
+        if found:
+            yield pd.DataFrame(sorted(found), columns=["form", "kind"])
+
+
+def _factor_counts(text: str, kinds: dict[str, int]) -> Counter:
+    """Counts of one text for the given forms: texts with the form's mention ("with"), open tokens there ("open"), tokens in texts
+    without it ("chance"); pairs of two mentions, or by their open token."""
+    c: Counter = Counter()
+    mentions = base_mentions(text)
+    own = {f for k, a, b in mentions for f in forms(k, text[a:b])}
+    for form in own & kinds.keys():
+        c["with", kinds[form], shape(form)] += 1
+    for token in TOKEN.findall(text.lower()):
+        if token in kinds:
+            key = token
+        elif token.isalpha() or len(key := "".join(DIGITS.findall(token))) < LEAST_DIGITS or key not in kinds:
+            continue
+        if key not in own:
+            c["chance", kinds[key], shape(key)] += 1
+    if not mentions:
+        return c
+    nodes, by_form = _open_tokens(text, mentions)
+    form_of = {i: form for form, members in by_form.items() for i in members}
+
+    def paired(what: str, i: int, j: int) -> None:
+        ends = [form_of[x] for x in (i, j) if nodes[x][0] < 0]
+        if not ends:
+            c[what, "agrees" if nodes[i][0] == nodes[j][0] else "differs"] += 1
+        elif ends[-1] in kinds:
+            c[what, len(ends), kinds[ends[-1]], shape(ends[-1])] += 1
+
+    for form, members in by_form.items():
+        if form in kinds:
+            c["open", kinds[form], shape(form)] += sum(nodes[i][0] < 0 for i in members)
+            for i, j in zip(members, members[1:], strict=False):
+                if i != j:
+                    paired("skip", i, j)
+    for i, j in zip(range(len(nodes)), range(1, len(nodes)), strict=False):
+        if nodes[j][1] - nodes[i][2] <= 1:
+            paired("chain", i, j)
+    return c
+
+
+def expected_counts(c: Counter, n_docs: int, n_forms: Counter) -> Counter:
+    """Of the open tokens of each kind and shape, as many as chance brings to texts without the mention are none."""
+    out: Counter = Counter()
+    true: dict[tuple[int, str], float] = {}
+    for key, n in c.items():
+        if key[0] == "open" and n:
+            at = key[1:]
+            without = max(1, n_forms[at] * n_docs - c["with", *at])
+            chance = min(n, c["with", *at] * c["chance", *at] / without)
+            true[at] = 1 - chance / n
+            for name, x in ((("in", *at), n - chance), (("out", *at), chance), ("mention", n - chance), ("token", chance)):
+                out[name] += x
+    for key, n in c.items():
+        if key[0] in ("skip", "chain"):
+            p = {"agrees": 1.0, "differs": 0.0}.get(key[1])
+            if p is None:
+                p = true.get(key[2:], 0.0)
+                p = p if key[1] == 1 else p * p + (1 - p) ** 2
+            out[f"{key[0]} agrees"] += n * p
+            out[f"{key[0]} differs"] += n * (1 - p)
+    return out
 
 
 def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Potentials:
-    """Potentials from about bound texts; the counts are bounded by kinds and shapes."""
+    """Potentials from the forms of about bound texts, counted over all; the counts are bounded by kinds and shapes."""
     n = docs.count()
     sample = docs.where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, bound / max(n, 1))))
-    counted = sample.select(whole_text().alias("text")).mapInPandas(_factor_counts, "key string, n long")
-    return Potentials(Counter({literal_eval(r.key): r.n for r in counted.groupBy("key").agg(F.sum("n").alias("n")).collect()}))
+    found = sample.select(whole_text().alias("text")).mapInPandas(_sampled_forms, "form string, kind int").groupBy("form").agg(F.min("kind").alias("kind"))
+    kinds = {r.form: r.kind for r in found.collect()}  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(kinds)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        for batch in batches:
+            for text in batch.text:
+                c.update(_factor_counts(text, shared.value))
+        if c:
+            yield pd.DataFrame({"key": [repr(k) for k in c], "n": [int(x) for x in c.values()]})
+
+    counts = docs.select(whole_text().alias("text")).mapInPandas(counted, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    c = Counter({literal_eval(r.key): r.n for r in counts.collect()})
+    return Potentials(expected_counts(c, n, Counter((k, shape(f)) for f, k in kinds.items())))
 
 
 def find_mentions(docs: DataFrame, potentials: Potentials) -> DataFrame:

@@ -184,6 +184,20 @@ def test_repeated_parts_of_a_mention_get_its_label():
     assert pii.consistent_mentions(text, base, pii.Potentials(unsure)) == []
 
 
+def test_trained_field_labels_repeats_but_not_chance(spark):
+    """Spans through train(): a bare local part after one mention counts, one that other texts use as often doesn't."""
+    names = [f"{a}.{b}" for a in ("jane", "omar", "lucy", "ivan") for b in ("doe", "orr", "kim", "fox", "lee")]
+    texts = [f"Write to {x}@mail.org, please. {' '.join(words(30, i))} Then {x} will answer." for i, x in enumerate(names)]
+    plain = [" ".join(words(40, 200 + i)) for i in range(20)]
+    docs = documents(spark, texts + plain)
+    for r in pii.find_mentions(docs, pii.train(docs)).collect():
+        if r.doc_id < len(texts):
+            at = texts[r.doc_id].rindex(names[r.doc_id])
+            assert f"email:{at}:{at + len(names[r.doc_id])}" in r.spans.split(",")
+    common = documents(spark, [f"Ask front.desk@h{i}.org or the front.desk there" for i in range(10)] + ["the front.desk is open"] * 30)
+    assert all(r.spans.count("email:") == r.n_email for r in pii.find_mentions(common, pii.train(common)).collect())
+
+
 # ---- classifiers ----
 
 
