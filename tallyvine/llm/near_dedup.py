@@ -1,26 +1,30 @@
 """Near-duplicate classes by improved consistent weighted sampling (operator 6).
 
 A text is the weighted set of its five-word shingles, each weighing its count times its inverse document
-frequency. Frequencies cover all documents and are exact: groups of texts send their distinct shingles to the parts of
-the hash range, where they are added up, and get the sums back. Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
+frequency. Frequencies cover all documents: packs of texts send fingerprints of their distinct shingles to the parts of
+the range, where they are added up, and get the sums back. Fingerprints have so many bits, more for more text, that fewer than one
+shingle in 200 shares its own with another one, at any size. Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
 construction) over the weights, and as many over the plain set (each distinct shingle weighing one); texts that agree in all rows of a band meet in a bucket.
+The samples see a weight's logarithm in steps of 1/LEVELS, similarities are those of the weights themselves.
 
 Within a bucket the most central member leads; every other member is verified against it by weighted Jaccard
 similarity (a plain Jaccard similarity of the threshold also links, so that weights cannot part texts that differ in few, rare words).
 One minus either similarity is a metric, so a member that is not similar to the leader can only
 be similar to members at a comparable distance from it; and what of a text no other open text holds bounds its similarity to all of them.
 Pairs that neither rules out and whose ends are in different components go into a second round. Hence every pair of a bucket that reaches the threshold is verified or has both ends in one component, without emitting
-all pairs of similar groups. Links become classes by propagating the smallest id.
+all pairs of similar groups. Links become classes by propagating the smallest label.
+
+Texts stay in the packs, which are dealt out by pack once: frequencies, signatures and the texts to compare come to them or are read off them in place.
 
 Defined results: a null text is the empty string; equal texts are always in one class; texts of one
-to four words are one shingle; texts without words link only to equal ones; rows with a null
-id get a null class; rows that share an id share a class; an empty table gives an empty result; extra columns are ignored.
+to four words are one shingle; texts without words link only to equal ones; every row is a document of its own, also with
+a null or repeated id; a class has the smallest id in it, null if it has none; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,32 +32,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, partitions, read_table, whole_text, written
+from .common import DOCUMENT_COLUMNS, ROW_BITS, from_planes, packed_rows, partitions, read_table, to_planes, unpacked, written, written_in_buckets
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-#: Characters of text that one task counts shingles of.
-CHARS_A_GROUP = 16_000_000
-#: Entries of the table of random variates; a shingle and a sample choose one by hashing.
-TABLE_BITS = 16
+#: Bytes of text in a pack, and in a bucket of packs; bytes of text whose fingerprints one task adds up.
+PACK_BYTES, BUCKET_BYTES, PART_BYTES = 16_000_000, 32_000_000, 48_000_000
+#: Entries of the table of random variates; a shingle and a sample choose one by hashing. Steps of the logarithm of a weight.
+TABLE_BITS, LEVELS = 16, 16
 SEED = 11
-#: Matrix cells worked on at a time.
-CELLS = 1 << 18
-WORD = re.compile(r"\w+")
+#: Matrix cells, and bytes of text, worked on at a time.
+CELLS, PIECE = 1 << 16, 1 << 20
+#: What is no word in lower-case texts besides ASCII.
+OTHER = re.compile(r"[^\w\x00-\x7f]")
+WORDLIKE = np.array([i >= 128 or chr(i).isalnum() or i == 95 for i in range(256)])
 #: Rows of the small tables of the rounds that one task takes.
 ROWS_A_TASK = 100_000
 PAIRS = "leader long, member long, sim double, plain double"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return found
+BASE = 0x5851F42D4C957F2D
+SYMBOLS = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,80 +61,152 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and their counts."""
-    words = WORD.findall(text.lower())
-    single = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(WORDS, len(words))
-    if not width:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    n = len(words) - width + 1
-    joined = np.zeros(n, np.uint64)
-    for i in range(width):
-        joined = _mixed(joined + single[i : i + n]) * ODD
-    return np.unique(_mixed(joined), return_counts=True)
-
-
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """digest, rep (smallest id, null without any), copies, text and group of each distinct text; number of rows and of groups."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    firsts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "near-distinct")
-    n, chars = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    groups = max(partitions(docs.sparkSession), -(-chars // CHARS_A_GROUP))
-    return firsts.withColumn("group", F.pmod(F.xxhash64("digest"), F.lit(groups))), n, groups
-
-
-def _group_shingles(texts: pd.Series) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """Shingles and counts of each text, the distinct shingles of all, sorted, and the place in these of each one of each text."""
-    hashes = WordHashes()
-    sets = [shingles(t, hashes) for t in texts]
-    every, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(f for f, _ in sets)]), return_inverse=True)
-    return sets, every, at
-
-
-def exact_frequencies(firsts: DataFrame, groups: int) -> DataFrame:
-    """group, part, df: in how many documents each distinct shingle of a group occurs, in the order of the shingles."""
-
-    def asked(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("digest")
-        sets, every, at = _group_shingles(batch.text)
-        held = np.bincount(at, np.repeat(batch.copies.to_numpy(), [len(f) for f, _ in sets]), len(every)).astype(np.int64)
-        part = ((every >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)  # rises with the shingle
-        parts, starts = np.unique(part, return_index=True)
-        ends = [*starts[1:], len(every)]
-        return pd.DataFrame({
-            "group": batch.group.iloc[0], "part": parts,
-            "shingles": [every[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
-            "held": [held[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
-        })
-
-    def summed(batch: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(x, np.uint64) for x in batch.shingles]
-        every, at = np.unique(np.concatenate(found), return_inverse=True)
-        held = np.concatenate([np.frombuffer(x, np.int64) for x in batch.held])
-        df = np.bincount(at, held, len(every)).astype(np.int64)[at]
-        pieces = np.split(df, np.cumsum([len(x) for x in found])[:-1])
-        return pd.DataFrame({"group": batch.group, "part": batch.part, "df": [x.tobytes() for x in pieces]})
-
-    asked_for = firsts.select("group", "digest", "copies", "text").groupBy("group").applyInPandas(asked, "group long, part long, shingles binary, held binary")
-    return asked_for.groupBy("part").applyInPandas(summed, "group long, part long, df binary")
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+class Powers:
+    """Powers of the base of word hashes, and of its inverse, as far as needed."""
+
+    up = down = np.empty(0, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+        return cls.up[:n], cls.down
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # whole words of about PIECE bytes
+        stop = max(at + 1, int(np.searchsorted(stops, starts[at] + PIECE, side="right")))
+        low, high = int(starts[at]), int(stops[stop - 1])
+        up, down = Powers.of(max(high - low, PIECE))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(SYMBOLS[data[low:high]] * up[: high - low], out=sums[1:])
+        begin, end = starts[at:stop] - low, stops[at:stop] - low
+        out[at:stop] = (sums[end] - sums[begin]) * down[begin]
+        at = stop
+    return _mixed(out)
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, one text after another and sorted within it; their counts; where each text's begin (and the end)."""
+    encoded = [(low if (low := t.lower()).isascii() else OTHER.sub(" ", low)).encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1)
+    flags = np.zeros(len(data) + 1, np.int8)
+    flags[:-1] = WORDLIKE[data]
+    edges = np.flatnonzero(np.diff(flags, prepend=np.int8(0)))
+    starts, stops = edges[0::2], edges[1::2]
+    single = word_hashes(data, starts, stops)
+    last = np.searchsorted(starts, ends)  # of each text, where its words end
+    first = np.concatenate(([0], last[:-1])) if len(last) else last
+    width = np.minimum(last - first, WORDS)
+    number = np.where(width > 0, last - first - width + 1, 0)
+    begin = np.concatenate(([0], np.cumsum(number)))
+    every = np.zeros(max(0, len(single) - WORDS + 1), np.uint64)
+    for i in range(WORDS):
+        every = _mixed(every + single[i : i + len(every)]) * ODD
+    within = np.repeat(first - begin[:-1], number) + np.arange(begin[-1])
+    found = every[np.minimum(within, len(every) - 1)] if len(every) else np.zeros(begin[-1], np.uint64)
+    for k in np.flatnonzero((width > 0) & (width < WORDS)).tolist():  # a text of few words is one shingle
+        x = np.zeros(1, np.uint64)
+        for i in range(first[k], last[k]):
+            x = _mixed(x + single[i]) * ODD
+        found[begin[k]] = x[0]
+    found = _mixed(found)
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[begin[:-1][number > 0]] = True
+    at = np.flatnonzero(new)
+    return found[at], np.diff(at, append=len(found)), np.searchsorted(at, begin)
+
+
+def fingerprint_bits(text_bytes: int) -> int:
+    """Some 300 fingerprints for each shingle that so much text can hold."""
+    return min(64, max(32, int(text_bytes).bit_length() + 6))
+
+
+def fingerprints(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints and the place in them of each shingle."""
+    return np.unique(shingles >> np.uint64(64 - bits), return_inverse=True)
+
+
+def part_of(prints: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Rises with the fingerprint."""
+    return ((prints >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def exact_frequencies(packs: DataFrame, bits: int, parts: int) -> DataFrame:
+    """batch, part, n, df: in how many documents each fingerprint of a pack occurs, in the order of the fingerprints (planes of bytes)."""
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for batch, blob in zip(rows.batch, rows.blob, strict=True):
+                texts, _, copies = distinct_of(unpacked(blob).column("text").to_pylist())
+                found, _, begin = shingle_sets(texts)
+                prints, at = fingerprints(found, bits)
+                held = np.bincount(at, np.repeat(copies, np.diff(begin)), len(prints))
+                part, starts = np.unique(part_of(prints, bits, parts), return_index=True)
+                out = []
+                for p, a, b in zip(part.tolist(), starts.tolist(), [*starts[1:].tolist(), len(prints)][: len(part)], strict=True):
+                    steps = np.diff(prints[a:b], prepend=np.uint64(0))
+                    out.append((batch, p, b - a, int(prints[a]), to_planes(steps[1:]), to_planes(held[a:b])))
+                if out:
+                    yield pd.DataFrame(out, columns=["batch", "part", "n", "least", "steps", "held"])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows.n.tolist()
+        prints = np.concatenate([np.cumsum(np.append(np.uint64(x), from_planes(s, n - 1)), dtype=np.uint64) for n, x, s in zip(sizes, rows.least, rows.steps, strict=True)])
+        held = np.concatenate([from_planes(h, n) for n, h in zip(sizes, rows.held, strict=True)])
+        found, at = np.unique(prints, return_inverse=True)
+        df = np.bincount(at, held, len(found)).astype(np.uint64)[at]
+        return pd.DataFrame({"batch": rows.batch, "part": rows.part, "n": rows.n, "df": [to_planes(x) for x in np.split(df, np.cumsum(sizes)[:-1])]})
+
+    sent = packs.mapInPandas(asked, "batch long, part long, n long, least long, steps binary, held binary")
+    return sent.groupBy("part").applyInPandas(summed, "batch long, part long, n long, df binary")
+
+
+def distinct_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct texts (null is empty) in order of appearance; which of them each text is; copies of each."""
+    number: dict[str, int] = {}
+    of = np.fromiter((number.setdefault(t or "", len(number)) for t in texts), np.int64, len(texts))
+    return list(number), of, np.bincount(of, minlength=len(number))
+
+
+def answered(answers: pd.DataFrame) -> np.ndarray:
+    """The frequencies of a pack's fingerprints."""
+    answers = answers.sort_values("part")
+    return np.concatenate([np.empty(0, np.uint64), *(from_planes(x, n) for x, n in zip(answers.df, answers.n, strict=True))])
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[int, int]]:
     """Number of documents and the document frequency of every shingle, for tables that fit in memory."""
-    firsts, n, groups = distinct_texts(docs)
+    packs, n, bits, parts = text_packs(docs, ["doc_id", "text"])
+    replies = dict(iter(exact_frequencies(packs, bits, parts).toPandas().groupby("batch")))
     sums: dict[int, int] = {}
-    replies: dict[int, list] = {}
-    for r in exact_frequencies(firsts, groups).collect():
-        replies.setdefault(r.group, []).append((r.part, bytes(r.df)))
-    for group, batch in firsts.toPandas().groupby("group"):
-        _, every, _ = _group_shingles(batch.text)
-        df = np.frombuffer(b"".join(x for _, x in sorted(replies.get(group, []))), np.int64)
-        sums |= dict(zip(every.tolist(), df.tolist(), strict=True))
+    for r in packs.collect():
+        found, _, _ = shingle_sets(distinct_of(unpacked(r.blob).column("text").to_pylist())[0])
+        if len(found):
+            sums |= dict(zip(found.tolist(), answered(replies[r.batch])[fingerprints(found, bits)[1]].tolist(), strict=True))
     return n, sums
 
 
+def text_packs(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int, int, int]:
+    """The packs of all rows, number of rows, bits of a fingerprint and number of its parts."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    least = partitions(docs.sparkSession)
+    packs = written_in_buckets(packed_rows(docs, columns, PACK_BYTES), "near-packs", "batch", max(least, -(-size // BUCKET_BYTES)))
+    return packs, n, fingerprint_bits(size), max(least, -(-size // PART_BYTES))
+
+
 class Sampler:
     """Consistent weighted samples of weighted sets; equal for equal input in any process."""
 
@@ -145,63 +217,127 @@ class Sampler:
         r, log_c, b = rng.gamma(2.0, 1.0, size), np.log(rng.gamma(2.0, 1.0, size)), rng.random(size)
         self.r, self.b = r.astype(np.float32), b.astype(np.float32)
         self.inverse, self.q = (1 / r).astype(np.float32), (log_c - r + r * b).astype(np.float32)
-        self.odd = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+        self.odd = (rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+        self.level_rows: dict[int, int] = {}
+        self.table = np.empty((0, size), np.float32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"level_rows": {}, "table": self.table[:0]}
 
     def weights(self, counts: np.ndarray, df: np.ndarray) -> np.ndarray:
-        return counts * np.log1p(self.n_docs / (1.0 + df)).astype(np.float32)
-
-    def weighted(self, text: str, hashes: WordHashes, df: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """df: document frequencies of the shingles of the text, in their order; without it those the sampler was given."""
-        found, counts = shingles(text, hashes)
-        held = np.array([self.frequencies[x] for x in found.tolist()], np.int64) if df is None else np.frombuffer(df, np.int64)
-        return found, self.weights(counts, held)
-
-    def bands(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One key for each band over the weights, then over the plain set; none for an empty set."""
-        if not len(found):
-            return np.empty(0, np.int64)
-        samples, plain = [], []
-        log_w = np.log(weights).astype(np.float32)
-        step = max(1, CELLS // len(found))
+        return counts * np.log1p(self.n_docs / (1.0 + df))
+
+    def sets(self, texts: list[str], df: list[bytes] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Shingles and weights of each text. df: frequencies of the shingles of each text, as planes; without it those the sampler was given."""
+        found, counts, begin = shingle_sets(texts)
+        sizes = np.diff(begin).tolist()
+        if df is None:
+            held = np.array([self.frequencies[x] for x in found.tolist()], np.int64)
+        else:
+            held = np.concatenate([np.empty(0, np.uint64), *(from_planes(x, n) for x, n in zip(df, sizes, strict=True))])
+        w = self.weights(counts, held)
+        return [(found[a:b], w[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+    def _rows_of(self, levels: np.ndarray) -> np.ndarray:
+        """Of each level its row in the table of sample values of the entries; rows are made when first needed."""
+        low = min(0, int(levels.min(initial=0)))
+        values = np.union1d(np.flatnonzero(np.bincount(levels - low)) + low, [0])
+        new = [v for v in values.tolist() if v not in self.level_rows]
+        if new:
+            log_w = (np.array(new, np.float32) / LEVELS)[:, None]
+            self.table = np.concatenate((self.table, self.q - self.r * np.floor(log_w * self.inverse + self.b)))
+            self.level_rows |= {v: len(self.level_rows) + i for i, v in enumerate(new)}
+        rows = np.zeros(int(values[-1]) - low + 1, np.int64)
+        rows[values - low] = [self.level_rows[v] for v in values.tolist()]
+        return rows[levels - low]
+
+    def _winners(self, short: np.ndarray, base: np.ndarray, held: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For some of the samples at a time: the entries and places of the least value over the weights, and places of that over the plain set."""
+        flat, even = self.table.ravel(), self.table[self.level_rows[0]]
+        step = max(1, len(held[0]) // len(short))
         for k in range(0, len(self.odd), step):
-            at = ((found * self.odd[k : k + step, None]) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
-            t, q = np.floor(log_w * self.inverse.take(at) + self.b.take(at)), self.q.take(at)
-            best = (q - self.r.take(at) * t).argmin(axis=1)
-            levels = t[np.arange(len(best)), best].astype(np.int64).astype(np.uint64)
-            samples.append(_mixed(found[best] + levels * ODD))
-            plain.append(_mixed(found[q.argmin(axis=1)]))  # at weight one every level is zero
-        rows = np.concatenate(samples + plain).reshape(2 * BANDS, ROWS)
-        keys = np.arange(2 * BANDS, dtype=np.uint64) * MIX
+            odd = self.odd[k : k + step, None]
+            product, at, value = (x[: odd.size * len(short)].reshape(odd.size, -1) for x in held)
+            np.multiply(short, odd, out=product)
+            np.right_shift(product, np.uint32(32 - TABLE_BITS), out=product)
+            at[:] = product
+            plain = even.take(at, out=value, mode="clip").argmin(axis=1)
+            at += base
+            best = flat.take(at, out=value, mode="clip").argmin(axis=1)
+            yield product[np.arange(odd.size), best], best, plain
+
+    def bands(self, found: np.ndarray, weights: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of each text (see shingle_sets) one key for each band over the weights, then over the plain set, a row each; zeros for empty sets."""
+        levels = np.rint(np.log(weights) * LEVELS).astype(np.int64)
+        base, short = self._rows_of(levels) << TABLE_BITS, (found >> np.uint64(32)).astype(np.uint32)
+        sizes, n = np.diff(begin), len(self.odd)
+        cells = max(CELLS, int(sizes.max(initial=0)))
+        held = (np.empty(cells, np.uint32), np.empty(cells, np.int64), np.empty(cells, np.float32))
+        entry, best, plain = (np.zeros((len(sizes), n), np.int64) for _ in range(3))
+        for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            if a < b:
+                e, w, p = zip(*self._winners(short[a:b], base[a:b], held), strict=True)
+                entry[i], best[i], plain[i] = np.concatenate(e), np.concatenate(w) + a, np.concatenate(p) + a
+        some = sizes > 0
+        entry, best, plain = entry[some], best[some], plain[some]
+        t = np.floor((levels[best] / LEVELS).astype(np.float32) * self.inverse[entry] + self.b[entry])
+        rows = np.concatenate((_mixed(found[best] + t.astype(np.int64).astype(np.uint64) * ODD), _mixed(found[plain])), axis=1).reshape(-1, 2 * BANDS, ROWS)
+        keys = np.repeat(np.arange(2 * BANDS, dtype=np.uint64)[None] * MIX, len(rows), axis=0)
         for i in range(ROWS):
-            keys = _mixed(keys + rows[:, i]) * ODD
-        return keys.view(np.int64)
+            keys = _mixed(keys + rows[:, :, i]) * ODD
+        out = np.zeros((len(sizes), 2 * BANDS), np.int64)
+        out[some] = keys.view(np.int64)
+        return out
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Weighted and plain Jaccard similarity; 0 if either set is empty."""
     if not len(a[0]) or not len(b[0]):
         return 0.0, 0.0
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float(np.minimum(a[1][i], b[1][j]).sum())
-    return shared / (float(a[1].sum()) + float(b[1].sum()) - shared), len(both) / (len(a[0]) + len(b[0]) - len(both))
-
-
-def signatures(firsts: DataFrame, frequencies: DataFrame, sampler: Sampler) -> DataFrame:
-    """digest, rep, bands (empty array for texts without words), df (of its shingles) and text of each distinct text with an id."""
-    shared = firsts.sparkSession.sparkContext.broadcast(sampler)  # fixed size: tables of variates
-
-    def signed(batch: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("digest")
-        sets, _, at = _group_shingles(batch.text)
-        df = np.frombuffer(b"".join(replies.sort_values("part").df), np.int64)[at]
-        each = np.split(df, np.cumsum([len(f) for f, _ in sets])[:-1])
-        bands = [shared.value.bands(f, shared.value.weights(c, d)) for (f, c), d in zip(sets, each, strict=True)]
-        out = pd.DataFrame({"digest": batch.digest.to_numpy(), "rep": batch.rep.to_numpy(), "bands": bands, "df": [d.tobytes() for d in each], "text": batch.text.to_numpy()})
-        return out[batch.named.to_numpy()]
-
-    firsts = firsts.withColumn("named", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", F.lit(0)))  # ids stay whole numbers in pandas
-    schema = "digest binary, rep long, bands array<long>, df binary, text string"
-    return firsts.groupBy("group").cogroup(frequencies.groupBy("group")).applyInPandas(signed, schema)
+    place = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][place] == a[0])
+    shared = float(np.minimum(a[1][i], b[1][place[i]]).sum())
+    return shared / (float(a[1].sum()) + float(b[1].sum()) - shared), len(i) / (len(a[0]) + len(b[0]) - len(i))
+
+
+def signatures(packs: DataFrame, frequencies: DataFrame, sampler: Sampler, bits: int) -> DataFrame:
+    """node (number of the row), doc_id, digest, bands (empty for texts without words) and df (of its shingles) of each row; of equal texts in a pack one has the last two."""
+    shared = packs.sparkSession.sparkContext.broadcast(sampler)  # fixed size: tables of variates
+
+    def signed(_key, pack: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out, df = [], answered(answers)
+        for batch, blob in zip(pack.batch.tolist(), pack.blob, strict=True):
+            rows = unpacked(blob)
+            texts, of, _ = distinct_of(rows.column("text").to_pylist())
+            found, counts, begin = shingle_sets(texts)
+            held = df[fingerprints(found, bits)[1]]
+            keys = shared.value.bands(found, shared.value.weights(counts, held), begin)
+            digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+            told = np.zeros(len(texts), bool)
+            for row, (doc_id, k) in enumerate(zip(rows.column("doc_id").to_pylist(), of.tolist(), strict=True)):
+                bands = planes = None
+                if not told[k]:
+                    a, b = begin[k : k + 2]
+                    bands, planes, told[k] = keys[k] if a < b else keys[k, :0], to_planes(held[a:b]), True
+                out.append((batch << ROW_BITS | row, doc_id, digests[k], bands, planes))
+        out = pd.DataFrame(out, columns=["node", "doc_id", "digest", "bands", "df"])
+        return out.astype({"doc_id": "Int64"})
+
+    schema = "node long, doc_id long, digest binary, bands array<long>, df binary"
+    return packs.groupBy("batch").cogroup(frequencies.groupBy("batch")).applyInPandas(signed, schema)
+
+
+def texts_of(packs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id (the node), text, df of each of nodes (node, df), read off the packs."""
+
+    def read(_key, pack: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values("node")
+        rows = asked.node.to_numpy() & ((1 << ROW_BITS) - 1)
+        texts = [t for blob in pack.blob for t in unpacked(blob).column("text").take(rows).to_pylist()]
+        return pd.DataFrame({"doc_id": asked.node, "text": [t or "" for t in texts], "df": asked.df})
+
+    of_pack = nodes.select(F.shiftright("node", ROW_BITS).alias("batch"), "node", "df").groupBy("batch")
+    return packs.groupBy("batch").cogroup(of_pack).applyInPandas(read, "doc_id long, text string, df binary")
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
@@ -209,19 +345,16 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> Data
     shared = pairs.sparkSession.sparkContext.broadcast(sampler)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, known = WordHashes(), {}
         for batch in batches:
-            sims = []
-            for leader, a, a_df, b, b_df in zip(batch.leader, batch.leader_text, batch.leader_df, batch.member_text, batch.member_df, strict=True):
-                if leader not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    known[leader] = shared.value.weighted(a, hashes, a_df)
-                sims.append(similarity(known[leader], shared.value.weighted(b, hashes, b_df)))
+            leaders = batch.drop_duplicates("leader")
+            members = batch.drop_duplicates("member")
+            of_leader = dict(zip(leaders.leader, shared.value.sets(leaders.leader_text.tolist(), leaders.leader_df.tolist()), strict=True))
+            of_member = dict(zip(members.member, shared.value.sets(members.member_text.tolist(), members.member_df.tolist()), strict=True))
+            sims = [similarity(of_leader[a], of_member[b]) for a, b in zip(batch.leader, batch.member, strict=True)]
             yield pd.DataFrame({"leader": batch.leader, "member": batch.member, "sim": [s for s, _ in sims], "plain": [p for _, p in sims]})
 
     of = lambda who: texts.select(F.col("doc_id").alias(who), F.col("text").alias(f"{who}_text"), F.col("df").alias(f"{who}_df"))
-    both = of("member").join(pairs.hint("shuffle_hash"), "member").join(of("leader").hint("shuffle_hash"), "leader")
+    both = of("member").join(pairs, "member").join(of("leader"), "leader")
     return both.mapInPandas(compared, PAIRS)
 
 
@@ -230,16 +363,15 @@ def own_mass(ids: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
     shared = ids.sparkSession.sparkContext.broadcast(sampler)
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shared.value.weighted(t, hashes, df) for t, df in zip(batch.text, batch.df, strict=True)]
+            sets = shared.value.sets(batch.text.tolist(), None if batch.df.isna().all() else batch.df.tolist())
             if sets:
                 counts = [len(f) for f, _ in sets]
                 found, mass = np.concatenate([f for f, _ in sets]).view(np.int64), np.concatenate([w for _, w in sets])
                 yield pd.DataFrame({"doc_id": np.repeat(batch.doc_id.to_numpy(), counts), "shingle": found, "mass": mass})
 
     df = F.col("df") if "df" in texts.columns else F.lit(None).cast("binary").alias("df")
-    rows = texts.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text", df).mapInPandas(weighed, "doc_id long, shingle long, mass double")
+    rows = texts.join(ids, "doc_id").select("doc_id", "text", df).mapInPandas(weighed, "doc_id long, shingle long, mass double")
     rows = written(rows, "near-shingles")
     whole = rows.groupBy("doc_id").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n"))
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("doc_id"), F.min("mass").alias("mass"))
@@ -265,10 +397,11 @@ def bucket_links(
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("leader"), F.greatest(x, y).alias("member")]
 
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # tables joined on a key that a third of all rows may hold are written first, so that a large key is split between tasks
+    sizes = kept(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     central = buckets.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
     first = F.max(F.struct("weight", (-F.col("doc_id")).alias("o")))
-    led = buckets.join(central, "doc_id").groupBy("key").agg(first.alias("x")).select("key", (-F.col("x.o")).alias("lead"))
+    led = kept(buckets.join(central, "doc_id").groupBy("key").agg(first.alias("x")).select("key", (-F.col("x.o")).alias("lead")), "near-led")
     # from here on the members of all buckets of one leader stand together: more pairs, each of them once
     asked = kept(buckets.join(led, "key").where("doc_id <> lead").select("lead", F.col("doc_id").alias("other"), *pair("doc_id", "lead")).distinct(), "near-asked")
     known = written(verify(asked.select("leader", "member").distinct()), "near-sims")
@@ -318,31 +451,49 @@ def components(links: DataFrame, few: int | None = None) -> DataFrame:
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("class_id"))
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id for every row; equal class_id means the same class of near-duplicates."""
-    distinct, n, groups = distinct_texts(docs)
+def _classes(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The packs with the given columns; node, doc_id, class_id, keeper (node of the row that stays for the class) of every row."""
+    packs, n, bits, parts = text_packs(docs, columns)
     sampler = Sampler(n)
-    firsts = written(signatures(distinct, exact_frequencies(distinct, groups), sampler), "near-firsts")
-    buckets = firsts.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id")).distinct()
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    signed = written(signatures(packs, written(exact_frequencies(packs, bits, parts), "near-frequencies"), sampler, bits), "near-signed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    firsts = written(
+        signed.groupBy("digest").agg(least.alias("x"), F.max("bands").alias("bands")).select("digest", "x.doc_id", "x.node", "bands"), "near-firsts"
+    )  # fmt: skip  equal texts have equal bands
+    buckets = firsts.select(F.explode("bands").alias("key"), F.col("node").alias("doc_id")).distinct()
+    shared = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-keys")
     met = written(buckets.join(shared, "key"), "near-buckets")
-    involved = met.select("doc_id").distinct()
-    texts = written(firsts.select(F.col("rep").alias("doc_id"), "text", "df").join(involved.hint("shuffle_hash"), "doc_id"), "near-texts")
+    involved = firsts.select("digest", F.col("node").alias("first")).join(met.select(F.col("doc_id").alias("first")).distinct(), "first").select("digest")
+    wanted = signed.where("df IS NOT NULL").join(involved, "digest").groupBy("digest").agg(F.min(F.struct("node", "df")).alias("x"))
+    placed = written(texts_of(packs, wanted.select("x.node", "x.df")), "near-texts-read")
+    named = wanted.select("digest", F.col("x.node").alias("doc_id")).join(firsts.select("digest", "node"), "digest")
+    texts = written(placed.join(named, "doc_id").select(F.col("node").alias("doc_id"), "text", "df"), "near-texts")
     links = bucket_links(met, lambda pairs: verified_pairs(pairs, texts, sampler), lambda ids: own_mass(ids, texts, sampler))
-    classes = components(links).withColumnRenamed("doc_id", "rep")
-    placed = firsts.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(whole_text(), 256)).alias("digest"))
-    found = rows.join(placed, "digest").select("doc_id", "class_id")
-    lost = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return found.unionByName(lost)
+    parts_of = components(links).withColumnRenamed("doc_id", "node")
+    linked = firsts.select("digest", "doc_id", "node").join(parts_of, "node", "left").withColumn("part", F.coalesce("class_id", "node"))
+    linked = written(linked.select("digest", "doc_id", "node", "part"), "near-linked")
+    heads = linked.groupBy("part").agg(least.alias("x")).select("part", F.col("x.doc_id").alias("class_id"), F.col("x.node").alias("keeper"))
+    heads = written(linked.select("digest", "part").join(heads, "part").select("digest", "class_id", "keeper"), "near-heads")
+    return packs, signed.select("node", "doc_id", "digest").join(heads, "digest").select("node", "doc_id", "class_id", "keeper")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id for every row; equal class_id means the same class of near-duplicates."""
+    return _classes(docs, ["doc_id", "text"])[1].select("doc_id", "class_id")
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class, with the columns of documents; rows with a null id stay."""
-    classes = near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.select(*DOCUMENT_COLUMNS)
-    kept = rows.join(classes.hint("shuffle_hash"), "doc_id").select(*DOCUMENT_COLUMNS)
-    return kept.unionByName(rows.where("doc_id IS NULL"))
+    """One row of each class, that with the smallest id (rows without an id last), with the columns of documents."""
+    packs, classes = _classes(docs, DOCUMENT_COLUMNS)
+    kept = classes.where("node = keeper").select(F.shiftright("node", ROW_BITS).alias("batch"), "node")
+
+    def read(_key, pack: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows = np.sort(asked.node.to_numpy()) & ((1 << ROW_BITS) - 1)
+        found = [unpacked(blob).take(rows).to_pandas(types_mapper=pd.ArrowDtype) for blob in pack.blob]
+        return pd.concat(found) if found else pd.DataFrame(columns=DOCUMENT_COLUMNS)
+
+    schema = docs.select(*DOCUMENT_COLUMNS).schema
+    return packs.groupBy("batch").cogroup(kept.groupBy("batch")).applyInPandas(read, schema)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
