@@ -29,6 +29,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -330,14 +332,14 @@ def signatures(packs: DataFrame, frequencies: DataFrame, sampler: Sampler, bits:
 def texts_of(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id (the node), text, df of each of nodes (node, df), read off the packs."""
 
-    def read(_key, pack: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        asked = asked.sort_values("node")
-        rows = asked.node.to_numpy() & ((1 << ROW_BITS) - 1)
-        texts = [t for blob in pack.blob for t in unpacked(blob).column("text").take(rows).to_pylist()]
-        return pd.DataFrame({"doc_id": asked.node, "text": [t or "" for t in texts], "df": asked.df})
+    def read(packs: pa.Table, asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("node")
+        rows = asked.column("node").to_numpy().astype(np.int64) & ((1 << ROW_BITS) - 1)
+        text = pa.concat_tables(unpacked(blob.as_buffer()).select(["text"]).take(rows) for blob in packs.column("blob")).column("text")
+        return pa.table({"doc_id": asked.column("node"), "text": pc.fill_null(text, ""), "df": asked.column("df")})
 
     of_pack = nodes.select(F.shiftright("node", ROW_BITS).alias("batch"), "node", "df").groupBy("batch")
-    return packs.groupBy("batch").cogroup(of_pack).applyInPandas(read, "doc_id long, text string, df binary")
+    return packs.groupBy("batch").cogroup(of_pack).applyInArrow(read, "doc_id long, text string, df binary")
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
@@ -487,13 +489,12 @@ def keep_firsts(docs: DataFrame) -> DataFrame:
     packs, classes = _classes(docs, DOCUMENT_COLUMNS)
     kept = classes.where("node = keeper").select(F.shiftright("node", ROW_BITS).alias("batch"), "node")
 
-    def read(_key, pack: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows = np.sort(asked.node.to_numpy()) & ((1 << ROW_BITS) - 1)
-        found = [unpacked(blob).take(rows).to_pandas(types_mapper=pd.ArrowDtype) for blob in pack.blob]
-        return pd.concat(found) if found else pd.DataFrame(columns=DOCUMENT_COLUMNS)
+    def read(packs: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = np.sort(asked.column("node").to_numpy().astype(np.int64)) & ((1 << ROW_BITS) - 1)
+        return pa.concat_tables(unpacked(blob.as_buffer()).take(rows) for blob in packs.column("blob"))
 
     schema = docs.select(*DOCUMENT_COLUMNS).schema
-    return packs.groupBy("batch").cogroup(kept.groupBy("batch")).applyInPandas(read, schema)
+    return packs.groupBy("batch").cogroup(kept.groupBy("batch")).applyInArrow(read, schema)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
