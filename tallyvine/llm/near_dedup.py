@@ -3,7 +3,7 @@
 A text is the weighted set of its five-word shingles, each weighing its count times its inverse document
 frequency. Frequencies cover all documents: packs of texts send fingerprints of their distinct shingles to the parts of
 the range, where they are added up, and get the sums back. Fingerprints have so many bits, more for more text, that fewer than one
-shingle in 200 shares its own with another one, at any size. Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
+shingle in 10,000 shares its own with another one, at any size. Each text gets ROWS x BANDS consistent weighted samples (Ioffe's
 construction) over the weights, and as many over the plain set (each distinct shingle weighing one); texts that agree in all rows of a band meet in a bucket.
 The samples see a weight's logarithm in steps of 1/LEVELS, similarities are those of the weights themselves.
 
@@ -40,7 +40,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 #: Bytes of text in a pack, and in a bucket of packs; bytes of text whose fingerprints one task adds up.
-PACK_BYTES, BUCKET_BYTES, PART_BYTES = 16_000_000, 32_000_000, 48_000_000
+PACK_BYTES, BUCKET_BYTES, PART_BYTES = 8_000_000, 32_000_000, 24_000_000
 #: Entries of the table of random variates; a shingle and a sample choose one by hashing. Steps of the logarithm of a weight.
 TABLE_BITS, LEVELS = 16, 16
 SEED = 11
@@ -132,8 +132,8 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprint_bits(text_bytes: int) -> int:
-    """Some 300 fingerprints for each shingle that so much text can hold."""
-    return min(64, max(32, int(text_bytes).bit_length() + 6))
+    """Some 20,000 fingerprints for each shingle that so much text can hold."""
+    return min(64, max(36, int(text_bytes).bit_length() + 12))
 
 
 def fingerprints(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,18 +5,21 @@ A byte is removed if a WIDTH-byte string that covers it also starts in a documen
 Strings of WIDTH bytes are dealt out by content: the smallest hash among the SEED-byte strings in one is its
 minimizer, and a run of neighbouring strings with one minimizer travels as a single segment. In steps:
 
-1. Documents are packed in order into batches of about BATCH_BYTES, compressed, in a scratch table.
-2. Each batch sends the minimizers it holds; the task that owns a minimizer answers whether several documents hold it.
-   One held by too many distinct segments is demoted: its strings take their next smallest hash instead, which spreads
-   the edges of a passage that very many documents share.
-3. Each batch sends its distinct segments with shared minimizers. The owning task forms shards of them, one Burrows-Wheeler transform
+1. Documents are packed (PACK_BYTES of text), in a scratch table that is dealt out by pack once; a pack is worked on in parts of
+   PART_BYTES, longer documents in overlapping pieces.
+2. Each pack sends the minimizers it holds; the task that owns a minimizer answers which ones several documents hold, and which are
+   crowded: held by too many distinct segments, as at the edges of a passage that very many documents share. The strings of a
+   crowded minimizer travel one by one instead, each dealt by its whole content, which spreads them evenly. What way a string takes
+   follows from the string and that answer alone, so equal strings always meet.
+3. Each pack sends its distinct segments with shared minimizers. The owning task forms shards of them, one Burrows-Wheeler transform
    each, and merges the transforms by iterative interleave refinement (Holt and McMillan), STEP symbols a round: the
    interleave is only ever stably re-dealt by the symbols before each row, suffixes of different shards are never
    compared. (Segments that cannot share a string with another one, by the bytes beside their minimizer, are left out.) The round in which two neighbours part bounds their common prefix; rows that stay together for WIDTH
-   symbols are a repeated interval, and its smallest document id goes back to the batches that lack it.
-4. Each batch marks the covered bytes and reports on its documents.
+   symbols are a repeated interval, and its smallest document id goes back to the packs that lack it.
+4. Each pack marks the covered bytes and reports on its documents.
 
-Equal segments meet within a batch, so groups of copies shrink before any shuffle. The result is exact; it doesn't depend on batches, shards or buckets.
+Equal segments meet within a part, so groups of copies shrink before any shuffle. Strings count as equal if two 64-bit keys of
+their bytes agree; otherwise the result is exact, whatever the packs, parts, shards, buckets and the bound for crowded minimizers.
 
 Defined results: a null text is the empty string; a null id counts as larger than all others; rows that share an id do not
 remove from one another; texts of fewer than WIDTH bytes keep all; an empty table gives an empty result; extra columns are ignored.
@@ -29,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, whole_text, written
+from .common import packed_rows, partitions, read_table, unpacked, written, written_in_buckets
 
 WIDTH, SEED = 50, 16
-BATCH_BYTES = 2 << 20
+#: Bytes of text in a pack, in a bucket of packs, and worked on at a time.
+PACK_BYTES, BUCKET_BYTES, PART_BYTES = 16_000_000, 32_000_000, 2_000_000
 #: Bytes of text for each bucket of minimizers, and of segments.
 MINIMIZER_BUCKET, SEGMENT_BUCKET = 16 << 20, 4 << 20
-#: Distinct segments of one minimizer above which it is demoted.
+#: Distinct segments of one minimizer above which its strings travel one by one.
 CROWDED = 50_000
 SHARDS = 8
 #: Symbols by which a round refines the interleave; WIDTH is a multiple.
@@ -85,50 +90,92 @@ def seed_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(words[:-8] * ODD + words[8:] * MIX) & LOW
 
 
+class Pack:
+    """The documents of a pack: ids (null as NO_ID), bytes, and their order by id."""
+
+    def __init__(self, blob: bytes):
+        rows = unpacked(blob)
+        self.doc_ids = rows.column("doc_id").to_pylist()
+        self.ids = np.array([NO_ID if i is None else i for i in self.doc_ids], np.int64)
+        text = pa.concat_arrays(pc.fill_null(rows.column("text"), "").cast(pa.large_binary()).chunks or [pa.array([], pa.large_binary())])
+        offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+        self.data = np.frombuffer(text.buffers()[2], np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+        self.begin, self.end = offsets[:-1], offsets[1:]
+        self.order = np.argsort(self.ids, kind="stable")
+
+    def parts(self, part_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Documents by id, a part at a time: row and first byte of each piece, and its length. Every string of WIDTH bytes starts in one piece."""
+        held, size = [], 0
+        for row in self.order.tolist():
+            a, b = int(self.begin[row]), int(self.end[row])
+            for start in range(a, max(a + 1, b - WIDTH + 1), part_bytes):
+                length = min(b - start, part_bytes + WIDTH - 1)
+                if held and size + length > part_bytes:
+                    yield tuple(np.array(x, np.int64) for x in zip(*held, strict=True))
+                    held, size = [], 0
+                held.append((row, start, length))
+                size += length
+        if held:
+            yield tuple(np.array(x, np.int64) for x in zip(*held, strict=True))
+
+
 class Segments:
-    """Runs of WIDTH-byte strings with one minimizer in packed documents, in text order.
+    """Runs of WIDTH-byte strings with one minimizer in the pieces of a part, in order of id.
 
-    start, count (strings in the run), minimizer, doc (index of the document); and each run's class of equal runs:
-    of (class), first (of each class the first run, which has its smallest id as documents are in order of id).
+    start, count (strings in the run), minimizer, row (of the document in its pack). With a table of the shared minimizers and which
+    of them are crowded, only runs of these are held, those of a crowded one split into their strings, with the hash of the string in place of the
+    minimizer; and each run's class of equal runs: of (class), first (of each class the first run, which has its smallest id).
     """
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, demoted: np.ndarray | None = None):
-        doc_ends = np.cumsum(lengths)
-        self.data, self.doc_starts, self.doc_ends = data, doc_ends - lengths, doc_ends
+    def __init__(self, pack: Pack, part: tuple[np.ndarray, np.ndarray, np.ndarray], shared: np.ndarray | None = None, crowded: np.ndarray | None = None):
+        rows, first_byte, lengths = part
+        self.data = data = np.concatenate([pack.data[a : a + n] for a, n in zip(first_byte.tolist(), lengths.tolist(), strict=True)])
+        self.ends = ends = np.cumsum(lengths)
         n = len(data) - WIDTH + 1
+        self.start = self.count = self.row = self.of = self.first = np.empty(0, np.int64)
+        self.minimizer = np.empty(0, np.uint64)
         if n <= 0:
-            self.start = self.count = self.doc = self.of = self.first = np.empty(0, np.int64)
-            self.minimizer = np.empty(0, np.uint64)
             return
         least = seed_hashes(data)
-        if demoted is not None and len(demoted):
-            least = np.where(np.isin(least, demoted), least | ~LOW, least)
         reach, need = 1, WIDTH - SEED + 1
         while reach < need:
             step = min(reach, need - reach)
             least = np.minimum(least[:-step], least[step:])
             reach += step
-        valid = np.zeros(n + 1, bool)
-        for a, b in zip(self.doc_starts.tolist(), (self.doc_ends - WIDTH + 1).tolist(), strict=True):
-            if b > a:
-                valid[a:b] = True
-        changed = np.empty(n, bool)
-        changed[0] = True
-        changed[1:] = (least[1:] != least[:-1]) | ~valid[: n - 1]
-        begins = np.flatnonzero(changed & valid[:n])
-        stops = np.flatnonzero((valid[:n] & ~valid[1:]) | np.append(changed[1:], False) & valid[:n]) + 1
-        self.start, self.count = begins, stops - begins
-        self.minimizer = least[begins]
-        self.doc = np.searchsorted(self.doc_ends, begins, side="right")
-        a, b = content_keys(data, self.start, self.count + WIDTH - 1)
-        order = np.lexsort((b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        # classes in the order of their first runs
-        self.first = np.sort(order[new])
-        by_run = np.empty(len(order), np.int64)
-        by_run[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        self.of = np.searchsorted(self.first, order[by_run])
+        fits = lengths >= WIDTH
+        marks = np.zeros(n + 1, np.int8)
+        np.add.at(marks, (ends - lengths)[fits], 1)
+        np.add.at(marks, (ends - WIDTH + 1)[fits], -1)
+        valid = np.cumsum(marks, dtype=np.int8).astype(bool)  # a string of one piece starts here
+        if crowded is not None and len(crowded):
+            alone = np.isin(least, crowded) & valid[:n]
+            a, _ = content_keys(data, at := np.flatnonzero(alone), np.full(len(at), WIDTH))
+            least[at] = a | ~LOW
+        else:
+            alone = np.zeros(n, bool)
+        changed = np.ones(n, bool)
+        changed[1:] = (least[1:] != least[:-1]) | ~valid[: n - 1] | alone[1:] | alone[:-1]
+        # the first string of each piece begins a run, whatever stands before it
+        piece = np.zeros(n, bool)
+        piece[(ends - lengths)[fits]] = True
+        begins = np.flatnonzero((changed | piece) & valid[:n])
+        stops = np.flatnonzero((valid[:n] & ~valid[1:]) | np.append(changed[1:] | piece[1:], False) & valid[:n]) + 1
+        minimizer = least[begins]
+        if shared is not None:
+            kept = np.isin(minimizer, shared) | (minimizer > LOW)
+            begins, stops, minimizer = begins[kept], stops[kept], minimizer[kept]
+        self.start, self.count, self.minimizer = begins, stops - begins, minimizer
+        self.row = rows[np.searchsorted(ends, begins, side="right")]
+        if shared is not None and len(begins):
+            a, b = content_keys(data, self.start, self.count + WIDTH - 1)
+            order = np.lexsort((b, a))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            # classes in the order of their first runs
+            self.first = np.sort(order[new])
+            by_run = np.empty(len(order), np.int64)
+            by_run[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            self.of = np.searchsorted(self.first, order[by_run])
 
 
 def content_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,30 +196,6 @@ def content_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tup
     return keys[0], keys[1]
 
 
-def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents, by id within a batch, as (batch, blob of ids, lengths and bytes)."""
-    part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def flush() -> pd.DataFrame:
-        nonlocal k, held, size
-        held.sort(key=lambda x: x[0])
-        ids = np.array([i for i, _ in held], np.int64)
-        blob = pack(ids, np.array([len(t) for _, t in held], np.int64), np.frombuffer(b"".join(t for _, t in held), np.uint8))
-        out = pd.DataFrame({"batch": [(part << 32) | k], "blob": [blob]})
-        k, held, size = k + 1, [], 0
-        return out
-
-    for batch in rows:
-        for doc_id, text in zip(batch.doc_id.tolist(), batch.text, strict=True):
-            data = bytes(text)
-            if held and size + len(data) > BATCH_BYTES:
-                yield flush()
-            held.append((doc_id, data))
-            size += len(data)
-    if held:
-        yield flush()
-
-
 def bucket_of(minimizer: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(minimizer * ODD) % np.uint64(buckets)).astype(np.int64)
 
@@ -186,86 +209,75 @@ def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(buckets[part[0]]), part
 
 
-def _held_minimizers(segments: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct minimizers, whether several documents of the batch hold each, and its distinct segments."""
-    held, index = np.unique(segments.minimizer, return_inverse=True)
-    low, high = np.full(len(held), NO_ID), np.full(len(held), -1)
-    np.minimum.at(low, index, segments.doc)
-    np.maximum.at(high, index, segments.doc)
-    return held, low < high, np.bincount(index[segments.first], minlength=len(held))
+def send_minimizers(buckets: int, part_bytes: int):
+    """Of each pack, its minimizers: whether several documents hold each, and about how many distinct segments."""
 
-
-def send_minimizers(buckets: int):
     def send(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row in rows:
-            for batch, blob in zip(row.batch, row.blob, strict=True):
-                _, lengths, data = unpack(blob)
-                held, several, distinct = _held_minimizers(Segments(data, lengths))
-                out = [(b, batch, pack(held[at], several[at], np.minimum(distinct[at], 65535).astype(np.uint16))) for b, at in _by_bucket(bucket_of(held, buckets))]
+        for table in rows:
+            for batch, blob in zip(table.batch, table.blob, strict=True):
+                pack_, found = Pack(blob), []
+                for part in pack_.parts(part_bytes):
+                    s = Segments(pack_, part)
+                    sketch = _mixed(s.minimizer + (s.data[s.start].astype(np.uint64) << np.uint64(8)) + s.data[s.start + s.count + WIDTH - 2] + (s.count.astype(np.uint64) << np.uint64(16)))
+                    _, once = np.unique(sketch, return_index=True)
+                    held, at = np.unique(s.minimizer, return_inverse=True)
+                    low, high = np.full(len(held), NO_ID), np.full(len(held), -1)
+                    np.minimum.at(low, at, s.row)
+                    np.maximum.at(high, at, s.row)
+                    found.append((held, low, high, np.bincount(at[once], minlength=len(held))))
+                if not found:
+                    continue
+                every, low, high, distinct = (np.concatenate(x) for x in zip(*found, strict=True))
+                held, at = np.unique(every, return_inverse=True)
+                least, most = np.full(len(held), NO_ID), np.full(len(held), -1)
+                np.minimum.at(least, at, low)
+                np.maximum.at(most, at, high)
+                several, distinct = least < most, np.minimum(np.bincount(at, distinct, len(held)), 65535).astype(np.uint16)
+                out = [(b, batch, pack(held[i], several[i], distinct[i])) for b, i in _by_bucket(bucket_of(held, buckets))]
                 if out:
                     yield pd.DataFrame(out, columns=["bucket", "batch", "payload"])
 
     return send
 
 
-def answer_minimizers(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each batch, of its minimizers in this bucket: 0 not shared, 1 shared, 2 crowded (a byte each)."""
+def answer_minimizers(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """For each pack, of its minimizers in this bucket the shared ones, and whether each is crowded: has more than most segments."""
     parts = [unpack(p) for p in rows.payload]
     held = np.concatenate([p[0] for p in parts])
     values, index, holders = np.unique(held, return_inverse=True, return_counts=True)
     several = np.bincount(index, np.concatenate([p[1] for p in parts]), len(values)) > 0
     distinct = np.bincount(index, np.concatenate([p[2] for p in parts]), len(values))
-    verdict = np.where((holders > 1) | several, np.where(distinct > CROWDED, 2, 1), 0).astype(np.uint8)[index]
-    cuts = np.split(verdict, np.cumsum([len(p[0]) for p in parts])[:-1])
-    return pd.DataFrame({"batch": rows.batch, "bucket": rows.bucket, "payload": [pack(c) for c in cuts]})
-
-
-def _routed(blob: bytes, answers: pd.DataFrame, minimizer_buckets: int) -> tuple[np.ndarray, np.ndarray, Segments, np.ndarray]:
-    """ids, lengths, the segments after demotion, and which of their classes are shared."""
-    ids, lengths, data = unpack(blob)
-    segments = Segments(data, lengths)
-    held, *_ = _held_minimizers(segments)
-    verdict = np.zeros(len(held), np.uint8)
-    said = {b: unpack(p)[0] for b, p in zip(answers.bucket, answers.payload, strict=True)}
-    for b, at in _by_bucket(bucket_of(held, minimizer_buckets)):
-        verdict[at] = said[b]
-    crowded = held[verdict == 2]
-    if len(crowded):
-        before, segments = held, Segments(data, lengths, crowded)
-        found = np.searchsorted(before, segments.minimizer)
-        known = before[np.minimum(found, len(before) - 1)] == segments.minimizer
-        # a string that lost its minimizer has one that nobody was asked about
-        unasked = ~known
-        shared_run = unasked | (verdict[np.minimum(found, len(before) - 1)] > 0)
-        again = np.isin(segments.minimizer, _next_minimizers(data, lengths, crowded))
-        shared_run |= again
-    else:
-        shared_run = verdict[np.searchsorted(held, segments.minimizer)] > 0
-    return ids, lengths, segments, shared_run[segments.first]
-
-
-def _next_minimizers(data: np.ndarray, lengths: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """Minimizers that strings of this batch got because theirs was crowded."""
-    old, new = Segments(data, lengths), Segments(data, lengths, crowded)
-    lost = np.isin(old.minimizer, crowded)
-    marks = np.zeros(len(data) + 1, np.int64)
-    np.add.at(marks, old.start[lost], 1)
-    np.add.at(marks, (old.start + old.count)[lost], -1)
-    covered = np.concatenate(([0], np.cumsum(np.cumsum(marks) > 0)))
-    return np.unique(new.minimizer[covered[new.start + new.count] > covered[new.start]])
-
-
-def send_segments(minimizer_buckets: int, buckets: int):
+    shared, crowded = ((holders > 1) | several)[index], (distinct > most)[index]
+    ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+    out = [pack(h[s], c[s]) for h, s, c in zip(np.split(held, ends), np.split(shared, ends), np.split(crowded, ends), strict=True)]
+    return pd.DataFrame({"batch": rows.batch, "bucket": rows.bucket, "payload": out})
+
+
+def _shared(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shared minimizers of a pack and the crowded ones among them."""
+    told = [unpack(p) for p in answers.payload]
+    shared = np.concatenate([np.empty(0, np.uint64), *(t[0] for t in told)])
+    crowded = np.concatenate([np.empty(0, bool), *(t[1] for t in told)])
+    return shared[~crowded], shared[crowded]
+
+
+def send_segments(buckets: int, part_bytes: int):
     def send(_key, batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
+        shared, crowded = _shared(answers)
         for number, blob in zip(batch.batch, batch.blob, strict=True):
-            ids, _, segments, shared = _routed(blob, answers, minimizer_buckets)
-            classes = np.flatnonzero(shared)
-            runs = segments.first[classes]
-            for b, at in _by_bucket(bucket_of(segments.minimizer[runs], buckets)):
-                r = runs[at]
-                length = segments.count[r] + WIDTH - 1
-                out.append((b, number, pack(classes[at], segments.minimizer[r], ids[segments.doc[r]], length, segments.data[ranges(segments.start[r], length)])))
+            pack_, base, sent = Pack(blob), 0, []
+            for part in pack_.parts(part_bytes):
+                s = Segments(pack_, part, shared, crowded)
+                r = s.first
+                length = s.count[r] + WIDTH - 1
+                sent.append((np.arange(base, base + len(r)), s.minimizer[r], pack_.ids[s.row[r]], length, s.data[ranges(s.start[r], length)]))
+                base += len(r)
+            if base:
+                numbers, minimizer, ids, length, data = (np.concatenate(x) for x in zip(*sent, strict=True))
+                start = np.cumsum(length) - length
+                for b, i in _by_bucket(bucket_of(minimizer, buckets)):
+                    out.append((b, number, pack(numbers[i], minimizer[i], ids[i], length[i], data[ranges(start[i], length[i])])))
         return pd.DataFrame(out, columns=["bucket", "batch", "payload"])
 
     return send
@@ -325,7 +337,7 @@ def merge_transforms(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answer_segments(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each batch and class of segments: runs of strings of which a document with a smaller id than the batch's holds a copy."""
+    """For each pack and class of segments: runs of strings of which a document with a smaller id than the class's holds a copy."""
     parts = [unpack(p) for p in rows.payload]
     batch = np.repeat(rows.batch.to_numpy(), [len(p[0]) for p in parts])
     number, minimizer, doc, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -360,7 +372,7 @@ def answer_segments(rows: pd.DataFrame) -> pd.DataFrame:
     which, holder = which[order], holder[order]
     owners, cuts = np.unique(batch[holder], return_index=True)
     out = []
-    for owner, w, h in zip(owners, np.split(which, cuts[1:]), np.split(holder, cuts[1:]), strict=True):
+    for owner, w, h in zip(owners, np.split(which, cuts)[1:], np.split(holder, cuts)[1:], strict=True):
         out.append((int(owner), pack(number[h], low[w], high[w], smallest[w])))
     return pd.DataFrame(out, columns=["batch", "payload"])
 
@@ -423,58 +435,70 @@ def _interval_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray, leas
     return np.stack([names[owner[edges]], offset[edges], offset[ends] + 1, smallest[edges]])
 
 
-def mark_repeats(minimizer_buckets: int):
+def mark_repeats(part_bytes: int):
+    """The report on a pack's documents. found: rows of answer_segments for it."""
+
     def mark(_key, batch: pd.DataFrame, answers: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
+        shared, crowded = _shared(answers)
+        number, low, high, smallest = (np.concatenate(x) for x in zip(*[unpack(p) for p in found.payload], strict=True)) if len(found) else [np.empty(0, np.int64)] * 4
+        by_number = np.argsort(number, kind="stable")
+        number, low, high, smallest = number[by_number], low[by_number], high[by_number], smallest[by_number]
         for blob in batch.blob:
-            ids, lengths, segments, _ = _routed(blob, answers, minimizer_buckets)
-            marks = np.zeros(len(segments.data) + WIDTH, np.int64)
-            doc = ids[segments.doc]
-            local = doc > doc[segments.first][segments.of] if len(doc) else np.empty(0, bool)
-            np.add.at(marks, segments.start[local], 1)
-            np.add.at(marks, (segments.start + segments.count + WIDTH - 1)[local], -1)
-            by_class = np.argsort(segments.of, kind="stable")
-            of = segments.of[by_class]
-            for payload in found.payload:
-                number, low, high, smallest = unpack(payload)
-                begin, end = np.searchsorted(of, number, "left"), np.searchsorted(of, number, "right")
-                run, r = by_class[ranges(begin, end - begin)], np.repeat(np.arange(len(number)), end - begin)
+            pack_, base = Pack(blob), 0
+            gone = np.zeros(len(pack_.data), bool)
+            for part in pack_.parts(part_bytes):
+                s = Segments(pack_, part, shared, crowded)
+                marks = np.zeros(len(s.data) + 1, np.int64)
+                doc = pack_.ids[s.row]
+                local = doc > doc[s.first][s.of] if len(doc) else np.empty(0, bool)
+                np.add.at(marks, s.start[local], 1)
+                np.add.at(marks, (s.start + s.count + WIDTH - 1)[local], -1)
+                told = slice(*np.searchsorted(number, [base, base + len(s.first)]))
+                by_class = np.argsort(s.of, kind="stable")
+                of = s.of[by_class]
+                begin, end = np.searchsorted(of, number[told] - base, "left"), np.searchsorted(of, number[told] - base, "right")
+                run, r = by_class[ranges(begin, end - begin)], np.repeat(np.arange(told.start, told.stop), end - begin)
                 later = doc[run] > smallest[r]
                 run, r = run[later], r[later]
-                np.add.at(marks, segments.start[run] + low[r], 1)
-                np.add.at(marks, segments.start[run] + high[r] + WIDTH - 1, -1)
-            gone = np.cumsum(marks)[: len(segments.data)] > 0
-            for i, a, b in zip(ids.tolist(), segments.doc_starts.tolist(), segments.doc_ends.tolist(), strict=True):
-                mask, text = gone[a:b], segments.data[a:b]
+                np.add.at(marks, s.start[run] + low[r], 1)
+                np.add.at(marks, s.start[run] + high[r] + WIDTH - 1, -1)
+                covered, at = np.cumsum(marks)[: len(s.data)] > 0, 0
+                for start, length in zip(part[1].tolist(), part[2].tolist(), strict=True):  # pieces of a document overlap
+                    gone[start : start + length] |= covered[at : at + length]
+                    at += length
+                base += len(s.first)
+            for i, a, b in zip(pack_.doc_ids, pack_.begin.tolist(), pack_.end.tolist(), strict=True):
+                mask, text = gone[a:b], pack_.data[a:b]
                 removed = int(mask.sum())
                 spans = int((mask[1:] & ~mask[:-1]).sum()) + bool(removed and mask[0])
                 kept = text[~mask] if removed else text
                 out.append((i, b - a, removed, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-            del lengths
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
     return mark
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowded: int = CROWDED, pack_bytes: int = PACK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text().cast("binary").alias("text"))
-    batches = written(rows.mapInPandas(_batches, "batch long, blob binary"), "repeat-batches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    packs = written_in_buckets(packed_rows(rows, ["doc_id", "text"], pack_bytes), "repeat-packs", "batch", max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES)))
     few, many = max(1, -(-total // MINIMIZER_BUCKET)), max(1, -(-total // SEGMENT_BUCKET))
     payload = "bucket long, batch long, payload binary"
-    sent = batches.mapInPandas(send_minimizers(few), payload)
-    answers = written(sent.groupBy("bucket").applyInPandas(answer_minimizers, "batch long, bucket long, payload binary"), "repeat-minimizers")
-    segments = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(send_segments(few, many), payload)
+    sent = packs.mapInPandas(send_minimizers(few, part_bytes), payload)
+    answer = lambda rows: answer_minimizers(rows, crowded)
+    answers = written(sent.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, payload binary"), "repeat-minimizers")
+    segments = packs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(send_segments(many, part_bytes), payload)
     found = written(segments.groupBy("bucket").applyInPandas(answer_segments, "batch long, payload binary"), "repeat-intervals")
+    mark = mark_repeats(part_bytes)
 
     def joined(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return mark_repeats(few)(key, left, right[right.bucket >= 0], right[right.bucket < 0])
+        return mark(key, left, right[right.bucket >= 0], right[right.bucket < 0])
 
     both = answers.unionByName(found.withColumn("bucket", F.lit(-1).cast("long")))
     report = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    marked = batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(joined, report)
-    return marked.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return packs.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(joined, report)
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

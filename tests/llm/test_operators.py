@@ -299,41 +299,56 @@ def plain_repeats(rows):
 
 
 @pytest.mark.parametrize("case", ["corpus", "crowded", "runs"])
-def test_repeats(spark, monkeypatch, case):
+def test_repeats(spark, case):
     texts = corpus(n=40)
-    if case == "crowded":  # every minimizer with several segments is demoted (in this process; see the next test for tasks)
-        monkeypatch.setattr(repeats, "CROWDED", 1)
     if case == "runs":
-        texts = ["a" * 200, "ab" * 100, "b" + "a" * 100, "ü" * 70, "", None, "a" * 49, "ba" * 60 + "x" * 80, "x" * 79]
-    monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
+        texts = ["a" * 200, "ab" * 100, "b" + "a" * 100, "ü" * 70, "", None, "a" * 49, "ba" * 60 + "x" * 80, "x" * 79, "ü" * 3000, "y" * 5000]
     docs = documents(spark, texts)
-    assert sorted(map(tuple, repeats.remove_repeats(docs).collect())) == plain_repeats(list(enumerate(texts)))
+    found = repeats.remove_repeats(docs, 1 if case == "crowded" else repeats.CROWDED, 3000, 700)
+    assert sorted(map(tuple, found.collect())) == plain_repeats(list(enumerate(texts)))
 
 
-def test_repeats_with_demoted_minimizers():
-    """The steps in one process, with crowded minimizers."""
-    import numpy as np
+def repeats_in_one_process(texts, ids, crowded, packs, part_bytes, few=2, many=3):
+    """The steps of remove_repeats without Spark; packs of so many documents."""
     import pandas as pd
+    import pyarrow as pa
+
+    blobs = []
+    for k in range(0, len(texts), packs):
+        sink = pa.BufferOutputStream()
+        rows = pa.table({"doc_id": pa.array(ids[k : k + packs], pa.int64()), "text": pa.array(texts[k : k + packs], pa.string())})
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        blobs.append(sink.getvalue().to_pybytes())
+    table = pd.DataFrame({"batch": range(len(blobs)), "blob": blobs})
+    empty = pd.DataFrame({"bucket": [], "batch": [], "payload": []})
+    by = lambda frames, key, f: pd.concat([empty, *(f(g.reset_index(drop=True)) for _, g in pd.concat([empty, *frames]).groupby(key))])
+    answers = by(repeats.send_minimizers(few, part_bytes)(iter([table])), "bucket", lambda g: repeats.answer_minimizers(g, crowded))
+    mine = lambda t, b: t[t.batch == b].reset_index(drop=True)
+    sent = [repeats.send_segments(many, part_bytes)(None, mine(table, b), mine(answers, b)) for b in table.batch]
+    found = by(sent, "bucket", repeats.answer_segments)
+    out = pd.concat([repeats.mark_repeats(part_bytes)(None, mine(table, b), mine(answers, b), mine(found, b)) for b in table.batch])
+    return sorted((None if i is None or i != i else int(i), *x) for i, *x in out.astype(object).where(out.notna(), None).itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("crowded", [1, 2, 3, 5, 50_000])
+def test_repeats_on_random_tables(crowded):
+    """Documents of shared pieces in packs of 1 to 3: no byte more or less is removed, however many minimizers are crowded."""
+    rng = random.Random(crowded)
+    for _ in range(100):
+        pieces = ["".join(rng.choices("abcdefgh ü", k=rng.randint(20, 90))) for _ in range(rng.randint(2, 8))]
+        texts = ["".join(rng.choice(pieces) if rng.random() < 0.8 else "".join(rng.choices("xyzé", k=rng.randint(1, 40))) for _ in range(rng.randint(0, 5))) for _ in range(18)]
+        found = repeats_in_one_process(texts, list(range(18)), crowded, rng.randint(1, 3), rng.choice([60, 200, 2000]))
+        assert found == plain_repeats(list(enumerate(texts)))
 
-    texts = [t.encode() for t in corpus(n=40)]
-    few = many = 3
-    before, repeats.CROWDED = repeats.CROWDED, 2
-    try:
-        blobs = []
-        for k in range(0, 40, 8):
-            part = texts[k : k + 8]
-            blobs.append(repeats.pack(np.arange(k, k + 8), np.array([len(t) for t in part], np.int64), np.frombuffer(b"".join(part), np.uint8)))
-        table = pd.DataFrame({"batch": range(5), "blob": blobs})
-        sent = pd.concat(repeats.send_minimizers(few)(iter([table])))
-        answers = pd.concat([repeats.answer_minimizers(g.reset_index(drop=True)) for _, g in sent.groupby("bucket")])
-        assert any((repeats.unpack(p)[0] == 2).any() for p in answers.payload)
-        mine = lambda t, b: t[t.batch == b].reset_index(drop=True)
-        segments = pd.concat([repeats.send_segments(few, many)(None, mine(table, b), mine(answers, b)) for b in range(5)])
-        found = pd.concat([repeats.answer_segments(g.reset_index(drop=True)) for _, g in segments.groupby("bucket")])
-        out = pd.concat([repeats.mark_repeats(few)(None, mine(table, b), mine(answers, b), mine(found, b)) for b in range(5)])
-    finally:
-        repeats.CROWDED = before
-    assert sorted(out.itertuples(index=False, name=None)) == plain_repeats([(i, t.decode()) for i, t in enumerate(texts)])
+
+def test_repeats_of_short_shared_phrases():
+    """A phrase of 30 bytes in two documents: minimizers are shared, no string is."""
+    rng = random.Random(6)
+    phrase = "thirty bytes of shared phrase "
+    for _ in range(30):
+        texts = ["".join(rng.choices("abcdefgh", k=60)) + phrase + "".join(rng.choices("ijklmnop", k=60)) for _ in range(2)]
+        assert [r[2] for r in repeats_in_one_process(texts, [0, 1], 50_000, 1, 2000)] == [0, 0]
 
 
 def test_merged_transforms_are_in_order():
@@ -353,12 +368,13 @@ def test_merged_transforms_are_in_order():
 
 
 def test_repeats_awkward(spark):
-    found = repeats.remove_repeats(awkward(spark)).collect()
-    by_id = Counter(r.doc_id for r in found)
-    assert by_id == Counter({None: 2, 3: 2, 6: 2, 1: 1, 2: 1, 4: 1, 5: 1, 7: 1})
-    copy = next(r for r in found if r.doc_id == 5)
-    assert copy.n_removed == copy.n_bytes > 0 and copy.n_spans == 1
-    assert repeats.remove_repeats(awkward(spark).limit(0)).count() == 0
+    rows = awkward(spark)
+    plain = plain_repeats([(2**63 if r.doc_id is None else r.doc_id, r.text) for r in rows.collect()])
+    found = sorted((2**63 if r[0] is None else r[0], *r[1:]) for r in map(tuple, repeats.remove_repeats(rows).collect()))
+    assert found == plain
+    assert repeats.remove_repeats(rows.limit(0)).count() == 0
+    largest = 2**63 - 1
+    assert [r[0] for r in repeats_in_one_process(["abc" * 30, "abc" * 30], [largest, 5], 50_000, 1, 2000)] == [5, largest]
 
 
 # ---- near-duplicates ----
@@ -441,13 +457,13 @@ def test_packs_and_planes(spark, monkeypatch):
 
 
 def test_document_frequencies_are_exact(spark):
-    """Exact, but that fewer than one shingle in 200 shares its fingerprint and the frequency with another one."""
+    """Exact, but that fewer than one shingle in 10,000 shares its fingerprint and the frequency with another one."""
     texts = [" ".join(words(3000, 500 + i)) for i in range(120)]
     texts += [texts[0], None, "one two three four five six"] + ["one two three four five"] * 3
     n, found = near_dedup.document_frequencies(documents(spark, texts))
     plain = Counter(x for t in texts for x in near_dedup.shingle_sets([t or ""])[0].tolist())
     assert n == len(texts) and len(found) > 1 << 18 and found.keys() == plain.keys()
-    assert all(found[x] >= plain[x] for x in plain) and sum(found[x] > plain[x] for x in plain) < len(plain) / 200
+    assert all(found[x] >= plain[x] for x in plain) and sum(found[x] > plain[x] for x in plain) < len(plain) / 10_000
 
 
 def test_bucket_links_loses_none(spark):
