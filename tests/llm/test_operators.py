@@ -545,6 +545,72 @@ def test_decontamination(spark):
     assert decontaminate.keep_uncontaminated(awkward(spark), bench).count() == 11
 
 
+def edited(text, edits, rng):
+    """Exactly so many mixed edits, each at a random place."""
+    out = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        if kind == 0:
+            out[at] = rng.choice([c for c in "abcdefghijklmnop" if c != out[at]])
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, rng.choice("abcdefghijklmnop"))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("n_words", [6, 15, 40])
+@pytest.mark.parametrize("n_items", [1, 10, 60])
+def test_decontamination_recall_at_the_largest_distance(n_items, n_words):
+    """Planted items with all the allowed edits: 0.95 of them at least are found, from whatever benchmark; few tables."""
+    found = planted = 0
+    for seed in range(max(6, 24 // n_items)):
+        rng = random.Random(seed * 1000 + n_words)
+        items = [" ".join(words(n_words, seed * 7919 + 31 * k + n_words)) for k in range(n_items)]
+        index = decontaminate.ItemIndex(list(enumerate(items)))
+        assert all(len(c.tables or []) <= 200 for c in index.classes)
+        texts, expected = [], []
+        for k in rng.choices(range(n_items), k=20):
+            item = decontaminate.normalised(items[k])
+            changed = edited(item, decontaminate.allowed(len(item)), rng)
+            if decontaminate.edit_distance(item, decontaminate.normalised(changed))[0] <= decontaminate.allowed(len(item)):
+                texts.append(decontaminate.normalised(" ".join(words(60, rng.random())) + " " + changed + " " + " ".join(words(60, rng.random()))))
+                expected.append(k)
+        got = {(d, i) for d, i, *_ in index.search(texts)}
+        found += sum((d, k) in got for d, k in enumerate(expected))
+        planted += len(expected)
+    assert found >= 0.95 * planted, (found, planted)
+
+
+def test_decontamination_in_unspaced_text_and_of_odd_items():
+    rng = random.Random(2)
+    kanji = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(80))
+    spaced = " ".join(words(20, 77))
+    base64 = "".join(rng.choices("abcdefghijkABCDEFGHIJ0123456789+/", k=120))
+    long_item = " ".join(words(2500, 78))
+    assert len(long_item) > 2 * decontaminate.MAX_WINDOW
+    index = decontaminate.ItemIndex([(0, kanji), (1, spaced), (2, base64), (3, long_item), (4, "Ab c"), (5, ""), (6, "  "), (7, "Ab c")])
+    runs = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(900))
+    start = long_item[:5000]
+    texts = [
+        runs[:400] + kanji + runs[400:], "gluedtothewordbefore" + spaced + "andafter x y", base64[::-1] + base64 + base64[::-1],
+        "x " + edited(long_item, int(0.05 * len(long_item)), rng) + " y", runs, " ".join(words(500, 79)), "so ab c it is", "xab c", start, "",
+    ]
+    found = {(d, i) for d, i, *_ in index.search([decontaminate.normalised(t) for t in texts])}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 4), (6, 7)}
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Several blocks give what one gives."""
+    items = [" ".join(words(12, 900 + k)) for k in range(9)]
+    texts = [" ".join(words(30, 50 + i)) + " " + (items[i] if i < 9 else "") for i in range(12)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    found = decontaminate.contaminated(documents(spark, texts), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in found) == [(i, i, 0) for i in range(9)]
+    assert sorted(r.doc_id for r in decontaminate.keep_uncontaminated(documents(spark, texts), benchmark).collect()) == [9, 10, 11]
+
+
 def test_edit_distance_against_table():
     rng = random.Random(6)
     for _ in range(100):
