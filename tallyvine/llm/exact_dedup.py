@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, utf8_sha256, whole_text
+from .common import scratch_path, utf8_sha256, whole_text, written
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The many small stores of a stream would each reserve megabytes of disk ahead.
 RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
+#: Digests of 32 bytes that may be sent to all tasks.
+FEW_HITS = 250_000
+
 #: Runs of blanks that differ from one space; what they match becomes one space.
 UNEVEN_BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -47,24 +50,18 @@ def ingest(spark: SparkSession, path: str, ledger: str, max_bytes_per_trigger: s
 
     max_bytes_per_trigger bounds a micro-batch (for example "1t"); by default one batch takes all new files.
     """
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    session = spark.newSession()  # with settings of its own
+    session.conf.set(PROVIDER, ROCKSDB)
+    session.conf.set(RESERVE, "false")
+    reader = session.readStream.schema(spark.read.parquet(path).schema)
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    path = path.rstrip("/")
     itself = f"{path[:-1]}[{path[-1]}]"  # as a pattern the path may be a folder or a single file
     rows = reader.parquet(itself).select(F.unhex(utf8_sha256(normalised())).alias("digest"), _place().alias("place"))
     state = rows.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = {k: spark.conf.get(k, None) for k in (PROVIDER, RESERVE)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(RESERVE, "false")
-    try:
-        query = (
-            state.writeStream.outputMode("update").format("noop")
-            .option("checkpointLocation", ledger).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", ledger).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -80,9 +77,13 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     )
 
 
-def byte_conflicts(docs: DataFrame) -> DataFrame:
-    """Digests under which the full bytes of hit rows differ. Equal texts meet before the shuffle."""
+def byte_conflicts(docs: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Digests under which the full bytes of rows differ. Equal texts meet before the shuffle.
+
+    hits: the digests that more than one row has; only their texts are compared. Up to FEW_HITS of them are sent to the tasks, so that no other text moves."""
     texts = docs.select(F.unhex(utf8_sha256(normalised())).alias("digest"), normalised().alias("norm"))
+    if hits is not None:
+        texts = texts.join(F.broadcast(hits) if hits.count() <= FEW_HITS else hits, "digest", "left_semi")
     distinct = texts.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
     return distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("digest")
 
@@ -99,7 +100,7 @@ def deduplicate(spark: SparkSession, path: str, ledger: str | None = None) -> Da
     rows = docs.select(
         "doc_id", F.unhex(utf8_sha256(normalised())).alias("digest"), normalised().alias("norm"), _place().alias("place")
     )
-    conflicts = byte_conflicts(docs)
+    conflicts = byte_conflicts(docs, written(classes.where("group_size > 1").select("digest"), "dedup-hits"))
     clean = rows.drop("norm").join(classes, "digest", "left").select(
         "doc_id",
         "keep_id",

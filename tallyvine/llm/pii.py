@@ -1,12 +1,17 @@
 """Personal data by patterns and a skip-chain conditional random field (operator 5).
 
 Base mentions come from four patterns. Around them each text gets a field over its tokens: mentions are
-observed, tokens that repeat a mention or a telling part of it (the local part of an address, the
-digits of a number, with or without separators) are open. Neighbouring tokens share a chain potential;
-consecutive occurrences of the same form, however distant, share a skip potential (consecutive ones only, so a
+observed; open are tokens that repeat a mention or a telling part of it (the local part of an address, the
+digits of a number, with or without separators), and near misses of the patterns: a card number of the right length that fails its check, a telephone
+number that runs into what follows, an address with parts out of range, an e-mail address with "at" and "dot" spelled out.
+Consecutive tokens of the field share a chain potential;
+consecutive occurrences of the same or a similar form (one half of it and the length agree), however distant, share a skip potential (consecutive ones only, so a
 form that occurs n times has n - 1 edges). Loopy message passing then gives each open token the label that is consistent
-across the text. The potentials are trained piecewise, over all documents: how often the forms of mentions (those of a bounded sample of
-texts) recur in texts with the mention, and, as what chance brings, in texts without it.
+across the text.
+
+The potentials are trained piecewise, over all documents. Repeats: how often the forms of mentions (those of a bounded sample of
+texts) recur in texts with the mention, and, as what chance brings, in texts without it. Near misses: mentions keep company; what share of a kind of near miss are
+mentions follows from how often it stands in texts with mentions, between the rate of mentions themselves and that of any words.
 
 Defined results: a null text is the empty string; rows with null or repeated ids each get the
 mentions of their text; an empty table gives an empty result; extra columns are ignored.
@@ -19,6 +24,7 @@ import hashlib
 import math
 import re
 from ast import literal_eval
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +37,7 @@ from .common import read_table, whole_text
 KINDS = ("email", "ip", "card", "phone")
 #: Texts whose mentions give the forms that training counts, by a hash of the id.
 TRAIN_TEXTS = 10_000
-ROUNDS, SETTLED = 20, 1e-4
+ROUNDS, MOST_ROUNDS, SETTLED = 20, 200, 1e-4
 #: A telling part has so many characters, or so many digits, at least.
 LEAST_NAME, LEAST_DIGITS = 5, 7
 
@@ -42,6 +48,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[.@_+-][^\W_]+)*")
 DIGITS = re.compile(r"[0-9]+")
+PHONE_HEAD = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9])")
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]+)+", re.I)
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -74,6 +82,33 @@ def base_mentions(text: str) -> list[Span]:
     return found
 
 
+def near_misses(text: str, mentions: list[Span]) -> list[tuple[int, int, int, str]]:
+    """(kind, start, end, why) of what almost fits a pattern, stands free and overlaps no mention, in text order."""
+    taken = sorted((a, b) for _, a, b in mentions)
+    found = [(0, *m.span(), "spelled") for m in SPELLED.finditer(text)] if "at" in text.lower() and any(c in text for c in "[({") else []
+    if DIGITS.search(text):
+        found += [(1, *m.span(), "range") for m in IP.finditer(text) if all(len(p) <= 3 for p in m[0].split("."))]
+        for m in CARD.finditer(text):
+            n = sum(map(len, DIGITS.findall(m[0])))
+            if 13 <= n <= 19:
+                found.append((2, *m.span(), "short" if n < 16 else "check"))
+        if "+" in text:
+            for m in PHONE.finditer(text):
+                i = bisect_left(taken, (m.start(), 0))
+                head = PHONE_HEAD.match(text, m.start(), min(m.end(), taken[i][0]) if i < len(taken) else m.end())
+                if head and 8 <= sum(map(len, DIGITS.findall(head[0]))) <= 15:
+                    found.append((3, *head.span(), "overrun"))
+    out = []
+    for kind, a, b, why in sorted(found, key=lambda x: (x[1], -x[2])):
+        if text[max(0, a - 1) : a].isalnum() or text[b : b + 1].isalnum():
+            continue
+        i = bisect_left(taken, (a, b))
+        if not (i < len(taken) and taken[i][0] < b or i and taken[i - 1][1] > a):
+            taken.insert(i, (a, b))
+            out.append((kind, a, b, why))
+    return out
+
+
 def forms(kind: int, mention: str) -> list[str]:
     """The forms under which a mention may recur: itself, and its telling part."""
     lower = mention.lower()
@@ -91,15 +126,23 @@ def shape(token: str) -> str:
 
 
 class Potentials:
-    """Log potentials: node[kind, shape of the form] of being a mention, chain and skip for two tokens that agree rather than not."""
+    """Log potentials: node[kind, shape of the form] and miss[kind, why] of being a mention, chain and skip for two tokens that agree rather than not."""
 
     def __init__(self, counts: Counter | None = None):
         c = counts or Counter()
         odds = lambda yes, no: math.log((c[yes] + 1) / (c[no] + 1))
         self.node = {k[1:]: odds(k, ("out", *k[1:])) for k in [k for k in c if k[0] == "in"]}
         self.prior = min(-1.0, odds("mention", "token"))
-        self.chain = max(0.0, min(2.0, odds("chain agrees", "chain differs")))
         self.skip = max(0.5, min(4.0, odds("skip agrees", "skip differs")))
+        rate = lambda *key: (c[*key, True] + 1) / (c[*key, True] + c[*key, False] + 2)
+        mention, word = rate("company", "mention"), rate("company", "word")
+        #: How much the company of a mention speaks for one.
+        self.chain = max(0.0, min(4.0, math.log(mention * (1 - word) / (word * (1 - mention)))))
+        self.miss = {}
+        for kind, why in {k[2:4] for k in c if k[:2] == ("company", "miss")}:
+            share = (rate("company", "miss", kind, why) - word) / max(1e-9, mention - word)
+            share = min(0.99, max(0.01, share if mention > word else 0.0))
+            self.miss[kind, why] = math.log(share / (1 - share)) + math.log((1 - mention) / (1 - word))
 
 
 def _open_tokens(text: str, mentions: list[Span]) -> tuple[list[Span], dict[str, list[int]]]:
@@ -132,12 +175,36 @@ def _open_tokens(text: str, mentions: list[Span]) -> tuple[list[Span], dict[str,
     return plain, by_form
 
 
+def beliefs(field: list[float], edges: dict[tuple[int, int], float]) -> list[float]:
+    """Log-odds of each node of a pairwise field with two states, by loopy message passing; exact on trees."""
+    around: list[list[tuple[int, float]]] = [[] for _ in field]
+    for (i, j), w in edges.items():
+        around[i].append((j, w))
+        around[j].append((i, w))
+    message = {(i, j): 0.0 for a, b in edges for i, j in ((a, b), (b, a))}
+    for _ in range(max(ROUNDS, min(len(field), MOST_ROUNDS))):
+        into = [field[i] + sum(message[j, i] for j, _ in around[i]) for i in range(len(field))]
+        new = {}
+        for i, links in enumerate(around):
+            for j, w in links:
+                x = max(-30.0, min(30.0, into[i] - message[j, i]))
+                new[i, j] = 2 * math.atanh(math.tanh(w / 2) * math.tanh(x / 2) * (1 - 1e-12))
+        moved = max((abs(new[k] - message[k]) for k in new), default=0.0)
+        message = new
+        if moved < SETTLED:
+            break
+    return [field[i] + sum(message[j, i] for j, _ in around[i]) for i in range(len(field))]
+
+
 def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials) -> list[Span]:
     """Mentions that the field adds: open tokens whose belief in a kind exceeds one half."""
-    if not mentions:
+    misses = near_misses(text, mentions)
+    if not mentions and not misses:
         return []
     nodes, by_form = _open_tokens(text, mentions)
-    if all(k >= 0 for k, _, _ in nodes):
+    repeats = len(nodes)
+    misses = [x for x in misses if not any(k < 0 and a < x[2] and x[1] < b for k, a, b in nodes)]
+    if not misses and all(k >= 0 for k, _, _ in nodes):
         return []
     kinds_of: dict[int, int] = {}
     form_of = {i: form for form, members in by_form.items() for i in members}
@@ -149,27 +216,26 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
         for i, j in zip(members, members[1:], strict=False):
             if i != j:
                 edges[i, j] = edges.get((i, j), 0.0) + potentials.skip
-    for i, j in zip(range(len(nodes)), range(1, len(nodes)), strict=False):
-        if nodes[j][1] - nodes[i][2] <= 1 and kinds_of.get(i) == kinds_of.get(j):
-            edges[i, j] = edges.get((i, j), 0.0) + potentials.chain
     field = [30.0 if k >= 0 else potentials.node.get((kinds_of.get(i, -1), shape(form_of[i])), potentials.prior) for i, (k, _, _) in enumerate(nodes)]
-    around: list[list[tuple[int, float]]] = [[] for _ in nodes]
-    for (i, j), w in edges.items():
-        around[i].append((j, w))
-        around[j].append((i, w))
-    message = {(i, j): 0.0 for a, b in edges for i, j in ((a, b), (b, a))}
-    for _ in range(ROUNDS):  # log-odds messages of a pairwise field with two states
-        into = [field[i] + sum(message[j, i] for j, _ in around[i]) for i in range(len(nodes))]
-        new = {}
-        for i, links in enumerate(around):
-            for j, w in links:
-                x = max(-30.0, min(30.0, into[i] - message[j, i]))
-                new[i, j] = 2 * math.atanh(math.tanh(w / 2) * math.tanh(x / 2) * (1 - 1e-12))
-        moved = max((abs(new[k] - message[k]) for k in new), default=0.0)
-        message = new
-        if moved < SETTLED:
-            break
-    belief = [field[i] + sum(message[j, i] for j, _ in around[i]) for i in range(len(nodes))]
+    nodes = nodes + [(-1, a, b) for _, a, b, _ in misses]
+    for i, (kind, _, _, why) in enumerate(misses, repeats):
+        kinds_of[i] = kind
+        field.append(potentials.miss.get((kind, why), potentials.prior))
+    order = sorted(range(len(nodes)), key=lambda i: nodes[i][1:])
+    similar: dict[tuple, int] = {}
+    for i in order:
+        form = text[nodes[i][1] : nodes[i][2]].lower()
+        half = len(form) // 2
+        for key in ((kinds_of.get(i), len(form), 0, form[:half]), (kinds_of.get(i), len(form), 1, form[half:])):
+            j = similar.get(key)
+            if j is not None and (i >= repeats or j >= repeats):
+                edges[min(i, j), max(i, j)] = potentials.skip
+            similar[key] = i
+    for i, j in zip(order, order[1:], strict=False):
+        if i >= repeats or j >= repeats or nodes[j][1] - nodes[i][2] <= 1 and kinds_of.get(i) == kinds_of.get(j):
+            edge = (min(i, j), max(i, j))
+            edges[edge] = edges.get(edge, 0.0) + potentials.chain
+    belief = beliefs(field, edges)
     return [(kinds_of[i], a, b) for i, (k, a, b) in enumerate(nodes) if k < 0 and belief[i] > 0 and kinds_of.get(i, -1) >= 0]
 
 
@@ -181,13 +247,20 @@ def _sampled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _factor_counts(text: str, kinds: dict[str, int]) -> Counter:
-    """Counts of one text for the given forms: texts with the form's mention ("with"), open tokens there ("open"), tokens in texts
+    """Counts of one text: how often mentions, near misses and any words stand with (other) mentions ("company"); for the given forms: texts with the form's mention ("with"), open tokens there ("open"), tokens in texts
     without it ("chance"); pairs of two mentions, or by their open token."""
     c: Counter = Counter()
     mentions = base_mentions(text)
+    said = {text[a:b] for _, a, b in mentions}
+    misses = near_misses(text, mentions)
+    c["company", "mention", True] += len(mentions) if len(said) > 1 else 0
+    c["company", "mention", False] += 0 if len(said) > 1 else len(mentions)
+    for kind, _, _, why in misses:
+        c["company", "miss", kind, why, bool(said)] += 1
     own = {f for k, a, b in mentions for f in forms(k, text[a:b])}
     for form in own & kinds.keys():
         c["with", kinds[form], shape(form)] += 1
+    c["company", "word", bool(said)] += text.count(" ") + 1
     for token in TOKEN.findall(text.lower()):
         if token in kinds:
             key = token
@@ -213,10 +286,7 @@ def _factor_counts(text: str, kinds: dict[str, int]) -> Counter:
             for i, j in zip(members, members[1:], strict=False):
                 if i != j:
                     paired("skip", i, j)
-    for i, j in zip(range(len(nodes)), range(1, len(nodes)), strict=False):
-        if nodes[j][1] - nodes[i][2] <= 1:
-            paired("chain", i, j)
-    return c
+    return +c
 
 
 def expected_counts(c: Counter, n_docs: int, n_forms: Counter) -> Counter:
@@ -232,7 +302,9 @@ def expected_counts(c: Counter, n_docs: int, n_forms: Counter) -> Counter:
             for name, x in ((("in", *at), n - chance), (("out", *at), chance), ("mention", n - chance), ("token", chance)):
                 out[name] += x
     for key, n in c.items():
-        if key[0] in ("skip", "chain"):
+        if key[0] == "company":
+            out[key] = n
+        if key[0] == "skip":
             p = {"agrees": 1.0, "differs": 0.0}.get(key[1])
             if p is None:
                 p = true.get(key[2:], 0.0)

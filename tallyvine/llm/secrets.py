@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, scratch_path, utf8_sha256, whole_text
+from .common import read_table, scratch_path, utf8_sha256, whole_text, written
 
 
 class Rule(NamedTuple):
@@ -85,7 +85,7 @@ class BlobLedger:
         unseen.groupBy("blob", "doc_id").agg(F.collect_set("rule").alias("todo")).write.parquet(todo_path)
         todo = self.spark.read.schema("blob binary, doc_id long, todo array<string>").parquet(todo_path)
         due = todo.select(F.col("blob").alias("b"), F.col("doc_id").alias("d"), "todo")
-        texts = rows.join(due.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")))
+        texts = rows.join(due, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")))
         empty = F.array().cast("array<struct<rule:string,version:int,i:int,gap:bigint,len:bigint,kept:boolean>>")
         hits = texts.select("blob", F.explode(F.concat(*[F.coalesce(matches(F.col("text"), r), empty) for r in self.rules])).alias("x")).select("blob", "x.*")
         order = Window.partitionBy("blob", "rule", "version").orderBy("i")
@@ -115,7 +115,8 @@ def findings_by_blob(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 def scan_documents(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
     """Scan what the ledger lacks and return doc_id with the findings of its blob for every row."""
     ledger.scan(docs)
-    by_blob = findings_by_blob(ledger.found(), ledger.rules)
+    # written first: a join of two plain tables, in which Spark can split the paths of a blob that very many documents hold
+    by_blob = written(findings_by_blob(ledger.found(), ledger.rules), "secret-findings")
     paths = docs.select("doc_id", F.unhex(utf8_sha256(whole_text())).alias("blob"))
     base = [r.name for r in ledger.rules if r.base]
     return paths.join(by_blob, "blob", "left").select(

@@ -184,6 +184,49 @@ def test_repeated_parts_of_a_mention_get_its_label():
     assert pii.consistent_mentions(text, base, pii.Potentials(unsure)) == []
 
 
+def test_beliefs_against_enumeration():
+    import itertools
+    import math
+
+    rng = random.Random(5)
+    trees = [{(0, 1): 1.5, (1, 2): 0.7}, {(0, 1): 3.0, (0, 2): 2.0, (2, 3): 0.5}, {(0, 1): 0.4}, {}]
+    loops = [{(0, 1): 0.5, (1, 2): 0.4, (0, 2): 0.3}, {(0, 1): 0.5, (1, 2): 0.5, (2, 3): 0.4, (0, 3): 0.3}]
+    for edges in trees + loops:
+        for _ in range(20):
+            field = [rng.uniform(-3, 3) for _ in range(4)]
+            weight = {}
+            for x in itertools.product((0, 1), repeat=4):
+                weight[x] = math.exp(sum(f for f, on in zip(field, x) if on) + sum(w for (i, j), w in edges.items() if x[i] == x[j]))
+            for i, belief in enumerate(pii.beliefs(field, edges)):
+                exact = sum(w for x, w in weight.items() if x[i]) / sum(weight.values())
+                assert 1 / (1 + math.exp(-belief)) == pytest.approx(exact, abs=0.01)
+
+
+def test_near_misses_are_labelled_by_the_company_they_keep(spark):
+    """Card numbers that fail their check and overrunning telephone numbers: mentions where mentions stand, not where they stand anywhere."""
+    def bad_card(i):
+        return next(n for n in map(str, range(4_000_000_000_000_000 + i * 977, 4_000_000_000_000_100 + i * 977)) if not pii.luhn(n))
+    own = lambda i: " ".join(words(25, 3000 + i))
+    texts = [f"{own(i)} ana{i}@mail.org {own(i + 50)} call +1 (212) 555-{1000 + i} and card {bad_card(i)} {own(i + 99)}" for i in range(30)]
+    texts += [f"{own(i)} or +49 (30) 5551{i:03d} 190.12.7.{i} {own(i)} x{i}@y.org and 10.0.0.{i}" for i in range(10)]
+    texts += [own(900 + i) for i in range(60)]
+    docs = documents(spark, texts)
+    for r in pii.find_mentions(docs, pii.train(docs)).collect():
+        text = texts[r.doc_id]
+        said = {tuple(x.split(":")) for x in r.spans.split(",") if x}
+        found = {(k, text[int(a) : int(b)]) for k, a, b in said}
+        if r.doc_id < 30:
+            assert ("card", bad_card(r.doc_id)) in found and r.n_card == 0
+        elif r.doc_id < 40:
+            assert ("phone", f"+49 (30) 5551{r.doc_id - 30:03d}") in found and r.n_phone == 0
+        else:
+            assert not found
+    anywhere = documents(spark, texts[:10] + [f"{own(i)} part number {bad_card(i)} {own(i)}" for i in range(100, 160)])
+    assert all(r.spans.count("card:") == 0 for r in pii.find_mentions(anywhere, pii.train(anywhere)).collect() if r.doc_id >= 10)
+    assert pii.near_misses("id 5d190bd7c06284de91015a36974748794293dd8a or x4111111111111112", []) == []
+    assert [x[0] for x in pii.near_misses("jane.doe [at] mail (dot) org, 300.1.2.3, 411111111111111", [])] == [0, 1, 2]
+
+
 def test_trained_field_labels_repeats_but_not_chance(spark):
     """Spans through train(): a bare local part after one mention counts, one that other texts use as often doesn't."""
     names = [f"{a}.{b}" for a in ("jane", "omar", "lucy", "ivan") for b in ("doe", "orr", "kim", "fox", "lee")]
