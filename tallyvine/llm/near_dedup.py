@@ -412,7 +412,7 @@ def bucket_links(
     if not missed.take(1):
         return near
     # one that misses its leader stays open; one that hits it only as far out as a miss could be similar to it
-    edge = asked.join(missed, ["leader", "member"]).groupBy("lead").agg(F.max("sim").alias("sim_miss"), F.max("plain").alias("plain_miss"))
+    edge = kept(asked.join(missed, ["leader", "member"]).groupBy("lead").agg(F.max("sim").alias("sim_miss"), F.max("plain").alias("plain_miss")), "near-edge")
     stays = ~hit | (F.col("sim") <= F.col("sim_miss") + reach) | (F.col("plain") <= F.col("plain_miss") + reach)
     left = asked.join(edge, "lead").join(known, ["leader", "member"]).where(stays).select("lead", "other", (~hit).alias("miss"))
     parts = components(near, few).select(F.col("doc_id").alias("other"), F.col("class_id").alias("part"))
