@@ -56,6 +56,11 @@ def stated_sweetness() -> Column:
     return first_match([(F.contains(where, F.lit(part)), level) for part, level in fixed.STATED_SWEETNESS], F.lit(fixed.NOT_STATED))
 
 
+def shown_sweetness() -> Column:
+    """stated_sweetness, null where none is stated."""
+    return F.nullif(stated_sweetness(), F.lit(fixed.NOT_STATED))
+
+
 def pairing_style() -> Column:
     """By the title, then the category; the description is never read."""
     title, category = F.lower(F.concat_ws(" ", text("name"), text("slug"))), F.lower(text("category"))

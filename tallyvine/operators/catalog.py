@@ -80,8 +80,21 @@ def fix_violations(cards: DataFrame, fixes: DataFrame) -> DataFrame:
     return violations(joined, "slug", rules)
 
 
-def corrected_catalog(cards: DataFrame, fixes: DataFrame, image_digests: DataFrame) -> dict[str, DataFrame]:
-    """Apply fixes after checking all of them; target digests must match image_digests (filename, sha256)."""
+def baseline_violations(fixes: DataFrame, baseline_sha256: str, images: DataFrame, image_digests: DataFrame) -> DataFrame:
+    """key, rule: fixes that were reviewed against another baseline, and images of the baseline whose file differs or is missing."""
+    other = violations(fixes, "slug", {"baseline differs": F.col("baseline_manifest_sha256") == baseline_sha256})
+    now = image_digests.select("filename", F.col("sha256").alias("seen"))
+    return other.unionByName(violations(images.join(now, "filename", "left"), "filename", {"baseline image changed": F.col("seen") == F.col("sha256")}))
+
+
+def corrected_catalog(
+    cards: DataFrame, fixes: DataFrame, image_digests: DataFrame, baseline_sha256: str | None = None, baseline_images: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Apply fixes after checking all of them; target digests must match image_digests (filename, sha256).
+
+    With the digest of the baseline manifest and its images, the baseline must be the one that the fixes name, its files unchanged."""
+    if baseline_sha256 is not None:
+        require_none(baseline_violations(fixes, baseline_sha256, baseline_images, image_digests), "Baseline")
     require_none(fix_violations(cards, fixes), "Fixes")
     targets = fixes.join(image_digests, fixes.target_image == image_digests.filename, "left")
     require_none(violations(targets, "slug", {"target differs": F.col("sha256") == F.col("target_sha256")}), "Fix targets")

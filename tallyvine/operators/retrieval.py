@@ -1,27 +1,35 @@
 """Exact retrieval: every query against every gallery image, best view per crop, mean over crops.
 
-Queries are a stated set. They go in blocks of at most BLOCK, each sent to the tasks that hold the gallery, which keep only
-their own best k for each query before anything is shuffled.
+Queries are a stated set. Gallery and queries are dealt into blocks; a task takes one block of each and keeps only
+its own best k for each query before these are put together. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 4096
+#: Most queries and images of a block; scores worked on at a time.
+QUERY_BLOCK, GALLERY_BLOCK, CELLS = 4096, 32_768, 1 << 21
 #: Scores closer than this count as equal, and then names decide.
 DIGITS = 6
 
 
-def _block(queries: DataFrame, blocks: int, b: int) -> tuple[list, np.ndarray]:
-    rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "crops").collect()
-    return [r.query_id for r in rows], np.array([[list(map(float, c)) for c in r.crops] for r in rows], float)
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best of each row: score first, then the smaller name; infinite ones never count."""
+    if scores.shape[1] > k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero((scores >= least) & np.isfinite(scores))
+    else:
+        row, column = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((names[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], column[kept]
 
 
 def search(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
@@ -31,40 +39,39 @@ def search(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     Score is the mean over crops of the best view's product. Ties go to the smaller image_name. A query never finds the
     image that has its own id as name.
     """
+    spark = gallery.sparkSession
     along = [c for c in gallery.columns if c not in ("image_name", "views")]
     kinds = dict(gallery.dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, image_name {kinds['image_name']}, score double" + "".join(f", {c} {kinds[c]}" for c in along)
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
-    for b in range(blocks):
-        ids, crops = _block(queries, blocks, b)
-        if not ids:
-            continue
+    asked = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-gallery.count() // GALLERY_BLOCK))
 
-        def best(batches: Iterator[pd.DataFrame], ids=ids, crops=crops) -> Iterator[pd.DataFrame]:
-            names = np.array(ids, dtype=object)
-            for batch in batches:
-                views = np.array([[np.asarray(v, float) for v in x] for x in batch["views"]])
-                scores = np.zeros((len(ids), len(batch)))
+    def best(images: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(images) and len(wanted):
+            views = np.array([[np.asarray(v, float) for v in x] for x in images["views"]])
+            crops = np.array([[np.asarray(c, float) for c in x] for x in wanted["crops"]])
+            names, ids = images["image_name"].to_numpy(), wanted["query_id"].to_numpy()
+            place = images["image_name"].rank(method="first").to_numpy()
+            step = max(1, CELLS // len(images))
+            for at in range(0, len(ids), step):
+                some = crops[at : at + step]
+                scores = np.zeros((len(some), len(images)))
                 for c in range(crops.shape[1]):
-                    scores += np.max(np.einsum("qd,gvd->qgv", crops[:, c], views, optimize=True), axis=2)
+                    scores += np.stack([some[:, c] @ views[:, v].T for v in range(views.shape[1])]).max(axis=0)
                 scores = np.round(scores / crops.shape[1], DIGITS)
-                own = names[:, None] == batch["image_name"].to_numpy()[None, :]
-                scores[own] = -np.inf
-                ranked = np.lexsort((np.broadcast_to(batch["image_name"].rank(method="first").to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-                q, at = np.repeat(np.arange(len(ids)), ranked.shape[1]), ranked.ravel()
-                keep = np.isfinite(scores[q, at])
-                q, at = q[keep], at[keep]
-                out = pd.DataFrame({"query_id": [ids[i] for i in q], "image_name": batch["image_name"].to_numpy()[at], "score": scores[q, at]})
-                for c in along:
-                    out[c] = batch[c].to_numpy()[at]
-                if len(out):
-                    yield out
+                scores[ids[at : at + step, None] == names[None, :]] = -np.inf
+                q, g = _best(scores, place, k)
+                out = images.iloc[g][["image_name", *along]].reset_index(drop=True)
+                out.insert(0, "query_id", ids[at : at + step][q])
+                out["score"] = scores[q, g]
+                found.append(out)
+        return pd.concat(found) if found else pd.DataFrame({c: pd.Series([], dtype=object) for c in ["query_id", "image_name", "score", *along]})
 
-        part = gallery.select("image_name", "views", *along).mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return gallery.sparkSession.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "image_name", "score", *along)
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    images = gallery.select("image_name", "views", *along, F.pmod(F.xxhash64("image_name"), F.lit(parts)).cast("int").alias("part"), blocks(asked).alias("block"))
+    wanted = queries.select("query_id", "crops", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int").alias("block"), blocks(parts).alias("part"))
+    found = images.groupBy("part", "block").cogroup(wanted.groupBy("part", "block")).applyInPandas(best, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "image_name")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "image_name", "score", *along)
 

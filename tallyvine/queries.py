@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import cards as card
 from .functions import vectors
 from .functions import wordlists as fixed
-from .operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, text
+from .operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, review, text
 from .plans import predict as plans
 from .plans import views
 
@@ -542,12 +542,44 @@ def sommelier_page2(spark: SparkSession, sf: str) -> DataFrame:
     return _picks(recommend.sommelier_for_cards(cards(spark, sf), color="red", offset=3))
 
 
-@query()
+@query(
+    f"""WITH {CARDS}, {FEATURES}, {TERMS.replace('best', 'best_terms')}, {SIMILAR}, liked AS (SELECT grapes AS g FROM features WHERE slug = '0'
+), chosen AS (
+  SELECT f.slug, winery, list_sort(list_intersect(grapes, g)) AS common, len(list_distinct(list_concat(grapes, g))) AS u, coalesce(a.text, 0) AS text, description
+  FROM features f CROSS JOIN liked LEFT JOIN alike a ON a.base = '0' AND a.slug = f.slug WHERE available AND f.slug <> '0'
+), scored AS (SELECT slug, winery, common,
+  round(3 * text + 2 * CASE WHEN u > 0 THEN len(common) / CAST(u AS DOUBLE) ELSE 0.0::DOUBLE END + least(length(description), 600) / CAST(1200 AS DOUBLE), 4) AS score FROM chosen
+), one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY winery ORDER BY score DESC, slug) = 1)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, slug) AS INT) AS place, slug, score,
+  CASE WHEN len(common) > 0 THEN 'тот же сорт: ' || array_to_string(common[1:2], ', ') ELSE 'подходит под ваши ответы' END AS reasons,
+  (SELECT count(*) FROM one) AS total, CAST(NULL AS VARCHAR) AS note FROM one QUALIFY place <= 3"""
+)
 def sommelier_like(spark: SparkSession, sf: str) -> DataFrame:
     rows, weights = profile_tables(spark, sf)
     return _picks(recommend.sommelier(recommend.card_features(rows), like="0", profiles=weights))
 
 
+_NO_DISH = f"Прямых рекомендаций к блюду «{fixed.DISHES['dessert'].lower()}» среди таких вин нет; к нему обычно берут {fixed.TYPICAL['dessert']}. Вот ближайшие по стилю."
+
+
+@query(
+    _sommelier_sql("color = 'red' AND NOT sparkling AND coalesce(f.sweetness, '') <> 'полусладкое'", False, 0, _NO_DISH, False)
+    .replace("'подходит под ваши ответы'", "'подходит под ваши ответы'")
+)
+def sommelier_no_dish(spark: SparkSession, sf: str) -> DataFrame:
+    """No red wine that isn't sweet goes with dessert by the rules, and no text speaks of it: the answer says so."""
+    rows = cards(spark, sf).where(~F.contains("name", F.lit("полуслад")))
+    return _picks(recommend.sommelier_for_cards(rows, dish="dessert", color="red"))
+
+
+@query(
+    f"""WITH {CARDS}, {TERMS}, stop(term) AS (VALUES ('that'), ('this'), ('with'), ('from'))
+SELECT slug, term, tf FROM counts WHERE term NOT IN (SELECT term FROM stop)"""
+)
+def term_stop_words(spark: SparkSession, sf: str) -> DataFrame:
+    return text.term_counts(cards(spark, sf), WORD, ["that", "this", "with", "from"]).select("slug", "term", "tf")
+
+
 def _raw_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as they come: only every second has a slug, some have no evidence."""
     rows = table(spark, sf, "labels")
@@ -582,9 +614,22 @@ def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return checks.full_coverage(_raw_labels(spark, sf), photos, docs.select(F.col("doc_id").cast("string").alias("slug")), 100)
 
 
-@query(f"WITH {PHOTO_LABELS}, {PREDICTIONS} SELECT CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS rule FROM judged WHERE false")
+def _broken_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of which some lack a slug, hold six, an empty one or another first one."""
+    n, top = F.floor(F.col("image_path").cast("long") / EVERY) % 5, F.col("top5_slugs")
+    broken = F.when(n == 1, F.concat(top, F.array(F.lit("x")))).when(n == 2, F.concat(F.slice(top, 1, 4), F.array(F.lit(""))))
+    return predictions(spark, sf).withColumn("top5_slugs", F.coalesce(broken.when(n == 3, F.array().cast("array<string>")), top)).withColumn(
+        "predicted_slug", F.when(n == 4, "other").otherwise(F.col("predicted_slug"))
+    )
+
+
+@query(
+    f"""WITH {PHOTO_LABELS}, {PREDICTIONS}, n AS (SELECT image_path AS key, (CAST(image_path AS BIGINT) // {EVERY}) % 5 AS n FROM judged)
+SELECT key, 'top five has not one to five slugs' AS rule FROM n WHERE n IN (1, 3) UNION ALL SELECT key, 'top five has an empty slug' FROM n WHERE n = 2
+UNION ALL SELECT key, 'first of the top five differs' FROM n WHERE n IN (3, 4)"""
+)
 def prediction_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.prediction_violations(predictions(spark, sf))
+    return checks.prediction_violations(_broken_predictions(spark, sf))
 
 
 @query(
@@ -728,3 +773,127 @@ def incremental_skip(spark: SparkSession, sf: str) -> DataFrame:
 def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
     images = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") * 10).alias("width"), F.lit(480).alias("height"))
     return views.boxes(images, fixed.QUERY_VIEWS)
+
+
+# ---- review, integrity, lookups ----
+
+
+def review_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """A card for each slug of the gallery, with its image."""
+    return gallery(spark, sf).select(F.explode("slugs").alias("slug"), "label", F.col("image_name").cast("string").alias("image_name")).select(
+        "slug", F.concat(F.lit("card "), "slug").alias("name"), F.concat(F.lit("winery "), F.col("label").cast("string")).alias("winery"),
+        F.concat(F.lit("kind "), (F.col("label") % 3).cast("string")).alias("category"), F.lit("red").alias("color"), F.lit("north").alias("region"),
+        F.concat(F.lit("grape "), (F.col("label") % 7).cast("string")).alias("grape"), F.lit("text").alias("description"), "image_name",
+    )
+
+
+def review_images(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("vec_id").cast("string")
+    return table(spark, sf, "embeddings").select(name.alias("filename"), F.sha2(name, 256).alias("sha256"))
+
+
+@query(
+    f"""WITH {RANKED} SELECT query_id, CAST(rank AS INT) AS rank, slug, 'card ' || slug AS name, 'winery ' || label AS winery, 'kind ' || (label % 3) AS category, 'grape ' || (label % 7) AS grape,
+  score, CAST(image_name AS VARCHAR) AS reference_file, sha256(CAST(image_name AS VARCHAR)) AS reference_sha256 FROM ranked WHERE rank <= 10"""
+)
+def review_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = plans.candidates(whole_queries(spark, sf), gallery(spark, sf)).withColumn("image_name", F.col("image_name").cast("string"))
+    return review.review_report(rows, review_cards(spark, sf), review_images(spark, sf), 10)
+
+
+def _bundle(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Labels, photos, visual reports and readings, by the number of the query with a fault in some."""
+    labels = photo_labels(spark, sf).drop("slug").withColumn("slug", F.when(F.col("status") == "verified", F.col("image_path")))
+    n = F.floor(F.col("name").cast("long") / EVERY)
+    side = labels.select(F.col("image_path").alias("name"), F.col("image_sha256").alias("sha256"))
+    photos = side.where(n % 5 != 3)
+    ranks = ranked(spark, sf).select(F.col("query_id").cast("string").alias("name"), "rank", "slug", F.col("image_name").cast("string").alias("filename"))
+    order = F.array_sort(F.collect_list(F.struct("rank", "slug", "filename")))
+    visual = ranks.groupBy("name").agg(F.slice(order, 1, 20).alias("candidates")).withColumn("n", n)
+    visual = visual.withColumn("candidates", F.when(F.col("n") % 4 == 1, F.slice("candidates", 1, 19)).otherwise(F.col("candidates")))
+    visual = visual.join(side, "name").withColumn("sha256", F.when(F.col("n") % 3 == 2, "other").otherwise(F.col("sha256"))).select("name", "sha256", "candidates")
+    ocr = side.where(n % 6 != 4).withColumn("lines", F.array(F.struct(F.lit("line").alias("text"), F.lit(0.9).alias("confidence"))))
+    return labels, photos, visual, ocr
+
+
+@query(
+    f"""WITH {RANKED}, q AS (SELECT CAST(vec_id AS VARCHAR) AS key, vec_id // {EVERY} AS n FROM embeddings WHERE vec_id % {EVERY} = 0)
+SELECT CAST(count(*) AS VARCHAR) AS key, 'number of labels' AS rule FROM q HAVING count(*) <> 100
+UNION ALL SELECT key, 'photo: only left' FROM q WHERE n % 5 = 3 UNION ALL SELECT key, 'reading: only left' FROM q WHERE n % 6 = 4
+UNION ALL SELECT key, 'visual report: other bytes' FROM q WHERE n % 3 = 2 UNION ALL SELECT key, 'number of candidates' FROM q WHERE n % 4 = 1
+UNION ALL SELECT key, 'no such card' FROM q WHERE n % 5 < 3 AND CAST(key AS BIGINT) NOT IN (
+  SELECT unnest(CASE WHEN vec_id % 2 = 0 THEN [2 * vec_id, 2 * vec_id + 1] ELSE [2 * vec_id] END) FROM embeddings)
+UNION ALL SELECT CAST(query_id AS VARCHAR), 'file has no image' FROM ranked WHERE image_name % 9 = 0 AND NOT (rank = 20 AND (query_id // {EVERY}) % 4 = 1)"""
+)
+def bundle_violations(spark: SparkSession, sf: str) -> DataFrame:
+    images = review_images(spark, sf).where(F.col("filename").cast("long") % 9 != 0)
+    return review.bundle_violations(*_bundle(spark, sf), review_cards(spark, sf), images)
+
+
+@query(
+    f"""WITH {RANKED}, shown AS (SELECT image_name FROM ranked WHERE NOT (rank = 20 AND (query_id // {EVERY}) % 4 = 1)
+  UNION SELECT g.vec_id FROM embeddings q JOIN embeddings g ON q.vec_id % {EVERY} = 0 AND (q.vec_id // {EVERY}) % 5 < 3 AND (q.vec_id = 2 * g.vec_id OR (g.vec_id % 2 = 0 AND q.vec_id = 2 * g.vec_id + 1)))
+SELECT CAST(vec_id AS VARCHAR) AS filename FROM embeddings WHERE vec_id % 3 > 0 AND vec_id IN (SELECT image_name FROM shown WHERE image_name % 9 > 0)"""
+)
+def allowed_media(spark: SparkSession, sf: str) -> DataFrame:
+    labels, _, visual, _ = _bundle(spark, sf)
+    images = review_images(spark, sf).where(F.col("filename").cast("long") % 9 != 0)
+    asked = review_images(spark, sf).where(F.col("filename").cast("long") % 3 != 0).select("filename")
+    return review.allowed_media(asked, review.allowed_references(visual, labels, review_cards(spark, sf), images))
+
+
+@query(
+    f"""WITH {RANKED}, {PHOTO_LABELS}, {_REVIEW} SELECT v.name, v.rank, v.slug, round(max(CASE WHEN v.rank = 1 THEN v.score END) OVER (PARTITION BY v.name) - v.score, 4) AS gap_to_first,
+  'card ' || v.slug || ', winery ' || r.label || ', kind ' || (r.label % 3) || ', red, north, grape ' || (r.label % 7) || ', text' AS card,
+  sha256(CAST(r.image_name AS VARCHAR)) AS reference_sha256, 'card ' || v.verified_slug AS verified FROM review v JOIN ranked r ON CAST(r.query_id AS VARCHAR) = v.name AND r.rank = v.rank"""
+)
+def review_detail_cards(spark: SparkSession, sf: str) -> DataFrame:
+    found = review.review_detail(_review(spark, sf), review_cards(spark, sf), review_images(spark, sf))
+    card_line = F.concat_ws(", ", *[F.col(f"card.{c}") for c in review.DETAIL_COLUMNS])
+    return found.select(
+        "name", F.col("rank").cast("long").alias("rank"), "slug", "gap_to_first", card_line.alias("card"), "reference_sha256", F.col("verified_card.name").alias("verified")
+    )
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS key, 'only right' AS rule FROM documents WHERE doc_id % 7 = 3
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'reference changed' FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 5 IN (1, 2)"""
+)
+def reference_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest that lacks every seventh file, against files of which some have changed and some are gone."""
+    name = F.col("doc_id").cast("string")
+    files = table(spark, sf, "documents").select("doc_id", name.alias("filename"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    manifest = files.where("doc_id % 7 <> 3").select("filename", "sha256")
+    present = files.where("doc_id % 5 <> 1").withColumn("sha256", F.when(F.col("doc_id") % 5 == 2, "changed").otherwise(F.col("sha256")))
+    return review.reference_differences(manifest, files.select("filename"), present.select("filename", "sha256"))
+
+
+@query(
+    f"""WITH {CARDS} SELECT slug AS key, 'baseline differs' AS rule FROM cards WHERE CAST(slug AS BIGINT) % 6 = 0
+UNION ALL SELECT DISTINCT image_name, 'baseline image changed' FROM cards WHERE reference_available AND substr(image_name, 1, 1) = 'a'"""
+)
+def baseline_violations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cards(spark, sf)
+    fixes = _fixes(rows).withColumn("baseline_manifest_sha256", F.when(F.col("slug").cast("long") % 6 == 0, "old").otherwise(F.lit("now")))
+    images = catalog.reference_images(rows).select("filename", F.sha2("filename", 256).alias("sha256"))
+    present = images.withColumn("sha256", F.when(F.col("filename").startswith("a"), "changed").otherwise(F.col("sha256")))
+    return catalog.baseline_violations(fixes, "now", images, present)
+
+
+@query(f"WITH {CARDS} SELECT slug, name, winery, category FROM cards WHERE slug = '7'")
+def card_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return review.card_by_slug(cards(spark, sf), "7").select("slug", "name", "winery", "category")
+
+
+@query("SELECT 'ready' AS status, count(*) AS cards FROM documents")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    return review.health(cards(spark, sf))
+
+
+@query(
+    f"""WITH {CARDS}, s AS (SELECT slug, name, winery, category, grape, CASE WHEN contains(name, 'полуслад') THEN 'полусладкое' WHEN contains(name, 'брют') THEN 'брют' WHEN contains(name, 'сух') THEN 'сухое'
+  WHEN regexp_matches(lower(image_name || ' ' || substr(description, 1, 400)), 'bryut') THEN 'брют' WHEN regexp_matches(lower(substr(description, 1, 400)), 'suh') THEN 'сухое' END AS shown FROM cards)
+SELECT slug, shown, trim(name) || ' | винодельня: ' || winery || ' | ' || category || ' | сорт: ' || grape || ' | сладость: ' || coalesce(shown, '{fixed.NOT_STATED}') AS line FROM s"""
+)
+def card_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return cards(spark, sf).select("slug", card.shown_sweetness().alias("shown"), card.description_line().alias("line"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cards import safe_filename, stripped
-from ..operators.checks import label_violations, prediction_violations, require_none, violations
+from ..operators.checks import label_violations, prediction_violations, require_none, same_keys, violations
 
 # Columns of the catalog file and the names they get.
 CATALOG_COLUMNS = {
@@ -28,6 +30,9 @@ FIXES_SCHEMA = (
     "schema_version int, baseline_manifest_sha256 string, "
     "fixes array<struct<slug:string,from_image:string,target_image:string,target_sha256:string,archive_member:string,evidence:string>>"
 )
+INDEX_FACTS = "schema_version int, version string, manifest_sha256 string, preprocessing string, index_sha256 string"
+VISUAL = "struct<sha256:string,candidates:array<struct<rank:int,slug:string,filename:string,name:string,winery:string,score:double>>>"
+READ_LINES = "struct<sha256:string,lines:array<struct<text:string,confidence:double>>>"
 IMAGE_FILES = "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}"
 
 
@@ -105,28 +110,67 @@ def upload_violations(images: DataFrame, most: int) -> DataFrame:
     return violations(images, "name", {"is empty": F.length("content") > 0, "is too large": F.length("content") <= most})
 
 
+def read_review(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Frozen review reports of a folder: visual (name, sha256, candidates in order) and ocr (name, sha256, lines), each one JSON object by name."""
+
+    def by_name(file: str, value: str) -> DataFrame:
+        whole = spark.read.text(f"{path}/{file}", wholetext=True)
+        found = whole.select(F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"}).alias("m"))
+        return found.select(F.explode("m").alias("name", "v")).select("name", "v.*")
+
+    return by_name("visual.json", VISUAL), by_name("ocr.json", READ_LINES)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A summary, score report or review report: JSON lines in one file, there as a whole or not at all."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_manifest(parts: dict[str, DataFrame], path: str, source_rows: int, source_sha256: str) -> None:
-    """One JSON file per part below path, written as a whole or not at all, and a small one that ties them together."""
+    """The parts in a new folder below path, then the small file that names it: a reader sees the old manifest or the new one."""
+    spark, version = parts["cards"].sparkSession, uuid.uuid4().hex
     for name, part in parts.items():
-        part.write.mode("overwrite").json(f"{path}/{name}")
-    spark = parts["cards"].sparkSession
-    head = spark.createDataFrame([(1, source_rows, source_sha256)], "schema_version int, source_rows long, source_csv_sha256 string")
+        part.write.json(f"{path}/{version}/{name}")
+    head = spark.createDataFrame([(1, version, source_rows, source_sha256)], "schema_version int, version string, source_rows long, source_csv_sha256 string")
     head.coalesce(1).write.mode("overwrite").json(f"{path}/head")
 
 
+def read_manifest_part(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    head = spark.read.schema("schema_version int, version string").json(f"{path}/head").first()
+    if head is None or head.schema_version != 1:
+        raise ValueError(f"{path} holds no manifest of schema version 1")
+    return spark.read.schema(schema).json(f"{path}/{head.version}/{name}", mode="FAILFAST")
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 
 
+def index_digest(gallery: DataFrame) -> str:
+    """Of the rows in any order: their number, and two sums of their hashes."""
+    names = F.struct("image_name", "slugs", "views")
+    sums = [F.sum(F.xxhash64(F.lit(seed), names).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    return gallery.select(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)).first()[0]
+
+
 def write_index(gallery: DataFrame, path: str, manifest_sha256: str, preprocessing: str) -> None:
-    """Gallery (image_name, slugs, views) as Parquet with the facts that say whether it is current."""
-    gallery.write.mode("overwrite").parquet(f"{path}/gallery")
-    facts = gallery.sparkSession.createDataFrame([(1, manifest_sha256, preprocessing)], "schema_version int, manifest_sha256 string, preprocessing string")
+    """Gallery (image_name, slugs, views) as Parquet in a new folder, then the facts that name it and say whether it is current."""
+    spark, version = gallery.sparkSession, uuid.uuid4().hex
+    gallery.write.parquet(f"{path}/gallery-{version}")
+    digest = index_digest(spark.read.parquet(f"{path}/gallery-{version}"))
+    facts = spark.createDataFrame([(1, version, manifest_sha256, preprocessing, digest)], INDEX_FACTS)
     facts.coalesce(1).write.mode("overwrite").json(f"{path}/facts")
 
 
-def read_index(spark: SparkSession, path: str, manifest_sha256: str, preprocessing: str) -> DataFrame:
-    facts = spark.read.schema("schema_version int, manifest_sha256 string, preprocessing string").json(f"{path}/facts").first()
-    if facts is None or tuple(facts) != (1, manifest_sha256, preprocessing):
+def read_index(spark: SparkSession, path: str, manifest_sha256: str, preprocessing: str, images: DataFrame | None = None) -> DataFrame:
+    """The gallery, if it was made from this manifest in this way, is unchanged and has just the images (filename, slugs) of the manifest."""
+    facts = spark.read.schema(INDEX_FACTS).json(f"{path}/facts").first()
+    if facts is None or (facts.schema_version, facts.manifest_sha256, facts.preprocessing) != (1, manifest_sha256, preprocessing):
         raise ValueError("The index is out of date")
-    return spark.read.parquet(f"{path}/gallery")
+    gallery = spark.read.parquet(f"{path}/gallery-{facts.version}")
+    if index_digest(gallery) != facts.index_sha256:
+        raise ValueError("The index has changed")
+    if images is not None:
+        key = lambda rows, name: rows.select(F.to_json(F.struct(F.col(name).cast("string").alias("f"), F.array_sort("slugs").alias("s"))).alias("key"))
+        require_none(same_keys(key(gallery, "image_name"), key(images, "filename"), "key"), "Index and manifest")
+    return gallery
