@@ -47,7 +47,16 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:
+    """indel_ratio; each pair of a batch is compared once."""
+
     def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)])
+        pairs = list(zip(x.fillna(""), y.fillna(""), strict=True))
+        known = {p: indel_ratio(*p) for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs], dtype=float)
 
     return F.pandas_udf(ratios, "double")(a, b)
+
+
+def most_similar(a: Column, b: Column) -> Column:
+    """No ratio of two strings of these lengths is larger."""
+    return 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))

@@ -48,7 +48,7 @@ def bundle_violations(
         found += [differs, violations(both, "name", {f"{what}: other bytes": F.col("sha256") == F.col("labelled")})]
     found.append(missing_keys(named.where("slug IS NOT NULL AND slug <> ''"), cards, "slug", "slug", "no such card"))
     found.append(violations(visual, "name", {"number of candidates": F.size("candidates") == width}))
-    each = visual.select("name", F.posexplode("candidates").alias("at", "c")).select("name", "at", "c.*")
+    each = visual.select("name", F.posexplode("candidates").alias("at", "c")).select("name", "at", "c.rank", "c.slug", "c.filename")
     known = cards.select("slug", F.col("image_name").alias("expected"), F.lit(True).alias("has_card"))
     files = images.select("filename", F.lit(True).alias("has_image")).distinct()
     rules = {

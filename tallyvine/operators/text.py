@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import wordlists as fixed
 from ..functions.cards import fragments, label_token, text
-from ..functions.vectors import similarity_ratio
+from ..functions.vectors import most_similar, similarity_ratio
 
 TOP_TERMS, MOST_COMMON = 25, 0.15
 DIGITS = 9
@@ -88,7 +88,8 @@ def lexical_scores(lines: DataFrame, candidates: DataFrame, parts: DataFrame, id
             tokens.query_id, "slug", "line_no", "confidence", "fragment", F.lit(100.0).alias("similarity")
         )
     else:
-        pairs = tokens.join(pool, "query_id").withColumn("similarity", similarity_ratio(F.col("token"), F.col("fragment")))
+        near = most_similar(F.col("token"), F.col("fragment")) >= least_similarity(F.col("token"))  # by length alone
+        pairs = tokens.join(pool, "query_id").where(near).withColumn("similarity", similarity_ratio(F.col("token"), F.col("fragment")))
         top = pairs.groupBy("query_id", "slug", "line_no", "token", "confidence").agg(F.max(F.struct("similarity", "fragment")).alias("x"))
         hits = top.select("query_id", "slug", "line_no", "token", "confidence", "x.*").where(F.col("similarity") >= least_similarity(F.col("token")))
     worth = F.col("confidence") * F.col("idf") * F.col("similarity") / 100

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyvine.functions import cards as card
 from tallyvine.functions import vectors
-from tallyvine.operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, text
+from tallyvine.operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, review, text
 from tallyvine.plans import predict, views
 from tallyvine.sources import files
 from tallyvine.streaming import runs
@@ -158,6 +158,64 @@ def test_lexical_evidence_decides_only_close_calls(spark):
         assert predict.predict(ranked, lexical=lexical).first().slug == first
 
 
+def plain_ratio(a, b):
+    """By the table of common subsequences."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[-1]))
+    return 200 * row[-1] / (len(a) + len(b))
+
+
+def test_fuzzy_lexical_scores_against_plain_ones(spark):
+    from tallyvine import queries
+
+    found = {(r.query_id, r.slug): r.lexical for r in queries.lexical_score_fuzzy(spark, "/root/testdata/sf0.001").collect()}
+    rows = queries.part_cards(spark, "/root/testdata/sf0.001")
+    parts, n = {}, rows.count()
+    for slug, fragment in one(text.card_fragments(rows), "slug", "fragment"):
+        parts.setdefault(slug, []).append(fragment)
+    holders = {}
+    for slug, fragments in parts.items():
+        for f in fragments:
+            holders[f] = holders.get(f, 0) + 1
+    tokens = {}
+    for q, no, token, confidence in one(text.readable(queries.label_lines(rows)), "query_id", "line_no", "token", "confidence"):
+        tokens.setdefault(q, []).append((token, confidence))
+    import math
+
+    expected = {}
+    for q, slug in set(one(queries.label_candidates(rows), "query_id", "slug")):
+        worth = []
+        for token, confidence in tokens.get(q, []):
+            similarity, fragment = max(((plain_ratio(token, f), f) for f in parts[slug]), default=(0, ""))
+            if similarity >= (98 if len(token) <= 4 else 93 if len(token) <= 6 else 90):
+                worth.append(confidence * math.log((n + 1) / (holders[fragment] + 1)) * similarity / 100)
+        if worth:
+            expected[q, slug] = sum(sorted(worth, reverse=True)[:3])
+    assert found.keys() == expected.keys() and found
+    assert all(found[k] == pytest.approx(expected[k], abs=1e-5) for k in found)
+
+
+def test_search_in_blocks_with_ties(spark, monkeypatch):
+    """Many blocks give what one gives; ties go to the smaller name, a query never finds itself."""
+    import random
+
+    rng = random.Random(1)
+    vecs = [(i, [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(2)]) for i in range(60)]
+    gallery = spark.createDataFrame(vecs, "image_name long, views array<array<double>>")
+    queries = spark.createDataFrame(vecs[:20], "query_id long, crops array<array<double>>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "GALLERY_BLOCK", 9)
+    found = one(retrieval.search(queries, gallery, 5).orderBy("query_id", "rank"), "query_id", "image_name", "score")
+    expected = []
+    for q, crops in vecs[:20]:
+        scores = [(-round(sum(max(sum(a * b for a, b in zip(c, v)) for v in views) for c in crops) / 2, 6), g) for g, views in vecs if g != q]
+        expected += [(q, g, -s) for s, g in sorted(scores)[:5]]
+    assert found == expected
+
+
 # ---- recommendations ----
 
 
@@ -321,6 +379,102 @@ def test_index_and_images(spark, tmp_path):
     assert one(files.upload_violations(images, 10), "key", "rule") == [("b.JPG", "is too large")]
 
 
+def test_index_knows_its_rows_and_its_manifest(spark, tmp_path):
+    _, gallery = tiny(spark)
+    path = str(tmp_path / "i")
+    files.write_index(gallery, path, "m1", "v1")
+    images = spark.createDataFrame([("r1", ["a", "b"]), ("r2", ["c"])], "filename string, slugs array<string>")
+    assert files.read_index(spark, path, "m1", "v1", images).count() == 2
+    with pytest.raises(ValueError, match="Index and manifest"):
+        files.read_index(spark, path, "m1", "v1", images.limit(1))
+    first = next((tmp_path / "i").glob("gallery-*"))
+    gallery.limit(1).write.mode("overwrite").parquet(str(first))
+    with pytest.raises(ValueError, match="changed"):
+        files.read_index(spark, path, "m1", "v1")
+    files.write_index(gallery, path, "m2", "v1")  # a new folder; the facts name it last
+    assert files.read_index(spark, path, "m2", "v1").count() == 2
+
+
+def test_manifest_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = cards(spark, {"slug": "a"})
+    files.write_manifest({"cards": rows}, path, 1, "x")
+    files.write_manifest({"cards": rows.unionByName(cards(spark, {"slug": "b"}))}, path, 2, "y")
+    assert sorted(one(files.read_manifest_part(spark, path, "cards", CARD), "slug")) == ["a", "b"]
+    with pytest.raises(Exception):
+        files.read_manifest_part(spark, str(tmp_path / "none"), "cards", CARD)
+
+
+# ---- review ----
+
+
+def bundle(spark, tmp_path, **changes):
+    """A review of two photos, read from files; changes replace parts of it."""
+    sha = {n: n * 64 for n in "ab"}
+    ranked = [{"rank": k + 1, "slug": f"s{k}", "filename": f"f{k}.png", "name": "", "winery": "", "score": 1.0 - k} for k in range(3)]
+    visual = {n: {"sha256": sha[n], "candidates": ranked} for n in "ab"} | changes.get("visual", {})
+    ocr = {n: {"sha256": sha[n], "lines": [{"text": "x", "confidence": 0.5}]} for n in "ab"} | changes.get("ocr", {})
+    (tmp_path / "visual.json").write_text(json.dumps(visual))
+    (tmp_path / "ocr.json").write_text(json.dumps(ocr))
+    labels = [("a", sha["a"], "verified", "s1", "seen"), ("b", sha["b"], "unknown", None, "blurred")]
+    labels = spark.createDataFrame(changes.get("labels", labels), "image_path string, image_sha256 string, status string, slug string, evidence string")
+    photos = spark.createDataFrame(changes.get("photos", list(sha.items())), "name string, sha256 string")
+    rows = cards(spark, *[{"slug": f"s{k}", "image_name": f"f{k}.png"} for k in range(3)])
+    images = spark.createDataFrame([(f"f{k}.png", str(k)) for k in range(changes.get("images", 3))], "filename string, sha256 string")
+    return labels, photos, *files.read_review(spark, str(tmp_path)), rows, images
+
+
+def test_review_bundle(spark, tmp_path):
+    good = bundle(spark, tmp_path)
+    assert review.bundle_violations(*good, expected=2, width=3).count() == 0
+    whole = review.photo_bundle(good[0], good[2], good[3]).orderBy("name").collect()
+    assert [(r.name, len(r.candidates), r.lines[0].text) for r in whole] == [("a", 3, "x"), ("b", 3, "x")]
+    assert sorted(one(review.allowed_references(good[2], good[0], good[4], good[5]), "filename")) == ["f0.png", "f1.png", "f2.png"]
+    asked = spark.createDataFrame([("f1.png",), ("../etc/passwd",), ("f9.png",)], "filename string")
+    assert one(review.allowed_media(asked, good[5]), "filename") == ["f1.png"]
+    late = [{"rank": 1, "slug": "s0", "filename": "f0.png"}, {"rank": 3, "slug": "s1", "filename": "f1.png"}, {"rank": 3, "slug": "s2", "filename": "f1.png"}]
+    for changes, rules in [
+        ({"photos": [("a", "a" * 64)]}, {"photo: only left"}), ({"photos": [("a", "a" * 64), ("b", "c")]}, {"photo: other bytes"}),
+        ({"ocr": {"c": {"sha256": "", "lines": []}}}, {"reading: only right"}), ({"images": 2}, {"file has no image"}),
+        ({"visual": {"a": {"sha256": "a" * 64, "candidates": late}}}, {"rank or slug of a candidate", "file differs from the card's"}),
+        ({"visual": {"a": {"sha256": "a" * 64, "candidates": late[:1]}}}, {"number of candidates"}),
+        ({"labels": [("a", "a" * 64, "verified", "zz", "e"), ("b", "b" * 64, "unknown", None, "e")]}, {"no such card"}),
+        ({"labels": [("a", "a" * 64, "verified", "s1", "e")]}, {"number of labels", "photo: only right", "visual report: only right", "reading: only right"}),
+    ]:
+        assert {r.rule for r in review.bundle_violations(*bundle(spark, tmp_path, **changes), expected=2, width=3).collect()} == rules
+
+
+def test_review_report_and_detail(spark, tmp_path):
+    rows = cards(spark, *[{"slug": f"s{k}", "name": f"n{k}", "image_name": f"i{k}"} for k in (1, 2)])
+    images = spark.createDataFrame([("i1", "h1"), ("i2", "h2")], "filename string, sha256 string")
+    report = review.review_report(ranking(spark, [0.9, 0.8]), rows, images, 1)
+    assert one(report, "rank", "slug", "name", "reference_file", "reference_sha256") == [(1, "s1", "n1", "i1", "h1")]
+    with pytest.raises(ValueError, match="top_k"):
+        review.review_report(ranking(spark, [0.9]), rows, images, 0)
+    files.write_report(report, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().slug == "s1"
+    labels = spark.createDataFrame([("q", "x", "verified", "s2", "e")], "image_path string, image_sha256 string, status string, slug string, evidence string")
+    ranked = ranking(spark, [0.9, 0.8]).withColumnRenamed("query_id", "name").select("name", "rank", "slug", "score")
+    detail = review.review_detail(evaluation.review_rows(ranked, labels), rows, images).orderBy("rank").collect()
+    assert [(r.rank, r.gap_to_first, r.card.name, r.reference_sha256, r.verified_card.name) for r in detail] == [(1, 0.0, "n1", "h1", "n2"), (2, 0.1, "n2", "h2", "n2")]
+
+
+def test_lookups_and_preparation(spark):
+    rows = cards(spark, {"slug": "a", "name": "x"}, {"slug": "b"})
+    assert one(review.card_by_slug(rows, "a"), "name") == ["x"] and tuple(review.health(rows).first()) == ("ready", 2)
+    with pytest.raises(KeyError):
+        review.card_by_slug(rows, "zz")
+    images = spark.createDataFrame([("1.png", "0")], "filename string, sha256 string")
+    review.verify_prepared(images, images.select("filename"), images)
+    for present in (images.limit(0), images.withColumn("sha256", F.lit("9"))):
+        with pytest.raises(ValueError, match="References"):
+            review.verify_prepared(images, images.select("filename"), present)
+    fixes = spark.createDataFrame([("a", "", "new.png", "1", "old")], "slug string, from_image string, target_image string, target_sha256 string, baseline_manifest_sha256 string")
+    for known, shown in (("new", images), ("old", images.withColumn("sha256", F.lit("9")))):
+        with pytest.raises(ValueError, match="Baseline"):
+            catalog.corrected_catalog(rows, fixes, shown, known, images)
+
+
 def test_views(spark):
     image = spark.createDataFrame([("a", 100, 51)], "name string, width int, height int")
     assert [tuple(r)[2:] for r in views.boxes(image, [(0.0, 0.5, 0.25, 1.0)]).collect()] == [(0, 26, 25, 51)]
