@@ -40,7 +40,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 #: Bytes of text in a pack, and in a bucket of packs; bytes of text whose fingerprints one task adds up.
-PACK_BYTES, BUCKET_BYTES, PART_BYTES = 8_000_000, 32_000_000, 24_000_000
+PACK_BYTES, BUCKET_BYTES, PART_BYTES = 8_000_000, 8_000_000, 24_000_000
 #: Entries of the table of random variates; a shingle and a sample choose one by hashing. Steps of the logarithm of a weight.
 TABLE_BITS, LEVELS = 16, 16
 SEED = 11

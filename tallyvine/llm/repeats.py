@@ -42,7 +42,7 @@ from .common import packed_rows, partitions, read_table, unpacked, written, writ
 
 WIDTH, SEED = 50, 16
 #: Bytes of text in a pack, in a bucket of packs, and worked on at a time.
-PACK_BYTES, BUCKET_BYTES, PART_BYTES = 16_000_000, 32_000_000, 2_000_000
+PACK_BYTES, BUCKET_BYTES, PART_BYTES = 8_000_000, 8_000_000, 2_000_000
 #: Bytes of text for each bucket of minimizers, and of segments.
 MINIMIZER_BUCKET, SEGMENT_BUCKET = 16 << 20, 4 << 20
 #: Distinct segments of one minimizer above which its strings travel one by one.
