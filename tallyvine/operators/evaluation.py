@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from .checks import label_violations, missing_keys, prediction_violations, require_none, violations
 
 BINS = [0.0, 0.7, 0.9]
+#: Ranges into which the values of a group are dealt for exact percentiles.
+PERCENTILE_RANGES = 64
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -41,21 +45,49 @@ def errors(rows: DataFrame) -> DataFrame:
 
 def score(predictions: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """accuracy and errors after all checks: shapes, coverage of the labels, unchanged photos."""
-    require_none(label_violations(labels), "Labels")
-    require_none(prediction_violations(predictions), "Predictions")
-    require_none(missing_keys(labels, predictions, "image_path", "image_path", "no prediction"), "Predictions")
     digests = labels.select("image_path", "image_sha256").join(predictions.select("image_path", F.col("image_sha256").alias("seen")), "image_path")
-    require_none(violations(digests, "image_path", {"photo differs": F.col("seen") == F.col("image_sha256")}), "Photos")
+    checks = [  # one pass over all
+        label_violations(labels), prediction_violations(predictions), missing_keys(labels, predictions, "image_path", "image_path", "no prediction"),
+        violations(digests, "image_path", {"photo differs": F.col("seen") == F.col("image_sha256")}),
+    ]
+    require_none(reduce(DataFrame.unionByName, checks), "Predictions and labels")
     rows = judged(predictions, labels)
     return accuracy(rows), errors(rows)
 
 
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share: exact percentiles, linear between neighbours; groups without values are left out.
+
+    Equal values are counted first. A group's values are dealt into ranges by approximate quantiles; the numbers below each range
+    say in which one a percentile's neighbours stand and at what place, so no task sorts a whole group."""
+    slices = [i / PERCENTILE_RANGES for i in range(1, PERCENTILE_RANGES)]
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("_v", slices, PERCENTILE_RANGES * 4).alias("_cuts"), F.sum("_n").alias("_all"))
+    both = counted.alias("l").join(cuts.alias("r"), reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]))
+    dealt = both.select(*[F.col(f"l.{c}").alias(c) for c in by], "_v", "_n", "_all", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_range"))
+    held = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_held"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    held = held.withColumn("_below", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    names = [*by, "_range"]
+    matched = dealt.alias("l").join(held.alias("r"), reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]))
+    within = Window.partitionBy(*names).orderBy("_v")
+    placed = matched.select(*[F.col(f"l.{c}").alias(c) for c in names], "_v", "_n", "_all", "_below").withColumn("_to", F.col("_below") + F.sum("_n").over(within))
+    picked = []
+    for name, share_ in shares.items():
+        at = F.col("_all").cast("double") * share_ - share_  # share x (n - 1), counted from zero
+        low, high = F.floor(at + 1e-9), F.floor(at + 1e-9) + F.when(at - F.floor(at + 1e-9) > 1e-9, 1).otherwise(0)
+        here = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col("_v")))
+        part = F.max(at - low)
+        picked.append((here(low) + (here(high) - here(low)) * part).alias(name))
+    return placed.groupBy(*by).agg(*picked)
+
+
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact p50 and p95 (linear between neighbours) and mean, rounded to whole numbers, half to even."""
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.bround(F.percentile(value, F.lit(0.5))).cast("long").alias("p50"),
-        F.bround(F.percentile(value, F.lit(0.95))).cast("long").alias("p95"), F.bround(F.avg(value)).cast("long").alias("mean"),
-    )
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(value)).cast("long").alias("mean"))
+    exact = exact_percentiles(rows, by, value, {"p50": 0.5, "p95": 0.95})
+    joined = whole.alias("l").join(exact.alias("r"), reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]), "left")
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in by], "n", *[F.bround(c).cast("long").alias(c) for c in ("p50", "p95")], "mean")
 
 
 def evaluation_summary(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -70,6 +102,7 @@ def evaluation_summary(predictions: DataFrame, labels: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ambiguous").alias("ambiguous_labels"), F.count_if("ocr_used").alias("ocr_invocations"),
         F.count_if("verifier_used").alias("verifier_invocations"), one.alias("top1_correct"), five.alias("top5_correct"),
         share(one, verified).alias("top1_accuracy"), share(five, verified).alias("top5_accuracy"),
+        # whole milliseconds: few distinct values
         *[F.bround(F.percentile("latency_ms", F.lit(p / 100))).cast("long").alias(f"p{p}_latency_ms") for p in (50, 95)],
         F.bround(F.avg("latency_ms")).cast("long").alias("mean_latency_ms"),
     )

@@ -18,6 +18,7 @@ from .functions import wordlists as fixed
 from .operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, review, text
 from .plans import predict as plans
 from .plans import views
+from .scratch import written
 
 WORD = "[a-z]{4,}"
 EVERY = 50
@@ -84,9 +85,10 @@ SIMILAR = f"""shared AS (
 
 
 def profile_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """cards and their term profiles; the number of cards is a count of the table."""
+    """cards and their term profiles; the number of cards is a count of the table. Counts and profiles are used twice each, so they are written once."""
     rows = cards(spark, sf)
-    return rows, text.profiles(text.term_counts(rows, WORD, []), table(spark, sf, "documents").count())
+    counts = written(text.term_counts(rows, WORD, []), "term-counts")
+    return rows, written(text.profiles(counts, table(spark, sf, "documents").count()), "term-profiles")
 
 
 def base_slugs(rows: DataFrame) -> DataFrame:
@@ -158,15 +160,16 @@ PHOTO_LABELS = f"""photo_labels AS (
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """The classes of the five nearest images as predicted slugs, and a latency."""
+    """The classes of the five nearest images as predicted slugs, and a latency; written, as several checks read them."""
     found = retrieval.search(whole_queries(spark, sf), gallery(spark, sf), 5)
     top = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x.label.cast("string"))
     rows = found.groupBy("query_id").agg(top.alias("top5_slugs"), F.max("score").alias("score"))
-    return rows.select(
+    guesses = rows.select(
         F.col("query_id").cast("string").alias("image_path"), F.sha2(F.col("query_id").cast("string"), 256).alias("image_sha256"),
         F.get("top5_slugs", F.lit(0)).alias("predicted_slug"), "top5_slugs", F.col("score").alias("confidence"),
         (F.col("query_id") % 97 + 100).alias("latency_ms"), (F.col("query_id") % 3 == 0).alias("ocr_used"), (F.col("query_id") % 4 == 0).alias("verifier_used"),
     )
+    return written(guesses, "predictions")
 
 
 PREDICTIONS = f"""near AS (

@@ -304,6 +304,21 @@ def test_score(spark):
     assert evaluation.accuracy(evaluation.judged(guesses, known.where("status = 'unknown'"))).first().top1_accuracy is None
 
 
+def test_exact_percentiles(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    values = {"a": [rng.gauss(0, 100) for _ in range(700)], "b": [float(rng.randint(0, 3)) for _ in range(400)], "c": [5.0], "d": [1.0, 2.0], None: [rng.random() for _ in range(101)]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("e", None)], "g string, v double")
+    found = {r.g: r for r in evaluation.exact_percentiles(rows, ["g"], "v", {"low": 0.05, "mid": 0.5, "high": 0.95, "top": 1.0}).collect()}
+    assert found.keys() == values.keys()
+    for g, vs in values.items():
+        assert [found[g].low, found[g].mid, found[g].high, found[g].top] == pytest.approx([float(np.percentile(vs, p)) for p in (5, 50, 95, 100)])
+    assert {r.g: r.n for r in evaluation.latency(rows, ["g"], "v").collect()}["e"] == 1
+
+
 def test_review(spark):
     scores = [0.84 - 0.001 * i for i in range(20)]
     ranked = spark.createDataFrame([("a", i, f"s{i}", x) for i, x in enumerate(scores, 1)], "name string, rank int, slug string, score double")
