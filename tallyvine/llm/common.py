@@ -12,41 +12,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, written
+
 #: Columns of the documents table, which every pipeline stage but the last returns.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Rows of a pack, as a power of two and as a bound; most buckets of a scratch table.
 ROW_BITS, ROWS_A_BATCH, MOST_BUCKETS = 16, 1 << 16, 100_000
 
-#: Scratch folder of a local session without spark.checkpoint.dir (tests, single-machine runs).
-LOCAL_SCRATCH = "/tmp/checkpoints"
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Only a local session may leave the setting out. What is written there lives as long as
-    the cluster's policy for checkpoints lets it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def written_in_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like written, dealt out by key: grouping by it, or joining on it, moves only the other side."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
