@@ -18,7 +18,8 @@ from .functions import wordlists as fixed
 from .operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, review, text
 from .plans import predict as plans
 from .plans import views
-from .scratch import written
+from .scratch import scratch_path, written
+from .sources import files
 
 WORD = "[a-z]{4,}"
 EVERY = 50
@@ -900,3 +901,61 @@ SELECT slug, shown, trim(name) || ' | винодельня: ' || winery || ' | '
 )
 def card_lines(spark: SparkSession, sf: str) -> DataFrame:
     return cards(spark, sf).select("slug", card.shown_sweetness().alias("shown"), card.description_line().alias("line"))
+
+
+# ---- files: what is written from the tables is read back ----
+
+
+@query(
+    f"""WITH {CARDS} SELECT slug, name, category, color, region, grape, winery, image_name, reference_available,
+  md5(regexp_replace(description, '^\\s+|\\s+$', '', 'g')) AS description FROM cards"""
+)
+def catalog_file(spark: SparkSession, sf: str) -> DataFrame:
+    path, rows = scratch_path(spark, "catalog-file"), cards(spark, sf)
+    named = rows.select(*[F.col(new).cast("string").alias(old) for old, new in files.CATALOG_COLUMNS.items()], F.lit("ignored").alias("more"))
+    named.write.csv(path, header=True, quoteAll=True, escape='"')
+    return files.read_catalog(spark, path).withColumn("description", F.md5(F.col("description").cast("binary")))
+
+
+@query(f"WITH {PHOTO_LABELS} SELECT image_path, image_sha256, status, slug, evidence FROM photo_labels")
+def label_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "label-file")
+    photo_labels(spark, sf).select(*files.LABEL_COLUMNS).write.csv(path, header=True, sep="\t")
+    return files.read_labels(spark, path)
+
+
+@query(f"WITH {PHOTO_LABELS}, {PREDICTIONS} SELECT image_path, predicted_slug, array_to_string(top5_slugs, ',') AS top5, latency_ms, ocr_used FROM judged")
+def prediction_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "prediction-file")
+    files.write_predictions(predictions(spark, sf), path)
+    return files.read_predictions(spark, path).select("image_path", "predicted_slug", F.array_join("top5_slugs", ",").alias("top5"), "latency_ms", "ocr_used")
+
+
+@query(f"WITH {CARDS} SELECT image_name AS filename, array_to_string(list_sort(list(slug)), ',') AS slugs, sha256(image_name) AS sha256 FROM cards WHERE reference_available GROUP BY image_name")
+def manifest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest is built from the cards and the digests of their images, written, and its images read back."""
+    path, rows = scratch_path(spark, "manifest-file"), cards(spark, sf)
+    digests = rows.select(F.col("image_name").alias("filename"), F.sha2("image_name", 256).alias("sha256")).distinct()
+    files.write_manifest(catalog.build_manifest(rows, digests), path, 0, "source")
+    found = files.read_manifest_part(spark, path, "images", "filename string, sha256 string, slugs array<string>")
+    return found.select("filename", F.array_join("slugs", ",").alias("slugs"), "sha256")
+
+
+@query(
+    """SELECT vec_id AS image_name, CASE WHEN vec_id % 2 = 0 THEN (2 * vec_id) || ',' || (2 * vec_id + 1) ELSE CAST(2 * vec_id AS VARCHAR) END AS slugs,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS first_number FROM embeddings"""
+)
+def index_file(spark: SparkSession, sf: str) -> DataFrame:
+    path, rows = scratch_path(spark, "index-file"), gallery(spark, sf).select("image_name", "slugs", "views")
+    files.write_index(rows, path, "manifest", "views-1")
+    found = files.read_index(spark, path, "manifest", "views-1", rows.select(F.col("image_name").cast("string").alias("filename"), "slugs"))
+    first = F.get(F.get("views", F.lit(0)), F.lit(0)).cast("double")
+    return found.select("image_name", F.array_join("slugs", ",").alias("slugs"), F.round(first, 6).alias("first_number"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS query_id, 'photos/' || vec_id || '.webp' AS image_path FROM embeddings WHERE vec_id % 10 = 0")
+def query_manifest_file(spark: SparkSession, sf: str) -> DataFrame:
+    path, name = scratch_path(spark, "query-file"), F.col("vec_id").cast("string")
+    rows = table(spark, sf, "embeddings").where("vec_id % 10 = 0").select(name.alias("query_id"), F.concat(F.lit("photos/"), name, F.lit(".webp")).alias("image_path"))
+    rows.write.csv(path, header=True, sep="\t")
+    return files.read_query_manifest(spark, path)
