@@ -499,3 +499,24 @@ def keep_firsts(docs: DataFrame) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents"))
+
+
+#: The same rows by all pairs of texts that share a shingle, for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS node, count(*) AS copies FROM documents GROUP BY coalesce(text, '')),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+words AS (SELECT node, copies, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM texts),
+grams AS (SELECT node, copies, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS gram FROM words WHERE len(ws) > 0),
+counted AS (SELECT node, copies, gram, count(*) AS c FROM grams GROUP BY node, copies, gram),
+frequencies AS (SELECT gram, sum(copies) AS df, count(*) AS holders FROM counted GROUP BY gram),
+weighted AS (SELECT node, gram, c * ln(1 + n / (1 + df)) AS w, holders FROM counted JOIN frequencies USING (gram), total),
+whole AS (SELECT node, sum(w) AS mass, count(*) AS size FROM weighted GROUP BY node),
+shared AS (SELECT a.node AS a, b.node AS b, sum(least(a.w, b.w)) AS mass, count(*) AS size
+  FROM weighted a JOIN weighted b ON a.gram = b.gram AND a.node < b.node AND a.holders > 1 GROUP BY a.node, b.node),
+links AS (SELECT a, b FROM shared s JOIN whole x ON x.node = a JOIN whole y ON y.node = b
+  WHERE s.mass >= 0.8 * (x.mass + y.mass - s.mass) OR s.size >= 0.8 * (x.size + y.size - s.size)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+classes AS (SELECT node, least(node, coalesce(min(b), node)) AS class_id FROM texts LEFT JOIN reached ON a = node GROUP BY node)
+SELECT d.doc_id, c.class_id FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes c ON c.node = t.node
+"""

@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_repeats": repeats.ORACLE_SQL,
+    "op4_secrets": secrets.ORACLE_SQL,
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+}

@@ -503,3 +503,21 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED, pack_bytes: int = PA
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+#: The same rows by every string's first document: spans are runs of repeated strings' starts at most WIDTH apart.
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS data FROM documents),
+s AS (SELECT doc_id, unnest(range(1, CAST(octet_length(data) - 48 AS BIGINT))) AS p, data FROM t WHERE octet_length(data) >= 50),
+g AS (SELECT doc_id, p, md5_number(array_slice(data, p, p + 49)) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+d AS (SELECT g.doc_id, g.p FROM g JOIN m ON g.h = m.h WHERE g.doc_id > m.first),
+e AS (SELECT *, CASE WHEN p > lag(p) OVER w + 50 OR lag(p) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops FROM runs GROUP BY doc_id),
+x AS (SELECT t.doc_id, data, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, list_concat([1::BIGINT], coalesce(stops, [])) AS low,
+  list_concat(coalesce(starts, []), [octet_length(data) + 1]) AS high FROM t LEFT JOIN k ON t.doc_id = k.doc_id)
+SELECT doc_id, CAST(octet_length(data) AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(low) + 1), lambda i: hex(array_slice(data, low[i], high[i] - 1))), ''))) AS kept_sha256 FROM x
+"""
