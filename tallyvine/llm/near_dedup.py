@@ -98,11 +98,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, one text after another and sorted within it; their counts; where each text's begin (and the end)."""
-    encoded = [(low if (low := t.lower()).isascii() else OTHER.sub(" ", low)).encode("utf-8", "surrogatepass") for t in texts]
+    return encoded_sets([(low if (low := t.lower()).isascii() else OTHER.sub(" ", low)).encode("utf-8", "surrogatepass") for t in texts], WORDLIKE)
+
+
+def encoded_sets(encoded: list[bytes], wordlike: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets of encoded texts, whose words are runs of the bytes that wordlike marks (the line feed is none)."""
     data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1)
     flags = np.zeros(len(data) + 1, np.int8)
-    flags[:-1] = WORDLIKE[data]
+    flags[:-1] = wordlike[data]
     edges = np.flatnonzero(np.diff(flags, prepend=np.int8(0)))
     starts, stops = edges[0::2], edges[1::2]
     single = word_hashes(data, starts, stops)
@@ -146,14 +150,14 @@ def part_of(prints: np.ndarray, bits: int, parts: int) -> np.ndarray:
     return ((prints >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def exact_frequencies(packs: DataFrame, bits: int, parts: int) -> DataFrame:
+def exact_frequencies(packs: DataFrame, bits: int, parts: int, sets: Callable[[list[str]], tuple[np.ndarray, ...]] = shingle_sets) -> DataFrame:
     """batch, part, n, df: in how many documents each fingerprint of a pack occurs, in the order of the fingerprints (planes of bytes)."""
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for batch, blob in zip(rows.batch, rows.blob, strict=True):
                 texts, _, copies = distinct_of(unpacked(blob).column("text").to_pylist())
-                found, _, begin = shingle_sets(texts)
+                found, _, begin = sets(texts)
                 prints, at = fingerprints(found, bits)
                 held = np.bincount(at, np.repeat(copies, np.diff(begin)), len(prints))
                 part, starts = np.unique(part_of(prints, bits, parts), return_index=True)

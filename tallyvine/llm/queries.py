@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, repeats, secrets, sharding, toxicity
+from . import alignment, decontaminate, exact_dedup, mixing, near_dedup, ngram_join, pii, quality, repeats, secrets, sharding, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
+    "op12_spelling": spelling.op12_spelling,
     "op13_alignment": alignment.op13_alignment,
 }
 
@@ -27,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op4_secrets": secrets.ORACLE_SQL,
     "op6_near_dedup": near_dedup.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_ngram_join": ngram_join.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }
