@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ def unit(vector: Column) -> Column:
     return F.when(usable(vector), scaled).otherwise(F.raise_error(F.lit("vector is empty, zero or not finite")).cast("array<double>"))
 
 
+#: Pairs of strings compared at a time, and the letters of the shorter one that a machine word holds.
+PAIRS, WORD_BITS = 4096, 63
+
+
 def indel_ratio(a: str, b: str) -> float:
     """200 x longest common subsequence / sum of lengths; 100 for two empty strings."""
     if not a or not b:
@@ -46,13 +51,42 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, a row for each word, and lengths."""
+    out = np.array(words, dtype=np.str_)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.ascontiguousarray(out).view(np.uint32).reshape(len(words), -1), lengths
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """indel_ratio of many pairs at once, of which one string has at most WORD_BITS letters: all pairs go through a letter of the other string together."""
+    short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
+    (letters, n), (other, m) = _codes(short), _codes(long)
+    bits = np.uint64(1) << np.arange(letters.shape[1], dtype=np.uint64)
+    held = np.arange(letters.shape[1]) < n[:, None]
+    full = (held * bits).sum(axis=1, dtype=np.uint64)
+    row = full.copy()
+    for j in range(other.shape[1]):
+        same = ((letters == other[:, j : j + 1]) & held & (j < m)[:, None]) * bits
+        kept = row & same.sum(axis=1, dtype=np.uint64)
+        row = ((row + kept) | (row - kept)) & full
+    common = n - np.bitwise_count(row)
+    return np.where(n + m > 0, 200.0 * common / np.maximum(n + m, 1), 100.0)
+
+
 def similarity_ratio(a: Column, b: Column) -> Column:
-    """indel_ratio; each pair of a batch is compared once."""
+    """indel_ratio of each pair, many at a time; null counts as empty."""
 
     def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-        pairs = list(zip(x.fillna(""), y.fillna(""), strict=True))
-        known = {p: indel_ratio(*p) for p in set(pairs)}
-        return pd.Series([known[p] for p in pairs], dtype=float)
+        left, right, out = x.fillna("").tolist(), y.fillna("").tolist(), np.empty(len(x))
+        few = np.array([min(len(p), len(q)) <= WORD_BITS and max(len(p), len(q)) <= 8 * WORD_BITS for p, q in zip(left, right, strict=True)], bool)
+        at = np.flatnonzero(few)
+        for i in range(0, len(at), PAIRS):
+            some = at[i : i + PAIRS]
+            out[some] = indel_ratios([left[k] for k in some], [right[k] for k in some])
+        for k in np.flatnonzero(~few):  # longer than a machine word
+            out[k] = indel_ratio(left[k], right[k])
+        return pd.Series(out, dtype=float)
 
     return F.pandas_udf(ratios, "double")(a, b)
 

@@ -91,6 +91,12 @@ COLOR_PHRASES = {
     "red": "среди красных", "white": "среди белых", "rose": "среди розовых", "orange": "среди оранжевых", "sparkling": "среди игристых",
 }
 
+# Reasons and notes of recommendations.
+SAME_STYLE, SAME_GRAPE, ALSO, SIMILAR_NOTES = "тот же стиль вина", "тот же сорт: ", "тоже ", "похожие ноты: "
+TEXT_ADVISES, FITS_ANSWERS, ANY_COLOR = "описание советует: ", "подходит под ваши ответы", "в каталоге"
+NO_SUCH_SWEETNESS = "Вин с такой сладостью {color} нет — показываю ближайшие без учёта сладости."
+NO_SUCH_DISH = "Прямых рекомендаций к блюду «{dish}» среди таких вин нет; к нему обычно берут {typical}. Вот ближайшие по стилю."
+
 # Words of descriptions that say nothing about taste, and the endings of adjectives.
 TASTE_WORD = "[а-яё]{4,}"
 STOP_WORDS = """вино вина вином винограда виноград винодельни винодельня аромат аромате ароматы ароматом вкус вкусе вкуса вкусом

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import written
 from .checks import label_violations, missing_keys, prediction_violations, require_none, violations
 
 BINS = [0.0, 0.7, 0.9]
-#: Ranges into which the values of a group are dealt for exact percentiles.
-PERCENTILE_RANGES = 64
+#: Size of the sketch that brackets a percentile, how far to each side of it a bracket goes, and most values of a bracket.
+SKETCH, MARGIN, IN_BRACKET = 1024, 0.01, 1_000_000
+#: Steps of rank at which a sketch is asked for narrower brackets.
+GRID = 200
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -55,31 +58,76 @@ def score(predictions: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     return accuracy(rows), errors(rows)
 
 
+def same(by: list[str]) -> Column:
+    """Equal groups of the sides l and r, nulls included."""
+    return reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by])
+
+
+def brackets(values: DataFrame, by: list[str], named: list[tuple[str, float]], margin: float, known: DataFrame | None = None) -> DataFrame:
+    """For each group and percentile low and high values that should enclose it, by a KLL sketch of all values, or of those within known brackets."""
+
+    if known is None:
+        sketched = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.kll_sketch_agg_double("_v", SKETCH).alias("_s"))
+        ends = [F.kll_sketch_get_quantile_double("_s", F.lit(min(1.0, max(0.0, p + d * margin)))).alias(f"_{s}_{n}") for n, p in named for s, d in (("low", -1), ("high", 1))]
+        return sketched.select(*by, "_all", *ends)
+    sides = [f"_{s}_{n}" for n, _ in named for s in ("low", "high")]
+    met = values.alias("l").join(known.alias("r"), same(by)).select(*[F.col(f"l.{c}").alias(c) for c in by], "_v", "_all", *sides)
+    within = {n: F.col("_v").between(F.col(f"_low_{n}"), F.col(f"_high_{n}")) for n, _ in named}
+    sketched = met.groupBy(*by, "_all", *sides).agg(
+        *[F.kll_sketch_agg_double(F.when(within[n], F.col("_v")), SKETCH).alias(f"_s_{n}") for n, _ in named],
+        *[F.count_if(F.col("_v") < F.col(f"_low_{n}")).alias(f"_below_{n}") for n, _ in named], *[F.count_if(within[n]).alias(f"_within_{n}") for n, _ in named],
+    )
+    grid, ends = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), []  # a sketch is asked at fixed ranks
+    for n, p in named:
+        rank = (F.lit(p) * (F.col("_all") - 1) - F.col(f"_below_{n}")) / F.greatest(F.col(f"_within_{n}"), F.lit(1))
+        values_at = F.kll_sketch_get_quantile_double(f"_s_{n}", grid)
+        for s, at in (("low", F.floor((rank - margin) * GRID)), ("high", F.ceil((rank + margin) * GRID))):
+            end = F.element_at(values_at, F.least(F.greatest(at, F.lit(0)), F.lit(GRID)).cast("int") + 1)
+            ends.append(F.when(F.col(f"_within_{n}") > 0, end).otherwise(F.col(f"_{s}_{n}")).alias(f"_{s}_{n}"))
+    return sketched.select(*by, "_all", *ends)
+
+
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """by and a column for each share: exact percentiles, linear between neighbours; groups without values are left out.
 
-    Equal values are counted first. A group's values are dealt into ranges by approximate quantiles; the numbers below each range
-    say in which one a percentile's neighbours stand and at what place, so no task sorts a whole group."""
-    slices = [i / PERCENTILE_RANGES for i in range(1, PERCENTILE_RANGES)]
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counted.groupBy(*by).agg(F.percentile_approx("_v", slices, PERCENTILE_RANGES * 4).alias("_cuts"), F.sum("_n").alias("_all"))
-    both = counted.alias("l").join(cuts.alias("r"), reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]))
-    dealt = both.select(*[F.col(f"l.{c}").alias(c) for c in by], "_v", "_n", "_all", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_range"))
-    held = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_held"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    held = held.withColumn("_below", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
-    names = [*by, "_range"]
-    matched = dealt.alias("l").join(held.alias("r"), reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]))
-    within = Window.partitionBy(*names).orderBy("_v")
-    placed = matched.select(*[F.col(f"l.{c}").alias(c) for c in names], "_v", "_n", "_all", "_below").withColumn("_to", F.col("_below") + F.sum("_n").over(within))
-    picked = []
-    for name, share_ in shares.items():
+    A sketch of each group brackets every percentile in one pass (brackets that would hold more than IN_BRACKET values are
+    narrowed by further sketches). One exact pass then counts the values within the brackets one by one and all others by the gap they lie in,
+    so places are known without sorting a group. A bracket that turns out to miss its place is taken wider, up to all values."""
+    if not by:
+        return exact_percentiles(rows.withColumn("_group", F.lit(0)), ["_group"], value, shares).drop("_group")
+    values = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    named, margin = list(shares.items()), MARGIN
+    found = written(brackets(values, by, named, margin), "percentile-brackets")  # a row for each group
+    largest = found.agg(F.coalesce(F.max("_all"), F.lit(0))).first()[0]
+    while 2 * margin * largest > IN_BRACKET:
+        found = written(brackets(values, by, named, margin, found), "percentile-brackets")
+        largest *= 2 * (margin + 1 / GRID)
+    while True:
+        result = written(_placed(values, by, named, found), "percentiles")
+        if margin >= 1 or not result.where("_missed").take(1):
+            return result.drop("_missed")
+        margin = max(8 * margin, 0.05)
+        found = written(brackets(values, by, named, min(margin, 1.0)), "percentile-brackets")
+
+
+def _placed(values: DataFrame, by: list[str], named: list[tuple[str, float]], found: DataFrame) -> DataFrame:
+    """The percentiles, and whether a bracket misses its place."""
+    inside = reduce(Column.__or__, [F.col("_v").between(F.col(f"_low_{n}"), F.col(f"_high_{n}")) for n, _ in named])
+    gap = reduce(Column.__add__, [(F.col("_v") >= F.col(f"_low_{n}")).cast("int") + (F.col("_v") > F.col(f"_high_{n}")).cast("int") for n, _ in named])
+    met = values.alias("l").join(found.alias("r"), same(by))
+    cells = met.select(*[F.col(f"l.{c}").alias(c) for c in by], "_all", gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_v"))
+    counted = cells.groupBy(*by, "_all", "_gap", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_gap", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_to", F.sum("_n").over(upto))
+    picked, missed = [], []
+    for name, share_ in named:
         at = F.col("_all").cast("double") * share_ - share_  # share x (n - 1), counted from zero
         low, high = F.floor(at + 1e-9), F.floor(at + 1e-9) + F.when(at - F.floor(at + 1e-9) > 1e-9, 1).otherwise(0)
         here = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col("_v")))
         part = F.max(at - low)
         picked.append((here(low) + (here(high) - here(low)) * part).alias(name))
-    return placed.groupBy(*by).agg(*picked)
+        missed.append(here(low).isNull() | here(high).isNull())
+    return counted.groupBy(*by).agg(*picked, reduce(Column.__or__, missed).alias("_missed"))
 
 
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -143,11 +191,18 @@ def review_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def folded(value: Column) -> Column:
+    """Compared without regard to case, in any script: the full upper-case mapping makes ß and ss one, and both small sigmas (and a dotless i one with i).
+
+    A collation without case finds equal texts too, but no substring across such an expansion."""
+    return F.replace(F.upper(value), F.lit("\u0130"), F.lit("I\u0307"))
+
+
 def review_list(summary: DataFrame, status: str = "all", query: str = "", names: list[str] = ("name", "evidence", "verified_slug", "top1")) -> DataFrame:
     """Photos of a status whose name, evidence or slugs contain the query, letters in either case."""
     if status not in ("all", "verified", "unknown", "ambiguous"):
         raise ValueError(f"Unknown status: {status}")
     rows = summary if status == "all" else summary.where(F.col("status") == status)
-    wanted = query.strip().lower()
-    where = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]))
-    return rows.where(F.contains(where, F.lit(wanted))) if wanted else rows
+    wanted = query.strip()
+    where = F.concat_ws(" ", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
+    return rows.where(F.contains(folded(where), folded(F.lit(wanted)))) if wanted else rows

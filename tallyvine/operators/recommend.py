@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import wordlists as fixed
-from ..functions.cards import any_stem, color_key, grape_set, is_sparkling, jaccard, sweetness_level, text
+from ..functions.cards import any_stem, color_key, grape_set, is_sparkling, sweetness_level, text
+from ..scratch import written
 from .pairing import dish_fit, known_dish
-from .text import text_similarity
+from .text import UNIT, best_notes, profile_vectors, shared_products, sum_units, text_similarity
 
-DIGITS = 4
 MOST_ANALOGUES, ANALOGUES, PICKS = 8, 4, 3
+#: Weights of what two cards have in common, in tenths.
+GRAPES, SWEETNESS, REGION, TEXT = 30, 15, 7, 30
+#: Postings that a base looks at before its least score is known.
+FIRST_POSTINGS = 64
 LONG_DESCRIPTION, LENGTH_SCALE = 600, 1200
 
 
@@ -32,38 +36,140 @@ def reasons_or(default: str, *reasons: Column) -> Column:
     return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(default)))
 
 
+def tenths(n: int) -> int:
+    return n * UNIT // 10
+
+
+def share_units(times: int, part: Column, whole: Column) -> Column:
+    """times * part / whole in whole units, rounded down; 0 of nothing."""
+    top = part.cast("long") * (times * UNIT)
+    return F.when(whole > 0, ((top - top % whole) / whole).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def jaccard_units(times: int, a: Column, b: Column) -> Column:
+    return share_units(times, F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def shown(units: Column) -> Column:
+    """A score as it is shown: four digits."""
+    return F.floor((units + UNIT // 20_000) / (UNIT // 10_000)) / 10_000
+
+
 def one_per_winery(scored: DataFrame, by: list[str]) -> DataFrame:
-    """The best row of each winery, and its place among them: score first, then slug."""
-    best = Window.partitionBy(*by, "winery").orderBy(F.desc("score"), "slug")
-    place = Window.partitionBy(*by).orderBy(F.desc("score"), "slug")
+    """The best row of each winery, and its place among them: unrounded score (units) first, then slug."""
+    best = Window.partitionBy(*by, "winery").orderBy(F.desc("units"), "slug")
+    place = Window.partitionBy(*by).orderBy(F.desc("units"), "slug")
     only = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
     return only.withColumn("place", F.row_number().over(place))
 
 
-def analogues(features: DataFrame, bases: DataFrame, profiles: DataFrame, limit: int = ANALOGUES, adjective: str = fixed.ADJECTIVE) -> DataFrame:
-    """base, place, slug, score, reasons: available cards of the same colour and kind from other wineries.
+def static_units(base: str = "b_") -> Column:
+    """What sweetness and region give, from columns of both cards; an unknown sweetness equals none."""
+    sweet = F.coalesce(F.col("sweetness") == F.col(f"{base}sweetness"), F.lit(False))
+    return sweet.cast("long") * tenths(SWEETNESS) + F.coalesce(F.col("region") == F.col(f"{base}region"), F.lit(False)).cast("long") * tenths(REGION)
 
-    bases: slug, a stated set. The colour and the kind are join keys; the text part joins on shared terms."""
-    limit = max(1, min(limit, MOST_ANALOGUES))
-    chosen = features.join(bases.select("slug"), "slug")
-    base = chosen.select(*[F.col(c).alias(f"b_{c}") for c in ("slug", "color", "sparkling", "sweetness", "grapes", "region", "winery")])
-    same_kind = (F.col("color") == F.col("b_color")) & (F.col("sparkling") == F.col("b_sparkling"))
-    pairs = features.where("available").join(base, same_kind & (F.col("winery") != F.col("b_winery")) & (F.col("slug") != F.col("b_slug")))
-    text_part = text_similarity(profiles.join(bases.select("slug"), "slug"), profiles, adjective=adjective)
-    joined = pairs.join(text_part.withColumnRenamed("base", "b_slug"), ["b_slug", "slug"], "left").withColumn("text", F.coalesce("text", F.lit(0.0)))
+
+def elements(of: DataFrame, *columns: str) -> DataFrame:
+    """A row for each grape and term of each card: element (a hash of it with colour and kind), weight (null for a grape)."""
+    parts = F.concat(
+        F.transform("grapes", lambda g: F.struct(F.lit("grape").alias("what"), g.alias("value"), F.lit(None).cast("double").alias("weight"))),
+        F.transform("vector", lambda x: F.struct(F.lit("term").alias("what"), x.term.alias("value"), x.weight.alias("weight"))),
+    )
+    return of.select(*columns, F.explode(parts).alias("e"), "color", "sparkling").select(
+        *columns, F.xxhash64("e.what", "e.value", "color", "sparkling").alias("element"), F.col("e.weight").alias("weight")
+    )
+
+
+def first_slugs(cards: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, slugs: of the first wineries by their smallest slug, that slug. Cards with nothing else in common can only come in this order."""
+    wineries = cards.groupBy(*keys, "winery").agg(F.min("slug").alias("slug"))
+    order = Window.partitionBy(*keys).orderBy("slug")
+    return wineries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).groupBy(*keys).agg(F.collect_list("slug").alias("slugs"))
+
+
+def reach(base_elements: DataFrame, sizes: DataFrame) -> DataFrame:
+    """base_elements with the number of cards behind each (n), in the order of that number, the number so far (so_far),
+    and the most that this element and those after it can give to a score."""
+    every = base_elements.join(sizes, "element")  # one that no card has gives nothing
+    order = Window.partitionBy("b_slug").orderBy("n", "element")
+    after = order.rowsBetween(0, Window.unboundedFollowing)
+    grapes = F.count(F.when(F.col("weight").isNull(), 1)).over(after)
+    length = F.sqrt(F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(after), F.lit(0.0)))
+    most = share_units(GRAPES // 10, grapes, F.col("b_n_grapes")) + F.ceil(length * (TEXT / 10 * UNIT * (1 + 1e-9))) + 1000
+    return every.withColumn("reach", most).withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def scored_pairs(pairs: DataFrame, cards: DataFrame, adjective: str) -> DataFrame:
+    """base, slug, winery, units, reasons of pairs (b_slug, slug), computed in full."""
+    base = cards.select(*[F.col(c).alias(f"b_{c}") for c in cards.columns if c != "available"])
+    both = pairs.join(cards, "slug").join(base, "b_slug").where(
+        (F.col("winery") != F.col("b_winery")) & (F.col("slug") != F.col("b_slug")) & F.col("available") & (F.col("color") == F.col("b_color"))
+        & (F.col("sparkling") == F.col("b_sparkling"))
+    )
+    both = both.withColumn("products", shared_products(F.col("b_vector"), F.col("vector")))
+    both = both.withColumn("text", sum_units(F.col("products"))).withColumn("notes", best_notes(F.col("products"), 3, adjective))
     common = F.array_sort(F.array_intersect("grapes", "b_grapes"))
-    same_sweetness = F.coalesce(F.col("sweetness") == F.col("b_sweetness"), F.lit(False))
-    same_region = F.col("region") == F.col("b_region")
-    score = 3 * jaccard(F.col("b_grapes"), F.col("grapes")) + 1.5 * same_sweetness.cast("int") + 0.7 * same_region.cast("int") + 3 * F.col("text")
+    same_sweetness, same_region = F.coalesce(F.col("sweetness") == F.col("b_sweetness"), F.lit(False)), F.col("region") == F.col("b_region")
+    units = jaccard_units(GRAPES // 10, F.col("b_grapes"), F.col("grapes")) + static_units() + TEXT // 10 * F.col("text")
     reasons = reasons_or(
-        "тот же стиль вина",
-        F.when(F.size(common) > 0, F.concat(F.lit("тот же сорт: "), F.array_join(F.slice(common, 1, 2), ", "))),
-        F.when(same_sweetness, F.concat(F.lit("тоже "), "sweetness")),
-        F.when(same_region & (F.col("region") != ""), F.concat(F.lit("тоже "), "region")),
-        F.when((F.col("text") > 0.05) & (F.size("notes") > 0), F.concat(F.lit("похожие ноты: "), F.array_join("notes", ", "))),
+        fixed.SAME_STYLE,
+        F.when(F.size(common) > 0, F.concat(F.lit(fixed.SAME_GRAPE), F.array_join(F.slice(common, 1, 2), ", "))),
+        F.when(same_sweetness, F.concat(F.lit(fixed.ALSO), "sweetness")),
+        F.when(same_region & (F.col("region") != ""), F.concat(F.lit(fixed.ALSO), "region")),
+        F.when((F.col("text") > UNIT // 20) & (F.size("notes") > 0), F.concat(F.lit(fixed.SIMILAR_NOTES), F.array_join("notes", ", "))),
     )
-    scored = joined.select(F.col("b_slug").alias("base"), "slug", "winery", F.round(score, DIGITS).alias("score"), reasons.alias("reasons"))
-    return one_per_winery(scored, ["base"]).where(F.col("place") <= limit).select("base", "place", "slug", "score", "reasons")
+    return both.select(F.col("b_slug").alias("base"), "slug", "winery", units.alias("units"), reasons.alias("reasons"))
+
+
+def analogues(features: DataFrame, bases: DataFrame, profiles: DataFrame, limit: int = ANALOGUES, adjective: str = fixed.ADJECTIVE) -> DataFrame:
+    """base, place, slug, score, reasons: the best available cards of the same colour and kind from other wineries, one per winery, exactly.
+
+    bases: slug, a stated set. A threshold algorithm in place of all pairs of a kind. Cards that share neither grape nor term with a base
+    score by sweetness and region alone, so the first slugs of a few wineries stand for all of them. Others come from
+    the postings of the base's grapes and terms, those with the fewest cards first. The first FIRST_POSTINGS give each base a
+    score that limit wineries reach; beyond them a posting is followed only where all that is left of grapes (at most their share) and
+    terms (at most the length of their weights), with what the card's sweetness and region give, can reach that score."""
+    limit = max(1, min(limit, MOST_ANALOGUES))
+    found, _ = analogue_scores(features, bases, profiles, limit, adjective)
+    best = one_per_winery(found, ["base"]).where(F.col("place") <= limit)
+    return best.select("base", "place", "slug", shown(F.col("units")).alias("score"), "reasons")
+
+
+def analogue_scores(features: DataFrame, bases: DataFrame, profiles: DataFrame, limit: int, adjective: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Scores of all pairs that may come among the best limit, and the tables of the pairs that were formed."""
+    columns = ["slug", "color", "sparkling", "sweetness", "grapes", "region", "winery", "available"]
+    none = F.array().cast("array<struct<term:string,weight:double>>")
+    cards = features.select(*columns).join(profile_vectors(profiles), "slug", "left").withColumn("vector", F.coalesce("vector", none))
+    cards = written(cards, "analogue-cards")
+    offered = cards.where("available")
+    posted = written(elements(offered, "slug", "sweetness", "region").drop("weight"), "analogue-postings")
+    sizes = posted.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    chosen = cards.join(bases.select("slug").distinct(), "slug", "left_semi")
+    base = chosen.select(F.col("slug").alias("b_slug"), F.col("sweetness").alias("b_sweetness"), F.col("region").alias("b_region"), "color", "sparkling")
+    asked = elements(chosen.withColumn("b_n_grapes", F.size("grapes")), "slug", "sweetness", "region", "b_n_grapes")
+    asked = asked.select(F.col("slug").alias("b_slug"), F.col("sweetness").alias("b_sweetness"), F.col("region").alias("b_region"), "b_n_grapes", "element", "weight")
+    asked = written(reach(asked, sizes), "analogue-elements")
+
+    lists = []
+    for same in (["sweetness", "region"], ["sweetness"], ["region"], []):
+        keys = ["color", "sparkling", *same]
+        firsts = first_slugs(offered, keys, limit + 1)
+        renamed = base.select("b_slug", "color", "sparkling", *[F.col(f"b_{c}").alias(c) for c in same])
+        lists.append(renamed.join(firsts, keys).select("b_slug", F.explode("slugs").alias("slug")))
+    rare = asked.where(F.col("so_far") <= FIRST_POSTINGS).join(posted.select("element", "slug"), "element").select("b_slug", "slug")
+    early = rare
+    for rows in lists:
+        early = early.unionByName(rows)
+    early = written(early.distinct(), "analogue-pairs")
+    known = written(scored_pairs(early, cards, adjective), "analogue-scores")
+
+    ranked = one_per_winery(known.select("base", "slug", "winery", "units"), ["base"])
+    least = ranked.where(F.col("place") == limit).select(F.col("base").alias("b_slug"), F.col("units").alias("least"))
+    due = asked.where(F.col("so_far") > FIRST_POSTINGS).join(least, "b_slug", "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    due = due.where(F.col("reach") + tenths(SWEETNESS + REGION) >= F.col("least")).select("b_slug", "b_sweetness", "b_region", "element", "reach", "least")
+    late = due.join(posted, "element").where(F.col("reach") + static_units() >= F.col("least")).select("b_slug", "slug").distinct()
+    late = written(late.join(early, ["b_slug", "slug"], "left_anti"), "analogue-pairs")
+    return known.unionByName(scored_pairs(late, cards, adjective)), [early, late]
 
 
 def check_wishes(dish: str | None, color: str | None, sweetness: str | None) -> None:
@@ -79,8 +185,9 @@ def sommelier(
     features: DataFrame, fits: DataFrame | None = None, dish: str | None = None, color: str | None = None, sweetness: str | None = None,
     like: str | None = None, profiles: DataFrame | None = None, limit: int = PICKS, offset: int = 0, stems: list[str] | None = None,
 ) -> DataFrame:
-    """place, slug, score, reasons, total, note: available cards that meet the wishes, one per winery.
+    """place, slug, score, reasons, total, note: available cards that meet the wishes, one per winery, in the order of their unrounded scores.
 
+    A page without cards is one row that has total and note only.
     fits: slug, place of the dish for the card's style (see dish_fit); like: a slug, which needs profiles. If no card has the
     wished sweetness, all are shown without that wish and the note says so."""
     check_wishes(dish, color, sweetness)
@@ -98,39 +205,39 @@ def sommelier(
     if strict:
         rows = rows.where("meets")
     reasons = [level if sweetness and strict else F.lit(None).cast("string")]
-    score, strong = F.lit(0.0), F.lit(True)
+    units, strong = F.lit(0).cast("long"), F.lit(True)
     if dish:
         rows = rows.join(fits.select("slug", F.col("place").alias("dish_place")), "slug", "left")
-        fit = F.when(F.col("dish_place") <= 2, 3.0).when(F.col("dish_place") == 3, 1.5).otherwise(0.0)
+        fit = F.when(F.col("dish_place") <= 2, 30).when(F.col("dish_place") == 3, 15).otherwise(0)  # in tenths
         mentions = any_stem(F.lower("description"), stems or fixed.DISH_STEMS[dish])
         label = fixed.DISHES[dish].lower()
-        score, strong = score + fit + 2.0 * mentions.cast("int"), (fit >= 1.5) | mentions
-        said = F.when(fit == 3.0, f"{label}: {fixed.FITS[0]}").when(fit == 1.5, f"{label}: {fixed.FITS[1]}")
-        reasons.append(F.when(mentions, f"описание советует: {label}").otherwise(said))
+        units, strong = units + (fit + 20 * mentions.cast("int")) * F.lit(tenths(1)), (fit >= 15) | mentions
+        said = F.when(fit == 30, f"{label}: {fixed.FITS[0]}").when(fit == 15, f"{label}: {fixed.FITS[1]}")
+        reasons.append(F.when(mentions, f"{fixed.TEXT_ADVISES}{label}").otherwise(said))
     if like:
         base = F.lit((features.where(F.col("slug") == like).select("grapes").first() or [[]])[0]).cast("array<string>")  # one card
-        near = text_similarity(profiles.where(F.col("slug") == like), profiles).select("slug", "text")
+        near = text_similarity(profiles.where(F.col("slug") == like), profiles).select("slug", F.col("units").alias("text"))
         rows = rows.join(near, "slug", "left")
         common = F.array_sort(F.array_intersect("grapes", base))
-        score = score + 3 * F.coalesce("text", F.lit(0.0)) + 2 * jaccard(base, F.col("grapes"))
-        reasons.append(F.when(F.size(common) > 0, F.concat(F.lit("тот же сорт: "), F.array_join(F.slice(common, 1, 2), ", "))))
-    score = score + F.least(F.length("description"), F.lit(LONG_DESCRIPTION)) / LENGTH_SCALE
-    scored = rows.select(
-        "slug", "winery", F.round(score, DIGITS).alias("score"), reasons_or("подходит под ваши ответы", *reasons).alias("reasons"),
-        strong.alias("strong"),
-    )
+        units = units + 3 * F.coalesce("text", F.lit(0)) + jaccard_units(2, base, F.col("grapes"))
+        reasons.append(F.when(F.size(common) > 0, F.concat(F.lit(fixed.SAME_GRAPE), F.array_join(F.slice(common, 1, 2), ", "))))
+    units = units + share_units(1, F.least(F.length("description"), F.lit(LONG_DESCRIPTION)), F.lit(LENGTH_SCALE))
+    scored = rows.select("slug", "winery", units.alias("units"), reasons_or(fixed.FITS_ANSWERS, *reasons).alias("reasons"), strong.alias("strong"))
     any_strong, total = scored.agg(F.coalesce(F.bool_or("strong"), F.lit(True)), F.countDistinct("winery")).first()
     notes = []
-    if not strict:
-        notes.append(f"Вин с такой сладостью {fixed.COLOR_PHRASES.get(color, 'в каталоге')} нет — показываю ближайшие без учёта сладости.")
+    if not strict and total:
+        notes.append(fixed.NO_SUCH_SWEETNESS.format(color=fixed.COLOR_PHRASES.get(color, fixed.ANY_COLOR)))
     if dish and not any_strong:
-        notes.append(f"Прямых рекомендаций к блюду «{fixed.DISHES[dish].lower()}» среди таких вин нет; к нему обычно берут {fixed.TYPICAL[dish]}. Вот ближайшие по стилю.")
-    best = scored.groupBy("winery").agg(F.min(F.struct((-F.col("score")).alias("o"), "slug", "score", "reasons")).alias("x")).select("x.*")
-    shown = best.orderBy("o", "slug").limit(max(0, offset) + limit)  # a page of the answer
+        notes.append(fixed.NO_SUCH_DISH.format(dish=fixed.DISHES[dish].lower(), typical=fixed.TYPICAL[dish]))
+    best = scored.groupBy("winery").agg(F.min(F.struct((-F.col("units")).alias("o"), "slug", "reasons")).alias("x")).select("x.*")
+    cut = best.orderBy("o", "slug").limit(max(0, offset) + limit)  # a page of the answer
     place = Window.orderBy("o", "slug")
-    paged = shown.withColumn("place", F.row_number().over(place)).where(F.col("place") > max(0, offset))
+    paged = cut.withColumn("place", F.row_number().over(place)).where(F.col("place") > max(0, offset))
     said = F.lit(" ".join(notes) or None).cast("string")
-    return paged.select("place", "slug", "score", "reasons", F.lit(total).cast("long").alias("total"), said.alias("note"))
+    paged = paged.select("place", "slug", shown(-F.col("o")).alias("score"), "reasons")
+    nothing = features.sparkSession.range(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in paged.dtypes])
+    either = F.col("place").isNotNull() | (F.count("place").over(Window.partitionBy(F.lit(0))) == 0)  # of one page
+    return paged.unionByName(nothing).withColumn("_shown", either).where("_shown").drop("_shown").withColumn("total", F.lit(total).cast("long")).withColumn("note", said)
 
 
 def sommelier_for_cards(cards: DataFrame, dish: str | None = None, **wishes) -> DataFrame:

@@ -1,21 +1,80 @@
 """Exact retrieval: every query against every gallery image, best view per crop, mean over crops.
 
-Queries are a stated set. Gallery and queries are dealt into blocks; a task takes one block of each and keeps only
-its own best k for each query before these are put together. Nothing passes through the driver.
+Vectors are scaled to length one first; a vector that is empty, zero or not finite, or of another width, is an error.
+
+Images are pruned exactly. Some images, chosen by hash, serve as pivots: they give each query a score that k images reach, and
+every image belongs to the pivot next to it. By the triangle inequality of angles no image of such a group is nearer to a crop than
+the crop's angle to the pivot, less the largest angle of the group's own views; a group none of whose images can reach a query's
+score is skipped for that query. One block of queries of at most QUERY_BYTES is sent to the gallery, which stays where it is;
+more queries meet the groups they can't skip in a shuffle, in blocks of at most BLOCK_BYTES. A task keeps its own best k of
+each query before these are put together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-#: Most queries and images of a block; scores worked on at a time.
-QUERY_BLOCK, GALLERY_BLOCK, CELLS = 4096, 32_768, 1 << 21
+from ..scratch import written
+
+#: Bytes of the vectors (as doubles) of a block of images and of queries; scores worked on at a time.
+BLOCK_BYTES, QUERY_BYTES, CELLS = 64_000_000, 64_000_000, 1 << 21
+#: Most pivots, a sample of the gallery by a hash of the names, and their bytes.
+PIVOTS, PIVOT_BYTES = 256, 16_000_000
 #: Scores closer than this count as equal, and then names decide.
 DIGITS = 6
+#: What rounding and arithmetic may add to a bound.
+SLACK = 2e-6
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Scaled to length one along the last axis."""
+    length = np.linalg.norm(vectors, axis=-1, keepdims=True)
+    if not vectors.shape[-1] or not np.isfinite(length).all() or (length == 0).any():
+        raise ValueError("Vectors must be finite and not zero")
+    return vectors / length
+
+
+def vectors_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows x vectors x numbers of a column of arrays of vectors, scaled to length one."""
+    n = len(column)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    vectors = flat.flatten()
+    numbers = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float)
+    if flat.null_count or vectors.null_count or len(numbers) != len(vectors) * width or (n and len(vectors) % n):
+        raise ValueError("Query and gallery feature dimensions differ")
+    return unit_rows(numbers.reshape(n, -1, width))
+
+
+def mean_of_best(crops: np.ndarray, views: np.ndarray) -> np.ndarray:
+    """Queries x images: the best view of each crop, the mean over crops."""
+    scores = np.zeros((len(crops), len(views)))
+    for c in range(crops.shape[1]):
+        scores += np.stack([crops[:, c] @ views[:, v].T for v in range(views.shape[1])]).max(axis=0)
+    return scores / crops.shape[1]
+
+
+def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the unit vectors in the last axis, pair by pair."""
+    return np.arccos(np.clip((a * b).sum(axis=-1), -1, 1))
+
+
+def most_possible(crops: np.ndarray, pivot: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each query no image whose views are within radius of the pivot's has a larger score."""
+    apart = np.arccos(np.clip(crops @ pivot.T, -1, 1))  # queries x crops x views
+    return np.cos(np.maximum(apart - radius, 0)).max(axis=2).mean(axis=1) + SLACK
+
+
+def nearest(views: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The pivot next to each image, view by view."""
+    return (views.reshape(len(views), -1) @ pivots.reshape(len(pivots), -1).T).argmax(axis=1)
 
 
 def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,48 +91,177 @@ def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
     return row[kept], column[kept]
 
 
-def search(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+class Asked:
+    """Queries with the score that each has reached, and their best images in one task."""
+
+    def __init__(self, ids: np.ndarray, crops: np.ndarray, reached: np.ndarray, k: int):
+        self.ids, self.crops, self.reached, self.k, self.found = ids, crops, reached.copy(), k, []
+
+    def compare(self, images: pd.DataFrame, views: np.ndarray, pivots: np.ndarray) -> tuple[int, int]:
+        """Images (image_name and what comes along) by groups; returns the pairs of groups and queries, and how many were skipped."""
+        names, group = images["image_name"].to_numpy(), nearest(views, pivots)
+        place = images["image_name"].rank(method="first").to_numpy()
+        pairs = skipped = 0
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            some = views[mine]
+            radius = angles(some, pivots[g]).max(axis=0)
+            asked = np.flatnonzero(most_possible(self.crops, pivots[g], radius) >= self.reached)
+            pairs, skipped = pairs + len(self.ids), skipped + len(self.ids) - len(asked)
+            step = max(1, CELLS // len(mine))
+            for at in range(0, len(asked), step):
+                q = asked[at : at + step]
+                scores = np.round(mean_of_best(self.crops[q], some), DIGITS)
+                scores[self.ids[q, None] == names[None, mine]] = -np.inf
+                row, column = _best(scores, place[mine], self.k)
+                full = np.bincount(row, minlength=len(q)) == self.k
+                last = np.cumsum(np.bincount(row, minlength=len(q)))[full] - 1
+                self.reached[q[full]] = np.maximum(self.reached[q[full]], scores[row, column][last])
+                self.found.append(images.iloc[mine[column]].assign(query=q[row], score=scores[row, column]))
+            if sum(map(len, self.found)) > 4 * self.k * len(self.ids) + CELLS:
+                self.found = [self.best()]
+        return pairs, skipped
+
+    def best(self) -> pd.DataFrame:
+        rows = pd.concat(self.found)
+        rows = rows[rows["score"].to_numpy() >= self.reached[rows["query"].to_numpy()]]
+        return rows.sort_values(["query", "score", "image_name"], ascending=[True, False, True]).groupby("query").head(self.k)
+
+    def rows(self, columns: list[str]) -> Iterator[pd.DataFrame]:
+        if self.found:
+            out = self.best()
+            yield out.assign(query_id=self.ids[out["query"].to_numpy()])[columns]
+
+
+def _shape(rows: DataFrame, column: str) -> tuple[int, int, int]:
+    """Rows, vectors of a row and numbers of a vector; an error if they differ."""
+    sizes = F.transform(column, lambda v: F.coalesce(F.size(v), F.lit(0)))
+    n, *bounds = rows.agg(
+        F.count(F.lit(1)), *[f(F.coalesce(x, F.lit(0))) for x in (F.size(column), F.array_min(sizes)) for f in (F.min, F.max)], F.max(F.array_max(sizes)),
+    ).first()
+    if not n:
+        return 0, 0, 0
+    if bounds[0] != bounds[1] or bounds[2] != bounds[4] or min(bounds) < 1:
+        raise ValueError("Query and gallery feature dimensions differ")
+    return n, bounds[0], bounds[2]
+
+
+def _reached(crops: np.ndarray, ids: np.ndarray, pivots: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k of the pivots reach; none if they are too few."""
+    scores = np.round(mean_of_best(crops, pivots), DIGITS)
+    scores[ids[:, None] == names[None, :]] = -np.inf
+    return np.full(len(ids), -np.inf) if scores.shape[1] < k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+
+
+def search(queries: DataFrame, gallery: DataFrame, k: int, counters: tuple | None = None) -> DataFrame:
     """query_id, rank, image_name, score, extra columns of the gallery.
 
     queries: query_id, crops (array of vectors); gallery: image_name, views (array of vectors), and what should come along.
     Score is the mean over crops of the best view's product. Ties go to the smaller image_name. A query never finds the
-    image that has its own id as name.
-    """
+    image that has its own id as name. counters: two accumulators, for pairs of a query and a group of images, and for those skipped."""
+    if k < 1:
+        raise ValueError("k must be positive")
     spark = gallery.sparkSession
     along = [c for c in gallery.columns if c not in ("image_name", "views")]
     kinds = dict(gallery.dtypes)
+    columns = ["query_id", "image_name", "score", *along]
     schema = f"query_id {dict(queries.dtypes)['query_id']}, image_name {kinds['image_name']}, score double" + "".join(f", {c} {kinds[c]}" for c in along)
-    asked = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-gallery.count() // GALLERY_BLOCK))
-
-    def best(images: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(images) and len(wanted):
-            views = np.array([[np.asarray(v, float) for v in x] for x in images["views"]])
-            crops = np.array([[np.asarray(c, float) for c in x] for x in wanted["crops"]])
-            names, ids = images["image_name"].to_numpy(), wanted["query_id"].to_numpy()
-            place = images["image_name"].rank(method="first").to_numpy()
-            step = max(1, CELLS // len(images))
-            for at in range(0, len(ids), step):
-                some = crops[at : at + step]
-                scores = np.zeros((len(some), len(images)))
-                for c in range(crops.shape[1]):
-                    scores += np.stack([some[:, c] @ views[:, v].T for v in range(views.shape[1])]).max(axis=0)
-                scores = np.round(scores / crops.shape[1], DIGITS)
-                scores[ids[at : at + step, None] == names[None, :]] = -np.inf
-                q, g = _best(scores, place, k)
-                out = images.iloc[g][["image_name", *along]].reset_index(drop=True)
-                out.insert(0, "query_id", ids[at : at + step][q])
-                out["score"] = scores[q, g]
-                found.append(out)
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series([], dtype=object) for c in ["query_id", "image_name", "score", *along]})
-
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    images = gallery.select("image_name", "views", *along, F.pmod(F.xxhash64("image_name"), F.lit(parts)).cast("int").alias("part"), blocks(asked).alias("block"))
-    wanted = queries.select("query_id", "crops", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int").alias("block"), blocks(parts).alias("part"))
-    found = images.groupBy("part", "block").cogroup(wanted.groupBy("part", "block")).applyInPandas(best, schema)
+    (n_queries, n_crops, width), (n_images, n_views, gallery_width) = _shape(queries, "crops"), _shape(gallery, "views")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "image_name")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "image_name", "score", *along)
+    result = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "image_name", "score", *along)
+    if not n_queries or not n_images:
+        return result(spark.createDataFrame([], schema))
+    if width != gallery_width:
+        raise ValueError("Query and gallery feature dimensions differ")
+
+    most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * n_views * width)))
+    chosen = gallery.select("image_name", "views", F.xxhash64("image_name").alias("_h")).orderBy("_h", "image_name").limit(most).drop("_h").toArrow()
+    pivot_names, pivots = chosen.column("image_name").to_pandas().to_numpy(), vectors_of(chosen.column("views"), width)
+
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def count(pairs: tuple[int, int]) -> None:
+        for counter, n in zip(counters or (), pairs, strict=False):
+            counter.add(n)
+
+    if 8 * n_queries * n_crops * width <= QUERY_BYTES:  # one block
+        rows = queries.select("query_id", "crops").toArrow()
+        ids, crops = rows.column("query_id").to_pandas().to_numpy(), vectors_of(rows.column("crops"), width)
+        shared = spark.sparkContext.broadcast((ids, crops, _reached(crops, ids, pivots, pivot_names, k), pivots))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, crops, reached, pivots = shared.value
+            asked = Asked(ids, crops, reached, k)
+            for batch in batches:
+                step = max(1, BLOCK_BYTES // (8 * n_views * width))
+                for at in range(0, len(batch), step):
+                    some = batch.slice(at, step)
+                    count(asked.compare(some.select(["image_name", *along]).to_pandas(), vectors_of(some.column("views"), width), pivots))
+            for out in asked.rows(columns):
+                yield pa.RecordBatch.from_pandas(out, arrow, preserve_index=False)
+
+        return result(gallery.select("image_name", "views", *along).mapInArrow(scan, schema))
+    return result(_shuffled(queries.select("query_id", "crops"), gallery, k, (pivots, pivot_names), (n_queries, n_crops, n_views, width), schema, arrow, columns, count))
+
+
+def _shuffled(queries: DataFrame, gallery: DataFrame, k: int, chosen: tuple, shape: tuple, schema: str, arrow: pa.Schema, columns: list[str], count) -> DataFrame:
+    """search for more than one block of queries: queries go to the groups of images that they can't skip."""
+    n_queries, n_crops, n_views, width = shape
+    spark, along = gallery.sparkSession, columns[3:]
+    pivots = spark.sparkContext.broadcast(chosen)
+    kinds = dict(gallery.dtypes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = vectors_of(batch.column("views"), width)
+            group = nearest(views, pivots.value[0])
+            apart = angles(views, pivots.value[0][group])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(group, pa.int32()), pa.array(list(apart), pa.list_(pa.float64()))], names=[*batch.schema.names, "group", "apart"]
+            )
+
+    images = ["image_name", "views", *along]
+    fields = ", ".join(f"{c} {kinds[c]}" for c in images)
+    placed = written(gallery.select(*images).mapInArrow(place, f"{fields}, group int, apart array<double>"), "search-gallery")
+    facts = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.get("apart", F.lit(v))).alias(f"r{v}") for v in range(n_views)]).collect()  # one row a pivot
+    in_block = max(1, BLOCK_BYTES // (8 * n_views * width))
+    cuts = {r.group: -(-r.n // in_block) for r in facts}
+    radii = spark.sparkContext.broadcast({r.group: np.array([r[f"r{v}"] for v in range(n_views)]) for r in facts})
+    parts = max(1, -(-8 * n_queries * n_crops * width // QUERY_BYTES))
+    kind = dict(queries.dtypes)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crops, ids = vectors_of(batch.column("crops"), width), batch.column("query_id").to_pandas().to_numpy()
+            reached, rows = _reached(crops, ids, *pivots.value, k), []
+            for group, radius in radii.value.items():
+                asked = np.flatnonzero(most_possible(crops, pivots.value[0][group], radius) >= reached)
+                count((len(ids), len(ids) - len(asked)))
+                if len(asked):
+                    some = batch.take(pa.array(asked))
+                    rows.append(pa.RecordBatch.from_arrays([*some.columns, pa.array(reached[asked]), pa.array(np.full(len(asked), group), pa.int32())], names=["query_id", "crops", "reached", "group"]))
+            yield from rows
+
+    asked = queries.mapInArrow(route, f"query_id {kind['query_id']}, crops {kind['crops']}, reached double, group int")
+    salts = spark.createDataFrame([(g, n) for g, n in cuts.items()], "group int, cuts int")  # one row a pivot
+    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "search-queries")
+    wanted = asked.select("group", "part").distinct()
+    cut: Column = F.pmod(F.xxhash64("image_name"), F.col("cuts")).cast("int")
+    left = placed.drop("apart").join(F.broadcast(salts), "group").withColumn("cut", cut).join(wanted, "group").select(*images, "group", "cut", "part")
+    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")
+    right = asked.join(F.broadcast(salts), "group").select("query_id", "crops", "reached", "group", every, F.col("part").alias("part"))
+    right = right.toDF(*(f"q_{c}" for c in right.columns))  # names of its own: both sides come from the same table
+
+    def best(images: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(images) or not len(wanted):
+            return arrow.empty_table()
+        ids = wanted.column("q_query_id").to_pandas().to_numpy()
+        asked = Asked(ids, vectors_of(wanted.column("q_crops"), width), wanted.column("q_reached").to_numpy(), k)
+        asked.compare(images.select(["image_name", *along]).to_pandas(), vectors_of(images.column("views"), width), pivots.value[0])
+        return pa.concat_tables([arrow.empty_table(), *(pa.Table.from_pandas(out, arrow, preserve_index=False) for out in asked.rows(columns))])
+
+    keys = ["group", "cut", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(best, schema)
 
 
 def expand_slugs(ranked: DataFrame, k: int) -> DataFrame:

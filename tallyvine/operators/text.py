@@ -12,6 +12,12 @@ from ..functions.vectors import most_similar, similarity_ratio
 
 TOP_TERMS, MOST_COMMON = 25, 0.15
 DIGITS = 9
+#: Letters of a token that may be evidence.
+TOKEN_LETTERS = 4, 35
+#: Scores are sums of whole units, so they are the same however Spark adds them up, and can be ordered by unrounded.
+UNIT = 10**12
+#: Postings of a term that one task takes; a term with more is dealt out in slices.
+POSTINGS = 100_000
 
 
 def term_counts(cards: DataFrame, word: str = fixed.TASTE_WORD, stop_words: list[str] = fixed.STOP_WORDS) -> DataFrame:
@@ -30,28 +36,109 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
 def profiles(counts: DataFrame, n_cards: int, top: int = TOP_TERMS, most_common: float = MOST_COMMON) -> DataFrame:
     """slug, term, weight: the top terms by tf * ln((1 + n) / (1 + df)), scaled to length one.
 
-    Terms of a single card, or of most_common of all cards and more, do not count; ties go to the term that comes first."""
+    Terms of a single card, or of most_common of all cards and more, do not count; ties go to the term that comes first.
+    Squares are added in whole units, so a weight is the same in any plan."""
     telling = document_frequencies(counts).where((F.col("df") > 1) & (F.col("df") < most_common * n_cards)).select("term", "df")
     raw = F.round(F.col("tf") * F.ln(F.lit(1.0 + n_cards) / (1 + F.col("df"))), DIGITS)
     order = Window.partitionBy("slug").orderBy(F.desc("raw"), "first_pos")
     best = counts.join(telling, "term").withColumn("raw", raw).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("slug")))
+    squares = F.sum(F.floor(F.col("raw") * F.col("raw") * 1e9)).over(Window.partitionBy("slug"))
+    length = F.sqrt(squares / 1e9)
     return best.select("slug", "term", (F.col("raw") / F.when(length > 0, length).otherwise(1.0)).alias("weight"))
 
 
-def shared_terms(base: DataFrame, others: DataFrame) -> DataFrame:
-    """base, slug, term, product for terms that both profiles have (other than with itself)."""
-    left = base.select(F.col("slug").alias("base"), "term", F.col("weight").alias("w"))
-    return left.join(others, "term").where("base <> slug").select("base", "slug", "term", (F.col("w") * F.col("weight")).alias("product"))
+def product_units(a: Column, b: Column) -> Column:
+    """The product of two weights in whole units."""
+    return F.floor(a * b * float(UNIT))
+
+
+def in_slices(rows: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
+    """rows (term, ...) with a slice: each row in one slice of its term, or, if whole, in all of them. sizes: term, slices of the terms that have several."""
+    cut = rows.join(sizes, "term", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    if whole:
+        return cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return cut.withColumn("slice", F.pmod(F.xxhash64("slug"), "slices").cast("int")).drop("slices")
+
+
+def posting_slices(rows: DataFrame, most: int) -> DataFrame:
+    """term, slices of the terms with more than most rows."""
+    held = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return held.select("term", F.ceil(F.col("n") / most).cast("int").alias("slices"))
+
+
+def shared_terms(base: DataFrame, others: DataFrame, most: int = POSTINGS) -> DataFrame:
+    """base, slug, term, units (of the product) for terms that both profiles have (other than with itself); no task takes more than some most postings of a term."""
+    sizes = posting_slices(others, most)
+    left = in_slices(base.select(F.col("slug").alias("base"), "term", F.col("weight").alias("w")), sizes, True)
+    met = left.join(in_slices(others, sizes, False), ["term", "slice"]).where("base <> slug")
+    return met.select("base", "slug", "term", product_units(F.col("w"), F.col("weight")).alias("units"))
 
 
 def text_similarity(base: DataFrame, others: DataFrame, notes: int = 3, adjective: str = fixed.ADJECTIVE) -> DataFrame:
-    """base, slug, text (sum of products) and notes (best shared terms that are no adjectives)."""
+    """base, slug, units (sum of products), text (the same as a number) and notes (best shared terms that are no adjectives) of the pairs that share a term."""
     shared = shared_terms(base, others)
-    said = F.when(~F.col("term").rlike(adjective), F.struct((-F.round("product", DIGITS)).alias("o"), "term"))
-    return shared.groupBy("base", "slug").agg(
-        F.sum("product").alias("text"), F.transform(F.slice(F.array_sort(F.collect_list(said)), 1, notes), lambda x: x.term).alias("notes")
+    said = F.when(~F.col("term").rlike(adjective), F.struct((-F.col("units")).alias("o"), "term"))
+    found = shared.groupBy("base", "slug").agg(
+        F.sum("units").alias("units"), F.transform(F.slice(F.array_sort(F.collect_list(said)), 1, notes), lambda x: x.term).alias("notes")
     )
+    return found.withColumn("text", F.col("units") / float(UNIT))
+
+
+def profile_vectors(weights: DataFrame) -> DataFrame:
+    """slug, vector: the terms of a profile with their weights, in the order of terms."""
+    return weights.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("vector"))
+
+
+def shared_products(a: Column, b: Column) -> Column:
+    """Of two vectors the shared terms, each with the units of its product."""
+    other = F.map_from_entries(b)
+    both = F.filter(a, lambda x: F.map_contains_key(other, x.term))
+    return F.transform(both, lambda x: F.struct(product_units(x.weight, F.element_at(other, x.term)).alias("units"), x.term.alias("term")))
+
+
+def sum_units(products: Column) -> Column:
+    return F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x.units)
+
+
+def best_notes(products: Column, notes: int, adjective: str) -> Column:
+    """The best shared terms that are no adjectives."""
+    said = F.filter(products, lambda x: ~x.term.rlike(adjective))
+    return F.transform(F.slice(F.array_sort(F.transform(said, lambda x: F.struct((-x.units).alias("o"), x.term.alias("term")))), 1, notes), lambda x: x.term)
+
+
+def same_profiles(weights: DataFrame) -> DataFrame:
+    """slug, profile: the smallest slug with just the same vector."""
+    vectors = profile_vectors(weights).select("slug", F.sha2(F.to_json("vector"), 256).alias("digest"))
+    return vectors.join(vectors.groupBy("digest").agg(F.min("slug").alias("profile")), "digest").select("slug", "profile")
+
+
+def cosine_join(weights: DataFrame, at_least: float, most: int = POSTINGS) -> DataFrame:
+    """a, b, units, text of all pairs of different profiles, each named by its smallest slug (see same_profiles), with a similarity of at_least.
+
+    Terms stand in one order, rarest first. A vector has length one, so what its last terms can give to any other is at most
+    their length: only the terms before that point, where the remaining length falls below at_least, are posted. Pairs meet at
+    a posted term where the products so far and both remaining lengths can still reach at_least, and are then
+    computed in full. A term with more than most postings is dealt out in slices, each pair of slices by itself."""
+    names = same_profiles(weights)
+    firsts = weights.join(names.where("slug = profile").select("slug"), "slug")
+    df = firsts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    later = Window.partitionBy("slug").orderBy("df", "term").rowsBetween(1, Window.unboundedFollowing)
+    rest = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(later), F.lit(0.0))
+    slack = 1e-6  # weights are rounded, bounds are not
+    posted = firsts.join(df, "term").withColumn("rest", F.sqrt(rest)).where(
+        (F.sqrt(F.col("rest") * F.col("rest") + F.col("weight") * F.col("weight")) >= at_least - slack) & (F.col("df") > 1)
+    )
+    sizes = posting_slices(posted, most)
+    cut = in_slices(posted.select("slug", "term", "weight", "rest"), sizes, False).join(sizes, "term", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    one = cut.select("term", F.col("slice").alias("i"), every.alias("j"), F.col("slug").alias("a"), F.col("weight").alias("a_weight"), F.col("rest").alias("a_rest"))
+    two = cut.select("term", every.alias("i"), F.col("slice").alias("j"), F.col("slug").alias("b"), F.col("weight").alias("b_weight"), F.col("rest").alias("b_rest"))
+    reach = F.col("a_weight") * F.col("b_weight") + F.col("a_rest") * F.col("b_rest")
+    pairs = one.join(two, ["term", "i", "j"]).where((F.col("a") < F.col("b")) & (reach >= at_least - slack)).select("a", "b").distinct()
+    vectors = profile_vectors(firsts)
+    of = lambda who: vectors.select(F.col("slug").alias(who), F.col("vector").alias(f"{who}_vector"))
+    scored = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", sum_units(shared_products(F.col("a_vector"), F.col("b_vector"))).alias("units"))
+    return scored.where(F.col("units") >= round(at_least * UNIT)).withColumn("text", F.col("units") / float(UNIT))
 
 
 def card_fragments(cards: DataFrame) -> DataFrame:
@@ -68,7 +155,7 @@ def readable(lines: DataFrame) -> DataFrame:
     token = F.col("token")
     number = token.rlike("^[0-9]+$") & ~token.rlike(f"^{fixed.YEAR}$")
     return lines.withColumn("token", label_token(text("text"))).where(
-        (F.col("confidence") >= 0.5) & F.length(token).between(4, 35) & ~token.isin(fixed.LABEL_STOP_WORDS) & ~number
+        (F.col("confidence") >= 0.5) & F.length(token).between(*TOKEN_LETTERS) & ~token.isin(fixed.LABEL_STOP_WORDS) & ~number
     )
 
 
@@ -76,22 +163,56 @@ def least_similarity(token: Column) -> Column:
     return F.when(F.length(token) <= 4, 98).when(F.length(token) <= 6, 93).otherwise(90)
 
 
+def most_edits(token: Column) -> Column:
+    """Of a word that is similar enough, no more letters are inserted or deleted: d of 100 * (1 - d / (n + m)), and m is at most n + d."""
+    allowed = 1 - least_similarity(token) / 100
+    return F.floor(2 * allowed * F.length(token) / (1 - allowed) + 1e-9).cast("int")
+
+
+def piece_sizes() -> list[int]:
+    """Lengths of the pieces of all tokens that may be evidence."""
+    sizes = set()
+    for n in range(TOKEN_LETTERS[0], TOKEN_LETTERS[1] + 1):
+        allowed = 0.02 if n <= 4 else 0.07 if n <= 6 else 0.1
+        k = int(2 * allowed * n / (1 - allowed) + 1e-9) + 1
+        sizes |= {n * (i + 1) // k - n * i // k for i in range(k)}
+    return sorted(sizes)
+
+
+def near_fragments(tokens: DataFrame, fragments: DataFrame) -> DataFrame:
+    """token, fragment, similarity of all pairs that are similar enough, from distinct tokens and distinct fragments.
+
+    A token is cut into one piece more than edits are allowed, so one piece stands unchanged in a similar fragment, shifted by no more than
+    the edits. Pieces meet the equal substrings of fragments in an equi-join; only pairs that share a piece at such places, and whose lengths allow it, are compared."""
+    n, k = F.length("token"), most_edits(F.col("token")) + 1
+    numbers = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    begin = lambda i: F.floor(F.col("n") * i / F.col("k")).cast("int")
+    cut = tokens.select("token", n.alias("n"), k.alias("k")).select("token", "n", "k", numbers.alias("i"))
+    cut = cut.select("token", "k", begin(F.col("i")).alias("at"), (begin(F.col("i") + 1) - begin(F.col("i"))).alias("size"))
+    pieces = cut.select("token", "k", "at", "size", F.substr("token", F.col("at") + 1, F.col("size")).alias("piece"))
+    sizes = fragments.select("fragment", F.explode(F.array(*map(F.lit, piece_sizes()))).alias("size")).where(F.length("fragment") >= F.col("size"))
+    placed = sizes.select("fragment", "size", F.explode(F.sequence(F.lit(0), F.length("fragment") - F.col("size"))).alias("there"))
+    grams = placed.select("fragment", "there", F.substr("fragment", F.col("there") + 1, F.col("size")).alias("piece"))
+    shifted = F.abs(F.col("at") - F.col("there")) < F.col("k")
+    possible = most_similar(F.col("token"), F.col("fragment")) >= least_similarity(F.col("token"))
+    pairs = pieces.join(grams, "piece").where(shifted & possible).select("token", "fragment").distinct()
+    return pairs.withColumn("similarity", similarity_ratio(F.col("token"), F.col("fragment"))).where(F.col("similarity") >= least_similarity(F.col("token")))
+
+
 def lexical_scores(lines: DataFrame, candidates: DataFrame, parts: DataFrame, idf: DataFrame, best: int = 3, exact: bool = False) -> DataFrame:
     """query_id, slug, lexical: the sum of the best hits, confidence * idf * similarity / 100.
 
     A token's hit is its most similar fragment of the candidate (ties: the larger one), if similar enough. exact compares by
-    equality in place of the ratio, which stays a plain join at any size; the ratio compares within a query's candidates."""
+    equality in place of the ratio. Both are equi-joins: similar fragments are found once for all candidates (near_fragments)."""
     tokens = readable(lines)
     pool = candidates.select("query_id", "slug").distinct().join(parts, "slug")
     if exact:
-        hits = tokens.join(pool, (tokens.token == pool.fragment) & (tokens.query_id == pool.query_id)).select(
-            tokens.query_id, "slug", "line_no", "confidence", "fragment", F.lit(100.0).alias("similarity")
-        )
+        near = tokens.withColumn("fragment", F.col("token")).withColumn("similarity", F.lit(100.0))
     else:
-        near = most_similar(F.col("token"), F.col("fragment")) >= least_similarity(F.col("token"))  # by length alone
-        pairs = tokens.join(pool, "query_id").where(near).withColumn("similarity", similarity_ratio(F.col("token"), F.col("fragment")))
-        top = pairs.groupBy("query_id", "slug", "line_no", "token", "confidence").agg(F.max(F.struct("similarity", "fragment")).alias("x"))
-        hits = top.select("query_id", "slug", "line_no", "token", "confidence", "x.*").where(F.col("similarity") >= least_similarity(F.col("token")))
+        near = tokens.join(near_fragments(tokens.select("token").distinct(), parts.select("fragment").distinct()), "token")
+    pairs = near.select("query_id", "line_no", "confidence", "fragment", "similarity").join(pool, ["query_id", "fragment"])
+    top = pairs.groupBy("query_id", "slug", "line_no", "confidence").agg(F.max(F.struct("similarity", "fragment")).alias("x"))
+    hits = top.select("query_id", "slug", "line_no", "confidence", "x.*")
     worth = F.col("confidence") * F.col("idf") * F.col("similarity") / 100
     listed = F.slice(F.sort_array(F.collect_list("worth"), asc=False), 1, best)
     return (

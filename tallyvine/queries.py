@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import cards as card
 from .functions import vectors
 from .functions import wordlists as fixed
-from .operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, review, text
+from .operators import catalog, checks, evaluation, integrity, pairing, recommend, rerank, retrieval, review, text
 from .plans import predict as plans
 from .plans import views
 from .scratch import scratch_path, written
@@ -75,14 +75,15 @@ TERMS = f"""words AS (
   WHERE df > 1 AND df < CAST(0.15 AS DOUBLE) * n
 ), best AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY raw DESC, first_pos) AS place FROM raws QUALIFY place <= 25
 ), profiles AS (
-  SELECT slug, term, raw / CASE WHEN sqrt(sum(raw * raw) OVER (PARTITION BY slug)) > 0 THEN sqrt(sum(raw * raw) OVER (PARTITION BY slug)) ELSE 1 END AS weight FROM best)"""
+  SELECT slug, term, raw / CASE WHEN length > 0 THEN length ELSE 1 END AS weight FROM (
+    SELECT *, sqrt(CAST(sum(CAST(floor(raw * raw * 1e9::DOUBLE) AS BIGINT)) OVER (PARTITION BY slug) AS DOUBLE) / 1e9::DOUBLE) AS length FROM best))"""
 
 SIMILAR = f"""shared AS (
-  SELECT a.slug AS base, b.slug, a.term, a.weight * b.weight AS product FROM profiles a JOIN profiles b ON a.term = b.term AND a.slug <> b.slug
+  SELECT a.slug AS base, b.slug, a.term, CAST(floor(a.weight * b.weight * 1e12::DOUBLE) AS BIGINT) AS units FROM profiles a JOIN profiles b ON a.term = b.term AND a.slug <> b.slug
   WHERE CAST(a.slug AS BIGINT) % {EVERY} = 0
 ), alike AS (
-  SELECT base, slug, sum(product) AS text,
-    (list(term ORDER BY round(product, 9) DESC, term) FILTER (NOT regexp_matches(term, '{ENDING}')))[1:3] AS notes FROM shared GROUP BY base, slug)"""
+  SELECT base, slug, CAST(sum(units) AS BIGINT) AS text,
+    (list(term ORDER BY units DESC, term) FILTER (NOT regexp_matches(term, '{ENDING}')))[1:3] AS notes FROM shared GROUP BY base, slug)"""
 
 
 def profile_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -109,10 +110,12 @@ def whole_queries(spark: SparkSession, sf: str) -> DataFrame:
     return vecs.select(F.col("vec_id").alias("query_id"), F.array("embedding").alias("crops"), F.col("label").alias("query_label"))
 
 
-RANKED = f"""scored AS (
-  SELECT q.vec_id AS query_id, q.label AS query_label, g.vec_id AS image_name, g.label,
-    round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q JOIN embeddings g ON q.vec_id % {EVERY} = 0 AND q.vec_id <> g.vec_id
+UNITS = """doubles AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), units AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS embedding FROM doubles)"""
+
+RANKED = f"""{UNITS}, scored AS (
+  SELECT q.vec_id AS query_id, q.label AS query_label, g.vec_id AS image_name, g.label, round(list_inner_product(q.embedding, g.embedding), 6) AS score
+  FROM units q JOIN units g ON q.vec_id % {EVERY} = 0 AND q.vec_id <> g.vec_id
 ), images AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) AS image_rank FROM scored QUALIFY image_rank <= 20
 ), slugs AS (
   SELECT *, unnest(list_sort(CASE WHEN image_name % 2 = 0 THEN [CAST(2 * image_name AS VARCHAR), CAST(2 * image_name + 1 AS VARCHAR)]
@@ -173,9 +176,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return written(guesses, "predictions")
 
 
-PREDICTIONS = f"""near AS (
-  SELECT q.vec_id AS query_id, g.vec_id, g.label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q JOIN embeddings g ON q.vec_id % {EVERY} = 0 AND q.vec_id <> g.vec_id
+PREDICTIONS = f"""{UNITS}, near AS (
+  SELECT q.vec_id AS query_id, g.vec_id, g.label, round(list_inner_product(q.embedding, g.embedding), 6) AS score
+  FROM units q JOIN units g ON q.vec_id % {EVERY} = 0 AND q.vec_id <> g.vec_id
 ), five AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 5
 ), predictions AS (
   SELECT CAST(query_id AS VARCHAR) AS image_path, list(CAST(label AS VARCHAR) ORDER BY rank) AS top5_slugs, max(score) AS confidence,
@@ -261,8 +264,9 @@ _CROP = "greatest(" + ", ".join(f"list_inner_product(q.v[{{c}}], g.v[{v}])" for
 
 
 @query(
-    f"""WITH parts AS (
+    f"""WITH cut AS (
   SELECT vec_id, [CAST(embedding[1:16] AS DOUBLE[]), CAST(embedding[17:32] AS DOUBLE[]), CAST(embedding[33:48] AS DOUBLE[]), CAST(embedding[49:64] AS DOUBLE[])] AS v FROM embeddings
+), parts AS (SELECT vec_id, list_transform(v, lambda p: list_transform(p, lambda x: x / sqrt(list_inner_product(p, p)))) AS v FROM cut
 ), scored AS (SELECT q.vec_id AS query_id, g.vec_id AS image_name, round(({' + '.join(_CROP.format(c=c) for c in (1, 2, 3))}) / 3, 6) AS score
   FROM parts q JOIN parts g ON q.vec_id % {EVERY} = 0 AND q.vec_id <> g.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_name) AS INT) AS rank, image_name, score FROM scored QUALIFY rank <= 7"""
@@ -386,13 +390,35 @@ def tfidf_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile_tables(spark, sf)[1].select("slug", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {CARDS}, {TERMS}, {SIMILAR} SELECT base, slug, round(text, 6) AS text, coalesce(array_to_string(notes, ','), '') AS notes FROM alike")
+@query(f"WITH {CARDS}, {TERMS}, {SIMILAR} SELECT base, slug, round(text / 1e12::DOUBLE, 6) AS text, coalesce(array_to_string(notes, ','), '') AS notes FROM alike")
 def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows, weights = profile_tables(spark, sf)
     found = text.text_similarity(weights.join(base_slugs(rows), "slug"), weights, adjective=ENDING)
     return found.select("base", "slug", F.round("text", 6).alias("text"), F.array_join("notes", ",").alias("notes"))
 
 
+ALIKE_TEXTS = 0.6
+
+
+@query(
+    f"""WITH {CARDS}, {TERMS}, vectors AS (SELECT slug, list((term, weight) ORDER BY term) AS vector FROM profiles GROUP BY slug
+), named AS (SELECT slug, min(slug) OVER (PARTITION BY vector) AS profile FROM vectors), firsts AS (SELECT p.* FROM profiles p JOIN named n ON n.slug = p.slug AND n.profile = p.slug
+), met AS (SELECT a.slug AS a, b.slug AS b, CAST(sum(CAST(floor(a.weight * b.weight * 1e12::DOUBLE) AS BIGINT)) AS BIGINT) AS units FROM firsts a JOIN firsts b ON a.term = b.term AND a.slug < b.slug GROUP BY a.slug, b.slug
+) SELECT a, b, round(units / 1e12::DOUBLE, 6) AS text FROM met WHERE units >= {round(ALIKE_TEXTS * 10**12)}"""
+)
+def alike_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of different profiles that are alike."""
+    return text.cosine_join(profile_tables(spark, sf)[1], ALIKE_TEXTS).select("a", "b", F.round("text", 6).alias("text"))
+
+
+@query(
+    f"""WITH {CARDS}, {TERMS}, vectors AS (SELECT slug, list((term, weight) ORDER BY term) AS vector FROM profiles GROUP BY slug)
+SELECT slug, min(slug) OVER (PARTITION BY vector) AS profile FROM vectors"""
+)
+def same_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return text.same_profiles(profile_tables(spark, sf)[1])
+
+
 @query(f"WITH {PARTS} SELECT slug, fragment FROM fragments")
 def ocr_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return text.card_fragments(part_cards(spark, sf))
@@ -421,7 +447,23 @@ def lexical_score_exact(spark: SparkSession, sf: str) -> DataFrame:
     return text.lexical_scores(label_lines(rows), label_candidates(rows), parts, idf, exact=True).withColumn("lexical", F.round("lexical", 6))
 
 
-@query()
+_RATIOS = _LINES.split("), hits AS")[0] + """), compared AS (
+  SELECT DISTINCT token, fragment, (1::BIGINT << length(token)) - 1 AS f FROM tokens t JOIN pool p ON t.query_id = p.query_id JOIN fragments g ON g.slug = p.slug WHERE length(token) BETWEEN 4 AND 35
+), masked AS (
+  SELECT token, fragment, f, list_transform(string_split(fragment, ''), lambda c: CAST(list_sum(list_transform(range(length(token)), lambda i: CASE WHEN token[i + 1] = c THEN 1::BIGINT << i ELSE 0::BIGINT END)) AS BIGINT)) AS ms FROM compared
+), ratios AS (
+  SELECT token, fragment, 200.0::DOUBLE * (length(token) - bit_count(list_reduce(list_concat([f], ms), lambda v, m: ((v + (v & m)) | (v - (v & m))) & f))) / (length(token) + length(fragment)) AS similarity FROM masked
+), near AS (SELECT * FROM ratios WHERE similarity >= CASE WHEN length(token) <= 4 THEN 98 WHEN length(token) <= 6 THEN 93 ELSE 90 END
+)"""  # the longest common subsequence letter by letter, a bit for each place of the token
+
+
+@query(
+    f"""WITH {PARTS}, {_RATIOS}, found AS (
+  SELECT t.query_id, p.slug, t.line_no, confidence, n.fragment, n.similarity FROM tokens t JOIN near n ON n.token = t.token JOIN pool p ON p.query_id = t.query_id JOIN fragments g ON g.slug = p.slug AND g.fragment = n.fragment
+  QUALIFY row_number() OVER (PARTITION BY t.query_id, p.slug, t.line_no ORDER BY n.similarity DESC, n.fragment DESC) = 1
+), worths AS (SELECT query_id, slug, confidence * i.idf * similarity / 100 AS worth FROM found f JOIN idf i ON i.fragment = f.fragment)
+SELECT query_id, slug, round(list_sum(list_sort(list(worth), 'DESC')[1:3]), 6) AS lexical FROM worths GROUP BY query_id, slug"""
+)
 def lexical_score_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     rows = part_cards(spark, sf)
     parts = text.card_fragments(rows)
@@ -456,6 +498,11 @@ def grape_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return base.join(rows, "winery").where("base <> slug").select("base", "slug", F.round(card.jaccard(F.col("other"), F.col("grapes")), 6).alias("jaccard"))
 
 
+def _shown_sql(units: str) -> str:
+    """A score in units as it is shown."""
+    return f"(({units} + 50000000) // 100000000) / 10000.0::DOUBLE"
+
+
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
@@ -493,15 +540,15 @@ _ANALOGUES = f"""pairs AS (
   FROM features a JOIN features b ON a.color = b.color AND a.sparkling = b.sparkling AND a.winery <> b.winery AND a.slug <> b.slug AND b.available
   LEFT JOIN alike s ON s.base = a.slug AND s.slug = b.slug WHERE CAST(a.slug AS BIGINT) % {EVERY} = 0
 ), scored AS (
-  SELECT base, slug, winery, round(3 * CASE WHEN u > 0 THEN len(common) / CAST(u AS DOUBLE) ELSE 0.0::DOUBLE END + 1.5::DOUBLE * CAST(same_sweetness AS INT) + 0.7::DOUBLE * CAST(same_region AS INT) + 3 * text, 4) AS score,
+  SELECT base, slug, winery, CASE WHEN u > 0 THEN 3000000000000 * len(common) // u ELSE 0 END + 1500000000000 * CAST(same_sweetness AS INT) + 700000000000 * CAST(same_region AS INT) + 3 * text AS units,
     list_filter([CASE WHEN len(common) > 0 THEN 'тот же сорт: ' || array_to_string(common[1:2], ', ') END, CASE WHEN same_sweetness THEN 'тоже ' || sweetness END,
-      CASE WHEN same_region AND region <> '' THEN 'тоже ' || region END, CASE WHEN text > 0.05 AND len(notes) > 0 THEN 'похожие ноты: ' || array_to_string(notes, ', ') END], lambda x: x IS NOT NULL) AS rs FROM pairs
-), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY base, winery ORDER BY score DESC, slug) = 1)"""
+      CASE WHEN same_region AND region <> '' THEN 'тоже ' || region END, CASE WHEN text > 50000000000 AND len(notes) > 0 THEN 'похожие ноты: ' || array_to_string(notes, ', ') END], lambda x: x IS NOT NULL) AS rs FROM pairs
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY base, winery ORDER BY units DESC, slug) = 1)"""
 
 
 @query(
     f"""WITH {CARDS}, {FEATURES}, {TERMS.replace('best', 'best_terms')}, {SIMILAR}, {_ANALOGUES}
-SELECT base, CAST(row_number() OVER (PARTITION BY base ORDER BY score DESC, slug) AS INT) AS place, slug, score,
+SELECT base, CAST(row_number() OVER (PARTITION BY base ORDER BY units DESC, slug) AS INT) AS place, slug, {_shown_sql("units")} AS score,
   CASE WHEN len(rs) > 0 THEN array_to_string(rs, '; ') ELSE 'тот же стиль вина' END AS reasons FROM best QUALIFY place <= 4"""
 )
 def analogues(spark: SparkSession, sf: str) -> DataFrame:
@@ -512,18 +559,18 @@ def analogues(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sommelier_sql(where: str, level_shown: bool, offset: int, note: str | None, dish: bool) -> str:
     level = "coalesce(f.sweetness, CASE WHEN NOT sparkling THEN 'сухое' END)"
-    fit = "CASE WHEN r.place <= 2 THEN 3.0::DOUBLE WHEN r.place = 3 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END" if dish else "0.0::DOUBLE"
+    fit = "CASE WHEN r.place <= 2 THEN 30 WHEN r.place = 3 THEN 15 ELSE 0 END" if dish else "0"
     mention = "contains(lower(f.description), 'рыб')"
-    score = f"{fit} + 2.0::DOUBLE * CAST({mention} AS INT)" if dish else "0.0::DOUBLE"
+    score = f"({fit} + 20 * CAST({mention} AS INT)) * 100000000000" if dish else "0"
     label = fixed.DISHES["fish"].lower()
     reasons = [level if level_shown else "NULL"]
     if dish:
-        reasons.append(f"CASE WHEN {mention} THEN 'описание советует: {label}' WHEN {fit} = 3 THEN '{label}: {fixed.FITS[0]}' WHEN {fit} = 1.5 THEN '{label}: {fixed.FITS[1]}' END")
+        reasons.append(f"CASE WHEN {mention} THEN 'описание советует: {label}' WHEN {fit} = 30 THEN '{label}: {fixed.FITS[0]}' WHEN {fit} = 15 THEN '{label}: {fixed.FITS[1]}' END")
     return f"""WITH {CARDS}, {FEATURES}, {_STYLED}, {_RULES}, chosen AS (
-  SELECT f.slug, f.winery, round({score} + least(length(f.description), 600) / CAST(1200 AS DOUBLE), 4) AS score, list_filter([{', '.join(reasons)}], lambda x: x IS NOT NULL) AS rs
+  SELECT f.slug, f.winery, {score} + 1000000000000 * least(length(f.description), 600) // 1200 AS units, list_filter([{', '.join(reasons)}], lambda x: x IS NOT NULL) AS rs
   FROM features f JOIN styled s ON f.slug = s.slug LEFT JOIN rules r ON r.style = s.style AND r.dish = 'fish' WHERE available AND {where.replace('LEVEL', level)}
-), one AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY winery ORDER BY score DESC, slug) = 1)
-SELECT CAST(row_number() OVER (ORDER BY score DESC, slug) AS INT) AS place, slug, score, CASE WHEN len(rs) > 0 THEN array_to_string(rs, '; ') ELSE 'подходит под ваши ответы' END AS reasons,
+), one AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY winery ORDER BY units DESC, slug) = 1)
+SELECT CAST(row_number() OVER (ORDER BY units DESC, slug) AS INT) AS place, slug, {_shown_sql("units")} AS score, CASE WHEN len(rs) > 0 THEN array_to_string(rs, '; ') ELSE 'подходит под ваши ответы' END AS reasons,
   (SELECT count(*) FROM one) AS total, {f"'{note}'" if note else 'CAST(NULL AS VARCHAR)'} AS note FROM one QUALIFY place > {offset} AND place <= {offset + 3}"""
 
 
@@ -546,15 +593,24 @@ def sommelier_page2(spark: SparkSession, sf: str) -> DataFrame:
     return _picks(recommend.sommelier_for_cards(cards(spark, sf), color="red", offset=3))
 
 
+@query(
+    f"""WITH {CARDS}, {FEATURES} SELECT CAST(NULL AS INT) AS place, CAST(NULL AS VARCHAR) AS slug, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS reasons,
+  count(DISTINCT winery) AS total, CAST(NULL AS VARCHAR) AS note FROM features WHERE available AND color = 'red' AND NOT sparkling"""
+)
+def sommelier_empty_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page beyond the last one still says how many there are."""
+    return _picks(recommend.sommelier_for_cards(cards(spark, sf), color="red", offset=1_000_000))
+
+
 @query(
     f"""WITH {CARDS}, {FEATURES}, {TERMS.replace('best', 'best_terms')}, {SIMILAR}, liked AS (SELECT grapes AS g FROM features WHERE slug = '0'
 ), chosen AS (
   SELECT f.slug, winery, list_sort(list_intersect(grapes, g)) AS common, len(list_distinct(list_concat(grapes, g))) AS u, coalesce(a.text, 0) AS text, description
   FROM features f CROSS JOIN liked LEFT JOIN alike a ON a.base = '0' AND a.slug = f.slug WHERE available AND f.slug <> '0'
 ), scored AS (SELECT slug, winery, common,
-  round(3 * text + 2 * CASE WHEN u > 0 THEN len(common) / CAST(u AS DOUBLE) ELSE 0.0::DOUBLE END + least(length(description), 600) / CAST(1200 AS DOUBLE), 4) AS score FROM chosen
-), one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY winery ORDER BY score DESC, slug) = 1)
-SELECT CAST(row_number() OVER (ORDER BY score DESC, slug) AS INT) AS place, slug, score,
+  3 * text + CASE WHEN u > 0 THEN 2000000000000 * len(common) // u ELSE 0 END + 1000000000000 * least(length(description), 600) // 1200 AS units FROM chosen
+), one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY winery ORDER BY units DESC, slug) = 1)
+SELECT CAST(row_number() OVER (ORDER BY units DESC, slug) AS INT) AS place, slug, {_shown_sql("units")} AS score,
   CASE WHEN len(common) > 0 THEN 'тот же сорт: ' || array_to_string(common[1:2], ', ') ELSE 'подходит под ваши ответы' END AS reasons,
   (SELECT count(*) FROM one) AS total, CAST(NULL AS VARCHAR) AS note FROM one QUALIFY place <= 3"""
 )
@@ -566,10 +622,7 @@ def sommelier_like(spark: SparkSession, sf: str) -> DataFrame:
 _NO_DISH = f"Прямых рекомендаций к блюду «{fixed.DISHES['dessert'].lower()}» среди таких вин нет; к нему обычно берут {fixed.TYPICAL['dessert']}. Вот ближайшие по стилю."
 
 
-@query(
-    _sommelier_sql("color = 'red' AND NOT sparkling AND coalesce(f.sweetness, '') <> 'полусладкое'", False, 0, _NO_DISH, False)
-    .replace("'подходит под ваши ответы'", "'подходит под ваши ответы'")
-)
+@query(_sommelier_sql("color = 'red' AND NOT sparkling AND coalesce(f.sweetness, '') <> 'полусладкое'", False, 0, _NO_DISH, False))
 def sommelier_no_dish(spark: SparkSession, sf: str) -> DataFrame:
     """No red wine that isn't sweet goes with dessert by the rules, and no text speaks of it: the answer says so."""
     rows = cards(spark, sf).where(~F.contains("name", F.lit("полуслад")))
@@ -941,6 +994,57 @@ def manifest_file(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("filename", F.array_join("slugs", ",").alias("slugs"), "sha256")
 
 
+@query(f"WITH {PHOTO_LABELS}, {PREDICTIONS} SELECT count(*) AS labels, {_ACCURACY}, {_SHARES} FROM judged")
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The score report, published twice, and its newest version read back."""
+    path, found = scratch_path(spark, "report-file"), score_top1_top5(spark, sf)
+    files.write_report(found.limit(0), path)
+    files.write_report(found, path)
+    return files.read_report(spark, path, ", ".join(f"{n} {t}" for n, t in found.dtypes))
+
+
+@query(
+    f"""WITH {RANKED} SELECT query_id, CAST(rank AS INT) AS rank, slug, 'card ' || slug AS name, score, sha256(CAST(image_name AS VARCHAR)) AS reference_sha256 FROM ranked WHERE rank <= 10"""
+)
+def review_report_file(spark: SparkSession, sf: str) -> DataFrame:
+    path, found = scratch_path(spark, "review-file"), review_report(spark, sf)
+    files.write_report(found, path)
+    back = files.read_report(spark, path, ", ".join(f"{n} {t}" for n, t in found.dtypes))
+    return back.select("query_id", "rank", "slug", "name", "score", "reference_sha256")
+
+
+def _page_digests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Digests of pages as they were kept and as they are: some changed, some are new, some gone."""
+    n, digest = F.col("page_id"), F.sha2("html", 256)
+    pages = table(spark, sf, "pages").select(n.cast("string").alias("name"), digest.alias("digest"), n.alias("n"))
+    kept = pages.where("n % 101 <> 7").drop("n")
+    now = pages.where("n % 101 <> 8").withColumn("digest", F.when(F.col("n") % 101 == 9, F.lit("other")).otherwise(F.col("digest"))).drop("n")
+    return kept, now
+
+
+@query(
+    """SELECT CAST(page_id AS VARCHAR) AS name, CASE page_id % 101 WHEN 7 THEN 'added' WHEN 8 THEN 'removed' ELSE 'differs' END AS change
+FROM pages WHERE page_id % 101 BETWEEN 7 AND 9"""
+)
+def changed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed is found by two trees of digests, and only rows of ranges that differ are compared."""
+    kept, now = _page_digests(spark, sf)
+    depth = integrity.depth_for(table(spark, sf, "pages").count())
+    trees = [written(integrity.digest_tree(x, depth), "page-tree") for x in (kept, now)]
+    return integrity.changed_rows(kept, now, integrity.changed_ranges(*trees, depth), depth)
+
+
+@query(
+    """WITH named AS (SELECT CAST(page_id AS VARCHAR) AS name, sha256(html) AS digest, substr(sha256(CAST(page_id AS VARCHAR)), 1, 1) AS range FROM pages
+), leaves AS (SELECT range, sha256(string_agg(name || chr(0) || digest, chr(10) ORDER BY name)) AS digest, count(*) AS n FROM named GROUP BY range)
+SELECT range, digest, n AS rows FROM leaves UNION ALL SELECT '', sha256(string_agg(range || ':' || digest, chr(10) ORDER BY range)), CAST(sum(n) AS BIGINT) FROM leaves"""
+)
+def page_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of one digit: 16 leaves and the root."""
+    rows = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("name"), F.sha2("html", 256).alias("digest"))
+    return integrity.digest_tree(rows, 1)
+
+
 @query(
     """SELECT vec_id AS image_name, CASE WHEN vec_id % 2 = 0 THEN (2 * vec_id) || ',' || (2 * vec_id + 1) ELSE CAST(2 * vec_id AS VARCHAR) END AS slugs,
   round(CAST(embedding[1] AS DOUBLE), 6) AS first_number FROM embeddings"""

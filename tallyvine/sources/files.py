@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cards import safe_filename, stripped
 from ..operators.checks import label_violations, prediction_violations, require_none, same_keys, violations
+from ..operators.integrity import changed_ranges, depth_for, digest_tree, root
+from ..scratch import written
+from .publish import data_folder, latest, publish
 
 # Columns of the catalog file and the names they get.
 CATALOG_COLUMNS = {
@@ -30,7 +31,6 @@ FIXES_SCHEMA = (
     "schema_version int, baseline_manifest_sha256 string, "
     "fixes array<struct<slug:string,from_image:string,target_image:string,target_sha256:string,archive_member:string,evidence:string>>"
 )
-INDEX_FACTS = "schema_version int, version string, manifest_sha256 string, preprocessing string, index_sha256 string"
 VISUAL = "struct<sha256:string,candidates:array<struct<rank:int,slug:string,filename:string,name:string,winery:string,score:double>>>"
 READ_LINES = "struct<sha256:string,lines:array<struct<text:string,confidence:double>>>"
 IMAGE_FILES = "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}"
@@ -67,8 +67,8 @@ def read_labels(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions, one JSON object a line."""
-    rows = spark.read.schema(PREDICTION_SCHEMA).json(path, mode="FAILFAST")
+    """Predictions, one JSON object a line: the newest version that write_predictions published, or a plain file or folder."""
+    rows = spark.read.schema(PREDICTION_SCHEMA).json(data_folder(spark, path), mode="FAILFAST")
     if not rows.take(1):
         raise ValueError("Predictions are empty")
     require_none(prediction_violations(rows), "Predictions")
@@ -122,54 +122,68 @@ def read_review(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A summary, score report or review report: JSON lines in one file, there as a whole or not at all."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A summary, score report or review report: JSON lines as a new version below path, seen as a whole or not at all."""
+    publish(report.sparkSession, path, lambda folder: report.write.json(folder))
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest version of a report."""
+    return spark.read.schema(schema).json(data_folder(spark, path), mode="FAILFAST")
 
 
 def write_manifest(parts: dict[str, DataFrame], path: str, source_rows: int, source_sha256: str) -> None:
-    """The parts in a new folder below path, then the small file that names it: a reader sees the old manifest or the new one."""
-    spark, version = parts["cards"].sparkSession, uuid.uuid4().hex
-    for name, part in parts.items():
-        part.write.json(f"{path}/{version}/{name}")
-    head = spark.createDataFrame([(1, version, source_rows, source_sha256)], "schema_version int, version string, source_rows long, source_csv_sha256 string")
-    head.coalesce(1).write.mode("overwrite").json(f"{path}/head")
+    """The parts as a new version below path: a reader sees the old manifest or the new one."""
+
+    def write(folder: str) -> None:
+        for name, part in parts.items():
+            part.write.json(f"{folder}/{name}")
+
+    publish(parts["cards"].sparkSession, path, write, schema_version=1, source_rows=source_rows, source_csv_sha256=source_sha256)
 
 
 def read_manifest_part(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    head = spark.read.schema("schema_version int, version string").json(f"{path}/head").first()
-    if head is None or head.schema_version != 1:
+    head = latest(spark, path)
+    if head is None or head.get("schema_version") != 1:
         raise ValueError(f"{path} holds no manifest of schema version 1")
-    return spark.read.schema(schema).json(f"{path}/{head.version}/{name}", mode="FAILFAST")
+    return spark.read.schema(schema).json(f"{head['folder']}/{name}", mode="FAILFAST")
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.write.mode("overwrite").json(path)
+    """Predictions as a new version below path."""
+    publish(predictions.sparkSession, path, lambda folder: predictions.write.json(folder))
 
 
-def index_digest(gallery: DataFrame) -> str:
-    """Of the rows in any order: their number, and two sums of their hashes."""
-    names = F.struct("image_name", "slugs", "views")
-    sums = [F.sum(F.xxhash64(F.lit(seed), names).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
-    return gallery.select(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)).first()[0]
+def row_digests(gallery: DataFrame) -> DataFrame:
+    """name, digest (SHA-256) of each row of an index."""
+    return gallery.select(F.col("image_name").cast("string").alias("name"), F.sha2(F.to_json(F.struct("image_name", "slugs", "views")), 256).alias("digest"))
 
 
 def write_index(gallery: DataFrame, path: str, manifest_sha256: str, preprocessing: str) -> None:
-    """Gallery (image_name, slugs, views) as Parquet in a new folder, then the facts that name it and say whether it is current."""
-    spark, version = gallery.sparkSession, uuid.uuid4().hex
-    gallery.write.parquet(f"{path}/gallery-{version}")
-    digest = index_digest(spark.read.parquet(f"{path}/gallery-{version}"))
-    facts = spark.createDataFrame([(1, version, manifest_sha256, preprocessing, digest)], INDEX_FACTS)
-    facts.coalesce(1).write.mode("overwrite").json(f"{path}/facts")
+    """Gallery (image_name, slugs, views) as Parquet, and its tree of digests, as a new version below path that says of what and how it was made."""
+    spark = gallery.sparkSession
+
+    def write(folder: str) -> dict:
+        gallery.write.parquet(f"{folder}/gallery")
+        rows = spark.read.parquet(f"{folder}/gallery")
+        depth = depth_for(rows.count())
+        digest_tree(row_digests(rows), depth).write.parquet(f"{folder}/tree")
+        return {"depth": depth, "index_sha256": root(spark.read.parquet(f"{folder}/tree"))}
+
+    publish(spark, path, write, schema_version=1, manifest_sha256=manifest_sha256, preprocessing=preprocessing)
 
 
 def read_index(spark: SparkSession, path: str, manifest_sha256: str, preprocessing: str, images: DataFrame | None = None) -> DataFrame:
-    """The gallery, if it was made from this manifest in this way, is unchanged and has just the images (filename, slugs) of the manifest."""
-    facts = spark.read.schema(INDEX_FACTS).json(f"{path}/facts").first()
-    if facts is None or (facts.schema_version, facts.manifest_sha256, facts.preprocessing) != (1, manifest_sha256, preprocessing):
+    """The gallery, if it was made from this manifest in this way, is unchanged and has just the images (filename, slugs) of the manifest.
+
+    Of a gallery that changed the error names the ranges of names that did (see integrity)."""
+    facts = latest(spark, path)
+    if facts is None or (facts.get("schema_version"), facts.get("manifest_sha256"), facts.get("preprocessing")) != (1, manifest_sha256, preprocessing):
         raise ValueError("The index is out of date")
-    gallery = spark.read.parquet(f"{path}/gallery-{facts.version}")
-    if index_digest(gallery) != facts.index_sha256:
-        raise ValueError("The index has changed")
+    gallery = spark.read.parquet(f"{facts['folder']}/gallery")
+    seen = written(digest_tree(row_digests(gallery), facts["depth"]), "index-tree")
+    if root(seen) != facts["index_sha256"]:
+        ranges = changed_ranges(spark.read.parquet(f"{facts['folder']}/tree"), seen, facts["depth"])
+        raise ValueError(f"The index has changed in the ranges {sorted(r[0] for r in ranges.limit(20).collect())}")
     if images is not None:
         key = lambda rows, name: rows.select(F.to_json(F.struct(F.col(name).cast("string").alias("f"), F.array_sort("slugs").alias("s"))).alias("key"))
         require_none(same_keys(key(gallery, "image_name"), key(images, "filename"), "key"), "Index and manifest")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyvine.functions import cards as card
 from tallyvine.functions import vectors
-from tallyvine.operators import catalog, checks, evaluation, pairing, recommend, rerank, retrieval, review, text
+from tallyvine.operators import catalog, checks, evaluation, integrity, pairing, recommend, rerank, retrieval, review, text
 from tallyvine.plans import predict, views
-from tallyvine.sources import files
+from tallyvine.sources import files, publish
 from tallyvine.streaming import runs
 
 CARD = files.CARD
@@ -107,14 +107,14 @@ def test_fixes(spark):
 
 
 def tiny(spark):
-    gallery = [("r1", [[1.0, 0.0], [0.0, 1.0]], ["b", "a"]), ("r2", [[0.5, 0.0], [0.0, 0.5]], ["c"])]
+    gallery = [("r1", [[1.0, 0.0], [0.0, 1.0]], ["b", "a"]), ("r2", [[0.3, 0.4], [4.0, 3.0]], ["c"])]
     queries = spark.createDataFrame([("q", [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]])], "query_id string, crops array<array<double>>")
     return queries, spark.createDataFrame(gallery, "image_name string, views array<array<double>>, slugs array<string>")
 
 
 def test_search_takes_the_best_view_of_each_crop(spark):
     queries, gallery = tiny(spark)
-    assert one(retrieval.search(queries, gallery, 2).orderBy("rank"), "image_name", "score") == [("r1", 1.0), ("r2", 0.5)]
+    assert one(retrieval.search(queries, gallery, 2).orderBy("rank"), "image_name", "score") == [("r1", 1.0), ("r2", 0.8)]
     found = predict.candidates(queries, gallery, 2).orderBy("rank")
     assert one(found, "slug", "score") == [("a", 1.0), ("b", 1.0)]
     assert retrieval.search(queries.limit(0), gallery, 2).count() == 0 and retrieval.search(queries, gallery.limit(0), 2).count() == 0
@@ -198,22 +198,91 @@ def test_fuzzy_lexical_scores_against_plain_ones(spark):
     assert all(found[k] == pytest.approx(expected[k], abs=1e-5) for k in found)
 
 
-def test_search_in_blocks_with_ties(spark, monkeypatch):
-    """Many blocks give what one gives; ties go to the smaller name, a query never finds itself."""
+def test_near_fragments_against_all_pairs(spark):
+    """Every pair that is similar enough shares a piece."""
+    import random
+
+    rng = random.Random(12)
+    fragments = {"".join(rng.choices("abk1", k=rng.randint(4, 36))) for _ in range(120)} | {"aaaa", "aaaaaaa", "aaaaaaaa"}
+    tokens = {"aaaa", "aaaaa", "aaaaaaaa"}
+    for f in list(fragments):
+        t = list(f)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(t))
+            rng.choice([lambda: t.insert(at, "b"), lambda: t.__setitem__(at, "k"), lambda: t.pop(at) if len(t) > 4 else None])()
+        if 4 <= len(t) <= 35:
+            tokens.add("".join(t))
+    due = {}
+    for t in tokens:
+        for f in fragments:
+            ratio = plain_ratio(t, f)
+            if ratio >= (98 if len(t) <= 4 else 93 if len(t) <= 6 else 90):
+                due[t, f] = ratio
+    found = text.near_fragments(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(f,) for f in fragments], "fragment string"))
+    assert len(due) > 60 and {(t, f): s for t, f, s in one(found, "token", "fragment", "similarity")} == pytest.approx(due)
+
+
+def test_ratios_of_many_pairs():
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abвß😀", k=rng.randint(0, 40))) for _ in range(80)] + ["", "a" * 63, "ab" * 200]
+    pairs = [(a, b) for a in words for b in rng.sample(words, 12) if min(len(a), len(b)) <= 63]
+    got = vectors.indel_ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == pytest.approx([vectors.indel_ratio(a, b) for a, b in pairs])
+
+
+@pytest.mark.parametrize("block,asked", [(10**9, 10**9), (600, 10**9), (600, 400), (10**9, 400)])
+def test_search_in_blocks_with_ties(spark, monkeypatch, block, asked):
+    """Blocks give what one pass gives, whether the queries come to the gallery or both are dealt out; ties go to the smaller name, a query never finds itself."""
+    import math
     import random
 
     rng = random.Random(1)
-    vecs = [(i, [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(2)]) for i in range(60)]
-    gallery = spark.createDataFrame(vecs, "image_name long, views array<array<double>>")
+    vecs = [(i, [[float(rng.choice([-2, -1, 1, 2])) for _ in range(3)] for _ in range(2)]) for i in range(60)]
+    gallery = spark.createDataFrame([(i, v, [f"s{i}"], None) for i, v in vecs], "image_name long, views array<array<double>>, slugs array<string>, extra string").repartition(3)
     queries = spark.createDataFrame(vecs[:20], "query_id long, crops array<array<double>>")
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(retrieval, "GALLERY_BLOCK", 9)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", block)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", asked)
+    monkeypatch.setattr(retrieval, "PIVOTS", 12)
     found = one(retrieval.search(queries, gallery, 5).orderBy("query_id", "rank"), "query_id", "image_name", "score")
+    unit = {i: [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in vs] for i, vs in vecs}
     expected = []
-    for q, crops in vecs[:20]:
-        scores = [(-round(sum(max(sum(a * b for a, b in zip(c, v)) for v in views) for c in crops) / 2, 6), g) for g, views in vecs if g != q]
+    for q, _ in vecs[:20]:
+        scores = [(-round(sum(max(sum(a * b for a, b in zip(c, v)) for v in views) for c in unit[q]) / 2, 6), g) for g, views in unit.items() if g != q]
         expected += [(q, g, -s) for s, g in sorted(scores)[:5]]
     assert found == expected
+    kept = retrieval.search(queries, gallery, 5).first()
+    assert kept.slugs == [f"s{kept.image_name}"] and kept.extra is None
+
+
+def test_search_skips_groups_of_images_and_loses_nothing(spark, monkeypatch):
+    """Clustered vectors: most groups cannot reach what a query has; the answers are those of all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 2, 16))
+    views = np.repeat(centres, 40, axis=0) + 0.05 * rng.normal(size=(480, 2, 16))
+    gallery = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(views)], "image_name long, views array<array<double>>").repartition(2)
+    queries = gallery.where("image_name % 20 = 0").select(F.col("image_name").alias("query_id"), F.col("views").alias("crops"))
+    monkeypatch.setattr(retrieval, "PIVOTS", 100)
+    unit = views / np.linalg.norm(views, axis=2, keepdims=True)
+    scores = np.round(retrieval.mean_of_best(unit, unit), 6)
+    np.fill_diagonal(scores, -9)
+    expected = {(q, int(g)) for q in range(0, 480, 20) for g in np.lexsort((np.arange(480), -scores[q]))[:4]}
+    for asked in (10**9, 2000):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", asked)
+        counters = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        assert set(one(retrieval.search(queries, gallery, 4, counters), "query_id", "image_name")) == expected
+        assert counters[1].value > 0.5 * counters[0].value > 0
+
+
+@pytest.mark.parametrize("crops,views,k", [([[0.0, 0.0]], [[1.0, 0.0]], 1), ([[1.0, 0.0]], [[float("nan"), 0.0]], 1), ([[1.0]], [[1.0, 0.0]], 1), ([[1.0, 0.0]], [[1.0, 0.0]], 0), ([[1.0, float("inf")]], [[1.0, 0.0]], 1)])
+def test_search_refuses_what_it_cannot_compare(spark, crops, views, k):
+    gallery = spark.createDataFrame([("r", views)], "image_name string, views array<array<double>>")
+    queries = spark.createDataFrame([("q", crops)], "query_id string, crops array<array<double>>")
+    with pytest.raises(Exception, match="dimensions differ|not zero|must be positive"):
+        retrieval.search(queries, gallery, k).collect()
 
 
 # ---- recommendations ----
@@ -239,6 +308,108 @@ def test_analogues(spark):
     assert found[0].reasons[:3] == ["тот же сорт: рислинг", "тоже сухое", "тоже юг"] and found[-1].reasons == ["тот же стиль вина"]
 
 
+def made_shelf(spark, seed, n, wineries=7):
+    """Cards with few grapes and words, so that many tie, and some that share nothing."""
+    import random
+
+    rng = random.Random(seed)
+    grapes, words = [f"g{i}" for i in range(6)], [f"слово{c}" for c in "абвгдежзик"]
+    rows = []
+    for i in range(n):
+        rows.append(
+            {
+                "slug": f"c{i:03d}", "name": rng.choice(["сухое", "брют", "полусладкое", ""]), "category": rng.choice(["Белое", "Красное"]), "winery": f"w{rng.randrange(wineries)}",
+                "grape": ", ".join(rng.sample(grapes, rng.randint(0, 3))), "region": rng.choice(["юг", "север", ""]),
+                "description": " ".join(rng.choices(words, k=rng.randint(0, 6))), "reference_available": rng.random() < 0.8,
+            }
+        )
+    return cards(spark, *rows)
+
+
+def all_pairs(features, vectors, base):
+    """Every comparable card with its score, by plain arithmetic in whole units."""
+    mine, unit = features[base], text.UNIT
+    out = []
+    for slug, c in features.items():
+        if slug == base or c.winery == mine.winery or c.color != mine.color or c.sparkling != mine.sparkling or not c.available:
+            continue
+        a, b = set(mine.grapes), set(c.grapes)
+        score = 3 * unit * len(a & b) // len(a | b) if a | b else 0
+        score += unit * 15 // 10 * (mine.sweetness is not None and mine.sweetness == c.sweetness) + unit * 7 // 10 * (mine.region == c.region)
+        score += 3 * sum(int(w * vectors.get(slug, {})[t] * unit) for t, w in vectors.get(base, {}).items() if t in vectors.get(slug, {}))
+        out.append((-score, slug, c.winery))
+    best, seen = [], set()
+    for score, slug, winery in sorted(out):
+        if winery not in seen:
+            seen.add(winery)
+            best.append((slug, -score))
+    return best
+
+
+@pytest.mark.parametrize("seed,first,limit", [(1, 1, 4), (2, 20, 4), (3, 5, 8), (4, 10**9, 2)])
+def test_analogues_against_all_pairs(spark, monkeypatch, seed, first, limit):
+    monkeypatch.setattr(recommend, "FIRST_POSTINGS", first)
+    rows = made_shelf(spark, seed, 90)
+    weights = text.profiles(text.term_counts(rows), rows.count(), most_common=0.9).cache()
+    features = {r.slug: r for r in recommend.card_features(rows).collect()}
+    vectors = {}
+    for slug, term, weight in one(weights, "slug", "term", "weight"):
+        vectors.setdefault(slug, {})[term] = weight
+    bases = spark.createDataFrame([(f"c{i:03d}",) for i in range(0, 90, 4)], "slug string")
+    found = {}
+    for r in recommend.analogues(recommend.card_features(rows), bases, weights, limit).orderBy("base", "place").collect():
+        found.setdefault(r.base, []).append((r.slug, r.score))
+    for base in (f"c{i:03d}" for i in range(0, 90, 4)):
+        due = all_pairs(features, vectors, base)[:limit]
+        assert found.get(base, []) == [(slug, (score + 50_000_000) // 100_000_000 / 10_000) for slug, score in due]
+
+
+def test_order_is_by_the_unrounded_score(spark):
+    """Scores that tie at four digits, planted so that the smaller slug has the smaller one."""
+    base = {"category": "Белое", "region": "x", "winery": "w"}
+    rows = [{**base, "slug": s, "winery": f"w{s}", "description": "а" * n} for s, n in (("a", 599), ("b", 600), ("c", 598), ("d", 600))]
+    found = recommend.sommelier_for_cards(cards(spark, *rows)).orderBy("place").collect()
+    assert [r.slug for r in found] == ["b", "d", "a"]
+    scored = spark.createDataFrame([("x", "p", "w1", 3_100_010_000_000), ("x", "q", "w2", 3_100_040_000_000), ("x", "r", "w2", 3_100_040_000_000)], "base string, slug string, winery string, units long")
+    assert one(recommend.one_per_winery(scored, ["base"]).orderBy("place"), "slug") == ["q", "p"]
+    shown = scored.select(recommend.shown(F.col("units")).alias("s")).distinct().collect()
+    assert [r.s for r in shown] == [3.1]
+
+
+def test_a_page_beyond_the_last_keeps_total_and_note(spark):
+    rows = shelf(spark)
+    page = recommend.sommelier_for_cards(rows, color="sparkling", sweetness="sweet", offset=30).collect()
+    assert [(r.place, r.slug, r.total) for r in page] == [(None, None, 1)] and "без учёта сладости" in page[0].note
+    none = recommend.sommelier_for_cards(rows, color="rose", sweetness="sweet").collect()
+    assert [(r.slug, r.total, r.note) for r in none] == [(None, 0, None)]
+
+
+@pytest.mark.parametrize("at_least,most", [(0.3, 10**6), (0.6, 3), (0.9, 1)])
+def test_cosine_join_against_all_pairs(spark, at_least, most):
+    rows = made_shelf(spark, 7, 120)
+    weights = text.profiles(text.term_counts(rows), rows.count(), most_common=0.9).cache()
+    vectors, names = {}, {}
+    for slug, term, weight in one(weights, "slug", "term", "weight"):
+        vectors.setdefault(slug, {})[term] = weight
+    for slug in sorted(vectors):
+        names.setdefault(tuple(sorted(vectors[slug].items())), slug)
+    assert dict(one(text.same_profiles(weights), "slug", "profile")) == {s: names[tuple(sorted(v.items()))] for s, v in vectors.items()}
+    firsts, due = sorted(names.values()), set()
+    for i, a in enumerate(firsts):
+        for b in firsts[i + 1 :]:
+            units = sum(int(w * vectors[b][t] * text.UNIT) for t, w in vectors[a].items() if t in vectors[b])
+            if units >= at_least * text.UNIT:
+                due.add((a, b, units))
+    assert due and set(one(text.cosine_join(weights, at_least, most), "a", "b", "units")) == due
+
+
+def test_shared_terms_in_slices(spark):
+    rows = made_shelf(spark, 8, 80)
+    weights = text.profiles(text.term_counts(rows), rows.count(), most_common=0.9).cache()
+    whole = sorted(one(text.shared_terms(weights, weights), "base", "slug", "term", "units"))
+    assert whole and whole == sorted(one(text.shared_terms(weights, weights, 2), "base", "slug", "term", "units"))
+
+
 def test_sommelier(spark):
     rows = shelf(spark)
     found = recommend.sommelier_for_cards(rows, dish="fish", color="white").collect()
@@ -304,9 +475,15 @@ def test_score(spark):
     assert evaluation.accuracy(evaluation.judged(guesses, known.where("status = 'unknown'"))).first().top1_accuracy is None
 
 
-def test_exact_percentiles(spark):
+@pytest.mark.parametrize("margin,most", [(0.01, 10**6), (0.0, 10**6), (0.05, 30)])
+def test_exact_percentiles(spark, monkeypatch, margin, most):
+    """Also where brackets miss their place and are taken wider, and where they are narrowed."""
     import random
 
+    monkeypatch.setattr(evaluation, "MARGIN", margin)
+    monkeypatch.setattr(evaluation, "IN_BRACKET", most)
+    monkeypatch.setattr(evaluation, "SKETCH", 16)
+
     import numpy as np
 
     rng = random.Random(3)
@@ -316,6 +493,8 @@ def test_exact_percentiles(spark):
     assert found.keys() == values.keys()
     for g, vs in values.items():
         assert [found[g].low, found[g].mid, found[g].high, found[g].top] == pytest.approx([float(np.percentile(vs, p)) for p in (5, 50, 95, 100)])
+    whole = evaluation.exact_percentiles(rows.where("g = 'a'"), [], "v", {"mid": 0.5}).collect()
+    assert [r.mid for r in whole] == pytest.approx([float(np.percentile(values["a"], 50))])
     assert {r.g: r.n for r in evaluation.latency(rows, ["g"], "v").collect()}["e"] == 1
 
 
@@ -402,7 +581,7 @@ def test_index_knows_its_rows_and_its_manifest(spark, tmp_path):
     assert files.read_index(spark, path, "m1", "v1", images).count() == 2
     with pytest.raises(ValueError, match="Index and manifest"):
         files.read_index(spark, path, "m1", "v1", images.limit(1))
-    first = next((tmp_path / "i").glob("gallery-*"))
+    first = next((tmp_path / "i").glob("data-*")) / "gallery"
     gallery.limit(1).write.mode("overwrite").parquet(str(first))
     with pytest.raises(ValueError, match="changed"):
         files.read_index(spark, path, "m1", "v1")
@@ -410,6 +589,62 @@ def test_index_knows_its_rows_and_its_manifest(spark, tmp_path):
     assert files.read_index(spark, path, "m2", "v1").count() == 2
 
 
+@pytest.mark.parametrize("step", ["data", "put", "move_if_absent", "numbers"])
+def test_readers_see_the_old_or_the_new(spark, tmp_path, monkeypatch, step):
+    """A writer that stops between any two steps leaves the version before it; the next one publishes."""
+    path, rows = str(tmp_path / "p"), predictions(spark, ("a", ["y", "x"]))
+    seen = lambda: one(files.read_predictions(spark, path), "image_path")
+    files.write_predictions(rows, path)
+
+    def stop(*_args, **_more):
+        raise RuntimeError("stopped")
+
+    other = predictions(spark, ("b", ["y", "x"]))
+    with monkeypatch.context() as patched:
+        if step == "data":
+            with pytest.raises(RuntimeError):
+                publish.publish(spark, path, lambda folder: (other.write.json(folder), stop()))
+        else:
+            patched.setattr(publish, step, stop)
+            with pytest.raises(RuntimeError):
+                files.write_predictions(other, path)
+    assert seen() == ["a"] and publish.numbers(spark, path) == [1]
+    files.write_predictions(other, path)
+    assert seen() == ["b"] and publish.numbers(spark, path) == [1, 2]
+
+
+def test_two_writers_get_two_numbers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    files.write_report(spark.range(1), path)
+    monkeypatch.setattr(publish, "numbers", lambda *_: [])  # one that doesn't know of the other
+    files.write_report(spark.range(2), path)
+    monkeypatch.undo()
+    assert publish.numbers(spark, path) == [1, 2] and files.read_report(spark, path, "id long").count() == 2
+    assert publish.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_digest_trees_find_what_changed(spark, monkeypatch):
+    monkeypatch.setattr(integrity, "LEAF", 4)
+    rows = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    other = rows.where("id <> 17").withColumn("digest", F.when(F.col("id") == 5, F.lit("x")).otherwise(F.col("digest"))).unionByName(spark.createDataFrame([("new", "d", -1)], rows.schema))
+    depth = integrity.depth_for(3000)
+    old, new = integrity.digest_tree(rows.drop("id"), depth).cache(), integrity.digest_tree(other.drop("id"), depth).cache()
+    assert depth == 3 and integrity.root(old) != integrity.root(new)
+    ranges = integrity.changed_ranges(old, new, depth)
+    assert {len(r) for r in one(ranges, "range")} == {3} and ranges.count() <= 3
+    assert sorted(one(integrity.changed_rows(rows, other, ranges, depth), "name", "change")) == [("n17", "removed"), ("n5", "differs"), ("new", "added")]
+    assert integrity.changed_ranges(old, old, depth).count() == 0
+    nothing = integrity.digest_tree(rows.drop("id").limit(0))
+    assert integrity.root(nothing) == integrity.root(nothing.limit(0)) and integrity.changed_ranges(nothing, nothing, 1).count() == 0
+
+
+@pytest.mark.parametrize("word,other", [("Straße", "STRASSE"), ("ΟΔΟΣ", "οδος"), ("ΟΔΟΣ", "οδοσ"), ("Игристое", "ИГРИСТОЕ"), ("İzmir", "i̇zmir"), ("naïve", "NAÏVE"), ("ﬁn", "FIN"), ("abc", "abd"), ("и", "й")])
+def test_lists_are_searched_without_regard_to_case(spark, word, other):
+    rows = spark.createDataFrame([("verified", f"x {word} y", None, None, None)], "status string, name string, evidence string, verified_slug string, top1 string")
+    wanted = other.casefold() in f"x {word} y".casefold()
+    assert (evaluation.review_list(rows, "verified", other).count() == 1) == wanted
+
+
 def test_manifest_is_replaced_as_a_whole(spark, tmp_path):
     path = str(tmp_path / "m")
     rows = cards(spark, {"slug": "a"})
@@ -467,7 +702,7 @@ def test_review_report_and_detail(spark, tmp_path):
     with pytest.raises(ValueError, match="top_k"):
         review.review_report(ranking(spark, [0.9]), rows, images, 0)
     files.write_report(report, str(tmp_path / "r"))
-    assert spark.read.json(str(tmp_path / "r")).first().slug == "s1"
+    assert files.read_report(spark, str(tmp_path / "r"), "slug string").first().slug == "s1"
     labels = spark.createDataFrame([("q", "x", "verified", "s2", "e")], "image_path string, image_sha256 string, status string, slug string, evidence string")
     ranked = ranking(spark, [0.9, 0.8]).withColumnRenamed("query_id", "name").select("name", "rank", "slug", "score")
     detail = review.review_detail(evaluation.review_rows(ranked, labels), rows, images).orderBy("rank").collect()
