@@ -41,7 +41,7 @@ BANDS = 6
 #: Members of a leaf and of an inner node; bits of a bitmap for each shingle of a set; cells of bitmaps compared at a time.
 FAN, BITS_A_SHINGLE, CELLS = 8, 4, 1 << 20
 #: Most members and bytes of a tree; bytes of sets in one task; steps of size between chunks.
-MEMBERS, TREE_BYTES, TASK_BYTES, SIZE_STEP = 2048, 8_000_000, 16_000_000, 1.25
+MEMBERS, TREE_BYTES, TASK_BYTES, SIZE_STEP = 512, 8_000_000, 16_000_000, 1.25
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 SEEDS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, dtype=np.uint64)
 MEMBER = "team long, side int, node long, reach long, part long, shingles binary"
@@ -242,7 +242,7 @@ def first_links(bands: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among the members (node, n, key) of the least hashes; large keys are split."""
     many = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")
     chunks = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(8 * F.col("size") / TREE_BYTES))
-    team = F.xxhash64("key", F.pmod(F.xxhash64("node"), chunks))
+    team = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), chunks))  # another split for each key
     rows = bands.join(written(many, "ngram-bands"), "key").select(team.alias("team"), F.lit(0).alias("side"), "node", "n", F.col("n").alias("reach"), F.col("node").alias("part"))
     return _joined(rows, sets, "ngram-first")
 
