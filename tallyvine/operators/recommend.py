@@ -87,16 +87,21 @@ def first_slugs(cards: DataFrame, keys: list[str], most: int) -> DataFrame:
     return wineries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).groupBy(*keys).agg(F.collect_list("slug").alias("slugs"))
 
 
-def reach(base_elements: DataFrame, sizes: DataFrame) -> DataFrame:
-    """base_elements with the number of cards behind each (n), in the order of that number, the number so far (so_far),
-    and the most that this element and those after it can give to a score."""
-    every = base_elements.join(sizes, "element")  # one that no card has gives nothing
-    order = Window.partitionBy("b_slug").orderBy("n", "element")
+def in_order(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Elements of each card (key) with the number of cards behind each (n), in the one order of that number: the numbers so far (so_far), and of this
+    element and those after it how many are grapes (grapes_left) and the length of the terms' weights (length_left)."""
+    every = rows.join(sizes, "element")  # one that no card has gives nothing
+    order = Window.partitionBy(key).orderBy("n", "element")
     after = order.rowsBetween(0, Window.unboundedFollowing)
-    grapes = F.count(F.when(F.col("weight").isNull(), 1)).over(after)
-    length = F.sqrt(F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(after), F.lit(0.0)))
-    most = share_units(GRAPES // 10, grapes, F.col("b_n_grapes")) + F.ceil(length * (TEXT / 10 * UNIT * (1 + 1e-9))) + 1000
-    return every.withColumn("reach", most).withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return every.select(
+        *rows.columns, F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"),
+        F.count(F.when(F.col("weight").isNull(), 1)).over(after).alias("grapes_left"), F.sqrt(F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(after), F.lit(0.0))).alias("length_left"),
+    ).drop("weight")
+
+
+def most_units(grapes: Column, union: Column, length: Column) -> Column:
+    """No pair scores more from so many common grapes out of a union and terms of this product of lengths."""
+    return share_units(GRAPES // 10, grapes, union) + F.ceil(length * (TEXT / 10 * UNIT * (1 + 1e-9))) + 1000
 
 
 def scored_pairs(pairs: DataFrame, cards: DataFrame, adjective: str) -> DataFrame:
@@ -127,8 +132,8 @@ def analogues(features: DataFrame, bases: DataFrame, profiles: DataFrame, limit:
     bases: slug, a stated set. A threshold algorithm in place of all pairs of a kind. Cards that share neither grape nor term with a base
     score by sweetness and region alone, so the first slugs of a few wineries stand for all of them. Others come from
     the postings of the base's grapes and terms, those with the fewest cards first. The first FIRST_POSTINGS give each base a
-    score that limit wineries reach; beyond them a posting is followed only where all that is left of grapes (at most their share) and
-    terms (at most the length of their weights), with what the card's sweetness and region give, can reach that score."""
+    score that limit wineries reach; beyond them a posting is followed only where all that is left of both cards' grapes (at most their share) and
+    terms (at most the product of the lengths of their weights), with what the card's sweetness and region give, can reach that score."""
     limit = max(1, min(limit, MOST_ANALOGUES))
     found, _ = analogue_scores(features, bases, profiles, limit, adjective)
     best = one_per_winery(found, ["base"]).where(F.col("place") <= limit)
@@ -142,13 +147,15 @@ def analogue_scores(features: DataFrame, bases: DataFrame, profiles: DataFrame,
     cards = features.select(*columns).join(profile_vectors(profiles), "slug", "left").withColumn("vector", F.coalesce("vector", none))
     cards = written(cards, "analogue-cards")
     offered = cards.where("available")
-    posted = written(elements(offered, "slug", "sweetness", "region").drop("weight"), "analogue-postings")
-    sizes = posted.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    counted = ["slug", "sweetness", "region", "n_grapes"]
+    with_number = lambda rows: rows.withColumn("n_grapes", F.size("grapes"))
+    listed = written(elements(with_number(offered), *counted), "analogue-postings")
+    sizes = listed.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    posted = written(in_order(listed, sizes, "slug").drop("so_far"), "analogue-postings")
     chosen = cards.join(bases.select("slug").distinct(), "slug", "left_semi")
     base = chosen.select(F.col("slug").alias("b_slug"), F.col("sweetness").alias("b_sweetness"), F.col("region").alias("b_region"), "color", "sparkling")
-    asked = elements(chosen.withColumn("b_n_grapes", F.size("grapes")), "slug", "sweetness", "region", "b_n_grapes")
-    asked = asked.select(F.col("slug").alias("b_slug"), F.col("sweetness").alias("b_sweetness"), F.col("region").alias("b_region"), "b_n_grapes", "element", "weight")
-    asked = written(reach(asked, sizes), "analogue-elements")
+    asked = in_order(elements(with_number(chosen), *counted), sizes, "slug")
+    asked = written(asked.select("element", "so_far", *[F.col(c).alias(f"b_{c}") for c in (*counted, "grapes_left", "length_left")]), "analogue-elements")
 
     lists = []
     for same in (["sweetness", "region"], ["sweetness"], ["region"], []):
@@ -166,8 +173,11 @@ def analogue_scores(features: DataFrame, bases: DataFrame, profiles: DataFrame,
     ranked = one_per_winery(known.select("base", "slug", "winery", "units"), ["base"])
     least = ranked.where(F.col("place") == limit).select(F.col("base").alias("b_slug"), F.col("units").alias("least"))
     due = asked.where(F.col("so_far") > FIRST_POSTINGS).join(least, "b_slug", "left").withColumn("least", F.coalesce("least", F.lit(0)))
-    due = due.where(F.col("reach") + tenths(SWEETNESS + REGION) >= F.col("least")).select("b_slug", "b_sweetness", "b_region", "element", "reach", "least")
-    late = due.join(posted, "element").where(F.col("reach") + static_units() >= F.col("least")).select("b_slug", "slug").distinct()
+    alone = most_units(F.col("b_grapes_left"), F.col("b_n_grapes"), F.col("b_length_left"))
+    due = due.where(alone + tenths(SWEETNESS + REGION) >= F.col("least"))
+    grapes = F.least("b_grapes_left", "grapes_left")
+    both = most_units(grapes, F.col("b_n_grapes") + F.col("n_grapes") - grapes, F.col("b_length_left") * F.col("length_left"))
+    late = due.join(posted, "element").where(both + static_units() >= F.col("least")).select("b_slug", "slug").distinct()
     late = written(late.join(early, ["b_slug", "slug"], "left_anti"), "analogue-pairs")
     return known.unionByName(scored_pairs(late, cards, adjective)), [early, late]
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,15 +43,15 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / length
 
 
-def vectors_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Rows x vectors x numbers of a column of arrays of vectors, scaled to length one."""
-    n = len(column)
+def vectors_of(column: pa.ChunkedArray | pa.Array, number: int, width: int) -> np.ndarray:
+    """Rows x vectors x numbers of a column of arrays of so many vectors, scaled to length one."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     vectors = flat.flatten()
     numbers = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float)
-    if flat.null_count or vectors.null_count or len(numbers) != len(vectors) * width or (n and len(vectors) % n):
+    sizes = [np.asarray(pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x in (flat, vectors)]
+    if flat.null_count or vectors.null_count or (sizes[0] != number).any() or (sizes[1] != width).any():
         raise ValueError("Query and gallery feature dimensions differ")
-    return unit_rows(numbers.reshape(n, -1, width))
+    return unit_rows(numbers.reshape(-1, number, width))
 
 
 def mean_of_best(crops: np.ndarray, views: np.ndarray) -> np.ndarray:
@@ -133,17 +134,15 @@ class Asked:
             yield out.assign(query_id=self.ids[out["query"].to_numpy()])[columns]
 
 
-def _shape(rows: DataFrame, column: str) -> tuple[int, int, int]:
-    """Rows, vectors of a row and numbers of a vector; an error if they differ."""
-    sizes = F.transform(column, lambda v: F.coalesce(F.size(v), F.lit(0)))
-    n, *bounds = rows.agg(
-        F.count(F.lit(1)), *[f(F.coalesce(x, F.lit(0))) for x in (F.size(column), F.array_min(sizes)) for f in (F.min, F.max)], F.max(F.array_max(sizes)),
-    ).first()
-    if not n:
-        return 0, 0, 0
-    if bounds[0] != bounds[1] or bounds[2] != bounds[4] or min(bounds) < 1:
+def _shape(rows: DataFrame, column: str) -> tuple[int, int]:
+    """Vectors of the first row and numbers of its first vector; every other row is held against them where it is read. Nothing for no rows."""
+    first = rows.select(column).first()
+    if first is None:
+        return 0, 0
+    vectors = first[0] or []
+    if not vectors or not vectors[0]:
         raise ValueError("Query and gallery feature dimensions differ")
-    return n, bounds[0], bounds[2]
+    return len(vectors), len(vectors[0])
 
 
 def _reached(crops: np.ndarray, ids: np.ndarray, pivots: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
@@ -166,17 +165,17 @@ def search(queries: DataFrame, gallery: DataFrame, k: int, counters: tuple | Non
     kinds = dict(gallery.dtypes)
     columns = ["query_id", "image_name", "score", *along]
     schema = f"query_id {dict(queries.dtypes)['query_id']}, image_name {kinds['image_name']}, score double" + "".join(f", {c} {kinds[c]}" for c in along)
-    (n_queries, n_crops, width), (n_images, n_views, gallery_width) = _shape(queries, "crops"), _shape(gallery, "views")
+    n_queries, (n_crops, width), (n_views, gallery_width) = queries.count(), _shape(queries, "crops"), _shape(gallery, "views")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "image_name")
     result = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "image_name", "score", *along)
-    if not n_queries or not n_images:
+    if not n_queries or not n_views:
         return result(spark.createDataFrame([], schema))
     if width != gallery_width:
         raise ValueError("Query and gallery feature dimensions differ")
 
     most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * n_views * width)))
     chosen = gallery.select("image_name", "views", F.xxhash64("image_name").alias("_h")).orderBy("_h", "image_name").limit(most).drop("_h").toArrow()
-    pivot_names, pivots = chosen.column("image_name").to_pandas().to_numpy(), vectors_of(chosen.column("views"), width)
+    pivot_names, pivots = chosen.column("image_name").to_pandas().to_numpy(), vectors_of(chosen.column("views"), n_views, width)
 
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
@@ -186,7 +185,7 @@ def search(queries: DataFrame, gallery: DataFrame, k: int, counters: tuple | Non
 
     if 8 * n_queries * n_crops * width <= QUERY_BYTES:  # one block
         rows = queries.select("query_id", "crops").toArrow()
-        ids, crops = rows.column("query_id").to_pandas().to_numpy(), vectors_of(rows.column("crops"), width)
+        ids, crops = rows.column("query_id").to_pandas().to_numpy(), vectors_of(rows.column("crops"), n_crops, width)
         shared = spark.sparkContext.broadcast((ids, crops, _reached(crops, ids, pivots, pivot_names, k), pivots))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +195,7 @@ def search(queries: DataFrame, gallery: DataFrame, k: int, counters: tuple | Non
                 step = max(1, BLOCK_BYTES // (8 * n_views * width))
                 for at in range(0, len(batch), step):
                     some = batch.slice(at, step)
-                    count(asked.compare(some.select(["image_name", *along]).to_pandas(), vectors_of(some.column("views"), width), pivots))
+                    count(asked.compare(some.select(["image_name", *along]).to_pandas(), vectors_of(some.column("views"), n_views, width), pivots))
             for out in asked.rows(columns):
                 yield pa.RecordBatch.from_pandas(out, arrow, preserve_index=False)
 
@@ -213,7 +212,7 @@ def _shuffled(queries: DataFrame, gallery: DataFrame, k: int, chosen: tuple, sha
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            views = vectors_of(batch.column("views"), width)
+            views = vectors_of(batch.column("views"), n_views, width)
             group = nearest(views, pivots.value[0])
             apart = angles(views, pivots.value[0][group])
             yield pa.RecordBatch.from_arrays(
@@ -232,7 +231,7 @@ def _shuffled(queries: DataFrame, gallery: DataFrame, k: int, chosen: tuple, sha
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crops, ids = vectors_of(batch.column("crops"), width), batch.column("query_id").to_pandas().to_numpy()
+            crops, ids = vectors_of(batch.column("crops"), n_crops, width), batch.column("query_id").to_pandas().to_numpy()
             reached, rows = _reached(crops, ids, *pivots.value, k), []
             for group, radius in radii.value.items():
                 asked = np.flatnonzero(most_possible(crops, pivots.value[0][group], radius) >= reached)
@@ -256,8 +255,8 @@ def _shuffled(queries: DataFrame, gallery: DataFrame, k: int, chosen: tuple, sha
         if not len(images) or not len(wanted):
             return arrow.empty_table()
         ids = wanted.column("q_query_id").to_pandas().to_numpy()
-        asked = Asked(ids, vectors_of(wanted.column("q_crops"), width), wanted.column("q_reached").to_numpy(), k)
-        asked.compare(images.select(["image_name", *along]).to_pandas(), vectors_of(images.column("views"), width), pivots.value[0])
+        asked = Asked(ids, vectors_of(wanted.column("q_crops"), n_crops, width), wanted.column("q_reached").to_numpy(), k)
+        asked.compare(images.select(["image_name", *along]).to_pandas(), vectors_of(images.column("views"), n_views, width), pivots.value[0])
         return pa.concat_tables([arrow.empty_table(), *(pa.Table.from_pandas(out, arrow, preserve_index=False) for out in asked.rows(columns))])
 
     keys = ["group", "cut", "part"]

@@ -19,7 +19,7 @@ from .operators import catalog, checks, evaluation, integrity, pairing, recommen
 from .plans import predict as plans
 from .plans import views
 from .scratch import scratch_path, written
-from .sources import files
+from .sources import files, objects
 
 WORD = "[a-z]{4,}"
 EVERY = 50
@@ -1013,6 +1013,22 @@ def review_report_file(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("query_id", "rank", "slug", "name", "score", "reference_sha256")
 
 
+@query(f"WITH {CARDS} SELECT slug, name, winery, image_name, reference_available FROM cards")
+def manifest_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards written as JSON objects with an indent of two and read back by many tasks."""
+    path, rows = scratch_path(spark, "manifest-objects"), cards(spark, sf)
+    objects.write_objects(rows.select(*files.CARD_KINDS), path, "cards", {"schema_version": 1, "source_rows": 0})
+    return files.read_manifest(spark, path)[0].select("slug", "name", "winery", "image_name", "reference_available")
+
+
+@query(f"WITH {CARDS} SELECT slug, 'ab12' AS baseline_manifest_sha256, image_name AS from_image, 'fixed-' || winery || '.png' AS target_image FROM cards WHERE CAST(slug AS BIGINT) % 3 = 0")
+def fixes_objects(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "fixes-objects")
+    due = _fixes(cards(spark, sf)).withColumn("target_sha256", F.sha2("target_image", 256))
+    objects.write_objects(due, path, "fixes", {"baseline_manifest_sha256": "ab12", "schema_version": 1})
+    return files.read_fixes(spark, path).select("slug", "baseline_manifest_sha256", "from_image", "target_image")
+
+
 def _page_digests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Digests of pages as they were kept and as they are: some changed, some are new, some gone."""
     n, digest = F.col("page_id"), F.sha2("html", 256)

@@ -9,6 +9,7 @@ from ..functions.cards import safe_filename, stripped
 from ..operators.checks import label_violations, prediction_violations, require_none, same_keys, violations
 from ..operators.integrity import changed_ranges, depth_for, digest_tree, root
 from ..scratch import written
+from . import objects
 from .publish import data_folder, latest, publish
 
 # Columns of the catalog file and the names they get.
@@ -82,13 +83,42 @@ def _versioned(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return found
 
 
+# Fields of the elements of a manifest, of fixes and of their images, with the kinds that a value may have.
+CARD_KINDS = {c: ("STRING",) for c in ("slug", "name", "category", "color", "region", "grape", "description", "winery", "image_name")} | {"reference_available": ("BOOLEAN",)}
+IMAGE_KINDS = {"filename": ("STRING",), "sha256": ("STRING",), "slugs": ("ARRAY<STRING>",)}
+FIX_KINDS = {c: ("STRING",) for c in ("slug", "from_image", "target_image", "target_sha256")}
+HEX_FACT = '"{name}": "([0-9a-f]*)"'
+
+
+def _elements(spark: SparkSession, path: str, mark: str, key: str, kinds: dict[str, tuple[str, ...]], fields: str) -> DataFrame:
+    """Typed elements of one array; a field of the wrong kind is an error that names it."""
+    found = objects.elements(spark, path, mark)
+    require_none(objects.faults(found, key, kinds), path)
+    return objects.typed(found, dict(f.strip().split(" ", 1) for f in fields.split(", ")))
+
+
+def _version_one(spark: SparkSession, path: str) -> None:
+    if objects.facts(spark, path, {"version": r'"schema_version": (\d+)'})["version"] != "1":
+        raise ValueError(f"{path} must hold objects of schema version 1")
+
+
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """cards, images (filename, sha256, slugs) and excluded (slug) of a manifest."""
+    """cards, images (filename, sha256, slugs) and excluded (slug) of a manifest. A file with an indent of two is read by many tasks."""
+    if objects.in_layout(spark, path):
+        _version_one(spark, path)
+        cards_ = _elements(spark, path, "name", "slug", CARD_KINDS, CARD)
+        images = _elements(spark, path, "filename", "filename", IMAGE_KINDS, "filename string, sha256 string, slugs array<string>")
+        return cards_, images, objects.strings(spark, path, "excluded_slugs").withColumnRenamed("value", "slug")
     found = _versioned(spark, path, MANIFEST_SCHEMA)
     return found.select(F.inline("cards")), found.select(F.inline("images")), found.select(F.explode("excluded_slugs").alias("slug"))
 
 
 def read_fixes(spark: SparkSession, path: str) -> DataFrame:
+    if objects.in_layout(spark, path):
+        _version_one(spark, path)
+        base = objects.facts(spark, path, {"base": HEX_FACT.format(name="baseline_manifest_sha256")})["base"]
+        fields = "slug string, from_image string, target_image string, target_sha256 string, archive_member string, evidence string"
+        return _elements(spark, path, "from_image", "slug", FIX_KINDS, fields).select(F.lit(base).alias("baseline_manifest_sha256"), "*")
     return _versioned(spark, path, FIXES_SCHEMA).select("baseline_manifest_sha256", F.inline("fixes"))
 
 
@@ -114,6 +144,9 @@ def read_review(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Frozen review reports of a folder: visual (name, sha256, candidates in order) and ocr (name, sha256, lines), each one JSON object by name."""
 
     def by_name(file: str, value: str) -> DataFrame:
+        split = objects.entries(spark, f"{path}/{file}")
+        if split.take(1):
+            return split.select("name", F.variant_get("v", "$", value).alias("v")).select("name", "v.*")
         whole = spark.read.text(f"{path}/{file}", wholetext=True)
         found = whole.select(F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"}).alias("m"))
         return found.select(F.explode("m").alias("name", "v")).select("name", "v.*")

@@ -9,7 +9,7 @@ from tallyvine.functions import cards as card
 from tallyvine.functions import vectors
 from tallyvine.operators import catalog, checks, evaluation, integrity, pairing, recommend, rerank, retrieval, review, text
 from tallyvine.plans import predict, views
-from tallyvine.sources import files, publish
+from tallyvine.sources import files, objects, publish
 from tallyvine.streaming import runs
 
 CARD = files.CARD
@@ -589,6 +589,58 @@ def test_index_knows_its_rows_and_its_manifest(spark, tmp_path):
     assert files.read_index(spark, path, "m2", "v1").count() == 2
 
 
+def odd_card(i):
+    fields = {c: f'{c} {i} "quoted" \\ {{}} }}\n    {{\n  "x": ]' for c in files.CARD_KINDS if c != "reference_available"}
+    return fields | {"slug": f"s{i}", "reference_available": i % 2 == 0}
+
+
+def test_manifest_is_split_at_its_elements(spark, tmp_path):
+    """The same rows as read whole, whatever stands in the strings, and in more than one task."""
+    found = [odd_card(i) for i in range(400)]
+    images = [{"filename": f"{i}.png", "sha256": "0" * 64, "slugs": [f"s{i}", "x, ]"]} for i in range(50)]
+    whole = {"cards": found, "counts": {"unique_cards": 400}, "excluded_slugs": ["z", 'q"],'], "images": images, "schema_version": 1, "source_rows": 400}
+    (tmp_path / "two.json").write_text(json.dumps(whole, ensure_ascii=False, indent=2))
+    (tmp_path / "one.json").write_text(json.dumps(whole, ensure_ascii=False, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split, one_task = (files.read_manifest(spark, str(tmp_path / f"{n}.json")) for n in ("two", "one"))
+        assert split[0].rdd.getNumPartitions() > 5 and one_task[0].rdd.getNumPartitions() == 1
+        for a, b in zip(split, one_task, strict=True):
+            assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect())) and a.count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_faults_of_a_manifest_are_named(spark, tmp_path):
+    wrong = odd_card(1) | {"winery": 7}
+    short = {k: v for k, v in odd_card(2).items() if k != "region"}
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps({"cards": [odd_card(0), wrong, short], "images": [], "schema_version": 1}, indent=2))
+    with pytest.raises(ValueError, match="winery is BIGINT|region is missing"):
+        files.read_manifest(spark, str(path))
+    path.write_text(json.dumps({"cards": [odd_card(0)], "schema_version": 3}, indent=2))
+    with pytest.raises(ValueError, match="version"):
+        files.read_manifest(spark, str(path))
+
+
+def test_objects_and_reports_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i}", "a", "b", "c", None) for i in range(20)], "slug string, from_image string, target_image string, target_sha256 string, evidence string")
+    objects.write_objects(rows.repartition(3), str(tmp_path / "f"), "fixes", {"baseline_manifest_sha256": "0a", "schema_version": 1})
+    for file in (tmp_path / "f").glob("part-*"):
+        assert json.loads(file.read_text())["schema_version"] == 1
+    found = files.read_fixes(spark, str(tmp_path / "f")).collect()
+    assert sorted(r.slug for r in found) == sorted(f"s{i}" for i in range(20)) and {r.baseline_manifest_sha256 for r in found} == {"0a"}
+    visual = {f'n"{i}"': {"sha256": str(i), "candidates": [{"rank": 1, "slug": "s", "filename": "f", "name": "}\n  }", "winery": "w", "score": 0.5}]} for i in range(9)}
+    ocr = {n: {"sha256": "x", "lines": [{"text": "t", "confidence": 0.5}]} for n in visual}
+    for indent in (2, None):
+        for name, data in (("visual.json", visual), ("ocr.json", ocr)):
+            (tmp_path / name).write_text(json.dumps(data, indent=indent))
+        seen, lines = files.read_review(spark, str(tmp_path))
+        assert {r["name"]: r.candidates[0]["name"] for r in seen.collect()} == {n: "}\n  }" for n in visual}
+        assert sorted(one(lines, "name")) == sorted(visual)
+
+
 @pytest.mark.parametrize("step", ["data", "put", "move_if_absent", "numbers"])
 def test_readers_see_the_old_or_the_new(spark, tmp_path, monkeypatch, step):
     """A writer that stops between any two steps leaves the version before it; the next one publishes."""
