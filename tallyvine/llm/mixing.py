@@ -142,7 +142,8 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixture itself: each document as often as it is taken, with the columns of documents."""
+    """The mixture itself: each document as often as it is taken, with the columns of documents; others are left out, whatever their names."""
+    docs = docs.select(*DOCUMENT_COLUMNS)
     taken = repetitions(docs, mix_plan(sized_documents(docs))).where("times > 0")
     return taken.select(*DOCUMENT_COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("copy")
 

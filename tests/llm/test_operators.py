@@ -700,6 +700,15 @@ def test_mixing(spark):
     assert mixed.count() == sum(r.times for r in counted) and len(mixed.columns) == 5
 
 
+def test_mixing_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [" ".join(words(5 + i, i)) for i in range(30)])
+    names = ["cut", "target", "pick", "whole", "times", "source_size", "mix_place", "mix_source", "need", "s", "p", "copy", "weight", "place"]
+    clashing = docs.select("*", *[F.lit(1).alias(n) for n in names])
+    assert sorted(mixing.mix(clashing).collect()) == sorted(mixing.mix(docs).collect())
+
+
 def test_mixing_awkward(spark):
     docs = awkward(spark)
     sized = mixing.sized_documents(docs)
