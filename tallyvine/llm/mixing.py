@@ -8,7 +8,7 @@ counting through two levels of hash buckets, plus the document that fills the la
 The decision on a row needs only its hash and one row of parameters for its source.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-rows that share an id share their fate; an empty table gives an empty result; extra columns stay.
+rows that share an id share their fate; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
