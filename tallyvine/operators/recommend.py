@@ -81,10 +81,11 @@ def elements(of: DataFrame, *columns: str) -> DataFrame:
 
 
 def first_slugs(cards: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """keys, slugs: of the first wineries by their smallest slug, that slug. Cards with nothing else in common can only come in this order."""
+    """keys, firsts (slug, winery): of the first wineries by their smallest slug, that slug. Cards with nothing else in common can only come in this order."""
     wineries = cards.groupBy(*keys, "winery").agg(F.min("slug").alias("slug"))
     order = Window.partitionBy(*keys).orderBy("slug")
-    return wineries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).groupBy(*keys).agg(F.collect_list("slug").alias("slugs"))
+    few = wineries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return few.groupBy(*keys).agg(F.collect_list(F.struct("slug", "winery")).alias("firsts"))
 
 
 def in_order(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
@@ -99,9 +100,9 @@ def in_order(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     ).drop("weight")
 
 
-def most_units(grapes: Column, union: Column, length: Column) -> Column:
-    """No pair scores more from so many common grapes out of a union and terms of this product of lengths."""
-    return share_units(GRAPES // 10, grapes, union) + F.ceil(length * (TEXT / 10 * UNIT * (1 + 1e-9))) + 1000
+def most_units(length: Column) -> Column:
+    """No pair scores more by terms of this product of lengths."""
+    return F.ceil(length * (TEXT / 10 * UNIT * (1 + 1e-9))) + 1000
 
 
 def scored_pairs(pairs: DataFrame, cards: DataFrame, adjective: str) -> DataFrame:
@@ -132,8 +133,8 @@ def analogues(features: DataFrame, bases: DataFrame, profiles: DataFrame, limit:
     bases: slug, a stated set. A threshold algorithm in place of all pairs of a kind. Cards that share neither grape nor term with a base
     score by sweetness and region alone, so the first slugs of a few wineries stand for all of them. Others come from
     the postings of the base's grapes and terms, those with the fewest cards first. The first FIRST_POSTINGS give each base a
-    score that limit wineries reach; beyond them a posting is followed only where all that is left of both cards' grapes (at most their share) and
-    terms (at most the product of the lengths of their weights), with what the card's sweetness and region give, can reach that score."""
+    score that limit wineries reach; beyond them a posting is followed only where the cards' grapes, sweetness and region, with all that is left of both cards'
+    terms (at most the product of the lengths of their weights), can reach that score."""
     limit = max(1, min(limit, MOST_ANALOGUES))
     found, _ = analogue_scores(features, bases, profiles, limit, adjective)
     best = one_per_winery(found, ["base"]).where(F.col("place") <= limit)
@@ -147,36 +148,35 @@ def analogue_scores(features: DataFrame, bases: DataFrame, profiles: DataFrame,
     cards = features.select(*columns).join(profile_vectors(profiles), "slug", "left").withColumn("vector", F.coalesce("vector", none))
     cards = written(cards, "analogue-cards")
     offered = cards.where("available")
-    counted = ["slug", "sweetness", "region", "n_grapes"]
-    with_number = lambda rows: rows.withColumn("n_grapes", F.size("grapes"))
-    listed = written(elements(with_number(offered), *counted), "analogue-postings")
+    told = ["slug", "sweetness", "region", "grapes"]
+    listed = written(elements(offered, *told), "analogue-postings")
     sizes = listed.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
-    posted = written(in_order(listed, sizes, "slug").drop("so_far"), "analogue-postings")
+    posted = written(in_order(listed, sizes, "slug").drop("so_far", "grapes_left"), "analogue-postings")
     chosen = cards.join(bases.select("slug").distinct(), "slug", "left_semi")
-    base = chosen.select(F.col("slug").alias("b_slug"), F.col("sweetness").alias("b_sweetness"), F.col("region").alias("b_region"), "color", "sparkling")
-    asked = in_order(elements(with_number(chosen), *counted), sizes, "slug")
-    asked = written(asked.select("element", "so_far", *[F.col(c).alias(f"b_{c}") for c in (*counted, "grapes_left", "length_left")]), "analogue-elements")
+    base = chosen.select(F.col("slug").alias("b_slug"), F.col("sweetness").alias("b_sweetness"), F.col("region").alias("b_region"), F.col("winery").alias("b_winery"), "color", "sparkling")
+    asked = in_order(elements(chosen, *told), sizes, "slug")
+    asked = written(asked.select("element", "so_far", *[F.col(c).alias(f"b_{c}") for c in (*told, "grapes_left", "length_left")]), "analogue-elements")
 
-    lists = []
+    alike = None
     for same in (["sweetness", "region"], ["sweetness"], ["region"], []):
         keys = ["color", "sparkling", *same]
         firsts = first_slugs(offered, keys, limit + 1)
-        renamed = base.select("b_slug", "color", "sparkling", *[F.col(f"b_{c}").alias(c) for c in same])
-        lists.append(renamed.join(firsts, keys).select("b_slug", F.explode("slugs").alias("slug")))
+        renamed = base.select("b_slug", "b_winery", "color", "sparkling", *[F.col(f"b_{c}").alias(c) for c in same])
+        units = tenths(SWEETNESS * ("sweetness" in same) + REGION * ("region" in same))
+        rows = renamed.join(firsts, keys).select("b_slug", "b_winery", F.inline("firsts")).where("winery <> b_winery").select("b_slug", "slug", "winery", F.lit(units).alias("units"))
+        alike = rows if alike is None else alike.unionByName(rows)
+    alike = one_per_winery(alike, ["b_slug"]).where(F.col("place") <= limit).select("b_slug", "slug")
     rare = asked.where(F.col("so_far") <= FIRST_POSTINGS).join(posted.select("element", "slug"), "element").select("b_slug", "slug")
-    early = rare
-    for rows in lists:
-        early = early.unionByName(rows)
+    early = rare.unionByName(alike)
     early = written(early.distinct(), "analogue-pairs")
     known = written(scored_pairs(early, cards, adjective), "analogue-scores")
 
     ranked = one_per_winery(known.select("base", "slug", "winery", "units"), ["base"])
     least = ranked.where(F.col("place") == limit).select(F.col("base").alias("b_slug"), F.col("units").alias("least"))
     due = asked.where(F.col("so_far") > FIRST_POSTINGS).join(least, "b_slug", "left").withColumn("least", F.coalesce("least", F.lit(0)))
-    alone = most_units(F.col("b_grapes_left"), F.col("b_n_grapes"), F.col("b_length_left"))
+    alone = share_units(GRAPES // 10, F.col("b_grapes_left"), F.size("b_grapes")) + most_units(F.col("b_length_left"))
     due = due.where(alone + tenths(SWEETNESS + REGION) >= F.col("least"))
-    grapes = F.least("b_grapes_left", "grapes_left")
-    both = most_units(grapes, F.col("b_n_grapes") + F.col("n_grapes") - grapes, F.col("b_length_left") * F.col("length_left"))
+    both = jaccard_units(GRAPES // 10, F.col("b_grapes"), F.col("grapes")) + most_units(F.col("b_length_left") * F.col("length_left"))
     late = due.join(posted, "element").where(both + static_units() >= F.col("least")).select("b_slug", "slug").distinct()
     late = written(late.join(early, ["b_slug", "slug"], "left_anti"), "analogue-pairs")
     return known.unionByName(scored_pairs(late, cards, adjective)), [early, late]

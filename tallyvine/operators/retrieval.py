@@ -118,20 +118,20 @@ class Asked:
                 full = np.bincount(row, minlength=len(q)) == self.k
                 last = np.cumsum(np.bincount(row, minlength=len(q)))[full] - 1
                 self.reached[q[full]] = np.maximum(self.reached[q[full]], scores[row, column][last])
-                self.found.append(images.iloc[mine[column]].assign(query=q[row], score=scores[row, column]))
+                self.found.append(images.iloc[mine[column]].assign(_query=q[row], score=scores[row, column]))
             if sum(map(len, self.found)) > 4 * self.k * len(self.ids) + CELLS:
                 self.found = [self.best()]
         return pairs, skipped
 
     def best(self) -> pd.DataFrame:
         rows = pd.concat(self.found)
-        rows = rows[rows["score"].to_numpy() >= self.reached[rows["query"].to_numpy()]]
-        return rows.sort_values(["query", "score", "image_name"], ascending=[True, False, True]).groupby("query").head(self.k)
+        rows = rows[rows["score"].to_numpy() >= self.reached[rows["_query"].to_numpy()]]
+        return rows.sort_values(["_query", "score", "image_name"], ascending=[True, False, True]).groupby("_query").head(self.k)
 
     def rows(self, columns: list[str]) -> Iterator[pd.DataFrame]:
         if self.found:
             out = self.best()
-            yield out.assign(query_id=self.ids[out["query"].to_numpy()])[columns]
+            yield out.assign(query_id=self.ids[out["_query"].to_numpy()])[columns]
 
 
 def _shape(rows: DataFrame, column: str) -> tuple[int, int]:

@@ -594,12 +594,12 @@ def sommelier_page2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CARDS}, {FEATURES} SELECT CAST(NULL AS INT) AS place, CAST(NULL AS VARCHAR) AS slug, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS reasons,
+    f"""WITH {CARDS}, {FEATURES} SELECT 0 AS place, CAST(NULL AS VARCHAR) AS slug, 0.0::DOUBLE AS score, CAST(NULL AS VARCHAR) AS reasons,
   count(DISTINCT winery) AS total, CAST(NULL AS VARCHAR) AS note FROM features WHERE available AND color = 'red' AND NOT sparkling"""
 )
 def sommelier_empty_page(spark: SparkSession, sf: str) -> DataFrame:
     """A page beyond the last one still says how many there are."""
-    return _picks(recommend.sommelier_for_cards(cards(spark, sf), color="red", offset=1_000_000))
+    return _picks(recommend.sommelier_for_cards(cards(spark, sf), color="red", offset=1_000_000)).fillna(0, ["place", "score"])
 
 
 @query(
