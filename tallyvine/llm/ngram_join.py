@@ -22,7 +22,6 @@ none; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, partitions, read_table, to_planes, unpacked, written
+from .common import ROW_BITS, partitions, read_table, unpacked, written
 from .near_dedup import answered, components, distinct_of, encoded_sets, exact_frequencies, fingerprints, text_packs
 
 PER_CENT = 80
