@@ -1,10 +1,10 @@
 """Sharding by longest-processing-time scheduling (operator 10).
 
-Groups of equal texts stay together. Sorted by size, they go to the least-loaded shard through a
-heap. Groups of at least 1/(1000 x shards) of all bytes, of which there can be no more than
-1000 x shards, enter the heap by themselves; the smaller ones are bundled by their digest into
-BUNDLES items, so what the driver sees is bounded at any input size, and the spread stays below
-the largest bundle.
+Groups of equal texts stay together. Sorted by size, they go to the least-loaded shard through a heap. Groups of
+one size are interchangeable, so the driver schedules runs: it sees one row for each distinct size, and the heap
+says how many groups of that size each shard takes. k distinct sizes need at least k * k / 2 bytes, so there are
+at most sqrt(2 * bytes) of them, at any input: 245,000 for 30 GB even if no two documents were alike in size.
+Which groups of a size go where follows from their number within the size. Every group is scheduled by itself, whatever its size.
 
 Defined results: a null text has size 1; rows with a null id take part; an empty table gives an
 empty result; extra columns are ignored.
@@ -13,7 +13,10 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,71 +25,75 @@ from pyspark.sql.window import Window
 from .common import read_table, utf8_sha256, whole_text, written
 
 SHARDS = 16
-BUNDLES = 16384
-#: A group of this share of a shard's fair load is scheduled by itself.
-SINGLE_SHARE = 1000
 #: Rows to number in one task, and numbering buckets per shard at least.
 SLOT_ROWS, SLOT_BUCKETS = 65536, 64
 
 
-def longest_first(items: list[tuple[int, object]], shards: int) -> list[tuple[object, int]]:
-    """Assign (size, key) items, largest first, each to the least-loaded shard; ties by key and by shard."""
+def longest_first(runs: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, groups of that size for each shard) of runs (size, number of groups), largest size first.
+
+    The same counts as giving the groups one by one to the least-loaded shard (ties by shard). While all loads are within
+    one size of each other, each round of the heap gives every shard one group, so whole rounds are dealt at once."""
     heap = [(0, s) for s in range(shards)]
-    placed = []
-    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(heap)
-        placed.append((key, shard))
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+    for size, n in sorted(runs, reverse=True):
+        taken = [0] * shards
+        while n:
+            if n >= shards and max(heap)[0] - heap[0][0] <= size:
+                rounds, n = divmod(n, shards)
+                heap = [(load + rounds * size, s) for load, s in heap]
+                taken = [t + rounds for t in taken]
+                continue
+            load, s = heap[0]
+            # alone at the bottom, a shard takes groups until it is level with the next one
+            many = min(n, max(1, (min(heap[1:], default=(load + n * size, 0))[0] - load) // size))
+            heapq.heapreplace(heap, (load + many * size, s))
+            taken[s] += many
+            n -= many
+        yield size, taken
+
+
+def numbered(rows: DataFrame, by: str, buckets: int, order: list[str]) -> DataFrame:
+    """rows with their number (from 0) within a value of by, in the order of a hash bucket and of the columns of order; no task holds all rows of a value."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    before = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        dealt.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+        .select(by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    )
+    within = Window.partitionBy(by, "bucket").orderBy(*order)
+    placed = dealt.withColumn("at", F.row_number().over(within) - 1).join(offsets, [by, "bucket"])
+    return placed.withColumn("number", (F.col("offset") + F.col("at")).cast("long")).drop("bucket", "at", "offset")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     spark = docs.sparkSession
     text = whole_text()
-    digest = F.unhex(utf8_sha256(text))
     slim = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-            digest.alias("digest"),
-            F.pmod(F.xxhash64(digest), F.lit(BUNDLES)).cast("int").alias("bundle"),
+            F.unhex(utf8_sha256(text)).alias("digest"),
         ),
         "shard-sizes",
     )
-    rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = slim.groupBy("digest", "bundle").agg(F.sum("size").alias("size"))
-    single = F.col("size").cast("decimal(38,0)") * (shards * SINGLE_SHARE) >= F.lit(total).cast("decimal(38,0)")
-    items = (
-        groups.select(F.when(single, F.hex("digest")).alias("single"), F.when(~single, F.col("bundle")).alias("bundle"), "size")
-        .groupBy("single", "bundle").agg(F.sum("size").alias("size")).collect()
-    )  # fmt: skip  at most shards * SINGLE_SHARE + BUNDLES rows
-    placed = longest_first([(r.size, (r.single or "", -1 if r.bundle is None else r.bundle)) for r in items], shards)
-    ones = spark.createDataFrame(
-        [(bytearray.fromhex(k[0]), s) for k, s in placed if k[0]], "digest binary, own_shard int"
+    groups = written(slim.groupBy("digest").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    runs = groups.groupBy("load").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).toPandas()  # at most sqrt(2 * bytes) rows
+    dealt = list(longest_first(zip(runs.load.tolist(), runs.groups.tolist(), strict=True), shards))
+    schedule = spark.createDataFrame(
+        pd.DataFrame({"load": [load for load, _ in dealt], "ends": [list(accumulate(taken)) for _, taken in dealt]}), "load long, ends array<long>"
     )
-    bundles = spark.createDataFrame([(k[1], s) for k, s in placed if not k[0]], "bundle int, bundle_shard int")
-    dealt = (
-        slim.join(F.broadcast(ones), "digest", "left").join(F.broadcast(bundles), "bundle", "left")
-        .withColumn("shard", F.coalesce("own_shard", "bundle_shard"))
-    )
+    buckets = max(1, -(-int(runs.groups.sum()) // SLOT_ROWS))
+    homes = numbered(groups.select("digest", "load"), "load", buckets, ["digest"]).join(schedule, "load")
+    number = F.col("number")
+    homes = homes.select("digest", F.size(F.filter("ends", lambda end: end <= number)).alias("shard"))
+    rows = int(runs.rows.sum())
     buckets = max(SLOT_BUCKETS, -(-rows // (shards * SLOT_ROWS)))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "digest")
-    return (
-        dealt.withColumn("at", F.row_number().over(within) - 1)
-        .join(offsets, ["shard", "bucket"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("offset") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"),
-        )
-    )
+    placed = numbered(slim.join(homes, "digest"), "shard", buckets, ["doc_id", "digest"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("number").alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard")
+    )
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -742,9 +742,30 @@ def test_sharding_awkward(spark):
     assert sharding.shard_documents(awkward(spark).limit(0)).count() == 0
 
 
-def test_longest_first_bundles_small_groups(spark):
-    docs = documents(spark, [" ".join(words(3, i)) + str(i) for i in range(20_000)])
-    loads = Counter()
-    for r in sharding.shard_documents(docs).select("shard", "size").collect():
+def plain_heap(sizes, shards):
+    heap = dict.fromkeys(range(shards), 0)
+    for size in sorted(sizes, reverse=True):
+        heap[min(heap, key=lambda s: (heap[s], s))] += size
+    return heap
+
+
+def test_runs_are_dealt_as_the_heap_deals_groups():
+    rng = random.Random(5)
+    for _ in range(300):
+        shards = rng.randint(1, 9)
+        runs = {rng.choice([1, 2, 3, rng.randint(1, 50), rng.randint(1, 5000)]): rng.choice([1, 2, rng.randint(1, 400)]) for _ in range(rng.randint(0, 12))}
+        loads = [0] * shards
+        for size, taken in sharding.longest_first(runs.items(), shards):
+            assert sum(taken) == runs[size]
+            loads = [x + size * t for x, t in zip(loads, taken, strict=True)]
+        assert sorted(loads) == sorted(plain_heap([s for s, n in runs.items() for _ in range(n)], shards).values())
+
+
+def test_small_groups_are_scheduled_one_by_one(spark):
+    texts = [" ".join(words(3, i % 1000)) + str(i) for i in range(20_000)] + ["a text that many rows share"] * 5000
+    loads, groups = Counter(), Counter()
+    for r in sharding.shard_documents(documents(spark, texts)).select("shard", "size").collect():
         loads[r.shard] += r.size
-    assert max(loads.values()) - min(loads.values()) <= 0.005 * max(loads.values())
+    for t in texts:
+        groups[t] += len(t.encode()) + 1
+    assert sorted(loads.values()) == sorted(plain_heap(groups.values(), 16).values())
