@@ -4,14 +4,16 @@ Base mentions come from four patterns. Around them each text gets a field over i
 observed; open are tokens that repeat a mention or a telling part of it (the local part of an address, the
 digits of a number, with or without separators), and near misses of the patterns: a card number of the right length that fails its check, a telephone
 number that runs into what follows, an address with parts out of range, an e-mail address with "at" and "dot" spelled out.
-Consecutive tokens of the field share a chain potential;
+Also open are masked card numbers, which are similar to a mention that ends in the same four digits.
+Consecutive tokens of the field share a chain potential, and a side of a near miss (before it, after it) without any mention speaks against it;
 consecutive occurrences of the same or a similar form (one half of it and the length agree), however distant, share a skip potential (consecutive ones only, so a
-form that occurs n times has n - 1 edges). Loopy message passing then gives each open token the label that is consistent
+form that occurs n times has n - 1 edges). Loopy message passing, repeated until it settles, then gives each open token the label that is consistent
 across the text.
 
-The potentials are trained piecewise, over all documents. Repeats: how often the forms of mentions (those of a bounded sample of
-texts) recur in texts with the mention, and, as what chance brings, in texts without it. Near misses: mentions keep company; what share of a kind of near miss are
-mentions follows from how often it stands in texts with mentions, between the rate of mentions themselves and that of any words.
+The potentials are trained piecewise, over all documents. Repeats: how often the forms of mentions recur in texts with the mention, and, as what
+chance brings, in texts without it. Chain: how much oftener than any word a mention has another one before or after it. Near misses: the refusal of the
+pattern stands as their label where no mention is in the text; elsewhere the share that their company supports (its estimate, between the rates of any word
+and of mentions, less one standard error) counts as mentions. So the same number can be a mention beside others and none by itself.
 
 Defined results: a null text is the empty string; rows with null or repeated ids each get the
 mentions of their text; an empty table gives an empty result; extra columns are ignored.
@@ -32,12 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, whole_text
+from .common import read_table, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts whose mentions give the forms that training counts, by a hash of the id.
-TRAIN_TEXTS = 10_000
-ROUNDS, MOST_ROUNDS, SETTLED = 20, 200, 1e-4
+#: Message passing ends when no message moves by more than SETTLED; every SLOWER sweeps the steps are halved, so it ends in every text.
+SETTLED, SLOWER = 1e-4, 100
+#: Standard errors (the one-standard-error rule) that the share of mentions among near misses must clear.
+ERRORS = 1.0
 #: A telling part has so many characters, or so many digits, at least.
 LEAST_NAME, LEAST_DIGITS = 5, 7
 
@@ -49,6 +52,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[.@_+-][^\W_]+)*")
 DIGITS = re.compile(r"[0-9]+")
 PHONE_HEAD = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9])")
+MASKED = re.compile(r"(?:[0-9]{4}[\x20-]?)?(?:[*xX\u2022]{2,4}[\x20-]?){2,4}[0-9]{4}(?![0-9])")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]+)+", re.I)
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -98,6 +102,8 @@ def near_misses(text: str, mentions: list[Span]) -> list[tuple[int, int, int, st
                 head = PHONE_HEAD.match(text, m.start(), min(m.end(), taken[i][0]) if i < len(taken) else m.end())
                 if head and 8 <= sum(map(len, DIGITS.findall(head[0]))) <= 15:
                     found.append((3, *head.span(), "overrun"))
+        if "**" in text or "xx" in text or "XX" in text or "\u2022" in text:
+            found += [(2, *m.span(), "masked") for m in MASKED.finditer(text) if 13 <= len(re.sub(r"[\x20-]", "", m[0])) <= 19]
     out = []
     for kind, a, b, why in sorted(found, key=lambda x: (x[1], -x[2])):
         if text[max(0, a - 1) : a].isalnum() or text[b : b + 1].isalnum():
@@ -126,7 +132,7 @@ def shape(token: str) -> str:
 
 
 class Potentials:
-    """Log potentials: node[kind, shape of the form] and miss[kind, why] of being a mention, chain and skip for two tokens that agree rather than not."""
+    """Log potentials: node[kind, shape of the form] and miss[kind, why] of being a mention, chain and skip for two tokens that agree rather than not, end for each side of a near miss that has no mention."""
 
     def __init__(self, counts: Counter | None = None):
         c = counts or Counter()
@@ -135,14 +141,23 @@ class Potentials:
         self.prior = min(-1.0, odds("mention", "token"))
         self.skip = max(0.5, min(4.0, odds("skip agrees", "skip differs")))
         rate = lambda *key: (c[*key, True] + 1) / (c[*key, True] + c[*key, False] + 2)
-        mention, word = rate("company", "mention"), rate("company", "word")
-        #: How much the company of a mention speaks for one.
-        self.chain = max(0.0, min(4.0, math.log(mention * (1 - word) / (word * (1 - mention)))))
+        mention, word = rate("beside", "mention"), rate("beside", "word")
+        self.chain = max(0.0, min(4.0, math.log(mention / word)))
+        self.end = max(-4.0, min(0.0, math.log((1 - mention) / (1 - word))))
         self.miss = {}
         for kind, why in {k[2:4] for k in c if k[:2] == ("company", "miss")}:
-            share = (rate("company", "miss", kind, why) - word) / max(1e-9, mention - word)
-            share = min(0.99, max(0.01, share if mention > word else 0.0))
-            self.miss[kind, why] = math.log(share / (1 - share)) + math.log((1 - mention) / (1 - word))
+            beside, alone = c["company", "miss", kind, why, True], c["company", "miss", kind, why, False]
+            usual = rate("company", "mention")  # one more near miss like a mention, so that a rate of few isn't drawn to one half
+            yes = beside * supported_share((beside + usual) / (beside + alone + 1), beside + alone, usual, rate("company", "word"))
+            self.miss[kind, why] = math.log((yes + 1) / (beside + alone - yes + 1))
+
+
+def supported_share(rate: float, n: int, mention: float, word: float) -> float:
+    """Share of mentions among n near misses that keep company at this rate, between the rates of any word and of mentions: the estimate less ERRORS standard errors."""
+    if mention <= word:
+        return 0.0
+    error = math.sqrt(rate * (1 - rate) / max(n, 1))
+    return max(0.0, min(1.0, (rate - word) / (mention - word)) - ERRORS * error / (mention - word))
 
 
 def _open_tokens(text: str, mentions: list[Span]) -> tuple[list[Span], dict[str, list[int]]]:
@@ -176,23 +191,26 @@ def _open_tokens(text: str, mentions: list[Span]) -> tuple[list[Span], dict[str,
 
 
 def beliefs(field: list[float], edges: dict[tuple[int, int], float]) -> list[float]:
-    """Log-odds of each node of a pairwise field with two states, by loopy message passing; exact on trees."""
+    """Log-odds of each node of a pairwise field with two states, by loopy message passing; exact on trees.
+
+    A sweep goes through the nodes forth and back, so what one end of a chain says reaches the other in one sweep."""
     around: list[list[tuple[int, float]]] = [[] for _ in field]
     for (i, j), w in edges.items():
-        around[i].append((j, w))
-        around[j].append((i, w))
+        around[i].append((j, math.tanh(w / 2) * (1 - 1e-12)))
+        around[j].append((i, math.tanh(w / 2) * (1 - 1e-12)))
     message = {(i, j): 0.0 for a, b in edges for i, j in ((a, b), (b, a))}
-    for _ in range(max(ROUNDS, min(len(field), MOST_ROUNDS))):
-        into = [field[i] + sum(message[j, i] for j, _ in around[i]) for i in range(len(field))]
-        new = {}
-        for i, links in enumerate(around):
-            for j, w in links:
-                x = max(-30.0, min(30.0, into[i] - message[j, i]))
-                new[i, j] = 2 * math.atanh(math.tanh(w / 2) * math.tanh(x / 2) * (1 - 1e-12))
-        moved = max((abs(new[k] - message[k]) for k in new), default=0.0)
-        message = new
-        if moved < SETTLED:
-            break
+    linked = [i for i, links in enumerate(around) if links]
+    moved, sweep = math.inf, 0
+    while linked and moved > SETTLED:
+        moved, step = 0.0, 0.5 ** (sweep // SLOWER)
+        for i in (*linked, *reversed(linked)):
+            into = field[i] + sum(message[j, i] for j, _ in around[i])
+            for j, t in around[i]:
+                x = max(-30.0, min(30.0, into - message[j, i]))
+                change = step * (2 * math.atanh(t * math.tanh(x / 2)) - message[i, j])
+                message[i, j] += change
+                moved = max(moved, abs(change))
+        sweep += 1
     return [field[i] + sum(message[j, i] for j, _ in around[i]) for i in range(len(field))]
 
 
@@ -222,7 +240,8 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
         kinds_of[i] = kind
         field.append(potentials.miss.get((kind, why), potentials.prior))
     order = sorted(range(len(nodes)), key=lambda i: nodes[i][1:])
-    similar: dict[tuple, int] = {}
+    similar: dict[tuple | str, int] = {}
+    masked = {i for i, x in enumerate(misses, repeats) if x[3] == "masked"}
     for i in order:
         form = text[nodes[i][1] : nodes[i][2]].lower()
         half = len(form) // 2
@@ -231,6 +250,14 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
             if j is not None and (i >= repeats or j >= repeats):
                 edges[min(i, j), max(i, j)] = potentials.skip
             similar[key] = i
+        if kinds_of.get(i) == 2:
+            j = similar.get(form[-4:])
+            if j is not None and (i in masked or j in masked):
+                edges[min(i, j), max(i, j)] = potentials.skip
+            similar[form[-4:]] = i
+    first, last = min((a for _, a, _ in mentions), default=len(text)), max((b for *_, b in mentions), default=0)
+    for i, (_, a, b, _) in enumerate(misses, repeats):
+        field[i] += potentials.end * ((first > a) + (last < b))
     for i, j in zip(order, order[1:], strict=False):
         if i >= repeats or j >= repeats or nodes[j][1] - nodes[i][2] <= 1 and kinds_of.get(i) == kinds_of.get(j):
             edge = (min(i, j), max(i, j))
@@ -239,54 +266,61 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
     return [(kinds_of[i], a, b) for i, (k, a, b) in enumerate(nodes) if k < 0 and belief[i] > 0 and kinds_of.get(i, -1) >= 0]
 
 
-def _sampled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = {(f, k) for text in batch.text for k, a, b in base_mentions(text) for f in forms(k, text[a:b])}
-        if found:
-            yield pd.DataFrame(sorted(found), columns=["form", "kind"])
-
-
-def _factor_counts(text: str, kinds: dict[str, int]) -> Counter:
-    """Counts of one text: how often mentions, near misses and any words stand with (other) mentions ("company"); for the given forms: texts with the form's mention ("with"), open tokens there ("open"), tokens in texts
-    without it ("chance"); pairs of two mentions, or by their open token."""
-    c: Counter = Counter()
+def _factors(text: str, c: Counter, forms_of: dict[str, list]) -> None:
+    """Add one text's factors. c: how often mentions and any words have a mention before and after them ("beside"), how often they and near misses stand in a text with
+    (other) mentions ("company"), pairs of two mentions, or by their open token ("skip"). forms_of: per form [kind, texts with its mention, open tokens there, tokens in texts without it]."""
     mentions = base_mentions(text)
     said = {text[a:b] for _, a, b in mentions}
-    misses = near_misses(text, mentions)
-    c["company", "mention", True] += len(mentions) if len(said) > 1 else 0
-    c["company", "mention", False] += 0 if len(said) > 1 else len(mentions)
-    for kind, _, _, why in misses:
+    words = text.count(" ") + 1
+    several = len(said) > 1
+    c["company", "mention", several] += len(mentions)
+    c["company", "word", bool(said)] += words
+    beside = 0
+    if mentions:
+        beside = text.count(" ", min(a for _, a, _ in mentions)) + text.count(" ", 0, max(b for *_, b in mentions))
+        c["beside", "mention", True] += 2 * (len(mentions) - 1) if several else 0
+        c["beside", "mention", False] += 2 if several else 2 * len(mentions)
+    c["beside", "word", True] += beside
+    c["beside", "word", False] += 2 * words - beside
+    for kind, _, _, why in near_misses(text, mentions):
         c["company", "miss", kind, why, bool(said)] += 1
-    own = {f for k, a, b in mentions for f in forms(k, text[a:b])}
-    for form in own & kinds.keys():
-        c["with", kinds[form], shape(form)] += 1
-    c["company", "word", bool(said)] += text.count(" ") + 1
-    for token in TOKEN.findall(text.lower()):
-        if token in kinds:
-            key = token
-        elif token.isalpha() or len(key := "".join(DIGITS.findall(token))) < LEAST_DIGITS or key not in kinds:
-            continue
-        if key not in own:
-            c["chance", kinds[key], shape(key)] += 1
+    own = {f: k for k, a, b in reversed(mentions) for f in forms(k, text[a:b])}
+    for form, kind in own.items():
+        row = forms_of.setdefault(form, [None, 0, 0, 0])
+        row[0] = kind if row[0] is None else min(kind, row[0])
+        row[1] += 1
+    for token in TOKEN.findall(" ".join([w for w in text.lower().split() if not w.isalpha()])):  # a form has a digit or a sign in it
+        if not token.isalpha():
+            digits = "".join(DIGITS.findall(token))
+            for form in {token, digits} if len(digits) >= LEAST_DIGITS else {token}:
+                if form not in own:
+                    forms_of.setdefault(form, [None, 0, 0, 0])[3] += 1
     if not mentions:
-        return c
+        return
     nodes, by_form = _open_tokens(text, mentions)
     form_of = {i: form for form, members in by_form.items() for i in members}
+    for form, members in by_form.items():
+        forms_of[form][2] += sum(nodes[i][0] < 0 for i in members)
+        for i, j in zip(members, members[1:], strict=False):
+            ends = [form_of[x] for x in (i, j) if nodes[x][0] < 0]
+            if i == j:
+                continue
+            if ends:
+                c["skip", len(ends), own[ends[-1]], shape(ends[-1])] += 1
+            else:
+                c["skip", "agrees" if nodes[i][0] == nodes[j][0] else "differs"] += 1
 
-    def paired(what: str, i: int, j: int) -> None:
-        ends = [form_of[x] for x in (i, j) if nodes[x][0] < 0]
-        if not ends:
-            c[what, "agrees" if nodes[i][0] == nodes[j][0] else "differs"] += 1
-        elif ends[-1] in kinds:
-            c[what, len(ends), kinds[ends[-1]], shape(ends[-1])] += 1
 
-    for form, members in by_form.items():
-        if form in kinds:
-            c["open", kinds[form], shape(form)] += sum(nodes[i][0] < 0 for i in members)
-            for i, j in zip(members, members[1:], strict=False):
-                if i != j:
-                    paired("skip", i, j)
-    return +c
+def _factor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each form of a batch, and one (without a form) for each other factor."""
+    for batch in batches:
+        c: Counter = Counter()
+        forms_of: dict[str, list] = {}
+        for text in batch.text:
+            _factors(text, c, forms_of)
+        rows = [(f, shape(f), *x, None, 0) for f, x in forms_of.items()] + [(None, None, None, 0, 0, 0, repr(k), n) for k, n in c.items() if n]
+        out = pd.DataFrame(rows, columns=["form", "shape", "kind", "with", "open", "chance", "key", "n"])
+        yield out.astype({"kind": "Int32"})
 
 
 def expected_counts(c: Counter, n_docs: int, n_forms: Counter) -> Counter:
@@ -302,37 +336,32 @@ def expected_counts(c: Counter, n_docs: int, n_forms: Counter) -> Counter:
             for name, x in ((("in", *at), n - chance), (("out", *at), chance), ("mention", n - chance), ("token", chance)):
                 out[name] += x
     for key, n in c.items():
-        if key[0] == "company":
+        if key[0] in ("company", "beside"):
             out[key] = n
         if key[0] == "skip":
             p = {"agrees": 1.0, "differs": 0.0}.get(key[1])
             if p is None:
                 p = true.get(key[2:], 0.0)
                 p = p if key[1] == 1 else p * p + (1 - p) ** 2
-            out[f"{key[0]} agrees"] += n * p
-            out[f"{key[0]} differs"] += n * (1 - p)
+            out["skip agrees"] += n * p
+            out["skip differs"] += n * (1 - p)
     return out
 
 
-def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Potentials:
-    """Potentials from the forms of about bound texts, counted over all; the counts are bounded by kinds and shapes."""
-    n = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, bound / max(n, 1))))
-    found = sample.select(whole_text().alias("text")).mapInPandas(_sampled_forms, "form string, kind int").groupBy("form").agg(F.min("kind").alias("kind"))
-    kinds = {r.form: r.kind for r in found.collect()}  # bounded by the sample
-    shared = docs.sparkSession.sparkContext.broadcast(kinds)
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
-        for batch in batches:
-            for text in batch.text:
-                c.update(_factor_counts(text, shared.value))
-        if c:
-            yield pd.DataFrame({"key": [repr(k) for k in c], "n": [int(x) for x in c.values()]})
-
-    counts = docs.select(whole_text().alias("text")).mapInPandas(counted, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    c = Counter({literal_eval(r.key): r.n for r in counts.collect()})
-    return Potentials(expected_counts(c, n, Counter((k, shape(f)) for f, k in kinds.items())))
+def train(docs: DataFrame) -> Potentials:
+    """Potentials from all texts. Forms are counted where they meet, by Spark; what comes to the driver is bounded by kinds and shapes."""
+    schema = "form string, shape string, kind int, with long, open long, chance long, key string, n long"
+    rows = written(docs.select(whole_text().alias("text")).mapInPandas(_factor_rows, schema), "pii-factors")
+    sums = [F.sum(x).alias(x) for x in ("with", "open", "chance")]
+    by_form = rows.where("form is not null").groupBy(F.xxhash64("form").alias("form"), "shape").agg(F.min("kind").alias("kind"), *sums)
+    by_shape = by_form.where("kind is not null").groupBy("kind", "shape").agg(*sums, F.count(F.lit(1)).alias("forms"))
+    c, n_forms = Counter(), Counter()
+    for r in by_shape.collect():
+        n_forms[r.kind, r["shape"]] = r.forms
+        c.update({(x, r.kind, r["shape"]): r[x] for x in ("with", "open", "chance")})
+    for r in rows.where("form is null").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        c[literal_eval(r.key)] = r.n
+    return Potentials(expected_counts(c, docs.count(), n_forms))
 
 
 def find_mentions(docs: DataFrame, potentials: Potentials) -> DataFrame:

@@ -227,6 +227,81 @@ def test_near_misses_are_labelled_by_the_company_they_keep(spark):
     assert [x[0] for x in pii.near_misses("jane.doe [at] mail (dot) org, 300.1.2.3, 411111111111111", [])] == [0, 1, 2]
 
 
+def plain_added(text, potentials):
+    """Added spans of a text without repeats: the field written out, all labellings of its near misses enumerated."""
+    import itertools
+    import math
+
+    base = pii.base_mentions(text)
+    misses = pii.near_misses(text, base)
+    nodes = sorted([(a, b, k, None) for k, a, b in base] + [(a, b, k, why) for k, a, b, why in misses])
+    weight = Counter()
+    for i, j in itertools.combinations(range(len(nodes)), 2):
+        (a, b, k, w), (c, d, m, v) = nodes[i], nodes[j]
+        x, y = text[a:b].lower(), text[c:d].lower()
+        if w is None and v is None:
+            continue
+        h = len(x) // 2
+        if k == m and len(x) == len(y) and (x[:h] == y[:h] or x[h:] == y[h:]) and not any(len(z := text[p:q].lower()) == len(x) and (z[:h] == x[:h] or z[h:] == x[h:]) for p, q, *_ in nodes[i + 1 : j]):
+            weight[i, j] += potentials.skip
+        if j == i + 1:
+            weight[i, j] += potentials.chain
+    total, on = 0.0, Counter()
+    free = [i for i, n in enumerate(nodes) if n[3]]
+    for bits in itertools.product((0, 1), repeat=len(free)):
+        y = [1] * len(nodes)
+        for i, bit in zip(free, bits, strict=True):
+            y[i] = bit
+        energy = sum(w for (i, j), w in weight.items() if y[i] == y[j])
+        for i in free:
+            sides = (not any(a < nodes[i][0] for _, a, _ in base)) + (not any(b > nodes[i][1] for *_, b in base))
+            energy += y[i] * (potentials.miss[nodes[i][2:]] + potentials.end * sides)
+        total += math.exp(energy)
+        on.update({i: math.exp(energy) for i in free if y[i]})
+    return {(nodes[i][2], *nodes[i][:2]) for i in free if on[i] > total / 2 * (1 + 1e-9)}, min((abs(on[i] / total - 0.5) for i in free), default=1)
+
+
+def test_added_spans_against_enumeration():
+    rng = random.Random(9)
+    numbers = ["4000000000000003", "4000000000000101", "4000000055555555", "123412345678123", "300.1.2.3", "301.1.2.3", "jane.doe [at] mail (dot) org", "4111111111111111", "1.2.3.4", "x@mail.org"]
+    seen = Counter()
+    for _ in range(400):
+        potentials = pii.Potentials()
+        potentials.skip, potentials.chain, potentials.end = rng.uniform(0, 2), rng.uniform(0, 2), rng.uniform(-1, 0)
+        potentials.miss = {k: rng.uniform(-3, 2) for k in ((0, "spelled"), (1, "range"), (2, "check"), (2, "short"))}
+        text = " and then ".join(rng.sample(numbers, rng.randint(1, 6)))
+        exact, margin = plain_added(text, potentials)
+        if margin > 0.1:  # message passing is exact on trees only
+            assert set(pii.consistent_mentions(text, pii.base_mentions(text), potentials)) == exact, text
+            seen[bool(exact)] += 1
+    assert min(seen.values()) > 50
+
+
+def test_the_field_decides_about_near_misses(spark):
+    """The same failing number is a mention beside others and none by itself; on the tables the chain changes what is added."""
+    import copy
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    potentials = pii.train(docs)
+    alone, beside = "order 9807915762804490 was sent", "ann@mail.org, 10.1.2.3 and 9807915762804490 or bob@mail.org"
+    assert pii.consistent_mentions(alone, [], potentials) == []
+    assert [beside[a:b] for _, a, b in pii.consistent_mentions(beside, pii.base_mentions(beside), potentials)] == ["9807915762804490"]
+    without = copy.copy(potentials)
+    without.chain = without.end = 0.0
+    added = lambda p: [(r.doc_id, r.spans) for r in pii.find_mentions(docs, p).orderBy("doc_id").collect()]
+    assert added(potentials) != added(without)
+    for text in ("9" * 20_000, "4000000000000003 " * 3000, "** " * 5000, "**** " * 4 + "1234"):  # ends, however long
+        pii.consistent_mentions(text, pii.base_mentions(text), potentials)
+
+
+def test_masked_numbers_follow_the_number_they_hide():
+    potentials = pii.Potentials(Counter({("company", "miss", 2, "masked", False): 5}))
+    text = "4111 1111 1111 1111 was billed; **** **** **** 1111 again, **** **** **** 2222 not"
+    base = pii.base_mentions(text)
+    potentials.skip = 3.0
+    assert [text[a:b] for _, a, b in pii.consistent_mentions(text, base, potentials)] == ["**** **** **** 1111"]
+
+
 def test_trained_field_labels_repeats_but_not_chance(spark):
     """Spans through train(): a bare local part after one mention counts, one that other texts use as often doesn't."""
     names = [f"{a}.{b}" for a in ("jane", "omar", "lucy", "ivan") for b in ("doe", "orr", "kim", "fox", "lee")]
