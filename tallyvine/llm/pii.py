@@ -28,7 +28,7 @@ import re
 from ast import literal_eval
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[.@_+-][^\W_]+)*")
+DIGIT = "0123456789"
+BEFORE_DOT = [f"{d}." for d in DIGIT]
+SIGNS = DIGIT + ".@_+-"
 DIGITS = re.compile(r"[0-9]+")
 PHONE_HEAD = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9])")
 MASKED = re.compile(r"(?:[0-9]{4}[\x20-]?)?(?:[*xX\u2022]{2,4}[\x20-]?){2,4}[0-9]{4}(?![0-9])")
@@ -73,11 +76,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def has_any(text: str, parts: Iterable[str]) -> bool:
+    """A plain search for each part: much faster than a pattern on texts that have none."""
+    return any(x in text for x in parts)
+
+
+def dotted_quads(text: str) -> list[re.Match]:
+    return list(IP.finditer(text)) if has_any(text, BEFORE_DOT) else []
+
+
 def base_mentions(text: str) -> list[Span]:
     """By kind, then start. Matches are leftmost and do not overlap within a kind; failing ones are dropped."""
     found: list[Span] = [(0, a, b) for a, b in emails(text)] if "@" in text else []
-    if DIGITS.search(text):
-        found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    if has_any(text, DIGIT):
+        found += [(1, *m.span()) for m in dotted_quads(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if 16 <= m.end() - m.start() and 16 <= len(d := re.sub(r"[\x20-]", "", m[0])) <= 19 and luhn(d):
                 found.append((2, *m.span()))
@@ -89,9 +101,9 @@ def base_mentions(text: str) -> list[Span]:
 def near_misses(text: str, mentions: list[Span]) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, why) of what almost fits a pattern, stands free and overlaps no mention, in text order."""
     taken = sorted((a, b) for _, a, b in mentions)
-    found = [(0, *m.span(), "spelled") for m in SPELLED.finditer(text)] if "at" in text.lower() and any(c in text for c in "[({") else []
-    if DIGITS.search(text):
-        found += [(1, *m.span(), "range") for m in IP.finditer(text) if all(len(p) <= 3 for p in m[0].split("."))]
+    found = [(0, *m.span(), "spelled") for m in SPELLED.finditer(text)] if has_any(text, "[({") and "at" in text.lower() else []
+    if has_any(text, DIGIT):
+        found += [(1, *m.span(), "range") for m in dotted_quads(text) if all(len(p) <= 3 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             n = sum(map(len, DIGITS.findall(m[0])))
             if 13 <= n <= 19:
@@ -102,7 +114,7 @@ def near_misses(text: str, mentions: list[Span]) -> list[tuple[int, int, int, st
                 head = PHONE_HEAD.match(text, m.start(), min(m.end(), taken[i][0]) if i < len(taken) else m.end())
                 if head and 8 <= sum(map(len, DIGITS.findall(head[0]))) <= 15:
                     found.append((3, *head.span(), "overrun"))
-        if "**" in text or "xx" in text or "XX" in text or "\u2022" in text:
+        if has_any(text, ("**", "xx", "XX", "\u2022")):
             found += [(2, *m.span(), "masked") for m in MASKED.finditer(text) if 13 <= len(re.sub(r"[\x20-]", "", m[0])) <= 19]
     out = []
     for kind, a, b, why in sorted(found, key=lambda x: (x[1], -x[2])):
@@ -245,7 +257,8 @@ def consistent_mentions(text: str, mentions: list[Span], potentials: Potentials)
     for i in order:
         form = text[nodes[i][1] : nodes[i][2]].lower()
         half = len(form) // 2
-        for key in ((kinds_of.get(i), len(form), 0, form[:half]), (kinds_of.get(i), len(form), 1, form[half:])):
+        halves = ((kinds_of.get(i), len(form), 0, form[:half]), (kinds_of.get(i), len(form), 1, form[half:]))
+        for key in halves if i not in masked else ():  # masks are no common form
             j = similar.get(key)
             if j is not None and (i >= repeats or j >= repeats):
                 edges[min(i, j), max(i, j)] = potentials.skip
@@ -289,7 +302,8 @@ def _factors(text: str, c: Counter, forms_of: dict[str, list]) -> None:
         row = forms_of.setdefault(form, [None, 0, 0, 0])
         row[0] = kind if row[0] is None else min(kind, row[0])
         row[1] += 1
-    for token in TOKEN.findall(" ".join([w for w in text.lower().split() if not w.isalpha()])):  # a form has a digit or a sign in it
+    signed = text.replace(". ", " ").replace(".\n", "\n").rstrip(".")  # a form has a digit or a sign in it, which isn't the end of a sentence
+    for token in TOKEN.findall(" ".join([w for w in signed.lower().split() if not w.isalpha()])) if has_any(signed, SIGNS) else ():
         if not token.isalpha():
             digits = "".join(DIGITS.findall(token))
             for form in {token, digits} if len(digits) >= LEAST_DIGITS else {token}:
