@@ -90,6 +90,34 @@ def test_exact_dedup_continues_its_ledger(spark, tmp_path):
     assert sorted((r.keep_id, r.group_size) for r in exact_dedup.read_ledger(spark, ledger).collect()) == [(-5, 2), (1, 1)]
 
 
+def open_stores(spark):
+    """State stores that this process holds open: Spark's own table of them has no other way in."""
+    kind = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    field = kind.getDeclaredField("loadedProviders")
+    field.setAccessible(True)
+    return field.get(kind.getField("MODULE$").get(None)).size()
+
+
+def test_exact_dedup_leaves_no_store_open(spark, tmp_path):
+    path, ledger, before = folder(spark, documents(spark, corpus()), tmp_path, files=3), str(tmp_path / "ledger"), open_stores(spark)
+    assert exact_dedup.deduplicate(spark, path).count() == 60
+    exact_dedup.ingest(spark, path, ledger, "1")  # a batch for each file: stores are opened anew
+    assert sorted(r.group_size for r in exact_dedup.read_ledger(spark, ledger).collect()) == sorted(Counter(corpus()).values())
+    assert open_stores(spark) <= before  # maintenance may close others meanwhile
+
+
+def test_exact_dedup_has_as_many_stores_as_the_session_has_partitions(spark, tmp_path):
+    path, ledger, usual = folder(spark, documents(spark, corpus()), tmp_path), str(tmp_path / "ledger"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        exact_dedup.ingest(spark, path, ledger)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert [r.numPartitions for r in spark.read.format("state-metadata").load(ledger).collect()] == [3]
+    exact_dedup.ingest(spark, path, ledger)  # goes on with the three
+    assert sorted(r.group_size for r in exact_dedup.read_ledger(spark, ledger).collect()) == sorted(Counter(corpus()).values())
+
+
 def test_byte_conflicts_are_found_only_for_equal_digests(spark):
     assert exact_dedup.byte_conflicts(documents(spark, corpus())).count() == 0
 
