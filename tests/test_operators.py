@@ -198,6 +198,36 @@ def test_fuzzy_lexical_scores_against_plain_ones(spark):
     assert all(found[k] == pytest.approx(expected[k], abs=1e-5) for k in found)
 
 
+def most_joined(df):
+    """Rows of the join that makes the most of them as df is collected."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        here = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return max([here, *(walk(node.children().apply(i)) for i in range(node.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["lexical_score_exact"])
+def test_lexical_scores_form_no_pairs_without_a_hit(spark, tmp_path, name):
+    from tallyvine import queries
+
+    n, words = 2000, [3 * a + 3 * b for a in "aeiouybdgp" for b in "xmstz"]
+    parts = [(i, words[i % 50], f"Brand#{i % 25}", "SMALL", 7) for i in range(n)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    hits = {(q, slug) for q, slug in one(found, "query_id", "slug")}
+    alike = {(q, f"{parts[i][1]}-{i}".replace(" ", "-")) for q in range(0, n, 50) for i in range(n) if parts[q][1] == parts[i][1] or parts[q][2] == parts[i][2]}
+    assert alike and alike <= hits
+    assert most_joined(found) < n * n // 50 // 4  # of all pairs of a query and a candidate
+
+
 def test_near_fragments_against_all_pairs(spark):
     """Every pair that is similar enough shares a piece."""
     import random
