@@ -214,7 +214,7 @@ def most_joined(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["lexical_score_exact"])
+@pytest.mark.parametrize("name", ["lexical_score_exact", "lexical_score_fuzzy"])
 def test_lexical_scores_form_no_pairs_without_a_hit(spark, tmp_path, name):
     from tallyvine import queries
 
