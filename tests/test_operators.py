@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyvine.functions import cards as card
 from tallyvine.functions import vectors
-from tallyvine.operators import catalog, checks, evaluation, integrity, pairing, recommend, rerank, retrieval, review, text
+from tallyvine.operators import blocks, catalog, checks, evaluation, integrity, pairing, recommend, rerank, retrieval, review, text
 from tallyvine.plans import predict, views
 from tallyvine.sources import files, objects, publish
 from tallyvine.streaming import runs
@@ -394,6 +394,21 @@ def test_analogues_against_all_pairs(spark, monkeypatch, seed, first, limit):
         assert found.get(base, []) == [(slug, (score + 50_000_000) // 100_000_000 / 10_000) for slug, score in due]
 
 
+def test_analogues_move_only_what_may_come_first(spark, monkeypatch):
+    """Cards that all share a grape and words: pairs are scored where they meet, whatever the blocks."""
+    rows = cards(spark, *[{"slug": f"c{i:03d}", "category": "Белое", "winery": f"w{i % 9}", "grape": "рислинг", "description": f"мёд груша сорт{i // 3}"} for i in range(150)])
+    weights = text.profiles(text.term_counts(rows), rows.count(), most_common=2.0).cache()
+    bases = spark.createDataFrame([(f"c{i:03d}",) for i in range(0, 150, 10)], "slug string")
+    found, written, sizes = [], recommend.written, []
+    monkeypatch.setattr(recommend, "written", lambda df, name: (sizes.append(df.count()) if name == "analogue-pairs" else None, written(df, name))[1])
+    for n in (10**6, 4):
+        monkeypatch.setattr(blocks, "BASES", n)
+        monkeypatch.setattr(blocks, "PART", n)
+        found.append(sorted(one(recommend.analogues(recommend.card_features(rows), bases, weights, 4), "base", "place", "slug", "score")))
+    assert len(found[0]) == 15 * 4 and found[0] == found[1]
+    assert max(sizes) <= 15 * 2 * 4
+
+
 def test_order_is_by_the_unrounded_score(spark):
     """Scores that tie at four digits, planted so that the smaller slug has the smaller one."""
     base = {"category": "Белое", "region": "x", "winery": "w"}
