@@ -409,6 +409,38 @@ def test_analogues_move_only_what_may_come_first(spark, monkeypatch):
     assert max(sizes) <= 15 * 2 * 4
 
 
+@pytest.mark.parametrize("n", [10**6, 7])
+def test_similar_texts_move_no_pairs(spark, monkeypatch, n):
+    monkeypatch.setattr(blocks, "BASES", n)
+    monkeypatch.setattr(blocks, "PART", n)
+    rows = made_shelf(spark, 9, 120)
+    weights = text.profiles(text.term_counts(rows), rows.count(), most_common=0.9).cache()
+    base = weights.where("slug < 'c040'")
+    due, adjective = {}, "(а|е)$"
+    for b, slug, term, units in one(text.shared_terms(base, weights), "base", "slug", "term", "units"):
+        due.setdefault((b, slug), []).append((-units, term))
+    found = text.text_similarity(base, weights, 2, adjective)
+    got = {(r.base, r.slug): (r.units, list(r.notes)) for r in found.collect()}
+    plain = {pair: (-sum(u for u, _ in terms), [t for _, t in sorted(terms) if t[-1] not in "ае"][:2]) for pair, terms in due.items()}
+    assert len(plain) > 1000 and got == plain
+    assert most_joined(found) == 0
+
+
+@pytest.mark.parametrize("more", [[], [{"slug": "c003", "description": "слово слово словоа"}], [{"slug": None, "description": "словоа словоб"}]])
+def test_profiles_by_packs(spark, monkeypatch, more):
+    """As from a row for each term of a card; each term of a pack is sent once."""
+    monkeypatch.setattr(text, "written", lambda df, name: sent.setdefault(name, df.cache()))
+    sent, rows = {}, made_shelf(spark, 5, 200).unionByName(cards(spark, {"slug": "empty"}, {"slug": "none", "description": None}, *more)).cache()
+    n = rows.count()
+    found = text.card_profiles(rows, n, "[а-я]{4,}", ["словог"], 4, 0.9)
+    due = text.profiles(text.term_counts(rows, "[а-я]{4,}", ["словог"]), n, 4, 0.9)
+    key = lambda r: (r[0] or "", r[1])
+    got, plain = (sorted(one(x, "slug", "term", "weight"), key=key) for x in (found, due))
+    assert len(plain) > 300 and [x[:2] for x in got] == [x[:2] for x in plain] and [x[2] for x in got] == pytest.approx([x[2] for x in plain], abs=1e-12)
+    packs = sent["term-lists"].where("slug IS NULL AND size(terms) > 0")
+    assert packs.agg(F.sum(F.size("terms"))).first()[0] < 30 * packs.count()
+
+
 def test_order_is_by_the_unrounded_score(spark):
     """Scores that tie at four digits, planted so that the smaller slug has the smaller one."""
     base = {"category": "Белое", "region": "x", "winery": "w"}
