@@ -480,6 +480,16 @@ def test_cosine_join_against_all_pairs(spark, at_least, most):
     assert due and set(one(text.cosine_join(weights, at_least, most), "a", "b", "units")) == due
 
 
+def test_cosine_join_moves_no_pairs(spark):
+    rows = made_shelf(spark, 11, 300)
+    weights = text.profiles(text.term_counts(rows), rows.count(), most_common=0.9).cache()
+    for most in (10**6, 20):
+        found = text.cosine_join(weights, 0.3, most)
+        pairs = one(found, "a", "b")
+        assert len(pairs) == len(set(pairs)) > 8 * weights.count()
+        assert most_joined(found) <= 2 * weights.count()
+
+
 def test_shared_terms_in_slices(spark):
     rows = made_shelf(spark, 8, 80)
     weights = text.profiles(text.term_counts(rows), rows.count(), most_common=0.9).cache()
