@@ -441,6 +441,22 @@ def test_profiles_by_packs(spark, monkeypatch, more):
     assert packs.agg(F.sum(F.size("terms"))).first()[0] < 30 * packs.count()
 
 
+@pytest.mark.parametrize("n", [10**6, 7])
+def test_overlaps_are_made_where_they_are_given(spark, monkeypatch, n):
+    monkeypatch.setattr(blocks, "BASES", n)
+    monkeypatch.setattr(blocks, "PART", n)
+    rows = made_shelf(spark, 3, 90).select("slug", "winery", card.grape_set().alias("grapes"))
+    rows = rows.unionByName(spark.createDataFrame([("c000", "w0", []), ("many", "w0", [f"g{i}" for i in range(128)]), ("x", None, ["g1"])], rows.schema)).cache()
+    base = rows.where("slug < 'c030' OR slug = 'many'")
+    due = sorted(
+        (b.slug, r.slug, int(len(set(b.grapes) & set(r.grapes)) / (len(set(b.grapes) | set(r.grapes)) or 1) * 1e6 + 0.5) / 1e6)
+        for b in base.collect() for r in rows.collect() if b.winery == r.winery is not None and b.slug != r.slug
+    )
+    found = blocks.overlaps(base, rows, ["winery"], 6)
+    assert any(x[2] == 0.007813 for x in due) and sorted(one(found, "base", "slug", "jaccard")) == due
+    assert most_joined(found) == 0
+
+
 def test_order_is_by_the_unrounded_score(spark):
     """Scores that tie at four digits, planted so that the smaller slug has the smaller one."""
     base = {"category": "Белое", "region": "x", "winery": "w"}
